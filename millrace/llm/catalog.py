@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, exact_dedup
+from millrace.llm import byte_bpe, decontaminate, exact_dedup, reshard
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_reshard": reshard.op5_reshard,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
