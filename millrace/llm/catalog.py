@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontaminate, exact_dedup, reshard
+from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, reshard, token_counts
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op4_html_text": html_text.op4_html_text,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_reshard": reshard.op5_reshard,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
