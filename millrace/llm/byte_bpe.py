@@ -49,66 +49,38 @@ class Codec:
         for token, rank in ranks.items():
             self._bytes[rank] = token
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = [self._encoding.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in pieces(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 and ids (array of int) of each text; the bytes are decoded from the ids."""
+    return _run(docs, id_col, text_col, path, True)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
 
-
-def pieces(text: str, size: int = PIECE) -> list[str]:
-    """The text cut at the first safe boundary after each size code points."""
-    if len(text) <= size:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        cut = _SAFE.search(text, start + size)
-        end = cut.start() if cut else len(text)
-        out.append(text[start:end])
-        start = end
-    return out
-
-
-def codec(path: str | None = None, pattern: str | None = None) -> Codec:
-    import public_tokenizers
-
-    path, pattern = path or rank_file(), pattern or public_tokenizers.PATTERN
-    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, ids (array of int) and the decoded bytes of each text."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in slices(batches, 1):
-            ids = [own.encode(t) for t in texts_of(batch.column(1))]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([own.decode(x) for x in ids], pa.binary())], names=["_id", "ids", "decoded"])
-
-    out = map_batches(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, ids array<int>, decoded binary")
-    return out.withColumnRenamed("_id", id_col)
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 of each text, from the ids and the bytes decoded from them."""
+    return _run(docs, id_col, text_col, path, False)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of each text, from the ids and bytes that encode gives."""
+def _run(docs: DataFrame, id_col: str, text_col: str, path: str | None, with_ids: bool) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in slices(batches, 1):
-            n, ids_hex, text_hex = [], [], []
+            n, ids_hex, text_hex, all_ids = [], [], [], [np.empty(0, np.uint32)]
             for text in texts_of(batch.column(1)):
                 ids = own.encode(text)
                 n.append(len(ids))
                 ids_hex.append(hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
                 text_hex.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    out = map_batches(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(ids)
+            columns = {"_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
+            if with_ids:
+                ends = pa.array(np.cumsum([0, *n]), pa.int32())
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(all_ids).astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    out = map_batches(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, schema)
     return out.withColumnRenamed("_id", id_col)
 
 

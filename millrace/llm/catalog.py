@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, language_id, reshard, token_counts
+from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, reshard, token_counts
+
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
 QUERIES = {
+    "pipeline": pipeline,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op1_language_id": language_id.op1_language_id,
     "op4_html_text": html_text.op4_html_text,
     "op7_token_counts": token_counts.op7_token_counts,
