@@ -49,8 +49,36 @@ class Codec:
         for token, rank in ranks.items():
             self._bytes[rank] = token
 
-    def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 and ids (array of int) of each text; the bytes are decoded from the ids."""
+    def encode(self, text: str) -> np.ndarray:
+        parts = [self._encoding.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in pieces(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
+
+
+def pieces(text: str, size: int = PIECE) -> list[str]:
+    """The text cut at the first safe boundary after each size code points."""
+    if len(text) <= size:
+        return [text]
+    out, start = [], 0
+    while start < len(text):
+        cut = _SAFE.search(text, start + size)
+        end = cut.start() if cut else len(text)
+        out.append(text[start:end])
+        start = end
+    return out
+
+
+def codec(path: str | None = None, pattern: str | None = None) -> Codec:
+    import public_tokenizers
+
+    path, pattern = path or rank_file(), pattern or public_tokenizers.PATTERN
+    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """digests, and the ids themselves as an array of int."""
     return _run(docs, id_col, text_col, path, True)
 
 
@@ -75,8 +103,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, path: str | None, with_ids
                     all_ids.append(ids)
             columns = {"_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
             if with_ids:
-                ends = pa.array(np.cumsum([0, *n]), pa.int32())
-                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(all_ids).astype(np.int32)))
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(all_ids).astype(np.int32)))
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
