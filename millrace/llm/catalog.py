@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, lm_score, reshard, token_counts
+from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, lm_score, pii, reshard, token_counts
 
 
 
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "pipeline": pipeline,
+    "op9_pii": pii.op9_pii,
     "op10_lm_score": lm_score.op10_lm_score,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op1_language_id": language_id.op1_language_id,
