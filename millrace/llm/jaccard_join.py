@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Growth of size classes; sets and shingles of a tile's block; rows up to which a side is broadcast.
-GROWTH, BLOCK_SETS, BLOCK_SHINGLES, SMALL = Fraction(3, 2), 256, 1 << 18, 200_000
+GROWTH, BLOCK_SETS, BLOCK_SHINGLES, SMALL = Fraction(3, 2), 1024, 1 << 19, 200_000
 
 
 class Classes:
@@ -178,7 +178,7 @@ def verify(rows: list[tuple], least: Fraction) -> tuple[list[int], list[int]]:
     weights = np.array([r[1] for r in rows], np.int64)
     arrays = [r[2] for r in rows]
     bits = 256
-    while bits < min(4 * int(sizes.max()), 16_384):
+    while bits < min(4 * int(sizes.max()), 16_384) and bits * len(rows) < 1 << 25:
         bits *= 2
     grid = np.zeros((len(rows), bits), bool)
     for k, a in enumerate(arrays):
@@ -193,7 +193,9 @@ def verify(rows: list[tuple], least: Fraction) -> tuple[list[int], list[int]]:
             k = root[k]
         return k
 
-    flat, ends = np.concatenate(arrays), np.cumsum(sizes)
+    # shingles by their rank in the tile: arrays stay sorted, and a mark tells whether a rank is in the array at hand
+    ranks, ends = np.unique(np.concatenate(arrays), return_inverse=True)[1], np.cumsum(sizes)
+    held = np.zeros(int(ranks.max()) + 1, bool)
     for i, a in enumerate(arrays):
         last = int(np.searchsorted(sizes, len(a) * den // num, side="right"))
         near = np.arange(i + 1, last)
@@ -207,9 +209,11 @@ def verify(rows: list[tuple], least: Fraction) -> tuple[list[int], list[int]]:
         if not len(near):
             continue
         n = sizes[near]
-        others = flat[np.repeat(ends[near] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        at = np.minimum(np.searchsorted(a, others), len(a) - 1)
-        shared = np.add.reduceat((a[at] == others).astype(np.int64), np.cumsum(n) - n)
+        others = ranks[np.repeat(ends[near] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        own = ranks[ends[i] - len(a) : ends[i]]
+        held[own] = True
+        shared = np.add.reduceat(held[others], np.cumsum(n) - n, dtype=np.int64)
+        held[own] = False
         for j in near[den * shared >= num * (n + len(a) - shared)].tolist():
             links[i] += weights[j]
             links[j] += weights[i]
