@@ -52,40 +52,46 @@ def hashes(text: Column, n: int = WORDS) -> Column:
 
 def sketches(items: DataFrame, n: int = WORDS, share: float = SHARE) -> DataFrame:
     """item, part (its size partition), size, hash: the bottom-k sketch of each item."""
-    sized = items.select("_item", hashes(F.col("_text"), n).alias("h")).withColumn("h", F.array_sort(F.array_distinct("h"))).withColumn("size", F.size("h")).filter("size > 0")
+    sized = items.select("_item", "_key", hashes(F.col("_text"), n).alias("h")).withColumn("h", F.array_sort(F.array_distinct("h"))).withColumn("size", F.size("h")).filter("size > 0")
     k = F.col("size") - F.ceil(F.col("size") * F.lit(share)) + 1
     part = F.floor(F.log2("size")).cast("int")
-    return sized.select("_item", part.alias("part"), "size", F.explode(F.slice("h", F.lit(1), k.cast("int"))).alias("hash"))
+    return sized.select("_item", "_key", part.alias("part"), "size", F.explode(F.slice("h", F.lit(1), k.cast("int"))).alias("hash"))
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
-    """(id, item, n_shared, n_item_shingles, containment) for each item of which a document holds the share."""
-    own = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+def _held(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n: int, share: float) -> DataFrame:
+    """(id, hash of the text, item, n_shared, n_item_shingles) of verified matches; a document row is its id and text."""
+    own = items.select(F.col(item_col).alias("_item"), F.xxhash64(F.col(item_text_col)).alias("_key"), F.col(item_text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text"))
     sketch = sketches(own, n, share)
     # one row for each power of two of item sizes: the largest sketch hash and the fewest shingles a match has
     parts = sketch.groupBy("part").agg(F.max("hash").alias("top"), F.min("size").alias("least")).collect()
     top = max((p["top"] for p in parts), default=-(2**63))
     least = min((p["least"] for p in parts), default=1) * share
     probes = (
-        rows.select("_id", hashes(F.col("_text"), n).alias("h"))
+        rows.select("_id", "_hash", hashes(F.col("_text"), n).alias("h"))
         .filter(F.size("h") >= F.lit(least))
-        .select("_id", F.explode_outer("h").alias("hash"))
+        .select("_id", "_hash", F.explode_outer("h").alias("hash"))
         .filter(F.col("hash") <= F.lit(top))
     )
-    pairs = probes.join(sketch, "hash").select("_id", "_item").distinct()
-    sets = own.select("_item", shingles(F.col("_text"), n).alias("_own"))
-    held = rows.join(pairs, "_id").withColumn("_set", shingles(F.col("_text"), n)).join(sets, "_item")
-    shared = held.select("_id", "_item", F.size(F.array_intersect("_set", "_own")).cast("long").alias("n_shared"), F.size("_own").cast("long").alias("n_item_shingles"))
-    best = shared.groupBy("_id", "_item", "n_item_shingles").agg(F.max("n_shared").alias("n_shared"))
-    return best.filter(F.col("n_shared") >= F.ceil(F.col("n_item_shingles") * F.lit(share))).select(
-        F.col("_id").alias(id_col), F.col("_item").alias(item_col), "n_shared", "n_item_shingles", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment")
-    )
+    pairs = probes.join(sketch, "hash").select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_item", "_key").distinct()
+    sets = own.select(F.col("_item").alias("_item2"), F.col("_key").alias("_key2"), shingles(F.col("_text"), n).alias("_own")).dropDuplicates(["_item2", "_key2"])
+    held = rows.join(pairs, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).withColumn("_set", shingles(F.col("_text"), n))
+    held = held.join(sets, F.col("_item").eqNullSafe(F.col("_item2")) & (F.col("_key") == F.col("_key2")))
+    shared = held.select("_id", "_hash", "_item", F.size(F.array_intersect("_set", "_own")).cast("long").alias("n_shared"), F.size("_own").cast("long").alias("n_item_shingles"))
+    return shared.filter(F.col("n_shared") >= F.ceil(F.col("n_item_shingles") * F.lit(share)))
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
+    """(id, item, n_shared, n_item_shingles, containment) for each item of which a document holds the share."""
+    held = _held(docs, items, id_col, text_col, item_col, item_text_col, n, share)
+    best = held.groupBy("_id", "_item").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item_shingles")).alias("c"), "n_shared", "n_item_shingles")).alias("b"))
+    return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "b.n_shared", "b.n_item_shingles", F.col("b.c").alias("containment"))
 
 
-def keep(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents that hold no item."""
-    return docs.join(find(docs, items, id_col, **kw).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+def keep(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    gone = _held(docs, items, id_col, text_col, item_col, item_text_col, n, share).select("_id", "_hash").distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir):

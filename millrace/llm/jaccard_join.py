@@ -3,9 +3,12 @@
 1. Candidates. Sets of similar size meet in size classes. Two sets that reach
    the threshold differ in at most d of their shingles, d following from the
    largest size of the class; dealt into more than d parts by a hash, at least
-   one part is the same in both, and so is its signature. Signatures are packed
-   into a few blocks for each batch and bucket; equal signatures link their
-   sets, and the components of these links are the tiles' raw material.
+   one part is the same in both, and so is its signature. Shingles that very
+   many texts share, a common passage's, are left out of the parts, as they
+   would link all of these texts; a set with too few others deals all of its
+   shingles besides. Signatures are packed into a few blocks for each batch and
+   bucket; equal signatures link their sets, and the components of these links
+   are the tiles' raw material.
 2. Tiles. A component's sets are banded by size and dealt into tiles of bounded
    size; a tile pairs two blocks of one band or of neighbouring bands. In a
    tile every set is a hashed bitmap; the bits in which two bitmaps differ
@@ -46,6 +49,10 @@ from pyspark.sql import functions as F
 GROWTH, BLOCK_SETS, BLOCK_SHINGLES, SMALL = Fraction(3, 2), 1024, 1 << 19, 200_000
 
 
+#: Bits of the table of common shingles, and how far above the mean a cell is common.
+CELL_BITS, COMMON = 22, 8
+
+
 class Classes:
     """Size classes, and how many parts a set is dealt into for each."""
 
@@ -81,31 +88,87 @@ class Classes:
             step += 1
 
 
-def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Signature of each part, and the index of its set."""
+def signatures(sets: list[np.ndarray], classes: Classes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signature of each part, and the index of its set.
+
+    Two linked sets have at least parts - differ parts in common. A set with
+    fewer empty parts than that has a full one among them, and full parts always
+    have signatures. Any other set tells all its shingles too, and of these the
+    empty parts as well if they are as many again. common: marks of cells whose
+    shingles are left out at first; any table gives the same links.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = np.cumsum(sizes)
     flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-    dealt, value = W.mix(flat ^ W.salt(11)) >> np.uint64(20), W.mix(flat ^ W.salt(12))
-    keys, owners = [], []
+    rare = ~common[cells_of(flat)]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for which, kind in classes.deals(sizes):
-        n = sizes[which]
-        at = np.repeat(ends[which] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        parts = classes.parts[kind]
-        base = np.cumsum(parts) - parts
-        cell = np.repeat(base, n) + (dealt[at] % np.repeat(parts, n).astype(np.uint64)).astype(np.int64)
-        total = int(parts.sum())
-        filled = np.bincount(cell, minlength=total)
-        low = np.bincount(cell, (value[at] & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
-        high = np.bincount(cell, (value[at] >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
-        owner = np.repeat(np.arange(len(which)), parts)
-        place = np.arange(total) - base[owner]
-        key = W.mix(W.mix(low + (high << np.uint64(32)) + filled.astype(np.uint64) * W.salt(13)) + place.astype(np.uint64) * W.salt(14) + kind[owner].astype(np.uint64) * W.salt(15))
-        hollow = np.bincount(owner, filled == 0, len(which))
-        told = (filled > 0) | (hollow >= parts - classes.differ[kind])[owner]
-        keys.append(key[told])
-        owners.append(which[owner[told]])
-    return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *owners])
+        lacking = _deal(flat, sizes, ends, which, kind, classes, rare, 0, False, keys, owners)
+        if lacking.any():
+            _deal(flat, sizes, ends, which[lacking], kind[lacking], classes, None, 1, True, keys, owners)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _deal(flat, sizes, ends, which, kind, classes, chosen, round_, tell_empty, keys, owners) -> np.ndarray:
+    """Add the signatures of the sets' parts; gives which sets have too many empty parts."""
+    n = sizes[which]
+    at = np.repeat(ends[which] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    parts = classes.parts[kind]
+    base = np.cumsum(parts) - parts
+    first, many = np.repeat(base, n), np.repeat(parts, n).astype(np.uint64)
+    if chosen is not None:
+        keep = chosen[at]
+        at, first, many = at[keep], first[keep], many[keep]
+    shingles = flat[at]
+    cell = first + ((W.mix(shingles ^ W.salt(11 + 20 * round_)) >> np.uint64(20)) % many).astype(np.int64)
+    value = W.mix(shingles ^ W.salt(12))
+    total = int(parts.sum())
+    filled = np.bincount(cell, minlength=total)
+    low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+    high = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
+    owner = np.repeat(np.arange(len(which)), parts)
+    place = np.arange(total) - base[owner]
+    key = W.mix(low + (high << np.uint64(32)) + filled.astype(np.uint64) * W.salt(13))
+    key = W.mix(key + place.astype(np.uint64) * W.salt(14) + kind[owner].astype(np.uint64) * W.salt(15) + np.array([round_], np.uint64) * W.salt(17))
+    lacking = np.bincount(owner, filled == 0, len(which)) >= parts - classes.differ[kind]
+    told = filled > 0
+    if tell_empty:
+        told |= lacking[owner]
+    keys.append(key[told])
+    owners.append(which[owner[told]])
+    return lacking
+
+
+def cells_of(shingles: np.ndarray) -> np.ndarray:
+    """The cell of each shingle in the table of common ones."""
+    return (W.mix(shingles ^ W.salt(18)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def common_cells(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """Marks of the cells that hold COMMON times the mean of all texts' shingles or more.
+
+    Every task counts its cells and sends those above its own mean; at most
+    2**CELL_BITS / COMMON cells come to the driver, whatever the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total = np.zeros(1 << CELL_BITS, np.int64), 0
+        for batch in slices(batches, 0):
+            shingles = np.concatenate([np.zeros(0, np.uint64), *_sets(batch.column(0), n)])
+            total += len(shingles)
+            table += np.bincount(cells_of(shingles), minlength=len(table))
+        high = np.flatnonzero(table >= 2 + COMMON / 2 * total / len(table))
+        for k in range(0, len(high), 100_000):
+            part = high[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64())], names=["cell", "n"])
+
+    sums = cut(map_batches(docs.select(docs[text_col].alias("_text")), count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    total = next((r["n"] for r in sums.filter("cell = -1").collect()), 0)
+    high = sums.filter((F.col("cell") >= 0) & (F.col("n") >= F.lit(4 * COMMON + COMMON * total / (1 << CELL_BITS)))).select("cell").toPandas()
+    marks = np.zeros(1 << CELL_BITS, bool)
+    marks[high["cell"].to_numpy(np.int64)] = True
+    return marks
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -131,13 +194,15 @@ def _linked(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def candidates(docs: DataFrame, text_col: str, n: int, classes: Classes) -> DataFrame:
     """(a, b): 64-bit names of sets that share a part."""
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(common_cells(docs, text_col, n)))  # 2**CELL_BITS bits
     buckets = max(32, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(marks.value).astype(bool)
         for batch in slices(batches, 0):
             own = {digest(s): s for s in _sets(batch.column(0), n) if len(s)}
             names = np.array([int.from_bytes(d[:8], "big", signed=True) for d in own], np.int64)
-            keys, owners = signatures(list(own.values()), classes)
+            keys, owners = signatures(list(own.values()), classes, common)
             heads, order, pairs = _linked(keys, names[owners])
             keys, ids = keys[order][heads], names[owners][order][heads]
             at = (keys >> np.uint64(40)).astype(np.int64) * buckets >> 24  # keys are sorted, so buckets are too

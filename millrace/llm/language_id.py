@@ -85,9 +85,12 @@ class Parser:
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             codes = squeeze(self.symbol[points], np.zeros(len(points), bool))[0][:SYMBOLS]
             moves = np.array(Automaton(codes.tolist(), width).next, np.int64)
-            base = sum(len(t) for t in tables)
-            fresh = np.where(moves[0] > 0, (moves[0] + base) * width, base * width) * 2 + 1  # the phrase ends, the next begins here
-            tables.append(np.where(moves > 0, (moves + base) * width * 2, fresh[None, :]))
+            moves = np.vstack([moves, np.zeros((1, width), np.int64)])  # the last state follows a symbol that the text lacks
+            base, stray = sum(len(t) for t in tables), len(moves) - 1
+            fresh = np.where(moves[0] > 0, moves[0], stray)  # a phrase ends, the next begins here
+            own = np.where(moves > 0, (moves + base) * width * 2, (fresh + base) * width * 2 + 1)
+            own[0] = (fresh + base) * width * 2  # the first phrase ends none
+            tables.append(own)
             self.roots.append(base * width)
             self.weights.append(np.log2(max(len(codes), 2)))
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)

@@ -193,10 +193,12 @@ def rewrite(docs: DataFrame, path: str, n_new: int = 24, n_old: int = 16, id_col
     """
     block, sub, cells = _cells(docs, n_old, text_col, id_col, old)
     plan = Plan(cells, n_old, weights or [1.0] * n_new)
-    where = F.broadcast(docs.sparkSession.createDataFrame([r for r in plan.rows if r[2] in plan.affected], "block int, sub int, shard int, start long"))
-    rows = docs.withColumn("block", block).withColumn("_id", F.col(id_col)).withColumn("sub", sub)
-    kept = rows.join(where, ["block", "sub"]).drop("block", "sub", "start", "_id")
-    kept.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    to = [r[:3] for r in plan.rows if r[2] in plan.affected]
+    where = F.broadcast(docs.sparkSession.createDataFrame(to, "block int, sub int, shard int"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
+    rows = docs.select(whole, block.alias("block"), F.col(id_col).alias("_id")).withColumn("sub", sub)
+    kept = rows.join(where, ["block", "sub"]).select("shard", "_row.*", F.pmod(F.xxhash64("_id"), F.lit(8)).alias("_deal"))
+    kept.repartition("shard", "_deal").drop("_deal").write.mode("overwrite").partitionBy("shard").parquet(path)
     return plan
 
 
