@@ -10,12 +10,13 @@
    bucket; equal signatures link their sets, and the components of these links
    are the tiles' raw material.
 2. Tiles. A component's sets are banded by size and dealt into tiles of bounded
-   size; a tile pairs two blocks of one band or of neighbouring bands. In a
-   tile every set is a hashed bitmap; the bits in which two bitmaps differ
-   bound the overlap from above, and only pairs that can still reach the
-   threshold are verified by intersecting their sorted arrays. Each pair is
-   looked at in one tile.
-3. Components of the verified links are the result.
+   size; a tile pairs two blocks of one band or of neighbouring bands, and each
+   pair meets in one tile. Every set is a hashed bitmap of about a bit for each
+   shingle; the bits in which two bitmaps differ bound the overlap from above.
+   Pairs that can still reach the threshold make up finer components.
+3. Tiles of these components hold the sorted arrays. Pairs that pass wider
+   bitmaps are verified by intersecting their arrays. Components of the verified
+   links are the result.
 
 Nothing is dropped or capped: a part that is empty has a signature too where a
 set has so many that its full parts need not suffice. Copies count once with
@@ -49,6 +50,8 @@ from pyspark.sql import functions as F
 GROWTH, BLOCK_SETS, BLOCK_SHINGLES, SMALL = Fraction(3, 2), 1024, 1 << 19, 200_000
 
 
+#: Sets and shingles of a block in tiles of bitmaps.
+MAP_SETS, MAP_SHINGLES = 2048, 1 << 24
 #: Bits of the table of common shingles, and how far above the mean a cell is common.
 CELL_BITS, COMMON = 22, 8
 
@@ -287,20 +290,62 @@ def verify(rows: list[tuple], least: Fraction) -> tuple[list[int], list[int]]:
     return links.tolist(), [top(k) for k in range(len(rows))]
 
 
-def _tiles(sets: DataFrame) -> DataFrame:
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each cell that a shingle falls in; the number of cells is a power of two, 256 or more, not below the set's size."""
+    cells = 1 << max(8, (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    bits = np.zeros(cells, bool)
+    bits[(W.mix(shingles ^ W.salt(19)) & np.uint64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def sift(rows: list[tuple], least: Fraction) -> list[int]:
+    """The first row of each row's group, for the pairs of a tile whose bitmaps allow a link.
+
+    rows: (side, size, bitmap) in order of size, sides as in verify.
+    """
+    num, den = least.numerator, least.denominator
+    sizes = np.array([r[1] for r in rows], np.int64)
+    sides = np.array([r[0] for r in rows])
+    label = np.arange(len(rows))
+    # bitmaps by their own number of cells and, folded, by every smaller number in the tile
+    widths = np.array([len(r[2]) for r in rows])
+    maps: dict[int, np.ndarray] = {}
+    for width in sorted(set(widths.tolist()), reverse=True):
+        maps[width] = np.zeros((len(rows), width // 8), np.uint64)
+        for wider in sorted(w for w in set(widths.tolist()) if w >= width):
+            at = np.flatnonzero(widths == wider)
+            raw = np.frombuffer(b"".join(rows[k][2] for k in at), np.uint8).reshape(len(at), wider // width, width)
+            maps[width][at] = np.ascontiguousarray(np.bitwise_or.reduce(raw, 1)).view(np.uint64)
+    for i in range(len(rows)):
+        near = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * den // num, side="right")))
+        if sides[i]:
+            near = near[sides[near] != sides[i]]
+        if not len(near):
+            continue
+        own = maps[int(widths[i])]
+        apart = np.bitwise_count(own[near] ^ own[i]).sum(1, dtype=np.int64)
+        both = sizes[near] + sizes[i]
+        joined = np.unique(label[near[((both - apart) // 2) * (den + num) >= num * both]])
+        if len(joined):
+            joined = np.append(joined, label[i])
+            label[np.isin(label, joined)] = joined.min()
+    return label.tolist()
+
+
+def _tiles(sets: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
     """(set, part, tile, side): the tiles that each set of a candidate component goes to.
 
     sets: set, part (its component), band, n. A component that fits in a block
     is one tile; others are tiled by band and hash.
     """
     bands = sets.groupBy("part", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-    here = F.greatest(F.ceil(F.col("c") / F.lit(BLOCK_SETS)), F.ceil(F.col("s") / F.lit(BLOCK_SHINGLES))).cast("int")
+    here = F.greatest(F.ceil(F.col("c") / F.lit(block_sets)), F.ceil(F.col("s") / F.lit(block_shingles))).cast("int")
     w = "over (partition by part order by band)"
     bands = bands.withColumn("k", here).selectExpr(
         "part", "band", "k",
         f"case when lead(band) {w} = band + 1 then lead(k) {w} else 0 end as up",
         f"case when lag(band) {w} = band - 1 then lag(k) {w} else 0 end as down",
-        f"sum(c) over (partition by part) <= {BLOCK_SETS} and sum(s) over (partition by part) <= {BLOCK_SHINGLES} as whole",
+        f"sum(c) over (partition by part) <= {block_sets} and sum(s) over (partition by part) <= {block_shingles} as whole",
     )
     placed = sets.join(bands, ["part", "band"]).withColumn("i", F.expr("case when whole then 0 else pmod(xxhash64(set), k) end"))
     key = lambda b, i, c, j: f"concat_ws(':', part, {b}, {i}, {c}, {j})"
@@ -320,17 +365,37 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def _names(docs: DataFrame, id_col: str, text_col: str, n: int, classes: Classes) -> DataFrame:
-    """(id, text hash, set, n, band) of every row."""
+    """(id, text hash, set, n, band, bitmap) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             sets = _sets(batch.column(2), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.binary()), pa.array(sizes), pa.array(classes.band(sizes).astype(np.int32))], names=["_id", "_hash", "set", "n", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.binary()), pa.array(sizes), pa.array(classes.band(sizes).astype(np.int32)), pa.array([bitmap(s) for s in sets], pa.binary())], names=["_id", "_hash", "set", "n", "band", "bitmap"])
 
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"), docs[text_col].alias("_text"))
-    return map_batches(rows, run, f"_id {kind}, _hash long, set binary, n long, band int")
+    return map_batches(rows, run, f"_id {kind}, _hash long, set binary, n long, band int, bitmap binary")
+
+
+def _tile_by_tile(dealt: DataFrame, columns: list[str], judge, schema: str) -> DataFrame:
+    """judge(rows of one tile) for every tile; rows are (side, set, *columns), each (set, side) once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        tile = None
+        for batch in batches:
+            for at, side, name, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != tile and held:
+                    yield judge([(side_, name_, *r) for (name_, side_), r in held.items()])
+                    held.clear()
+                tile = at
+                held[name, side] = tuple(rest)
+        if held:
+            yield judge([(side_, name_, *r) for (name_, side_), r in held.items()])
+
+    dealt = dealt.select("tile", "side", "set", *columns)
+    return map_batches(dealt.repartition("tile").sortWithinPartitions("tile"), run, schema)
 
 
 def _judge(docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction) -> tuple[DataFrame, DataFrame]:
@@ -339,9 +404,18 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction)
     groups = components(candidates(docs, text_col, n, classes)).select(F.col("node"), F.col("label").alias("part"))
     rows = cut(_names(docs, id_col, text_col, n, classes))
     first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")
-    sets = cut(rows.filter("n > 0").groupBy("set", "n", "band").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("first")))
+    sets = cut(rows.filter("n > 0").groupBy("set", "n", "band").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("first"), F.min("bitmap").alias("bitmap")))
     name = F.conv(F.substring(F.hex("set"), 1, 16), 16, -10).cast("long")
-    chosen = cut(sets.withColumn("node", name).join(groups, "node").select("set", "n", "band", "weight", "part", "first._id", "first._hash"))
+    near = cut(sets.withColumn("node", name).join(groups, "node").select("set", "n", "band", "part", "bitmap"))
+
+    def sieve(tile: list[tuple]) -> pa.RecordBatch:
+        tile = sorted(tile, key=lambda r: (r[2], r[1]))
+        roots = sift([(side, size, cells) for side, _, size, cells in tile], least)
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in tile], pa.binary()), pa.array([tile[k][1] for k in roots], pa.binary())], names=["a", "b"])
+
+    maps = near.select("set", "n", "bitmap").join(_tiles(near, MAP_SETS, MAP_SHINGLES), "set")
+    sieved = components(_tile_by_tile(maps, ["n", "bitmap"], sieve, "a binary, b binary")).select(F.col("node").alias("set"), F.hex("label").alias("part"))
+    chosen = cut(sets.join(sieved, "set").select("set", "n", "band", "weight", "part", "first._id", "first._hash"))
     own = docs.select(docs[id_col].alias("_id2"), F.xxhash64(docs[text_col]).alias("_hash2"), docs[text_col].alias("_text"))
     texts = own.join(small(chosen.select("_id", "_hash", "set", "weight")), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("set", "weight", "_text")
 
@@ -351,28 +425,13 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction)
             same = pa.array([digest(s) == d for s, d in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "weight", "shingles"]).filter(same)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}
-        tile = None
-
-        def done() -> pa.RecordBatch:
-            rows = sorted(((side, weight, np.frombuffer(blob, np.uint64), name) for (name, side), (weight, blob) in held.items()), key=lambda r: (len(r[2]), r[3]))
-            links, roots = verify([r[:3] for r in rows], least)
-            return pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.binary()), pa.array(links, pa.int64()), pa.array([rows[k][3] for k in roots], pa.binary())], names=["set", "links", "root"])
-
-        for batch in batches:
-            for at, side, name, weight, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != tile and held:
-                    yield done()
-                    held.clear()
-                tile = at
-                held[name, side] = weight, blob
-        if held:
-            yield done()
+    def judge(tile: list[tuple]) -> pa.RecordBatch:
+        tile = sorted(tile, key=lambda r: (len(r[3]), r[1]))
+        links, roots = verify([(side, weight, np.frombuffer(blob, np.uint64)) for side, _, weight, blob in tile], least)
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in tile], pa.binary()), pa.array(links, pa.int64()), pa.array([tile[k][1] for k in roots], pa.binary())], names=["set", "links", "root"])
 
     loaded = map_batches(texts, load, "set binary, weight long, shingles binary")
-    dealt = loaded.join(_tiles(chosen), "set").select("tile", "side", "set", "weight", "shingles")
-    judged = cut(map_batches(dealt.repartition("tile").sortWithinPartitions("tile"), judge, "set binary, links long, root binary"))
+    judged = cut(_tile_by_tile(loaded.join(_tiles(chosen, BLOCK_SETS, BLOCK_SHINGLES), "set"), ["weight", "shingles"], judge, "set binary, links long, root binary"))
     labels = components(judged.select(F.col("set").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set"), "label")
     links = judged.groupBy("set").agg(F.sum("links").alias("links"))
     known = sets.select("set", "weight", "first").join(links, "set", "left").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))

@@ -44,6 +44,7 @@ def test_all_links_are_found(spark, n, least, seed):
 def test_tiles(spark, monkeypatch):
     """The same result when components spread over many tiles."""
     monkeypatch.setattr(J, "BLOCK_SETS", 4)
+    monkeypatch.setattr(J, "MAP_SETS", 5)
     check(spark, texts(5, 120), 3, Fraction(4, 5))
 
 
@@ -74,6 +75,19 @@ def test_signatures_lose_no_pair(marks):
                 assert set(keys[owners == 0]) & set(keys[owners == 1])
 
 
+def test_sift_keeps_every_link():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+    arrays = sorted((np.unique(np.concatenate([base[: rng.integers(200, 900)], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(50)), key=len)
+    roots = J.sift([(0, len(a), J.bitmap(a)) for a in arrays], Fraction(9, 10))
+    for i, a in enumerate(arrays):
+        for j, b in enumerate(arrays):
+            if 10 * len(np.intersect1d(a, b)) >= 9 * len(np.union1d(a, b)):
+                assert roots[i] == roots[j]
+    strangers = sorted((np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)), key=len)
+    assert J.sift([(0, len(a), J.bitmap(a)) for a in strangers], Fraction(4, 5)) == list(range(30))
+
+
 def test_verify_is_exact():
     rng = np.random.default_rng(1)
     arrays = sorted((np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(60)), key=len)
