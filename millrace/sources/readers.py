@@ -48,9 +48,12 @@ def sorted_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)])
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """CSV with a header; quoted line ends; the usual spellings of a missing value are null."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV with a header; the usual spellings of a missing value are null.
+
+    multi_line: whether quoted values may hold line ends; without, Spark splits large files among tasks.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     known = raw.select(*[F.when(~F.col(f"`{c}`").isin(NA), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return typed(known) if infer else known
 

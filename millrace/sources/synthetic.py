@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 FIRST = "Ada Ben Cleo Dan Eva Finn Gwen Hugo Iris Jack Kara Liam Mona Nils Olga Paul".split()
 LAST = "Abbot Baker Carter Dyer Eaton Fisher Gray Hunter Irwin Joyner Keller Lane Mason Nash Otis Potter".split()
 CITIES = ["Ashford", "Brightwater", "Cedar Falls", "Dunmore", "Eastgate", "Fairview", "Glenwood", "Harborne"]
-STATES = "CA TX FL NY PA IL OH GA NC MI NJ VA".split()
-INDUSTRIES = "Technology Finance Healthcare Retail Manufacturing Education Hospitality Transportation Energy Telecommunications".split()
-STATUSES = "active inactive suspended pending".split()
+STATES = "WA OR NV UT CO KS MO TN KY VT".split()
+INDUSTRIES = "Mining Farming Shipping Banking Printing Weaving Brewing Teaching".split()
+STATUSES = "open closed paused new".split()
 
 
 def customers(spark: SparkSession, rows: int, seed: int = 42, dirty: float = 0.2, repeated: float = 0.05, nested: bool = False) -> DataFrame:
