@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from millrace.runtime import cut
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,18 +15,23 @@ def components(edges: DataFrame) -> DataFrame:
     Every round connects each node's neighbours to the smallest of them, first
     the larger neighbours, then the smaller ones, and cuts the lineage. Rounds
     grow with the logarithm of a component's width; no node's neighbours are
-    collected.
+    collected. Links are checkpointed in as many files as there are cores, and
+    what a round leaves behind is let go before the next.
     """
-    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sc = edges.sparkSession.sparkContext
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(sc.defaultParallelism))
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
-        links = cut(small.filter("a <> b").distinct())
+        links = cut(small.filter("a <> b").distinct().coalesce(sc.defaultParallelism))
         after = _state(links)
+        del both, low, large, least, small
+        gc.collect()
+        sc._jvm.System.gc()  # Spark deletes shuffle files and checkpoints once nothing refers to them
         if after == before:
             break
         before = after
