@@ -3,15 +3,19 @@
 A target model is counted on the documents chosen as target (here: labelled of
 good quality), a background model on all documents. Both are bigram models with
 Dirichlet smoothing towards their unigrams over one shared vocabulary, the
-hash buckets of words and word pairs; the background counts are scaled to the
-target's number of tokens, so that the two are matched in size as well. A
-document's score is the mean over its tokens of the target loss less the
-background loss, in nats: the lower, the more it reads like the target.
-
-Counts cover every token of every document: each task counts into tables of
-fixed size and sends their filled cells, slabs of the tables are summed side by
-side and in two steps, so that no task reads what all tasks sent, and the summed tables, 2 * (2**WORD_BITS + 2**PAIR_BITS) numbers whatever
-the input, are broadcast for scoring.
+distinct words of all documents, or 2**WORD_BITS words while they are fewer;
+the background counts are scaled to the target's number of tokens, so that the
+two are matched in size as well. A document's score is the mean over its tokens
+of the target loss less the background loss, in nats: the lower, the more it
+reads like the target.
+
+Every distinct word and pair has a count of its own, under its 64-bit hash.
+Documents are dealt into blocks of about BLOCK bytes by a hash of the row. A
+block sends each of its distinct n-grams once to the slab of hashes that the
+n-gram belongs to, however often it occurs, so that a common n-gram weighs no
+more than a rare one; a slab sums them and answers each block in the order in
+which the block asked. Blocks and slabs grow in number with the input, and
+nothing but the number of bytes reaches the driver.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case.
 Defined cases: a null or wordless text has 0 tokens and null losses; without
@@ -22,122 +26,140 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
 from millrace.llm import words as W
-from millrace.llm.arrow import map_batches, slices
 from millrace.llm.jaccard_join import small
+from millrace.runtime import share_code
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sizes of the tables in bits, slabs that they are summed in, tables summed at once, and the weights of the unigrams and of each cell.
-WORD_BITS, PAIR_BITS, SLABS, FAN, MU, ALPHA = 18, 20, 80, 64, 32.0, 0.5
+#: Bits of the least vocabulary, bytes of text in a block, least blocks and slabs, blocks for each slab beyond these, and the weights of the unigrams and of each word.
+WORD_BITS, BLOCK, LEAST, FAN, MU, ALPHA = 18, 8_000_000, 64, 4, 32.0, 0.5
 
 
-def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cell of each word, of the word before it and of the pair; where texts begin.
+def keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of the texts, sorted; which of them each word and each pair is; where texts begin.
 
-    Word cells come first, pair cells behind them. A text's first word follows
-    the mark of a beginning, which has a cell like any word.
+    Words have odd keys and pairs even ones. A text's first word follows the
+    mark of a beginning, which is no word.
     """
-    words, begins = W.hashes(column, W.signs())
+    words, begins = W.hashes(pa.concat_arrays(column.chunks), W.signs())
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    heads = begins[:-1][begins[:-1] < begins[1:]]
-    before[heads] = W.salt(77)
-    bits = np.uint64(WORD_BITS), np.uint64(PAIR_BITS)
-    own = (words >> np.uint64(64) - bits[0]).astype(np.int64)
-    last = (before >> np.uint64(64) - bits[0]).astype(np.int64)
-    pair = (W.mix(words * W.salt(21) + before * W.salt(22)) >> np.uint64(64) - bits[1]).astype(np.int64) + (1 << WORD_BITS)
-    return own, last, pair, begins
+    before[begins[:-1][begins[:-1] < begins[1:]]] = W.salt(77)
+    pair = W.mix(words * W.salt(21) + before * W.salt(22))
+    found, which = np.unique(np.concatenate([words | np.uint64(1), pair & ~np.uint64(1)]), return_inverse=True)
+    return found, which[: len(words)], which[len(words) :], begins
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all low bytes first, which compresses well."""
+    return b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+
+
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
+
+
+def dealt(docs: DataFrame, target: str, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The rows by block, and the number of slabs."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = max(LEAST, size // BLOCK + 1)
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
+    return docs.select(block.alias("block"), F.col(target).alias("_target"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), max(LEAST, blocks // FAN)
+
+
+def asked(rows: DataFrame, slabs: int) -> DataFrame:
+    """block, slab, cells: the n-grams of the block in the slab, sorted, with their target counts and counts; for every block and slab."""
+    share_code(rows.sparkSession)
+    bounds = np.array([-(-(k << 64) // slabs) for k in range(1, slabs)], np.uint64)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        found, own, pair, begins = keys(rows.column("_text"))
+        hit = np.tile(np.repeat(np.array(rows.column("_target").to_pylist(), bool), np.diff(begins)), 2)
+        which = np.concatenate([own, pair])
+        n, chosen = np.bincount(which, minlength=len(found)), np.bincount(which[hit], minlength=len(found))
+        cuts = [0, *np.searchsorted(found, bounds).tolist(), len(found)]
+        blobs = [packed(found[a:b], chosen[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py()] * slabs, pa.int32()), "slab": pa.array(range(slabs), pa.int32()), "cells": pa.array(blobs, pa.binary())})
 
+    return rows.groupBy("block").applyInArrow(ask, "block int, slab int, cells binary")
 
-SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS)
-SLAB = SIZE // SLABS
+
+def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of what blocks ask, which of them each one asked is, and the sums of the counts."""
+    found, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    chosen, n = (np.bincount(which, np.concatenate([p[k] for p in parts]), len(found)).astype(np.int64) for k in (1, 2))
+    return found, which, chosen, n
+
+
+def summed(rows: DataFrame, slabs: int) -> DataFrame:
+    """block, slab, cells: what all rows hold of the n-grams of the block in the slab, for every block and slab.
+
+    cells: target tokens, tokens and distinct words of the whole slab, then the
+    target counts and the counts of the n-grams in the order asked.
+    """
+
+    def answer(rows: pa.Table) -> pa.Table:
+        parts = [unpacked(blob.as_py(), 3) for blob in rows.column("cells")]
+        found, which, chosen, n = merged(parts)
+        word = found % np.uint64(2) == 1
+        head = packed(np.array([chosen[word].sum(), n[word].sum(), word.sum()]))
+        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+        blobs = [head + packed(chosen[own], n[own]) for own in np.split(which, ends)]
+        return pa.table({"block": rows.column("block"), "slab": rows.column("slab"), "cells": pa.array(blobs, pa.binary())})
+
+    return asked(rows, slabs).groupBy("slab").applyInArrow(answer, "block int, slab int, cells binary")
+
+
+def gathered(totals: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Target tokens, tokens and distinct words of all rows; target counts and counts of a block's n-grams."""
+    blobs = [blob.as_py() for blob in totals.sort_by("slab").column("cells")]
+    head = sum(unpacked(blob[:24], 1)[0] for blob in blobs)
+    return head, np.concatenate([np.stack(unpacked(blob[24:], 2)) for blob in blobs], 1).astype(np.float64)
 
 
 def counts(docs: DataFrame, target: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token and pair counts of the target rows and of all rows, by cell."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, everything = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
-        for batch in slices(batches, 1):
-            own, _, pair, begins = cells(batch.column(1))
-            both = np.stack([own, pair])
-            everything += np.bincount(both.ravel(), minlength=SIZE)
-            hit = np.repeat(np.array(batch.column(0).to_pylist(), bool), np.diff(begins))
-            chosen += np.bincount(both[:, hit].ravel(), minlength=SIZE)
-        for slab in range(SLABS):
-            part = slice(slab * SLAB, (slab + 1) * SLAB)
-            filled = np.flatnonzero(everything[part])
-            if len(filled):
-                blob = filled.astype(np.uint32).tobytes() + chosen[part][filled].tobytes() + everything[part][filled].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([blob], pa.binary())], names=["slab", "cells"])
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab, table in sums_of(batches).items():
-            filled = np.flatnonzero(table[1])
-            blob = filled.astype(np.uint32).tobytes() + table[:, filled].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([blob], pa.binary())], names=["slab", "cells"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = sums_of(batches)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([t.tobytes() for t in sums.values()], pa.binary())], names=["slab", "cells"])
-
-    parts = map_batches(docs.select(target, text_col), count, "slab int, cells binary").withColumn("group", F.expr(f"spark_partition_id() div {FAN}"))
-    parts = map_batches(parts.repartition(F.col("slab"), F.col("group")).select("slab", "cells"), some, "slab int, cells binary")
-    tables = np.zeros((2, SIZE), np.int64)
-    for row in map_batches(parts.repartition(SLABS, "slab"), total, "slab int, cells binary").collect():
-        tables[:, row["slab"] * SLAB : (row["slab"] + 1) * SLAB] = np.frombuffer(row["cells"], np.int64).reshape(2, SLAB)
-    return tables[0], tables[1]
-
-
-def sums_of(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-    """The summed table of each slab."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for slab, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n = len(blob) // 20
-            table = sums.setdefault(slab, np.zeros((2, SLAB), np.int64))
-            table[:, np.frombuffer(blob, np.uint32, n)] += np.frombuffer(blob[4 * n :], np.int64).reshape(2, n)
-    return sums
-
-
-def losses(table: np.ndarray, own: np.ndarray, last: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Loss of each token under the model whose counts the table holds."""
-    words = 1 << WORD_BITS
-    single = (table[own] + ALPHA) / (table[:words].sum(dtype=np.float64) + ALPHA * words)
-    return -np.log((table[pair] + MU * single) / (table[last] + MU))
+    """Counts of the target rows and of all rows, to look at a small corpus: of words, with zeros up to the vocabulary's size, then of pairs."""
+    parts = [unpacked(r["cells"], 3) for r in asked(*dealt(docs, target, text_col, text_col)).collect()]
+    found, _, *both = merged(parts)
+    word = found % np.uint64(2) == 1
+    spare = np.zeros(max(0, (1 << WORD_BITS) - int(word.sum())), np.int64)
+    return tuple(np.concatenate([n[word], spare, n[~word]]) for n in both)
+
+
+def losses(table: np.ndarray, own: np.ndarray, pair: np.ndarray, first: np.ndarray, tokens: float, size: int) -> np.ndarray:
+    """Loss of each token under the model whose counts the table holds. first: tokens that begin a text; size: of the vocabulary."""
+    single = (table[own] + ALPHA) / (tokens + ALPHA * size)
+    last = np.zeros(len(own))
+    last[1:] = table[own[:-1]]
+    last[first] = 0
+    return -np.log((table[pair] + MU * single) / (last + MU))
 
 
 def score(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, target_loss, background_loss, score of every row. chosen: the ids of the target documents."""
-    spark = docs.sparkSession
     ids = small(chosen.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct())
-    flagged = docs.select(docs[id_col].alias("_own"), docs[text_col].alias("_text")).join(ids, F.col("_own") == F.col("_id"), "left").select(F.col("_id").isNotNull().alias("_target"), "_text")
-    target, everything = counts(flagged, "_target", "_text")
-    words = 1 << WORD_BITS
-    tokens, all_tokens = int(target[:words].sum()), int(everything[:words].sum())
-    matched = everything * (tokens / max(all_tokens, 1))
-    models = spark.sparkContext.broadcast((target.astype(np.float32), matched.astype(np.float32)))  # SIZE numbers each
+    texts = docs.select(docs[id_col].alias("_own"), docs[text_col].alias("_text"))
+    flagged = texts.join(ids, F.col("_own") == F.col("_id"), "left").select("_own", F.col("_id").isNotNull().alias("_target"), "_text")
+    rows, slabs = dealt(flagged, "_target", "_own", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours, theirs = models.value
-        for batch in slices(batches, 1):
-            own, last, pair, begins = cells(batch.column(1))
-            n = np.diff(begins)
-            text_of = np.repeat(np.arange(len(n)), n)
-            with np.errstate(invalid="ignore"):
-                a, b = (np.bincount(text_of, losses(t, own, last, pair), len(n)) / n for t in (ours, theirs))
-            none = (n == 0) | (tokens == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b))], names=["_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    out = map_batches(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
+        _, own, pair, begins = keys(rows.column("_text"))
+        (tokens, all_tokens, distinct), table = gathered(totals)
+        matched, size = int(tokens) / max(int(all_tokens), 1), max(1 << WORD_BITS, int(distinct))
+        n = np.diff(begins)
+        text_of, first = np.repeat(np.arange(len(n)), n), begins[:-1][n > 0]
+        with np.errstate(invalid="ignore"):
+            a, b = (np.bincount(text_of, losses(t, own, pair, first, float(tokens), size), len(n)) / n for t in (table[0], table[1] * matched))
+        none = (n == 0) | (tokens == 0)
+        return pa.table([rows.column("_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b))], names=["_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    out = rows.groupBy("block").cogroup(summed(rows, slabs).groupBy("block")).applyInArrow(run, f"_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
     return out.withColumnRenamed("_id", id_col)
 
 

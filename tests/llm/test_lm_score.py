@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -59,3 +60,29 @@ def test_more_tasks_same_counts(spark, monkeypatch):
     docs = spark.createDataFrame([(i % 2 == 0, f"a b c{i % 5}") for i in range(200)], "t boolean, text string")
     a, b = M.counts(docs.repartition(9), "t", "text"), M.counts(docs.coalesce(1), "t", "text")
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[1][: 1 << M.WORD_BITS].sum() == 600
+
+
+def test_more_words_and_pairs_than_cells_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(M, "WORD_BITS", 3)
+    monkeypatch.setattr(M, "PAIR_BITS", 4, raising=False)
+    monkeypatch.setattr(M, "BLOCK", 500, raising=False)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(400)], k=rng.randint(1, 60)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in M.score(docs, spark.createDataFrame([(i,) for i in range(40)], "doc_id long")).collect()}
+    single, pair = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in rows:
+        for k in (0, 1) if i < 40 else (1,):
+            single[k].update(t.split())
+            pair[k].update(zip([None, *t.split()], t.split()))
+    n, size = [sum(s.values()) for s in single], len(single[1])
+    assert len(pair[1]) > 2000 > 2**M.WORD_BITS < size
+    for i, t in rows:
+        want = []
+        for k, scale in ((0, 1.0), (1, n[0] / n[1])):
+            loss = 0.0
+            for before, word in zip([None, *t.split()], t.split()):
+                p1 = (single[k][word] * scale + M.ALPHA) / (n[0] + M.ALPHA * size)
+                loss -= math.log((pair[k][before, word] * scale + M.MU * p1) / (single[k][before] * scale + M.MU))
+            want.append(loss / len(t.split()))
+        assert [got[i]["target_loss"], got[i]["background_loss"]] == pytest.approx(want, rel=1e-9)
