@@ -6,12 +6,14 @@ with a spelt "at" or numbers with unusual separators. It is trained here, in
 numpy, on generated text with labelled spans, from a fixed seed; its weights are
 a few thousand numbers.
 
-A span of any kind holds a digit, an at sign or a bracketed "at". The text
-around these is covered by overlapping windows, which are decoded in batches;
-text without any needs no window. The windows' findings are reconciled for the
-whole text: what touches an inner window edge counts only if no other window
-sees it whole, overlapping findings of a kind are joined, findings must have the
-shape of their kind, and base spans win over findings that they overlap.
+A span of any kind holds a digit, an at sign, a bracketed "at" or a bare "at"
+with a host behind it, dotted or with a spelt "dot". The text around these is
+covered by overlapping windows, which are decoded in batches; text without any
+holds nothing of the shape of a kind and needs no window. The windows' findings
+are reconciled for the whole text: what touches an inner window edge counts
+only if no other window sees it whole, overlapping findings of a kind are
+joined, findings must have the shape of their kind, and base spans win over
+findings that they overlap.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows give
 repeated results; an empty table gives an empty result; other columns are
@@ -308,7 +310,9 @@ def train(rounds: int = ROUNDS) -> dict[str, np.ndarray]:
 
 # ------------------------------------------------------------ whole texts
 
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
+#: A host and its dots, plain or spelt, as in the shape of an address.
+_HOST = r"[a-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[a-z0-9-]+)+"
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|\sat\s" + _HOST, re.IGNORECASE)
 
 
 def windows(text: str) -> list[int]:
@@ -327,7 +331,7 @@ def windows(text: str) -> list[int]:
 
 
 #: A name, an at sign or a spelt one, and a host with dots or spelt ones.
-_EMAIL = re.compile(r"[a-z0-9][a-z0-9._%+-]*(?:\s?@\s?|\s?[(\[]at[)\]]\s?|\sat\s)[a-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[a-z0-9-]+)+$", re.IGNORECASE)
+_EMAIL = re.compile(r"[a-z0-9][a-z0-9._%+-]*(?:\s?@\s?|\s?[(\[]at[)\]]\s?|\sat\s)" + _HOST + "$", re.IGNORECASE)
 
 
 def shaped(kind: str, text: str) -> bool:

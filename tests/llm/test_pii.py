@@ -71,6 +71,20 @@ def test_held_out_spans(tagger):
     assert right / found > 0.9 and right / there > 0.8
 
 
+@pytest.mark.parametrize("kind,form", [(kind, form) for kind, forms in P._TEMPLATES.items() for form in forms])
+def test_found_in_long_prose_without_digits(tagger, kind, form):
+    rng = np.random.default_rng(99)
+    prose = lambda: " ".join(P._word(rng) for _ in range(40))
+    texts, want = [], []
+    while len(texts) < 40:
+        span, head = P._fill(rng, form), prose() + " "
+        if P.shaped(kind, span) and not (kind == "email" and re.search("[0-9]", span)):
+            texts.append(head + span + " " + prose())
+            want.append((kind, len(head), len(head) + len(span)))
+    got = [P.merge(P.base_spans(t), found) for t, found in zip(texts, P.found_spans(texts, tagger), strict=True)]
+    assert sum(w in g for w, g in zip(want, got, strict=True)) > 0.8 * len(texts)
+
+
 def test_windows_cover_triggers():
     text = "word " * 100 + "a1" + " word" * 300 + "x@y" + "word " * 30 + "7" * 500
     starts = P.windows(text)
