@@ -6,9 +6,10 @@ before and the elements that enclose it. A line's text-to-tag ratio is its text
 length over its tags; ratios are smoothed with a Gaussian window, lines above a
 threshold form clusters, and the clusters decide by their mass which region of
 the page is the content: the innermost article, main, section, table cell, div
-or body that holds the most of it. The region's lines are the text, short ones
-between long ones too. Navigation, headers and footers of the page, sidebars,
-notices, adverts, forms, comments and unseen elements never become lines.
+or body that holds the most of it, or the outermost article or main around
+that. The region's lines are the text, short ones beside long ones too. Navigation, headers and footers of the page, sidebars,
+notices, adverts, forms, comments and unseen elements never become lines; a
+class or id names such a part only as a whole, not as "no-sidebar" does.
 
 Defined cases: a null or empty page, and one without content, give an empty
 text of 0 code points; unclosed and stray tags are read as browsers do in the
@@ -45,6 +46,8 @@ PARTS = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header login menu modal "
     "nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related respond sharing share sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What the name of a part may be joined with, as in "site-footer".
+JOINED = PARTS | frozenset("area global list site".split())
 #: A start tag of the key closes an open element of its values, up to the nearest table or list.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS = frozenset("ul ol dl table select menu".split())
@@ -64,6 +67,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
+        self.articles: set[int] = set()  # regions that are an article or main
         self._stack: list[tuple[str, int, bool]] = []  # name, number of the region or 0, apart
         self._apart = 0  # open elements that stand apart
         self._text: list[str] = []
@@ -89,7 +93,8 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "main", "article"):
             return False
-        if tag == "header" and not any(name in ("article", "main") for name, _, _ in self._stack):
+        within = any(name in ("article", "main") for name, _, _ in self._stack)
+        if tag == "header" and not within:
             return True
         for key, value in attrs:
             value = (value or "").lower()
@@ -97,7 +102,7 @@ class Lines(HTMLParser):
                 return True
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if key in ("class", "id") and not PARTS.isdisjoint(_NAME.findall(value)):
+            if key in ("class", "id") and any(names_part(token) and not (within and token == "header") for token in value.split()):
                 return True
         return False
 
@@ -130,6 +135,8 @@ class Lines(HTMLParser):
             self._apart += apart
             self._count += 1
             self._stack.append((tag, self._count if tag in REGIONS else 0, apart))
+            if tag in ("article", "main"):
+                self.articles.add(self._count)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -151,6 +158,12 @@ class Lines(HTMLParser):
         self._flush()
 
 
+def names_part(token: str) -> bool:
+    """Whether a class or id names a part of a page that stands apart."""
+    names = _NAME.findall(token)
+    return not PARTS.isdisjoint(names) and JOINED.issuperset(names)
+
+
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing; the window is cut off at the ends and weighs 1 there too."""
     reach = math.ceil(2 * sigma)
@@ -163,8 +176,8 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content(lines: list[Line]) -> list[Line]:
-    """The lines of the region that the clusters above the threshold choose."""
+def content(lines: list[Line], articles: set[int]) -> list[Line]:
+    """The lines of the region that the clusters above the threshold choose. articles: regions that are chosen whole."""
     if not lines:
         return []
     ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
@@ -191,7 +204,9 @@ def content(lines: list[Line]) -> list[Line]:
             break
         region, inside = outer, wider
         parent = {x.regions[x.regions.index(region) - 1] for x in inside if x.regions.index(region)}
-    return inside
+    around = inside[0].regions[: inside[0].regions.index(region) + 1]
+    whole = next((r for r in around if r in articles), region)
+    return [x for x in lines if whole in x.regions]
 
 
 def extract(html: str) -> str:
@@ -200,7 +215,7 @@ def extract(html: str) -> str:
     for k in range(0, len(html), FEED):
         parser.feed(html[k : k + FEED])
     parser.close()
-    return "\n".join(x.text for x in content(parser.lines))
+    return "\n".join(x.text for x in content(parser.lines, parser.articles))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -32,6 +32,18 @@ def test_pages(page, want):
     assert H.extract(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<body><article><h1>Title</h1><p>lead</p><div class='body'><p>{LONG}</p><p>{LONG}</p></div><p>closing</p></article></body>", f"Title\nlead\n{LONG}\n{LONG}\nclosing"),
+    (f"<main><h1>Title</h1><section><div><p>{LONG}</p><p>{LONG}</p></div></section><table><tr><td>a<td>b</table></main><div>other</div>", f"Title\n{LONG}\n{LONG}\na b"),
+    (f"<main><h1>Title</h1><article><div><p>{LONG}</p></div><p>end</p></article><p>after</p></main>", f"Title\n{LONG}\nend\nafter"),
+    (f"<article><div class='article-header'><h1>Title</h1></div><div class='header'>lead</div><p>{LONG}</p></article>", f"Title\nlead\n{LONG}"),
+    (f"<div class='post no-sidebar'><p>{LONG}</p></div>", LONG), (f"<div id='page' class='has-header'><p>{LONG}</p></div>", LONG),
+    (f"<body><div class='site-footer'>{LONG}</div><div class='cookie-notice'>{LONG}</div><div id='comments'>{LONG}</div><div class='wide sidebar'>{LONG}</div><div><p>{LONG} end</p></div></body>", f"{LONG} end"),
+])
+def test_articles_are_whole_and_names_are(page, want):
+    assert H.extract(page) == want
+
+
 def test_fed_in_pieces(monkeypatch):
     page = f"<article><p>{LONG} &amp; more &eacute;</p><p>{LONG}</p></article>"
     whole = H.extract(page)
