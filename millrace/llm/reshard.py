@@ -2,15 +2,17 @@
 
 Rows belong to blocks of their old shard; equal texts share a block. The only
 figures that reach the driver are bytes and rows of each cell, at most
-BLOCKS + HEAVY * SPLIT of them whatever the input. A successive shortest path
+BLOCKS + 4 * HEAVY * SPLIT of them whatever the input. A successive shortest path
 solver sends the old shards' bytes to the new capacities so that the fewest
 bytes leave their place, the flow is rounded to whole blocks, and only files
 of shards that gain or lose a block need to be rewritten.
 
 A block with more than 1 / HEAVY of all bytes or rows (there are fewer than
-2 * HEAVY of them) is dealt into SPLIT cells by row id, so that no task ranks a
-large group of copies. Its cells stay together unless the block exceeds a
-whole shard.
+2 * HEAVY of them) is dealt into SPLIT cells by its texts' hash, so that equal
+texts still share a cell. A single text with more than that (there are fewer
+than 2 * HEAVY of them too) gets SPLIT cells of its own, dealt by row id, so
+that no task ranks a large group of copies. Equal texts stay in one shard unless
+they alone exceed a whole shard.
 
 Defined cases: a null text counts as empty and a row's size is its UTF-8 bytes
 plus 8; null ids and repeated rows each get a slot of their own; an empty table
@@ -123,14 +125,23 @@ class Plan:
     """Where each cell goes, and what a rewrite has to touch."""
 
     def __init__(self, cells: list[tuple[int, int, int, int]], n_old: int, weights: list[float]):
-        """cells: (block, sub, bytes, rows); weights: the new shards' shares of all bytes."""
+        """cells: (block, sub, bytes, rows), from sub SPLIT on those of hot texts; weights: the new shards' shares of all bytes."""
         total = sum(c[2] for c in cells)
         whole = [int(total * w / sum(weights)) for w in weights]
         capacity = [c + (k < total - sum(whole)) for k, c in enumerate(whole)]
-        of_block: dict[int, int] = defaultdict(int)
-        for block, _, size, _ in cells:
+        of_block, of_text = defaultdict(int), defaultdict(int)
+        for block, sub, size, _ in cells:
             of_block[block] += size
-        unit = lambda c: (c[0], -1) if of_block[c[0]] <= min(capacity, default=0) else (c[0], c[1])
+            of_text[block, sub // SPLIT] += size
+        least = min(capacity, default=0)
+
+        def unit(c: tuple[int, int, int, int]) -> tuple[int, int]:
+            """Cells that stay together: a block, or a hot text, that fits a shard; cells are what is left."""
+            text = c[1] // SPLIT
+            if of_block[c[0]] <= least:
+                return c[0], -1
+            return (c[0], -1 - text) if text and of_text[c[0], text] <= least else (c[0], c[1])
+
         sizes: dict[tuple, int] = defaultdict(int)
         for c in cells:
             sizes[unit(c)] += c[2]
@@ -156,30 +167,39 @@ def assign(docs: DataFrame, n_new: int = 24, n_old: int = 16, id_col: str = "doc
 
 
 def _cells(docs: DataFrame, n_old: int, text_col: str, id_col: str, old: Column | None):
-    """The rows' block and sub expressions and the figures of all cells."""
+    """The rows' block, the hash of their text, the sub expression over both and _id, and the figures of all cells."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     mixed = F.xxhash64(text)
     per = max(1, BLOCKS // n_old)
     place = F.pmod(mixed, F.lit(n_old)) if old is None else old.cast("long")
     block = (F.pmod(F.shiftright(mixed, 20), F.lit(per)) * n_old + place).cast("int")
-    thin = docs.select(block.alias("block"), F.col(id_col).alias("_id"), _size(F.col(text_col)).alias("size"))
+    thin = docs.select(block.alias("block"), mixed.alias("_mixed"), F.col(id_col).alias("_id"), _size(F.col(text_col)).alias("size"))
     plain = thin.groupBy("block").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     size, rows = sum(r["b"] for r in plain), sum(r["n"] for r in plain)
     heavy = sorted(r["block"] for r in plain if (r["b"] * HEAVY > size or r["n"] * HEAVY > rows) and r["n"] > 1)
-    sub = F.when(F.col("block").isin(heavy), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SPLIT))).otherwise(0).cast("int") if heavy else F.lit(0)
+    sub = F.lit(0)
+    if heavy:
+        inside = thin.filter(F.col("block").isin(heavy))
+        texts = inside.groupBy("block", "_mixed").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
+        hot = sorted({r["_mixed"] for r in texts.filter((F.col("b") * HEAVY > size) | (F.col("n") * HEAVY > rows)).filter("n > 1").collect()})
+        deal = F.pmod(F.xxhash64("_mixed", F.lit(7)), F.lit(SPLIT))
+        if hot:
+            at = F.array_position(F.array(*map(F.lit, hot)), F.col("_mixed"))
+            deal = F.when(F.col("_mixed").isin(hot), at * SPLIT + F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(SPLIT))).otherwise(deal)
+        sub = F.when(F.col("block").isin(heavy), deal).otherwise(0).cast("int")
     cells = [(r["block"], 0, r["b"], r["n"]) for r in plain if r["block"] not in set(heavy)]
     if heavy:
-        fine = thin.filter(F.col("block").isin(heavy)).groupBy("block", sub.alias("sub")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        fine = inside.groupBy("block", sub.alias("sub")).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
         cells += [(r["block"], r["sub"], r["b"], r["n"]) for r in fine]
-    return block, sub, cells
+    return block, mixed, sub, cells
 
 
 def _placed(docs, n_new, n_old, id_col, text_col, old, weights):
-    block, sub, cells = _cells(docs, n_old, text_col, id_col, old)
+    block, mixed, sub, cells = _cells(docs, n_old, text_col, id_col, old)
     plan = Plan(cells, n_old, weights or [1.0] * n_new)
     spark = docs.sparkSession
     where = F.broadcast(spark.createDataFrame(plan.rows, "block int, sub int, shard int, start long"))  # bounded as cells are
-    rows = docs.select(F.col(id_col).alias("_id"), _size(F.col(text_col)).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"), block.alias("block")).withColumn("sub", sub)
+    rows = docs.select(F.col(id_col).alias("_id"), _size(F.col(text_col)).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"), block.alias("block"), mixed.alias("_mixed")).withColumn("sub", sub)
     ranked = rows.withColumn("_r", F.expr("row_number() over (partition by block, sub order by text_crc32, _id)"))
     out = ranked.join(where, ["block", "sub"]).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("_r") - 1).alias("slot"))
     return out, plan
@@ -191,12 +211,12 @@ def rewrite(docs: DataFrame, path: str, n_new: int = 24, n_old: int = 16, id_col
     Shards that the plan does not name keep the files they have. A rerun after a
     failure writes the same rows to the same shards.
     """
-    block, sub, cells = _cells(docs, n_old, text_col, id_col, old)
+    block, mixed, sub, cells = _cells(docs, n_old, text_col, id_col, old)
     plan = Plan(cells, n_old, weights or [1.0] * n_new)
     to = [r[:3] for r in plan.rows if r[2] in plan.affected]
     where = F.broadcast(docs.sparkSession.createDataFrame(to, "block int, sub int, shard int"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
-    rows = docs.select(whole, block.alias("block"), F.col(id_col).alias("_id")).withColumn("sub", sub)
+    rows = docs.select(whole, block.alias("block"), mixed.alias("_mixed"), F.col(id_col).alias("_id")).withColumn("sub", sub)
     kept = rows.join(where, ["block", "sub"]).select("shard", "_row.*", F.pmod(F.xxhash64("_id"), F.lit(8)).alias("_deal"))
     kept.repartition("shard", "_deal").drop("_deal").write.mode("overwrite").partitionBy("shard").parquet(path)
     return plan

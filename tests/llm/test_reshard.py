@@ -58,6 +58,21 @@ def test_hot_group_is_spread_and_even(spark):
     assert max(loads) < 1.05 * min(loads)
 
 
+def test_groups_beside_a_hot_one_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCKS", 16)  # every block holds more than a shard
+    text = lambda i: "same text of all these rows" if i % 3 else "warm text, less than a shard" if i % 30 == 0 else f"text {i // 24} " + "x" * (i // 24 % 50)
+    rows = spark.createDataFrame([(i, text(i)) for i in range(9000)], "doc_id long, text string")
+    got = R.assign(rows).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    check(got, texts)
+    shards, loads = {}, [0] * 24
+    for r in got:
+        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        loads[r["shard"]] += r["size"]
+    assert len(shards) > 300 and len(shards.pop("same text of all these rows")) > 12 and all(len(s) == 1 for s in shards.values())
+    assert max(loads) < 1.1 * min(loads)
+
+
 def test_unchanged_capacities_move_little(spark):
     rows = spark.createDataFrame([(i, f"t{i}" * 5, i % 8) for i in range(2000)], "doc_id long, text string, now int")
     _, plan = R._placed(rows, 8, 8, "doc_id", "text", F.col("now"), None)
