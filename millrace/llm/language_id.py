@@ -11,8 +11,11 @@ ended), and all texts of a batch run through the tables of all languages at
 once in numpy, a symbol a step. Texts are cut into blocks of BLOCK symbols that
 parse on their own, so that a very long text is as parallel as many short ones.
 
-Learning uses a bounded sample, DOCS labelled documents and SYMBOLS symbols for
-each language, chosen by a hash of the text. Reading covers whole texts.
+Learning uses a bounded sample, SYMBOLS symbols of the DOCS distinct labelled
+texts with the lowest hashes for each language, or of all if it has fewer; so
+every language with a labelled text that has a letter is learned, however many
+copies there are. Texts are told apart by their first SYMBOLS code points.
+Reading covers whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 ties go to the language that sorts first; with nothing to learn from, every
@@ -172,24 +175,36 @@ def judge(parser: Parser, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """The labelled text of each language: about DOCS documents by the hash of their text, the first SYMBOLS code points of each."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """The labelled text of each language: SYMBOLS code points at most, of the DOCS distinct texts with the lowest hashes."""
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SYMBOLS).alias("text")).filter(r"lang is not null and text rlike '\\p{L}'")
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    marks = rows.select("lang", "mark").distinct()
+    counts = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, DOCS / n))])
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    picked = rows.filter(mark < share[F.col("lang")] * (1 << 30)).select("lang", mark.alias("mark"), F.substring("text", 1, SYMBOLS).alias("text"))
-    texts: dict[str, dict[str, None]] = {lang: {} for lang in sorted(counts)}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["mark"], r["text"])):
-        if any(c.isalpha() for c in r["text"]):
-            texts[r["lang"]][r["text"]] = None
-    out = []
-    for lang, own in texts.items():
-        each = max(1, 2 * SYMBOLS // max(1, len(own)))  # all sampled documents take part
-        if own:
-            out.append((lang, "\n".join(t[:each] for t in own)))
-    return out
+    lowest: dict[str, list[int]] = {lang: [] for lang in counts}
+    wide = 4
+    while any(len(lowest[lang]) < min(n, DOCS) for lang, n in counts.items()):  # once, but for odds of 1 to 10**30 or so
+        bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min((wide * DOCS << 64) // n, (1 << 64) - 1) - (1 << 63))])
+        lowest = {lang: [] for lang in counts}
+        for r in marks.filter(F.col("mark") <= bounds[F.col("lang")]).collect():
+            lowest[r["lang"]].append(r["mark"])
+        wide *= 4
+    picked = labelled.sparkSession.createDataFrame([(lang, mark) for lang, own in lowest.items() for mark in sorted(own)[:DOCS]], "lang string, mark long")
+    texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
+    found = rows.join(F.broadcast(picked), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))  # DOCS a language
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["mark"])):
+        texts[r["lang"]].append(r["text"])
+    return [(lang, "\n".join(t[: even([len(t) + 1 for t in own], SYMBOLS + 1) - 1] for t in own)) for lang, own in texts.items()]
+
+
+def even(sizes: list[int], total: int) -> int:
+    """What each may take at most so that all together take the total at most: what short ones leave goes to long ones."""
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > total:
+            return total // (len(sizes) - k)
+        total -= size
+    return max(sizes)
 
 
 def predict(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

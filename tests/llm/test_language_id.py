@@ -56,3 +56,18 @@ def test_labels_are_no_input(spark):
     plain = L.predict(docs, samples).collect()
     shifted = L.predict(docs.selectExpr("doc_id + 1000000 as doc_id", "text", "'xx' as lang"), samples).collect()
     assert sorted((r[0] + 1000000, *r[1:]) for r in plain) == sorted(tuple(r) for r in shifted)
+
+
+def test_languages_of_many_copies_are_learned(spark):
+    rows = [(f"l{k:02d}", f"{chr(97 + k)} text of language {k}") for k in range(26) for _ in range(500)] + [("l00", f"another text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = dict(L.sample(docs))
+    assert sorted(got) == [f"l{k:02d}" for k in range(26)] and got["l07"] == "h text of language 7"
+    assert len(got["l00"].split("\n")) == L.DOCS == len(set(got["l00"].split("\n")))
+    assert L.sample(docs.union(docs).repartition(5)) == sorted(got.items())
+
+
+def test_all_sampled_documents_take_part(spark):
+    texts = [f"{i:02d}" + "x" * (3 * L.SYMBOLS if i % 2 else 5) for i in range(L.DOCS)]
+    ((_, text),) = L.sample(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
+    assert 0.99 * L.SYMBOLS < len(text) <= L.SYMBOLS and sorted(x[:2] for x in text.split("\n")) == sorted(t[:2] for t in texts)
