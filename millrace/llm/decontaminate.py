@@ -4,14 +4,16 @@ Short items hide inside long documents, where the Jaccard similarity of the
 whole sets says little, so the search asks for containment. The items are
 partitioned by the size of their shingle sets; an item's sketch is its
 bottom-k MinHash, the k smallest hashes of its set, with k one more than the
-number of shingles that a match may lack in its size partition. By the
-pigeonhole principle a document that holds the asked share of an item holds a
-hash of the sketch, so the search loses nothing; documents probe with those of
-their hashes that lie below the largest sketch hash of any partition. Each
-pair found is then verified on the shingles themselves.
+number of shingles that a match may lack. By the pigeonhole principle a document
+that holds the asked share of an item holds a hash of the sketch, so the search
+loses nothing; documents probe each partition that they have enough shingles
+for, with those of their hashes that lie below the partition's largest sketch
+hash. Each pair found is then verified on the shingles themselves.
 
 Words are runs of letters, marks and digits in lower case. A set holds the
-distinct ``words``-word shingles; of fewer words, the whole sequence as one.
+distinct ``words``-word shingles; of fewer words, the whole sequence as one. So
+an item of fewer words is held only by a document of just these words, and is
+not searched for inside longer ones.
 
 Defined cases: null or wordless texts and items match nothing; rows that
 repeat an id are judged each, and a pair is reported once with the largest
@@ -58,6 +60,15 @@ def sketches(items: DataFrame, n: int = WORDS, share: float = SHARE) -> DataFram
     return sized.select("_item", "_key", part.alias("part"), "size", F.explode(F.slice("h", F.lit(1), k.cast("int"))).alias("hash"))
 
 
+def probes(rows: DataFrame, parts: list[tuple[int, int, float]], n: int = WORDS) -> DataFrame:
+    """_id, _hash, part, hash of the rows, within the bounds of each part. parts: (part, largest hash, fewest shingles)."""
+    parts = parts or [(-1, -(2**63), 1.0)]
+    hashed = rows.select("_id", "_hash", hashes(F.col("_text"), n).alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= F.lit(min(p[2] for p in parts)))
+    each = hashed.select("_id", "_hash", "n", F.explode_outer("h").alias("hash")).filter(F.col("hash") <= F.lit(max(p[1] for p in parts)))
+    own = F.array(*[F.when((F.col("hash") <= F.lit(top)) & (F.col("n") >= F.lit(least)), F.lit(part)) for part, top, least in parts])
+    return each.select("_id", "_hash", "hash", F.explode(own).alias("part")).filter("part is not null")
+
+
 def _held(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n: int, share: float) -> DataFrame:
     """(id, hash of the text, item, n_shared, n_item_shingles) of verified matches; a document row is its id and text."""
     own = items.select(F.col(item_col).alias("_item"), F.xxhash64(F.col(item_text_col)).alias("_key"), F.col(item_text_col).alias("_text"))
@@ -65,15 +76,7 @@ def _held(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     sketch = sketches(own, n, share)
     # one row for each power of two of item sizes: the largest sketch hash and the fewest shingles a match has
     parts = sketch.groupBy("part").agg(F.max("hash").alias("top"), F.min("size").alias("least")).collect()
-    top = max((p["top"] for p in parts), default=-(2**63))
-    least = min((p["least"] for p in parts), default=1) * share
-    probes = (
-        rows.select("_id", "_hash", hashes(F.col("_text"), n).alias("h"))
-        .filter(F.size("h") >= F.lit(least))
-        .select("_id", "_hash", F.explode_outer("h").alias("hash"))
-        .filter(F.col("hash") <= F.lit(top))
-    )
-    pairs = probes.join(sketch, "hash").select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_item", "_key").distinct()
+    pairs = probes(rows, [(p["part"], p["top"], p["least"] * share) for p in parts], n).join(sketch, ["part", "hash"]).select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_item", "_key").distinct()
     sets = own.select(F.col("_item").alias("_item2"), F.col("_key").alias("_key2"), shingles(F.col("_text"), n).alias("_own")).dropDuplicates(["_item2", "_key2"])
     held = rows.join(pairs, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).withColumn("_set", shingles(F.col("_text"), n))
     held = held.join(sets, F.col("_item").eqNullSafe(F.col("_item2")) & (F.col("_key") == F.col("_key2")))

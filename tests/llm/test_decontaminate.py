@@ -63,3 +63,11 @@ def test_same_id_is_judged_by_row(spark):
 def test_plan_is_native(spark, odd):
     plan = D.keep(odd, odd.selectExpr("doc_id as item_id", "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_size_partition_is_probed_by_its_bounds(spark):
+    rows = spark.createDataFrame([(1, 0, " ".join(f"w{i}" for i in range(12))), (2, 0, FILL)], "_id long, _hash long, _text string")
+    got = D.probes(rows, [(3, 0, 8 * 0.8), (5, 2**61, 32 * 0.8)]).collect()
+    every = {r["_id"]: r["h"] for r in rows.select("_id", D.hashes(rows["_text"]).alias("h")).collect()}
+    want = [(1, 3, h) for h in every[1] if h <= 0] + [(2, 3, h) for h in every[2] if h <= 0] + [(2, 5, h) for h in every[2] if h <= 2**61]
+    assert sorted((r["_id"], r["part"], r["hash"]) for r in got) == sorted(want)
