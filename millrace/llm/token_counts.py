@@ -5,9 +5,10 @@ the tokenizer's pattern does; it has seven states, so a chunk of text is a map
 from its state before to its state after, and the maps of all chunks compose
 in a parallel prefix scan, after which every chunk runs from its own first
 state. The second reads each split word; its word end carries the number of
-tokens that the word emits. It is compiled from the words met, a bounded number
-of states in each worker; the count of a word that it lacks is asked of the
-library once and compiled in or remembered.
+tokens that the word emits. It is a cache over the library, not compiled from
+the merges: a trie of the words met, a bounded number of states in each worker;
+the count of a word that it lacks is asked of the library once and put in or
+remembered.
 
 The pattern and normal form are those of the lower-casing word-end BPE
 vocabularies. Special strings in a text count one token each, as the library
