@@ -176,7 +176,9 @@ def judge(parser: Parser, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """The labelled text of each language: SYMBOLS code points at most, of the DOCS distinct texts with the lowest hashes."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SYMBOLS).alias("text")).filter(r"lang is not null and text rlike '\\p{L}'")
+    head = F.when(F.octet_length(text_col) <= SYMBOLS, F.col(text_col)).otherwise(F.substring(text_col, 1, SYMBOLS))  # copies long texts only
+    lettered = F.substring("text", 1, 100).rlike(r"\p{L}") | F.col("text").rlike(r"\p{L}")  # whole texts are decoded only if need be
+    rows = labelled.select(F.col(lang_col).alias("lang"), head.alias("text")).filter(F.col("lang").isNotNull() & lettered)
     rows = rows.withColumn("mark", F.xxhash64("text"))
     marks = rows.select("lang", "mark").distinct()
     counts = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
