@@ -53,17 +53,32 @@ def hashes(column: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     where = np.flatnonzero(inside)
     heads = np.flatnonzero(first[where])
     place = where - np.repeat(starts, np.diff(np.append(heads, len(where))))
-    values = kept("bytes", lambda: mix(np.array([b + 1 + 32 * (65 <= b <= 90) for b in range(256)], np.uint64) * _ODD))
-    return mix(np.add.reduceat(values[raw[where]] * powers(int(place.max()) + 1)[place], heads)), begins
+    return mix(np.add.reduceat(cells(raw[where], place), heads)), begins
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd base modulo 2**64."""
-    have = kept("powers", lambda: [np.ones(1, np.uint64)])
-    while len(have[0]) < n:
-        old = have[0]
-        have[0] = np.concatenate([old, old * (old[-1:] * np.array([salt(99)]))])
-    return have[0]
+#: Places of a word whose cells are kept in a table; those of longer words are computed.
+PLACES = 64
+
+
+def cells(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte at each place, A-Z as a-z.
+
+    A word's hash is the sum of its cells (tabulation hashing): two words that
+    differ anywhere get equal hashes by chance only, at odds of 2**64 to 1.
+    """
+    table = kept("cells", lambda: _cells(np.tile(np.arange(256), PLACES), np.repeat(np.arange(PLACES), 256)))
+    near = place < PLACES
+    if near.all():
+        return table[place * 256 + byte]
+    out = np.empty(len(byte), np.uint64)
+    out[near] = table[place[near] * 256 + byte[near]]
+    out[~near] = _cells(byte[~near], place[~near])
+    return out
+
+
+def _cells(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    low = byte.astype(np.uint64) + np.where((byte >= 65) & (byte <= 90), np.uint64(32), np.uint64(0))
+    return mix(mix(place.astype(np.uint64) * _ODD + salt(99)) ^ (low + np.uint64(1)) * salt(98))
 
 
 def shingle_sets(words: np.ndarray, begins: np.ndarray, n: int) -> list[np.ndarray]:
