@@ -15,8 +15,9 @@ that no task ranks a large group of copies. Equal texts stay in one shard unless
 they alone exceed a whole shard.
 
 Defined cases: a null text counts as empty and a row's size is its UTF-8 bytes
-plus 8; null ids and repeated rows each get a slot of their own; an empty table
-gives an empty result; other columns are ignored by ``assign``.
+plus 8; null ids and repeated rows each get a slot of their own (rows of a hot
+text whose ids are null share a cell); an empty table gives an empty result;
+other columns are ignored by ``assign`` and written by ``rewrite``.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ def min_cost_flow(supply: list[int], room: list[int], cost) -> dict[tuple[int, i
     return {(i, to[e] - m): left[e ^ 1] for i in range(m) for e in edges[i] if not e & 1 and left[e ^ 1] > 0}
 
 
-def pack(units: list[tuple[int, int, tuple]], capacity: list[int], n_old: int) -> dict[tuple, int]:
-    """New shard of each unit (old shard, bytes, key): the flow, rounded to whole units and evened out."""
+def pack(units: list[tuple[int, int, tuple]], capacity: list[int], n_old: int) -> tuple[dict[tuple, int], int]:
+    """New shard of each unit (old shard, bytes, key), which is the flow rounded to whole units and evened out; the bytes that the flow moves."""
     supply = [0] * n_old
     for old, size, _ in units:
         supply[old] += size
@@ -95,11 +96,12 @@ def pack(units: list[tuple[int, int, tuple]], capacity: list[int], n_old: int) -
     size_of = {key: size for _, size, key in units}
     for old, size, key in sorted(units, key=lambda u: (-u[1], u[2])):
         own = quota[old] or {old % len(capacity): 0}
-        j = max(own, key=lambda k: (own[k], k == old, -k))
+        j = old if own.get(old, 0) >= size else max(own, key=lambda k: (own[k], k == old, -k))
         own[j] -= size
         load[j] += size
         shard[key] = j
-    # units are whole: move the best fitting ones from the fullest to the emptiest shard
+    # units are whole: move the best fitting ones from the fullest to the emptiest shard, rather those that are away already
+    home = {key: old for old, _, key in units}
     inside: list[list[tuple[int, tuple]]] = [[] for _ in capacity]
     for key, j in shard.items():
         inside[j].append((size_of[key], key))
@@ -107,14 +109,16 @@ def pack(units: list[tuple[int, int, tuple]], capacity: list[int], n_old: int) -
         over = [load[j] - capacity[j] for j in range(len(capacity))]
         a, b = over.index(max(over)), over.index(min(over))
         gap = over[a] - over[b]
-        fit = min((x for x in inside[a] if x[0] < gap), key=lambda x: (abs(gap - 2 * x[0]), x[1]), default=None)
+        fits = [x for x in inside[a] if x[0] < gap]
+        away = [x for x in fits if home[x[1]] != a and 4 * x[0] >= gap]
+        fit = min(away or fits, key=lambda x: (abs(gap - 2 * x[0]), x[1]), default=None)
         if gap <= 1 or fit is None:
             break
         inside[a].remove(fit)
         inside[b].append(fit)
         load[a], load[b] = load[a] - fit[0], load[b] + fit[0]
         shard[fit[1]] = b
-    return shard
+    return shard, sum(x for (i, j), x in flow.items() if i != j)
 
 
 def _size(text: Column) -> Column:
@@ -122,7 +126,12 @@ def _size(text: Column) -> Column:
 
 
 class Plan:
-    """Where each cell goes, and what a rewrite has to touch."""
+    """Where each cell goes, and what a rewrite has to touch.
+
+    moved_bytes: bytes that change their shard; fewest_bytes: what the flow moves,
+    the least that any split of blocks could; affected: shards that gain or lose
+    rows; emptied: old shards that keep none.
+    """
 
     def __init__(self, cells: list[tuple[int, int, int, int]], n_old: int, weights: list[float]):
         """cells: (block, sub, bytes, rows), from sub SPLIT on those of hot texts; weights: the new shards' shares of all bytes."""
@@ -145,9 +154,10 @@ class Plan:
         sizes: dict[tuple, int] = defaultdict(int)
         for c in cells:
             sizes[unit(c)] += c[2]
-        at = pack([(k[0] % n_old, s, k) for k, s in sizes.items()], capacity, n_old) if cells else {}
+        at, self.fewest_bytes = pack([(k[0] % n_old, s, k) for k, s in sizes.items()], capacity, n_old) if cells else ({}, 0)
+        self.largest_unit = max(sizes.values(), default=0)
         self.rows, filled = [], defaultdict(int)
-        self.moved_bytes, self.affected = 0, set()
+        self.moved_bytes, self.affected, self.emptied = 0, set(), {c[0] % n_old for c in cells} - set(at.values())
         for c in sorted(cells):
             j, old = at[unit(c)], c[0] % n_old
             self.rows.append((c[0], c[1], j, filled[j]))
@@ -158,7 +168,7 @@ class Plan:
 
 
 def assign(docs: DataFrame, n_new: int = 24, n_old: int = 16, id_col: str = "doc_id", text_col: str = "text", old: Column | None = None, weights: list[float] | None = None) -> DataFrame:
-    """One row per input row: id, size, text_crc32, shard, slot.
+    """One row per input row: id, size, text_crc32, shard, slot, old_shard, moved.
 
     old: the number of the shard that holds a row now, from 0 to n_old - 1; by
     default the text's hash, the layout that this operator writes.
@@ -201,24 +211,32 @@ def _placed(docs, n_new, n_old, id_col, text_col, old, weights):
     where = F.broadcast(spark.createDataFrame(plan.rows, "block int, sub int, shard int, start long"))  # bounded as cells are
     rows = docs.select(F.col(id_col).alias("_id"), _size(F.col(text_col)).alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"), block.alias("block"), mixed.alias("_mixed")).withColumn("sub", sub)
     ranked = rows.withColumn("_r", F.expr("row_number() over (partition by block, sub order by text_crc32, _id)"))
-    out = ranked.join(where, ["block", "sub"]).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("_r") - 1).alias("slot"))
+    out = ranked.join(where, ["block", "sub"]).select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("_r") - 1).alias("slot"), F.pmod("block", F.lit(n_old)).alias("old_shard")).withColumn("moved", F.col("old_shard") != F.col("shard"))
     return out, plan
 
 
-def rewrite(docs: DataFrame, path: str, n_new: int = 24, n_old: int = 16, id_col: str = "doc_id", text_col: str = "text", old: Column | None = None, weights: list[float] | None = None) -> Plan:
+def rewrite(docs: DataFrame, path: str, n_new: int = 24, n_old: int = 16, id_col: str = "doc_id", text_col: str = "text", old: Column | None = None, weights: list[float] | None = None, place: str = "shard") -> Plan:
     """Write the files of the affected shards under path/shard=N, whole rows; gives the plan.
 
-    Shards that the plan does not name keep the files they have. A rerun after a
-    failure writes the same rows to the same shards.
+    Only the folders of affected shards are replaced, when all of their rows are
+    written; all others keep the files they have, and folders of shards that keep
+    no row go last. docs may be what path holds. A rerun after a failure writes
+    the same rows to the same shards. A column of docs named as place is the
+    layout's own and written anew; name another place if it isn't.
     """
     block, mixed, sub, cells = _cells(docs, n_old, text_col, id_col, old)
     plan = Plan(cells, n_old, weights or [1.0] * n_new)
+    spark = docs.sparkSession
     to = [r[:3] for r in plan.rows if r[2] in plan.affected]
-    where = F.broadcast(docs.sparkSession.createDataFrame(to, "block int, sub int, shard int"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("_row")
+    where = F.broadcast(spark.createDataFrame(to, "block int, sub int, _shard int"))  # bounded as cells are
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != place]).alias("_row")
     rows = docs.select(whole, block.alias("block"), mixed.alias("_mixed"), F.col(id_col).alias("_id")).withColumn("sub", sub)
-    kept = rows.join(where, ["block", "sub"]).select("shard", "_row.*", F.pmod(F.xxhash64("_id"), F.lit(8)).alias("_deal"))
-    kept.repartition("shard", "_deal").drop("_deal").write.mode("overwrite").partitionBy("shard").parquet(path)
+    kept = rows.join(where, ["block", "sub"]).repartition(F.col("_shard"), F.pmod(F.xxhash64("_id"), F.lit(8)))
+    kept.select(F.col("_shard").alias(place), "_row.*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(place).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for shard in sorted(plan.emptied):
+        gone = hadoop.Path(f"{path.rstrip('/')}/{place}={shard}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return plan
 
 
@@ -226,4 +244,4 @@ def op5_reshard(spark, sf_dir):
     from millrace.runtime import table
 
     out = assign(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")

@@ -33,7 +33,7 @@ def check(rows, texts, n=24):
     for r in rows:
         by.setdefault(r["shard"], []).append(r["slot"])
         text = (texts[r["doc_id"]] or "").encode()
-        assert r["size"] == len(text) + 8 and r["text_crc32"] == zlib.crc32(text)
+        assert r["moved"] == (r["shard"] != r["old_shard"]) and r["size"] == len(text) + 8 and r["text_crc32"] == zlib.crc32(text)
     assert set(by) <= set(range(n))
     for slots in by.values():
         assert sorted(slots) == list(range(len(slots)))
@@ -80,13 +80,45 @@ def test_unchanged_capacities_move_little(spark):
     assert plan.moved_bytes < 0.02 * total
 
 
-def test_rewrite(spark, tmp_path):
-    rows = table(spark, SMALL, "documents").withColumn("block", F.lit("mine"))
+def test_moves_few_bytes_beside_the_optimum():
+    rng = random.Random(5)
+    for n_old, n_new in ((8, 8), (8, 9), (9, 8), (16, 24), (24, 5)):
+        cells = [(b, 0, rng.randint(1, 900), 1) for b in range(n_old * 100)]
+        plan = R.Plan(cells, n_old, [1.0] * n_new)
+        assert plan.fewest_bytes > 0
+        assert abs(plan.moved_bytes - plan.fewest_bytes) <= (n_old + n_new) * plan.largest_unit  # units are whole
+        loads = [sum(c[2] for c, r in zip(sorted(cells), plan.rows, strict=True) if r[2] == j) for j in range(n_new)]
+        assert max(loads) - min(loads) <= plan.largest_unit
+
+
+def placed(spark, path):
+    return {r["doc_id"]: r["shard"] for r in spark.read.parquet(path).collect()}
+
+
+def test_rewrite_fills_a_folder(spark, tmp_path):
+    rows = table(spark, SMALL, "documents").withColumn("block", F.lit("mine")).withColumn("_id", F.lit(1)).withColumn("_deal", F.lit(2))
     plan = R.rewrite(rows, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert set(rows.columns) | {"shard"} == set(back.columns) and {r["shard"] for r in back.select("shard").distinct().collect()} <= plan.affected
     want = {r["doc_id"]: r["shard"] for r in R.assign(rows).collect() if r["shard"] in plan.affected}
-    assert {r["doc_id"]: r["shard"] for r in back.collect()} == want
+    assert placed(spark, str(tmp_path / "out")) == want
+
+
+def test_rewrite_keeps_the_other_shards(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    # six even shards, one with double the rows and one with none of them: most files may stay
+    rows = spark.createDataFrame([(i, f"text {i}" + "x" * (i % 7), "more", 6 if i % 8 == 7 else i % 8) for i in range(4000)], "doc_id long, text string, other string, shard int")
+    rows.write.partitionBy("shard").parquet(path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "lake").rglob("*.parquet")}
+    plan = R.rewrite(spark.read.parquet(path), path, 8, 8, old=F.col("shard"))
+    assert placed(spark, path) == {r["doc_id"]: r["shard"] for r in R.assign(rows, 8, 8, old=F.col("shard")).collect()}
+    back = spark.read.parquet(path)
+    assert back.count() == 4000 and set(back.columns) == set(rows.columns)
+    loads = [r["n"] for r in back.groupBy("shard").agg(F.sum(R._size(F.col("text"))).alias("n")).collect()]
+    assert len(loads) == 8 and max(loads) < 1.05 * min(loads)
+    assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items() if int(p.parent.name[6:]) not in plan.affected)
+    R.rewrite(spark.read.parquet(path), path, 3, 8, old=F.col("shard"))  # fewer shards: the folders of the others go
+    assert spark.read.parquet(path).count() == 4000 and sorted(p.name for p in (tmp_path / "lake").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
 
 
 def test_odd_rows(odd, none):
