@@ -3,7 +3,10 @@
 Long texts are cut at safe boundaries before they are encoded: the pre-split
 pattern matches either runs that end before white space or runs of white
 space, so no match crosses a point between a non-space and a following space,
-and the pieces give the ids of the whole text. Decoding joins the raw bytes of
+and the pieces give the ids of the whole text. A very long run of white space,
+on which the library's regular expressions fail, is one match of the pattern
+but for its last code point, which belongs to what follows, so its bytes are
+merged without the pattern. Decoding joins the raw bytes of
 the ids and never goes through text, so a token that ends inside a character is
 no special case.
 
@@ -27,7 +30,10 @@ from pyspark.sql import DataFrame
 
 #: Code points after which a long text is cut at the next safe boundary.
 PIECE = 50_000
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+
+# Code points that are white space in Unicode; Python's own class holds four more.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
 
 
 def rank_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -50,24 +56,36 @@ class Codec:
             self._bytes[rank] = token
 
     def encode(self, text: str) -> np.ndarray:
-        parts = [self._encoding.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in pieces(text)]
+        parts = [self._match(p) if one else self._encoding.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p, one in pieces(text)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
+    def _match(self, text: str) -> np.ndarray:
+        """The ids of one match of the pattern."""
+        return np.array(self._encoding._encode_single_piece(text), np.uint32)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids.tolist()))
 
 
-def pieces(text: str, size: int = PIECE) -> list[str]:
-    """The text cut at the first safe boundary after each size code points."""
+def pieces(text: str, size: int = PIECE) -> list[tuple[str, bool]]:
+    """The text cut at the first safe boundary after each size code points, and whether a part is one match, a very long run of white space."""
     if len(text) <= size:
-        return [text]
+        return [(text, False)]
     out, start = [], 0
-    while start < len(text):
-        cut = _SAFE.search(text, start + size)
-        end = cut.start() if cut else len(text)
-        out.append(text[start:end])
+    for run in re.finditer(f"[{_SPACE}]{{{size},}}", text):
+        end = run.end() - (run.end() < len(text))  # the last one goes with what follows
+        out += [(p, False) for p in _cut(text, start, run.start(), size)]
+        out.append((text[run.start() : end], True))
+        start = end
+    return out + [(p, False) for p in _cut(text, start, len(text), size)]
+
+
+def _cut(text: str, start: int, stop: int, size: int) -> Iterator[str]:
+    while start < stop:
+        cut = _SAFE.search(text, min(start + size, stop), stop)
+        end = cut.start() if cut else stop
+        yield text[start:end]
         start = end
-    return out
 
 
 def codec(path: str | None = None, pattern: str | None = None) -> Codec:

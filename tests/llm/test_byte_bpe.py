@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -10,16 +11,45 @@ from millrace.runtime import table
 from helpers import SMALL
 
 
-@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.text(st.sampled_from("ab c\n\t'sS1é漢😀.  "), max_size=200))
-def test_pieces_change_nothing(text):
+def by_pieces(own, text, size):
+    parts = B.pieces(text, size)
+    assert "".join(p for p, _ in parts) == text
+    return [i for p, one in parts for i in (own._match(p).tolist() if one else own._encoding.encode_ordinary(p))]
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(st.sampled_from("ab c\n\t'sS1é漢😀.  \x1c\x1f\x85\xa0\u3000"), max_size=200), st.sampled_from([2, 3, 7, 30]))
+def test_pieces_change_nothing(text, size):
     own = B.codec()
     whole = own._encoding.encode_ordinary(text)
-    parts = [i for p in B.pieces(text, 7) for i in own._encoding.encode_ordinary(p)]
-    assert parts == whole and "".join(B.pieces(text, 7)) == text
+    assert by_pieces(own, text, size) == whole
     assert own.decode(np.array(whole, np.uint32)) == text.encode()
 
 
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", " ", "\n", "1", ".", "\u3000", " x", "\x1c"]), st.integers(1, 40)), max_size=8))
+def test_long_runs_change_nothing(runs):
+    own, text = B.codec(), "".join(c * n for c, n in runs)
+    assert by_pieces(own, text, 10) == own._encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "\u3000", "7", "a", ".", "é"])
+def test_very_long_runs(sign):
+    own = B.codec()
+    for text in (sign * 1_000_000, "ab" + sign * 1_000_001 + "cd"):
+        ids = own.encode(text)
+        assert own.decode(ids) == text.encode()
+    # what a long run gives is what it gives in a text that the library takes whole
+    short = "ab" + sign * 60_000 + "cd" + sign * 70_001
+    assert own.encode(short).tolist() == own._encoding.encode_ordinary(short)
+
+
+def test_ten_million():
+    own = B.codec()
+    text = "x" + " " * 10_000_000 + "y"
+    assert own.decode(own.encode(text)) == text.encode()
+
+
 def test_query(spark):
     got = {r["doc_id"]: r for r in B.op6_byte_bpe(spark, SMALL).collect()}
     own = B.codec()
