@@ -36,3 +36,19 @@ def test_texts_with_one_digest_stay_apart(spark):
 def test_plan_is_native(spark, odd):
     plan = X.decide(odd)._jdf.queryExecution().toString() + X.keep(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "x"), ("c", "y"), (None, "z")], "doc_id string, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in X.keep(rows).collect()) == [("None", "z"), ("b", "x"), ("c", "y")]
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in X.decide(rows).collect()) == [
+        ("None", "None", 1, True), ("None", "b", 3, False), ("a", "b", 3, False), ("b", "b", 3, True), ("c", "c", 1, True)]
+    dates = rows.selectExpr("if(text = 'y', null, date'2020-01-01') as doc_id", "text")
+    assert X.keep(dates).count() == 3
+
+
+def test_a_third_in_one_group(spark):
+    rows = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id div 2)) as text")
+    got = X.decide(rows)
+    assert got.filter("text_sha256 = sha2('hot', 256)").selectExpr("min(keep_id)", "max(keep_id)", "min(group_size)", "count_if(kept)", "count(*)").first() == (5997, 5997, 2000, 1, 2000)
+    assert got.filter("kept").count() == rows.select("text").distinct().count() == X.keep(rows).count()
