@@ -8,7 +8,9 @@ number of shingles that a match may lack. By the pigeonhole principle a document
 that holds the asked share of an item holds a hash of the sketch, so the search
 loses nothing; documents probe each partition that they have enough shingles
 for, with those of their hashes that lie below the partition's largest sketch
-hash. Each pair found is then verified on the shingles themselves.
+hash. Each pair found is then verified on the shingles themselves: the pairs go
+to the documents, whose texts are not shuffled unless the pairs are too many to
+be broadcast.
 
 Words are runs of letters, marks and digits in lower case. A set holds the
 distinct ``words``-word shingles; of fewer words, the whole sequence as one. So
@@ -17,11 +19,14 @@ not searched for inside longer ones.
 
 Defined cases: null or wordless texts and items match nothing; rows that
 repeat an id are judged each, and a pair is reported once with the largest
-overlap; empty tables give an empty result; other columns are ignored.
+overlap; texts of any length are searched whole; a document row is known by its
+id and a 64-bit hash of its text; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from millrace.llm.sizes import small
+from millrace.runtime import cut
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +82,7 @@ def _held(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     # one row for each power of two of item sizes: the largest sketch hash and the fewest shingles a match has
     parts = sketch.groupBy("part").agg(F.max("hash").alias("top"), F.min("size").alias("least")).collect()
     pairs = probes(rows, [(p["part"], p["top"], p["least"] * share) for p in parts], n).join(sketch, ["part", "hash"]).select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_item", "_key").distinct()
+    pairs = small(cut(pairs))  # few beside the documents, whose texts then stay where they are; joined by shuffle if they are many
     sets = own.select(F.col("_item").alias("_item2"), F.col("_key").alias("_key2"), shingles(F.col("_text"), n).alias("_own")).dropDuplicates(["_item2", "_key2"])
     held = rows.join(pairs, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).withColumn("_set", shingles(F.col("_text"), n))
     held = held.join(sets, F.col("_item").eqNullSafe(F.col("_item2")) & (F.col("_key") == F.col("_key2")))
@@ -93,7 +99,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def keep(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    gone = _held(docs, items, id_col, text_col, item_col, item_text_col, n, share).select("_id", "_hash").distinct()
+    gone = small(cut(_held(docs, items, id_col, text_col, item_col, item_text_col, n, share).select("_id", "_hash").distinct()))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")
 
 

@@ -42,12 +42,13 @@ import xxhash
 from millrace.llm import words as W
 from millrace.llm.arrow import map_batches, slices
 from millrace.llm.components import components
+from millrace.llm.sizes import small
 from millrace.runtime import cut
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Growth of size classes; sets and shingles of a tile's block; rows up to which a side is broadcast.
-GROWTH, BLOCK_SETS, BLOCK_SHINGLES, SMALL = Fraction(3, 2), 1024, 1 << 19, 200_000
+#: Growth of size classes; sets and shingles of a tile's block.
+GROWTH, BLOCK_SETS, BLOCK_SHINGLES = Fraction(3, 2), 1024, 1 << 19
 
 
 #: Sets and shingles of a block in tiles of bitmaps.
@@ -359,11 +360,6 @@ def _tiles(sets: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
     return placed.withColumn("t", F.explode(tiles)).select("set", "t.tile", "t.side")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most SMALL rows; joined by shuffle beyond."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def _names(docs: DataFrame, id_col: str, text_col: str, n: int, classes: Classes) -> DataFrame:
     """(id, text hash, set, n, band, bitmap) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()

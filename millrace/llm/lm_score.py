@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import words as W
-from millrace.llm.jaccard_join import small
+from millrace.llm.sizes import small
 from millrace.runtime import share_code
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
