@@ -6,17 +6,17 @@ with a spelt "at" or numbers with unusual separators. It is trained here, in
 numpy, on generated text with labelled spans, from a fixed seed; its weights are
 a few thousand numbers.
 
-A span of any kind holds a digit, an at sign, a bracketed "at" or a bare "at"
-with a host behind it, dotted or with a spelt "dot". The text around these is
-covered by overlapping windows, which are decoded in batches; text without any
-holds nothing of the shape of a kind and needs no window. The windows' findings
+A finding counts only if it has the shape of its kind, and whatever has one
+holds a digit, an at sign, a bracketed "at" or a bare "at" with a host behind it,
+dotted or with a spelt "dot". The text around these is covered by overlapping
+windows, which are decoded in batches; text without any needs no window. The windows' findings
 are reconciled for the whole text: what touches an inner window edge counts
 only if no other window sees it whole, overlapping findings of a kind are
 joined, findings must have the shape of their kind, and base spans win over
 findings that they overlap.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows give
-repeated results; an empty table gives an empty result; other columns are
+Defined cases: a null text counts as empty and has no spans; a very long text is
+read whole, a window at a time; repeated rows give repeated results; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -36,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Window and its step in code points, reach of a trigger, windows decoded at once.
 WINDOW, STEP, REACH, LANES = 96, 48, 40, 512
 #: Size of character vectors and of each direction's state, rounds and windows of training, seed.
-VECTOR, HIDDEN, ROUNDS, LOT, SEED = 12, 20, 240, 48, 7
+VECTOR, HIDDEN, ROUNDS, LOT, SEED = 12, 20, 400, 48, 7
 
 # ---------------------------------------------------------------- base spans
 
@@ -89,13 +89,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ------------------------------------------------------------ labelled text
 
 _TEMPLATES = {
-    "email": ("{u} at {d} dot {t}", "{u} (at) {d} (dot) {t}", "{u}[at]{d}[dot]{t}", "{u} [at] {d} [dot] {t}", "{u}(at){d}.{t}", "{u} @ {d}.{t}", "{u}@{d}.{t}", "{u} [at] {d}.{t}"),
+    "email": (
+        "{u} at {d} dot {t}", "{u} (at) {d} (dot) {t}", "{u}[at]{d}[dot]{t}", "{u} [at] {d} [dot] {t}", "{u}(at){d}.{t}", "{u} @ {d}.{t}", "{u}@{d}.{t}", "{u} [at] {d}.{t}",
+        "{u} ( at ) {d} ( dot ) {t}", "{u} [ at ] {d} [ dot ] {t}", "{u}(at){d}(dot){t}", "{u} (at) {d}.{t}", "{u} AT {d} DOT {t}", "{u} at {d} dot {d} dot {t}", "{u} (at) {d} dot {t}",
+    ),
     "ip": ("{i} . {i} . {i} . {i}", "{i}[.]{i}[.]{i}[.]{i}", "{i}.{i}.{i}.{i}", "{i}(.){i}(.){i}(.){i}"),
     "card": ("{4}.{4}.{4}.{4}", "{4}/{4}/{4}/{4}", "{4}_{4}_{4}_{4}", "{4}  {4}  {4}  {4}"),
     "phone": ("({3}) {3}-{4}", "({3}) {3} {4}", "{3}-{3}-{4}", "{3}.{3}.{4}", "00{2} {3} {3} {4}", "+1 ({3}) {3}-{4}", "+{2} {3} {3} {4}"),
 }
 #: Text that looks near to personal data and is none.
-_OTHERS = ('token = "{x}"', "{x}", "{4}", "{2}", "{3}", "{i}.{i}", "{i}.{i}.{2}", "{4}-{2}-{2}", "{2}/{2}/{4}", "{2}:{2}", "{4}{4}{4}{4}", "{4}{4}{4}{4} {4}{4}{4}{4}", "{3},{3}", "${4}", "{2}%", "{w} at {w}", "{w} dot {w}", "{w} at {2}", "@{w}", "{w} @ {w}", "v{i}.{i}", "({4})", "({2}) {w}", "{w}{2}", "[{2}]", "{3}-{2}")
+_OTHERS = ('token = "{x}"', "{x}", "{4}", "{2}", "{3}", "{i}.{i}", "{i}.{i}.{2}", "{4}-{2}-{2}", "{2}/{2}/{4}", "{2}:{2}", "{4}{4}{4}{4}", "{4}{4}{4}{4} {4}{4}{4}{4}", "{3},{3}", "${4}", "{2}%", "{w} at {w}", "{w} dot {w}", "{w} at {2}", "{w} at {w} {w}", "{w} at {w}. {w}", "{w} (at {w})", "({w}) {w}", "[{w}] {w}", "{w}.{w}", "@{w}", "{w} @ {w}", "v{i}.{i}", "({4})", "({2}) {w}", "{w}{2}", "[{2}]", "{3}-{2}")
 _VOWELS, _OTHER_LETTERS = "aeiouéäö", "bcdfghklmnprstvwz"
 
 
@@ -109,11 +112,14 @@ def _fill(rng: np.random.Generator, form: str) -> str:
         if c == "x":
             return "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, rng.integers(24, 41)))
         if c == "t":
-            return ("com", "org", "net", "de", "fr", "example.com", "co.uk")[rng.integers(7)]
-        word = _word(rng)
-        if c == "u" and rng.random() < 0.4:
-            word += (".", "_", "")[rng.integers(3)] + str(rng.integers(0, 100))
-        return word
+            ends = ("com", "org", "net", "de", "fr", "example.com", "co.uk", "edu", "io", "info", "es", "gov", "ac.uk", "eu")
+            return ends[rng.integers(len(ends))]
+        word = _name(rng) if c in "ud" and rng.random() < 0.6 else _word(rng)
+        if c == "u" and (draw := rng.random()) < 0.7:
+            word += (".", "_", "", "-")[rng.integers(4)] + (str(rng.integers(0, 100)) if draw < 0.35 else _name(rng))
+        if c == "d" and rng.random() < 0.2:
+            word += "-" + _name(rng)
+        return word.capitalize() if rng.random() < 0.1 else word
 
     return re.sub(r"\{(.)\}", one, form)
 
@@ -122,6 +128,14 @@ def _word(rng: np.random.Generator) -> str:
     return "".join(_OTHER_LETTERS[rng.integers(len(_OTHER_LETTERS))] + _VOWELS[rng.integers(len(_VOWELS))] for _ in range(rng.integers(1, 5)))
 
 
+def _name(rng: np.random.Generator) -> str:
+    """Letters of the whole alphabet, a vowel at least every third."""
+    letters = rng.integers(0, 26, rng.integers(2, 10))
+    vowels = rng.integers(0, 5, len(letters))
+    first = rng.integers(3)
+    return "".join("aeiou"[v] if (k + first) % 3 == 0 else chr(97 + c) for k, (c, v) in enumerate(zip(letters.tolist(), vowels.tolist(), strict=True)))
+
+
 def labelled(rng: np.random.Generator, size: int = WINDOW) -> tuple[str, list[tuple[str, int, int]]]:
     """A text of the size and its labelled spans."""
     text, spans = "", []
@@ -138,7 +152,7 @@ def labelled(rng: np.random.Generator, size: int = WINDOW) -> tuple[str, list[tu
         elif draw < 0.42:
             text += _fill(rng, _OTHERS[rng.integers(len(_OTHERS))])
         else:
-            word = _word(rng)
+            word = _word(rng) if rng.random() < 0.7 else _name(rng)
             text += word.upper() if rng.random() < 0.08 else word.capitalize() if rng.random() < 0.2 else word
         text += (" ", " ", " ", " ", ", ", ". ", "!! ", "\n", "### ", " | ")[rng.integers(10)]
     return text[:size].ljust(size), spans
@@ -310,9 +324,11 @@ def train(rounds: int = ROUNDS) -> dict[str, np.ndarray]:
 
 # ------------------------------------------------------------ whole texts
 
-#: A host and its dots, plain or spelt, as in the shape of an address.
-_HOST = r"[a-z0-9-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?|\sdot\s)[a-z0-9-]+)+"
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|\sat\s" + _HOST, re.IGNORECASE)
+#: A host and its dots, plain or spelt, and a spelt at sign, as in the shape of an address.
+_HOST = r"[a-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)[a-z0-9-]+)+"
+_AT = r"[(\[]\s?at\s?[)\]]"
+#: What every finding of the shape of a kind holds, see shaped().
+_TRIGGER = re.compile(rf"[0-9@]|{_AT}|\sat\s{_HOST}", re.IGNORECASE)
 
 
 def windows(text: str) -> list[int]:
@@ -331,7 +347,7 @@ def windows(text: str) -> list[int]:
 
 
 #: A name, an at sign or a spelt one, and a host with dots or spelt ones.
-_EMAIL = re.compile(r"[a-z0-9][a-z0-9._%+-]*(?:\s?@\s?|\s?[(\[]at[)\]]\s?|\sat\s)" + _HOST + "$", re.IGNORECASE)
+_EMAIL = re.compile(rf"[a-z0-9][a-z0-9._%+-]*(?:\s?@\s?|\s?{_AT}\s?|\sat\s){_HOST}$", re.IGNORECASE)
 
 
 def shaped(kind: str, text: str) -> bool:

@@ -68,7 +68,7 @@ def test_held_out_spans(tagger):
     for (text, spans), got in zip(lot, P.found_spans([t for t, _ in lot], tagger), strict=True):
         want = {s for s in spans if P.shaped(s[0], text[s[1] : s[2]])}
         right, found, there = right + len(want & set(got)), found + len(got), there + len(want)
-    assert right / found > 0.9 and right / there > 0.8
+    assert right / found > 0.97 and right / there > 0.95
 
 
 @pytest.mark.parametrize("kind,form", [(kind, form) for kind, forms in P._TEMPLATES.items() for form in forms])
@@ -85,6 +85,35 @@ def test_found_in_long_prose_without_digits(tagger, kind, form):
     assert sum(w in g for w, g in zip(want, got, strict=True)) > 0.8 * len(texts)
 
 
+#: Forms and names that the generator of training text lacks.
+OTHERS = [
+    "john.miller at example dot com", "john (at) example (dot) com", "jane_doe ( at ) example ( dot ) org", "quixote[at]windmill[dot]es", "j.r.ewing (at) southfork dot net",
+    "mary-jane.watson @ daily-bugle.com", "Max.Mustermann (at) beispiel.de", "info [ at ] kunstmuseum [ dot ] ch", "support at help dot company dot com", "xavier [AT] school [DOT] edu",
+    "zoe(at)jazzhub.io", "kyle at bay dot org", "press-office (at) ministry.gov", "webmaster@ old-site.net", "felix7 (at) krull (dot) co.uk",
+]
+
+
+def test_forms_that_training_lacks(tagger):
+    frame = "Please write to {} if you have any question about the matter; we answer within a week."
+    want = [("email", 16, 16 + len(o)) for o in OTHERS]
+    got = [P.merge(P.base_spans(t), found) for t, found in zip(map(frame.format, OTHERS), P.found_spans([frame.format(o) for o in OTHERS], tagger), strict=True)]
+    missed = [o for o, w, g in zip(OTHERS, want, got, strict=True) if w not in g]
+    assert len(missed) <= 1, missed
+
+
+def test_prose_is_left_alone(tagger):
+    texts = ["We met at noon and looked at the old house. Then we left.", "He is good at chess (at times) and at dinner dot painting [at home].", "See chapter 12, section 3.4.5 of the report of 2019-10-11, page 1,234.", "It was sold at auction. The price was $12,000, 30% more than at first."]
+    assert not any(P.found_spans(texts, tagger))
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["a", "Bc", " ", "at", "(at)", "[ at ]", "dot", "(dot)", "[ dot ]", ".", "@", "-", "com", "1", "(", ")", "\n", "+", "é"]), max_size=14).map("".join))
+def test_what_has_a_shape_has_a_window(text):
+    """Text without a trigger needs no window: no part of it has the shape of any kind."""
+    if not P.windows(text):
+        assert not any(P.shaped(kind, text[a:b]) for kind in P.KINDS for a in range(len(text)) for b in range(a + 1, len(text) + 1) if not text[a].isspace())
+
+
 def test_windows_cover_triggers():
     text = "word " * 100 + "a1" + " word" * 300 + "x@y" + "word " * 30 + "7" * 500
     starts = P.windows(text)
