@@ -12,8 +12,8 @@ import pyarrow as pa
 from millrace.runtime import share_code
 from pyspark.sql import DataFrame
 
-#: Code points of text that one Python call handles at a time, unless one text is longer.
-CHARS = 4_000_000
+#: Bytes of text that one Python call handles at a time, unless one text is longer.
+CHARS = 2_000_000
 
 #: What a worker process keeps between batches, such as a loaded tokenizer.
 _KEPT = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kept"))
@@ -34,14 +34,14 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about CHARS bytes of text, one row at least."""
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, chars: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about so many bytes of text, one row at least."""
     for batch in batches:
         size = np.cumsum(np.diff(offsets(batch.column(text_at))))
         start = 0
         while start < batch.num_rows:
             done = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, done + CHARS, side="right")))
+            end = max(start + 1, int(np.searchsorted(size, done + chars, side="right")))
             yield batch.slice(start, end - start)
             start = end
 

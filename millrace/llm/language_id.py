@@ -12,19 +12,25 @@ once in numpy, a symbol a step. Texts are cut into blocks of BLOCK symbols that
 parse on their own, so that a very long text is as parallel as many short ones.
 
 Learning uses a bounded sample, SYMBOLS symbols of the DOCS distinct labelled
-texts with the lowest hashes for each language, or of all if it has fewer; so
-every language with a labelled text that has a letter is learned, however many
+texts with the lowest hashes for each language, or of all if it has fewer (a text
+may be cut so that each of them takes part); so every language with a labelled text that has a letter is learned, however many
 copies there are. Texts are told apart by their first SYMBOLS code points.
 Reading covers whole texts.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0;
-ties go to the language that sorts first; with nothing to learn from, every
+A text in no learned language reads badly in all of them: ``phrase_length`` tells
+how many symbols a phrase of the best one takes, and ``keep`` lets go what falls
+short.
+
+Defined cases: a text that is null or has no letter is ``und`` with score and
+phrase_length 0; a very long text is read whole; repeated rows give repeated
+results; ties go to the language that sorts first; with nothing to learn from, every
 text is ``und``; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +45,10 @@ from pyspark.sql import functions as F
 DOCS, SYMBOLS = 64, 20_000
 #: Symbols of the table besides "no letter" (0) and "another letter" (1); symbols of a block.
 ALPHABET, BLOCK = 60, 4096
+#: Symbols of the mean phrase below which a text is in no learned language: random letters and other scripts read a symbol or so at a time.
+SHORTEST = 2.0
+#: Bytes of text that are judged at once, unless one text is longer.
+CHARS = 1_500_000
 UNKNOWN = "und"
 
 
@@ -46,11 +56,12 @@ class Automaton:
     """Suffix automaton of one sequence of symbols, with rows of transitions."""
 
     def __init__(self, symbols: list[int], width: int):
-        self.next = [[0] * width]  # 0: none, as no transition leads to the root
+        none = array("i", [0]) * width
+        self.next = [none[:]]  # 0: none, as no transition leads to the root
         link, length, last = [-1], [0], 0
         for c in symbols:
             here = len(self.next)
-            self.next.append([0] * width)
+            self.next.append(none[:])
             length.append(length[last] + 1)
             link.append(0)
             p = last
@@ -72,6 +83,11 @@ class Automaton:
                     link[q] = link[here] = copy
             last = here
 
+    def moves(self) -> np.ndarray:
+        """The rows of transitions, and one more for the state that follows a symbol which the text lacks."""
+        width = len(self.next[0])
+        return np.frombuffer(b"".join(self.next) + bytes(4 * width), np.int32).reshape(-1, width)
+
 
 class Parser:
     """Cross-parsing tables of all languages."""
@@ -87,8 +103,7 @@ class Parser:
         for _, text in samples:
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             codes = squeeze(self.symbol[points], np.zeros(len(points), bool))[0][:SYMBOLS]
-            moves = np.array(Automaton(codes.tolist(), width).next, np.int64)
-            moves = np.vstack([moves, np.zeros((1, width), np.int64)])  # the last state follows a symbol that the text lacks
+            moves = Automaton(codes.tolist(), width).moves()
             base, stray = sum(len(t) for t in tables), len(moves) - 1
             fresh = np.where(moves[0] > 0, moves[0], stray)  # a phrase ends, the next begins here
             own = np.where(moves > 0, (moves + base) * width * 2, (fresh + base) * width * 2 + 1)
@@ -96,7 +111,7 @@ class Parser:
             tables.append(own)
             self.roots.append(base * width)
             self.weights.append(np.log2(max(len(codes), 2)))
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(self.roots, np.int32)
         self.weights = np.array(self.weights)
 
@@ -146,32 +161,36 @@ def points_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes(raw).decode("utf-8", "replace").encode("utf-32-le"), np.uint32), begins
 
 
-def judge(parser: Parser, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text."""
+def judge(parser: Parser, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and mean length of a phrase in that language of each text."""
     points, begins = points_of(column)
     n = len(column)
     codes = parser.symbol[points]
-    letters = np.concatenate([[0], np.cumsum(codes != 0)])
+    del points
+    letters = np.concatenate([[0], np.cumsum(codes != 0, dtype=np.int32)])
     has = letters[begins[1:]] > letters[begins[:-1]]
+    del letters
     if not parser.languages:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     first = np.zeros(len(codes), bool)
     first[begins[:-1][begins[:-1] < len(codes)]] = True
     codes, stays = squeeze(codes, first)
-    begins = np.concatenate([[0], np.cumsum(stays)])[begins]
+    begins = np.concatenate([[0], np.cumsum(stays, dtype=np.int32)])[begins]
     size = np.diff(begins)
     blocks = -(-size // BLOCK)
     text_of = np.repeat(np.arange(n), blocks)
     inner = np.arange(len(text_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     starts = begins[:-1][text_of] + inner * BLOCK
     lengths = np.minimum(size[text_of] - inner * BLOCK, BLOCK)
-    found = parser.phrases(codes, starts, lengths)
-    cost = np.stack([np.bincount(text_of, row, n) for row in found]) * parser.weights[:, None] / np.maximum(size, 1)
+    found = np.stack([np.bincount(text_of, row, n) for row in parser.phrases(codes, starts, lengths)])
+    cost = found * parser.weights[:, None] / np.maximum(size, 1)
     best = cost.argmin(0)
     ranked = np.sort(cost, 0)
     score = ranked[1] / np.maximum(ranked[0] + ranked[1], 1e-12) if len(ranked) > 1 else np.ones(n)
     names = [parser.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has.tolist(), strict=True)]
-    return names, np.where(has, score, 0.0)
+    # the last phrase of a block may be cut short, and so is counted for a part only where there are others
+    length = size / np.maximum(found[best, np.arange(n)] - blocks, 0.5)
+    return names, np.where(has, score, 0.0), np.where(has, length, 0.0)
 
 
 def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
@@ -210,17 +229,17 @@ def even(sizes: list[int], total: int) -> int:
 
 
 def predict(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every row; only the text is read."""
+    """id, lang_pred, score, phrase_length of every row; only the text is read."""
     kind = docs.schema[id_col].dataType.simpleString()
     key = ("parser", hash(tuple(samples)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = kept(key, lambda: Parser(samples))
-        for batch in slices(batches, 1):
-            names, score = judge(parser, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["_id", "lang_pred", "score"])
+        for batch in slices(batches, 1, CHARS):
+            names, score, length = judge(parser, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(length, pa.float64())], names=["_id", "lang_pred", "score", "phrase_length"])
 
-    out = map_batches(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, lang_pred string, score double")
+    out = map_batches(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")), run, f"_id {kind}, lang_pred string, score double, phrase_length double")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -228,16 +247,22 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 5 == 0, F.lit(False))
 
 
-def keep(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows in a language; those without letters go. All columns of the rows stay."""
+def keep(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", languages: set[str] | None = None) -> DataFrame:
+    """The rows whose text is in one of the languages, by default in any that is learned. All columns of the rows stay.
+
+    A text is in none of the languages if it has no letter, or if even the
+    language that reads it best needs a phrase for less than SHORTEST symbols.
+    """
     samples = sample(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
+    wanted = {lang for lang, _ in samples if languages is None or lang in languages}
     names, at = docs.columns, docs.columns.index(text_col)
     key = ("parser", hash(tuple(samples)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = kept(key, lambda: Parser(samples))
-        for batch in slices(batches, at):
-            yield batch.filter(pa.array([x != UNKNOWN for x in judge(parser, batch.column(at))[0]], pa.bool_()))
+        for batch in slices(batches, at, CHARS):
+            found, _, length = judge(parser, batch.column(at))
+            yield batch.filter(pa.array([x in wanted for x in found] & (length >= SHORTEST), pa.bool_()))
 
     out = map_batches(docs.toDF(*[f"c{k}" for k in range(len(names))]), run, ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)))
     return out.toDF(*names)
@@ -248,4 +273,4 @@ def op1_language_id(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, sample(docs.filter(~held_out(F.col("doc_id")))))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "phrase_length")

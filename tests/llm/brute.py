@@ -60,3 +60,34 @@ def held_items(docs, items, n=5, share=0.8):
             if s and len(own & s) >= share * len(s):
                 out[d, i] = len(own & s) / len(s)
     return out
+
+
+def readings(texts, samples, alphabet=60, block=4096, symbols=20_000):
+    """Phrases, blocks and symbols of each text in each language: [(blocks, symbols, [phrases by language])]."""
+    seen = defaultdict(int)
+    for _, t in samples:
+        for c in t:
+            if c.isalpha():
+                seen[c.lower()] += 1
+    known = set(sorted(seen, key=lambda c: (-seen[c], c))[:alphabet])
+
+    def plain(text):
+        return re.sub("_+", "_", "".join((c.lower() if c.lower() in known and len(c.lower()) == 1 else "?") if c.isalpha() else "_" for c in text))
+
+    references = [plain(t)[:symbols] for _, t in samples]
+
+    def phrases(text, reference):
+        n = at = 0
+        while at < len(text):
+            step = 1
+            while at + step < len(text) and text[at : at + step + 1] in reference:
+                step += 1
+            at, n = at + step, n + 1
+        return n
+
+    out = []
+    for t in texts:
+        own = plain(t or "")
+        blocks = [own[k : k + block] for k in range(0, len(own), block)]
+        out.append((len(blocks), len(own), [sum(phrases(b, r) for b in blocks) for r in references]))
+    return out
