@@ -2,25 +2,34 @@
 
 The standard library's parser streams a page as events. Events become lines,
 one for each block of running text, with the number of tags met since the line
-before and the elements that enclose it. A line's text-to-tag ratio is its text
-length over its tags; ratios are smoothed with a Gaussian window, lines above a
-threshold form clusters, and the clusters decide by their mass which region of
-the page is the content: the innermost article, main, section, table cell, div
-or body that holds the most of it, or the outermost article or main around
-that. The region's lines are the text, short ones beside long ones too. Navigation, headers and footers of the page, sidebars,
-notices, adverts, forms, comments and unseen elements never become lines; a
-class or id names such a part only as a whole, not as "no-sidebar" does.
+before, the length of its link texts, and the innermost region (article, main,
+section, div, table cell, body, list or table) that holds it. A line's
+text-to-tag ratio is its text outside links over its tags; ratios are smoothed
+with a Gaussian window, runs of lines above a threshold are clusters, and the
+clusters decide by their mass which region of the page is the content: the
+innermost one that holds most of it, or the outermost article or main around
+that. The region's lines are the text, short ones beside long ones too, but for
+blocks that are mostly links where no article or main marks the content.
+
+Navigation, headers and footers of the page, sidebars, notices, adverts, forms,
+reader comments and unseen elements stand apart, articles among them too; a class
+or id names such a part only as a whole, not as "no-sidebar" does. An element
+that stands apart is taken back if what is left of the page is next to nothing,
+as around a page with a form or an advert that is never closed.
 
 Defined cases: a null or empty page, and one without content, give an empty
 text of 0 code points; unclosed and stray tags are read as browsers do in the
-simple cases; a page without markup is one line; repeated rows give repeated
-results; an empty table gives an empty result; other columns are ignored.
+simple cases; a page without markup is one line; pages of any length and depth
+are read whole, in linear time; repeated rows give repeated results; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,8 +38,10 @@ import pyarrow as pa
 from millrace.llm.arrow import map_batches, slices, texts_of
 from pyspark.sql import DataFrame
 
-#: Width of the Gaussian window in lines, share of the mean smoothed ratio that a content line reaches, bytes fed at once.
+#: Width of the Gaussian window in lines, share of the mean smoothed ratio that a content line reaches, characters fed at once.
 SIGMA, THRESHOLD, FEED = 1.5, 0.5, 1 << 16
+#: Share of link text of a menu; share of the page's text that is next to nothing; least length of a line of running text.
+LINKED, NOTHING, RUNNING = 0.7, 0.1, 80
 
 # Kinds of HTML elements, and names that pages give their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,118 +50,169 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead title tr ul".split()
 )
 REGIONS = frozenset("article main section div td body".split())
+LISTS = frozenset("ul ol dl table".split())
 UNSEEN = frozenset("script style noscript template iframe object svg math canvas audio video head title".split())
 APART = frozenset("nav footer aside form menu button select textarea dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-PARTS = frozenset(
-    "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header login menu modal "
-    "nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related respond sharing share sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
+LAYOUT = frozenset("banner footer header menu nav navbar navigation related sidebar toolbar widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+PARTS = LAYOUT | COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement alert breadcrumb breadcrumbs consent cookie cookies disclaimer gdpr login modal newsletter notice notices notification "
+    "pager pagination popup promo promoted promotion sharing share signup social sponsor sponsored subscribe subscription".split()
 )
-#: What the name of a part may be joined with, as in "site-footer".
-JOINED = PARTS | frozenset("area global list site".split())
+#: What the name of a part may be joined with, as in "site-footer", and that of reader comments besides.
+JOINED = frozenset("area articles bar bottom box buttons container global icons inner left links list media page posts primary right secondary section site slot stories top wrapper".split())
+JOINED_COMMENTS = frozenset("article author body content entry form item post reader readers text thread user users".split())
 #: A start tag of the key closes an open element of its values, up to the nearest table or list.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS = frozenset("ul ol dl table select menu".split())
 _NAME = re.compile(r"[A-Za-z]+")
+_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Line:
-    __slots__ = ("text", "tags", "regions")
+    __slots__ = ("text", "tags", "linked", "links", "region", "apart", "head")
 
-    def __init__(self, text: str, tags: int, regions: tuple[int, ...]):
-        self.text, self.tags, self.regions = text, tags, regions
+    def __init__(self, text: str, tags: int, linked: int, links: int, region: int, apart: int, head: bool):
+        self.text, self.tags, self.linked, self.links, self.region, self.apart, self.head = text, tags, linked, links, region, apart, head
+
+
+class Element:
+    __slots__ = ("name", "region", "apart", "unseen", "link", "aside")
+
+    def __init__(self, name: str = "", region: int = 0, apart: int = 0, unseen: bool = False, link: bool = False, aside: tuple | None = None):
+        self.name, self.region, self.apart, self.unseen, self.link = name, region, apart, unseen, link
+        self.aside = aside  # the text before an inline element that stands apart, which goes on after it
 
 
 class Lines(HTMLParser):
-    """Lines of the visible text of a page."""
+    """Lines of the visible text of a page, and the trees of its regions and of the elements that stand apart.
+
+    Regions and elements apart have numbers from 1 on, in the order in which they
+    open, and 0 is none. Each open element knows the innermost of both around it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.articles: set[int] = set()  # regions that are an article or main
-        self._stack: list[tuple[str, int, bool]] = []  # name, number of the region or 0, apart
-        self._apart = 0  # open elements that stand apart
+        self.region_of, self.kind_of, self.apart_in = [0], [""], [0]  # of a region: the one around it, its element, the element apart around it
+        self.apart_of, self.layout = [0], [False]  # of an element apart: the one around it, whether it may be taken back for its text alone
+        self._stack: list[Element] = []
+        self._places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
+        self._blocks: list[int] = []  # where in the stack blocks are
+        self._unseen = 0
         self._text: list[str] = []
-        self._tags = 0
-        self._count = 0
+        self._tags = self._links = self._linked = self._begun = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            self.lines.append(Line(text, self._tags, tuple(r for _, r, _ in self._stack if r)))
+            top = self._stack[-1] if self._stack else Element()
+            head = any(self._places[f"h{k}"] for k in range(1, 7))
+            self.lines.append(Line(text, self._tags, min(self._linked, len(text)), self._begun, top.region, top.apart, head))
             self._tags = 0
+        self._linked = self._begun = 0
 
     def _pop(self, to: int) -> None:
-        for name, _, apart in self._stack[to:]:
-            self._apart -= apart
-            if name in BLOCKS and not self._apart:
+        while len(self._stack) > to:
+            top = self._stack[-1]
+            if (top.name in BLOCKS or top.aside) and not self._unseen:
                 self._flush()
-        del self._stack[to:]
-
-    def _stands_apart(self, tag: str, attrs) -> bool:
-        if tag in UNSEEN or tag in APART:
-            return True
-        if tag in ("html", "body", "main", "article"):
-            return False
-        within = any(name in ("article", "main") for name, _, _ in self._stack)
-        if tag == "header" and not within:
-            return True
+            self._stack.pop()
+            if top.name:
+                self._places[top.name].pop()
+            self._links -= top.link
+            if top.aside:
+                self._text, self._linked = top.aside
+            if self._blocks and self._blocks[-1] == len(self._stack):
+                self._blocks.pop()
+            self._unseen -= top.unseen
+
+    def _judged(self, tag: str, attrs) -> tuple[bool, bool, bool]:
+        """Whether an element is unseen, whether it stands apart, and whether by its place in the layout only."""
+        if tag in UNSEEN:
+            return True, False, False
+        within = bool(self._places["article"] or self._places["main"])
+        apart, layout = tag in APART or tag == "header" and not within, tag in ("form", "header")
         for key, value in attrs:
             value = (value or "").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-                return True
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            if key in ("class", "id") and any(names_part(token) and not (within and token == "header") for token in value.split()):
-                return True
-        return False
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _GONE.search(value):
+                return True, False, False
+            if tag in ("html", "body", "main"):
+                continue
+            if key == "role" and value in ROLES:
+                apart = True
+            if key in ("class", "id"):
+                named = [t for t in value.split() if names_part(t) and not (within and t == "header")]
+                if named:
+                    layout = not apart and all(LAYOUT.issuperset(PARTS.intersection(_NAME.findall(t))) for t in named)
+                    apart = True
+        return False, apart, layout
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        self._tags += 1
-        if tag in ("article", "main") and self._apart:  # an element that was never closed doesn't swallow the content
-            self._pop(next(k for k, x in enumerate(self._stack) if x[2]))
+        self._tags += not self._unseen
         if tag in BLOCKS:
-            if not self._apart:
+            if not self._unseen:
                 self._flush()
-            for k in range(len(self._stack) - 1, -1, -1):  # a block ends an open paragraph and what is inline in it
-                if self._stack[k][0] == "p":
-                    self._pop(k)
-                    break
-                if self._stack[k][0] in BLOCKS:
-                    break
+            if self._blocks and self._stack[self._blocks[-1]].name == "p":  # a block ends an open paragraph and what is inline in it
+                self._pop(self._blocks[-1])
         if tag in CLOSES:
-            for k in range(len(self._stack) - 1, -1, -1):
-                if self._stack[k][0] in KEEPS:
-                    break
-                if self._stack[k][0] in CLOSES[tag]:
-                    self._pop(k)
-                    break
+            last = lambda names: max((self._places[n][-1] for n in names if self._places[n]), default=-1)
+            if (at := last(CLOSES[tag])) > last(KEEPS):
+                self._pop(at)
+        if tag == "a" and self._places["a"]:
+            self.handle_endtag("a")  # links don't nest
         if tag in VOID or tag in ("td", "th"):
             self._text.append(" ")
-        if tag not in VOID:
-            apart = self._stands_apart(tag, attrs)
-            if apart and not self._apart:
-                self._flush()
-            self._apart += apart
-            self._count += 1
-            self._stack.append((tag, self._count if tag in REGIONS else 0, apart))
-            if tag in ("article", "main"):
-                self.articles.add(self._count)
+        if tag in VOID:
+            return
+        top = self._stack[-1] if self._stack else Element()
+        unseen, apart, layout = self._judged(tag, attrs) if attrs or tag in UNSEEN or tag in APART or tag == "header" else (False, False, False)
+        number, region = top.apart, top.region
+        aside = None
+        if apart and tag not in BLOCKS:
+            aside, self._text, self._linked = (self._text, self._linked), [], 0
+        if apart:
+            number = len(self.apart_of)
+            self.apart_of.append(top.apart)
+            self.layout.append(layout)
+        if tag in REGIONS or tag in LISTS:
+            region = len(self.region_of)
+            self.region_of.append(top.region)
+            self.kind_of.append(tag)
+            self.apart_in.append(number)
+        self._unseen += unseen
+        link = tag == "a" and any(key == "href" for key, _ in attrs)
+        self._links += link
+        self._begun += link
+        self._places[tag].append(len(self._stack))
+        if tag in BLOCKS:
+            self._blocks.append(len(self._stack))
+        self._stack.append(Element(tag, region, number, unseen, link, aside))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self._tags += 1
-        for k in range(len(self._stack) - 1, -1, -1):
-            if self._stack[k][0] == tag:
-                self._pop(k)
-                break
+        self._tags += not self._unseen
+        if tag == "p" and not self._unseen:
+            self._flush()
+        if not self._places[tag]:
+            return
+        at = self._places[tag][-1]
+        if tag not in BLOCKS and self._blocks and self._blocks[-1] > at and not self._stack[at].unseen:
+            self._places[tag].pop()  # an inline element that ends within a block which it holds: the block goes on
+            self._links -= self._stack[at].link
+            self._stack[at].name, self._stack[at].link = "", False
+        else:
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
-        if not self._apart:
+        if not self._unseen:
             self._text.append(data)
+            if self._links:
+                self._linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -160,8 +222,49 @@ class Lines(HTMLParser):
 
 def names_part(token: str) -> bool:
     """Whether a class or id names a part of a page that stands apart."""
-    names = _NAME.findall(token)
-    return not PARTS.isdisjoint(names) and JOINED.issuperset(names)
+    names = frozenset(_NAME.findall(token))
+    parts = names & PARTS
+    if not parts or parts == {"header"} and "page" in names:
+        return False
+    rest = names - parts - JOINED
+    return not rest or bool(parts & COMMENTS) and rest <= JOINED_COMMENTS
+
+
+def visible(page: Lines) -> list[Line]:
+    """The lines that do not stand apart, or that are taken back as next to nothing would be left."""
+    apart_of, total = page.apart_of, sum(len(x.text) for x in page.lines)
+    own, running, holds = [0] * len(apart_of), [False] * len(apart_of), [False] * len(apart_of)
+    for x in page.lines:
+        own[x.apart] += len(x.text)
+        running[x.apart] |= x.head or len(x.text) - x.linked > RUNNING
+    for k, kind in enumerate(page.kind_of):
+        holds[page.apart_in[k]] |= kind in ("article", "main")
+    left, back = own[0], {0}
+    if left < NOTHING * total and not any(page.kind_of[r] in ("article", "main") for r in _around(page, [x.region for x in page.lines if not x.apart])):
+        mass, inner = own[:], defaultdict(list)
+        for k in range(len(apart_of) - 1, 0, -1):
+            mass[apart_of[k]] += mass[k]
+            inner[apart_of[k]].append(k)
+        queue = [(-mass[k], k) for k in inner[0]]
+        heapq.heapify(queue)
+        while queue and left < NOTHING * total:
+            _, k = heapq.heappop(queue)
+            if holds[k] or page.layout[k] and running[k]:
+                back.add(k)
+                left += own[k]
+                for j in inner[k]:
+                    heapq.heappush(queue, (-mass[j], j))
+    return [x for x in page.lines if x.apart in back]
+
+
+def _around(page: Lines, regions: list[int]) -> set[int]:
+    """The regions and all around them."""
+    seen: set[int] = set()
+    for r in regions:
+        while r and r not in seen:
+            seen.add(r)
+            r = page.region_of[r]
+    return seen
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -176,37 +279,72 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content(lines: list[Line], articles: set[int]) -> list[Line]:
-    """The lines of the region that the clusters above the threshold choose. articles: regions that are chosen whole."""
+def clusters(ratios: list[float]) -> list[range]:
+    """Runs of lines whose smoothed ratio reaches the threshold."""
+    level = THRESHOLD * sum(ratios) / len(ratios)
+    out: list[range] = []
+    for k, r in enumerate(ratios):
+        if r >= level and r > 0:
+            if out and out[-1].stop == k:
+                out[-1] = range(out[-1].start, k + 1)
+            else:
+                out.append(range(k, k + 1))
+    return out
+
+
+def content(page: Lines) -> list[Line]:
+    """The lines of the region that the clusters choose."""
+    lines = visible(page)
     if not lines:
         return []
-    ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
-    level = THRESHOLD * sum(ratios) / len(ratios)
-    mass: dict[int, float] = {}
-    chosen = [k for k, r in enumerate(ratios) if r >= level]
-    for k in chosen:
-        for region in lines[k].regions:
-            mass[region] = mass.get(region, 0) + len(lines[k].text)
-    if not mass:
-        return [lines[k] for k in chosen]
-    # the innermost region, which opened last, that still holds most of what the clusters hold
-    most = max(mass.values())
-    region = max(r for r, m in mass.items() if m > 0.5 * most)
-    inside = [x for x in lines if region in x.regions]
-    # an article or other region split in siblings: step out while the parent has little else
-    parent = {x.regions[x.regions.index(region) - 1] for x in inside if x.regions.index(region)}
-    while parent:
-        outer = parent.pop()
-        wider = [x for x in lines if outer in x.regions]
-        kept = sum(len(x.text) for x in inside)
-        gained = sum(len(lines[k].text) for k in chosen if outer in lines[k].regions) - sum(len(lines[k].text) for k in chosen if region in lines[k].regions)
-        if gained <= 0.2 * kept:
-            break
-        region, inside = outer, wider
-        parent = {x.regions[x.regions.index(region) - 1] for x in inside if x.regions.index(region)}
-    around = inside[0].regions[: inside[0].regions.index(region) + 1]
-    whole = next((r for r in around if r in articles), region)
-    return [x for x in lines if whole in x.regions]
+    parent, n = page.region_of, len(page.region_of)
+    article = [kind in ("article", "main") for kind in page.kind_of]
+    for r in range(1, n):
+        article[r] |= article[parent[r]]  # or within one
+    size, linked, links, running = [0] * n, [0] * n, [0] * n, [False] * n
+    for x in lines:
+        running[x.region] |= len(x.text) - x.linked > RUNNING
+        size[x.region] += len(x.text)
+        linked[x.region] += x.linked
+        links[x.region] += x.links
+    for r in range(n - 1, 0, -1):
+        size[parent[r]] += size[r]
+        linked[parent[r]] += linked[r]
+        links[parent[r]] += links[r]
+        running[parent[r]] |= running[r]
+    menu = [not article[r] and not running[r] and links[r] > 2 and linked[r] >= LINKED * size[r] for r in range(n)]
+    for r in range(1, n):
+        menu[r] |= menu[parent[r]] and not article[r]
+    lines = [x for x in lines if not menu[x.region]]
+    if not lines:
+        return []
+    found = clusters(smooth([(len(x.text) - x.linked) / max(1, x.tags) for x in lines]))
+    weight = [sum(len(lines[k].text) - lines[k].linked for k in c) for c in found]
+    mass = [0.0] * n
+    for c, w in zip(found, weight, strict=True):
+        if 10 * w >= max(weight):  # a stray cluster has no say
+            for k in c:
+                mass[lines[k].region] += len(lines[k].text) - lines[k].linked
+    for r in range(n - 1, 0, -1):
+        mass[parent[r]] += mass[r]
+    # the innermost region, which opened last, that holds most of what the clusters hold
+    region = max((r for r in range(1, n) if mass[r] > 0.5 * mass[0] and page.kind_of[r] in REGIONS), default=0)
+    while region and mass[parent[region]] - mass[region] > 0.2 * mass[region]:  # one of several siblings
+        region = parent[region]
+    up = region
+    while up:
+        if page.kind_of[up] in ("article", "main"):
+            region = up
+        up = parent[up]
+    inside = [r == region for r in range(n)]
+    for r in range(1, n):
+        inside[r] |= inside[parent[r]]
+    if not region:
+        return lines
+    start = first = next(k for k, x in enumerate(lines) if inside[x.region])
+    while first and page.kind_of[region] not in ("article", "main") and lines[first - 1].head:  # a title in a box of its own
+        first -= 1
+    return lines[first:start] + [x for x in lines if inside[x.region]]
 
 
 def extract(html: str) -> str:
@@ -215,7 +353,7 @@ def extract(html: str) -> str:
     for k in range(0, len(html), FEED):
         parser.feed(html[k : k + FEED])
     parser.close()
-    return "\n".join(x.text for x in content(parser.lines, parser.articles))
+    return "\n".join(x.text for x in content(parser))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

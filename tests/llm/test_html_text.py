@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from helpers import SMALL
@@ -44,6 +45,37 @@ def test_articles_are_whole_and_names_are(page, want):
     assert H.extract(page) == want
 
 
+LINKS = "".join(f"<a href='/{k}'>link number {k} of a long list</a> " for k in range(12))
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p>{LONG}</p></article><section class=comments><article class=comment><p>{LONG}</p></article><article><p>{LONG}</p></article></section>", LONG),
+    (f"<article><p>{LONG}</p></article><section class=comments>" + f"<article class=comment><p>{LONG}</p></article>" * 60 + "</section>", LONG),
+    (f"<article><p>{LONG}</p><ol class='commentlist'><li>{LONG}</ol><div class='reader-comments'>{LONG}</div><div id='comment-7'>{LONG}</div></article>", LONG),
+    (f"<div class='layout with-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"), (f"<div class='main sidebar'><h1>Title</h1><p>{LONG}</p></div>", f"Title\n{LONG}"),
+    (f"<div class=post-header><h1>Title</h1></div><div><p>{LONG}</p></div>", f"Title\n{LONG}"), (f"<div class=page-header><h1>Title</h1></div><p>{LONG}</p>", f"Title\n{LONG}"),
+    (f"<body><div>{LINKS}</div><div class=text><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></body>", f"Title\n{LONG}\nShort.\n{LONG}"),
+    (f"<body><ul>{LINKS}</ul><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div>{LINKS}</div></body>", f"Title\n{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=a>One source</a><li><a href=b>Another</a><li><a href=c>A third</a></ul></article>", f"{LONG}\nOne source\nAnother\nA third"),
+    (f"<form id=all><nav>{LINKS}</nav><div><h1>Title</h1><p>{LONG}</p></div><footer>end</footer></form>", f"Title\n{LONG}"),
+    (f"<nav>never closed <article><p>{LONG}</p></article>", LONG), (f"<nav>{LINKS}</nav><footer>All rights reserved and so on, for a line that is long enough to be the text of a page.</footer>", ""),
+    (f"<article><p>one <span class=ad>buy</span> two <script>x()</script> three <b>four</b><button>Like</button> five.</p><p>{LONG}</p></article>", f"one two three four five.\n{LONG}"),
+    (f"<article><b><p>{LONG}</b> and on</p><p>{LONG}</p></article>", f"{LONG} and on\n{LONG}"), (f"<article><a name=top><p>{LONG}<p><a href=x>Go on<a href=y> here</a> now</article>", f"{LONG}\nGo on here now"),
+    (f"<article>{LONG}</p>more</article>", f"{LONG}\nmore"), (f"<article><p aria-hidden=true>no</p><p>{LONG}</p><p class='share-buttons'>Share</p><p class='shared'>yes</p></article>", f"{LONG}\nyes"),
+    (f"<main><section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2><p>{LONG}</p></section><aside>{LONG}</aside></main>", f"A\n{LONG}\nB\n{LONG}"),
+    (f"<div role=navigation>{LONG}</div><div role=main><p>{LONG}</p></div>", LONG), (f"<div class='widget'><h3>Popular</h3>{LINKS}</div><div id=content><p>{LONG}</p><p>{LONG}</p></div><div class='footer-widgets'>{LONG}</div>", f"{LONG}\n{LONG}"),
+])
+def test_comments_layout_and_links(page, want):
+    assert H.extract(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + LONG, "<div><span>" * 50_000 + LONG + "</b></span>" * 50_000, "<b>" * 50_000 + f"<p>{LONG}</p><div>x</div>" * 20_000, "<ul><li>" * 30_000 + "<li>x" * 30_000, "<div class=ad>" * 50_000 + LONG, "<p>x</p>" * 100_000 + LONG, "<a href=x>" * 50_000 + LONG])
+def test_linear_time(page):
+    began = time.process_time()
+    text = H.extract(page)
+    assert time.process_time() - began < 4 and ("class=ad" in page or "<a " in page or "x" in text or LONG in text)
+
+
 def test_fed_in_pieces(monkeypatch):
     page = f"<article><p>{LONG} &amp; more &eacute;</p><p>{LONG}</p></article>"
     whole = H.extract(page)
