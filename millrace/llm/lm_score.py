@@ -5,7 +5,9 @@ good quality), a background model on all documents. Both are bigram models with
 Dirichlet smoothing towards their unigrams over one shared vocabulary, the
 distinct words of all documents, or 2**WORD_BITS words while they are fewer;
 the background counts are scaled to the target's number of tokens, so that the
-two are matched in size as well. A document's score is the mean over its tokens
+two are matched in size as well. What a document adds to the counts itself is
+left out when it is scored, so that target documents are not judged by their own
+words. A document's score is the mean over its tokens
 of the target loss less the background loss, in nats: the lower, the more it
 reads like the target.
 
@@ -19,7 +21,9 @@ nothing but the number of bytes reaches the driver.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case.
 Defined cases: a null or wordless text has 0 tokens and null losses; without
-any target token all losses are null; rows that repeat an id are scored each,
+any target token all losses are null; a text that alone has target tokens is
+scored by models that know nothing; very long texts are scored whole, by one
+task each; rows that repeat an id are scored each,
 and an id labelled twice is target if any label says so; empty tables give an
 empty result; other columns are ignored.
 """
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of the least vocabulary, bytes of text in a block, least blocks and slabs, blocks for each slab beyond these, and the weights of the unigrams and of each word.
-WORD_BITS, BLOCK, LEAST, FAN, MU, ALPHA = 18, 8_000_000, 64, 4, 32.0, 0.5
+WORD_BITS, BLOCK, LEAST, FAN, MU, ALPHA = 18, 5_000_000, 64, 4, 32.0, 0.5
 
 
 def keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,13 +135,21 @@ def counts(docs: DataFrame, target: str, text_col: str) -> tuple[np.ndarray, np.
     return tuple(np.concatenate([n[word], spare, n[~word]]) for n in both)
 
 
-def losses(table: np.ndarray, own: np.ndarray, pair: np.ndarray, first: np.ndarray, tokens: float, size: int) -> np.ndarray:
-    """Loss of each token under the model whose counts the table holds. first: tokens that begin a text; size: of the vocabulary."""
-    single = (table[own] + ALPHA) / (tokens + ALPHA * size)
-    last = np.zeros(len(own))
-    last[1:] = table[own[:-1]]
+def within(text_of: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How often each token's n-gram occurs in the token's own text."""
+    if not len(which):
+        return np.zeros(0)
+    _, back, n = np.unique(text_of * (int(which.max()) + 1) + which, return_inverse=True, return_counts=True)
+    return n[back].astype(np.float64)
+
+
+def losses(single: np.ndarray, pair: np.ndarray, first: np.ndarray, scale: np.ndarray, tokens: np.ndarray, size: int) -> np.ndarray:
+    """Loss of each token under the model that counts its word and pair so often, times scale. first: tokens that begin a text; size: of the vocabulary."""
+    alone = (single * scale + ALPHA) / (tokens + ALPHA * size)
+    last = np.zeros(len(single))
+    last[1:] = single[:-1]
     last[first] = 0
-    return -np.log((table[pair] + MU * single) / (last + MU))
+    return -np.log((pair * scale + MU * alone) / (last * scale + MU))
 
 
 def score(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,11 +163,19 @@ def score(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col:
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
         _, own, pair, begins = keys(rows.column("_text"))
         (tokens, all_tokens, distinct), table = gathered(totals)
-        matched, size = int(tokens) / max(int(all_tokens), 1), max(1 << WORD_BITS, int(distinct))
+        size = max(1 << WORD_BITS, int(distinct))
         n = np.diff(begins)
         text_of, first = np.repeat(np.arange(len(n)), n), begins[:-1][n > 0]
+        target = np.array(rows.column("_target").to_pylist(), bool)
+        # a text is judged by what the models counted elsewhere
+        words, pairs = within(text_of, own), within(text_of, pair)
+        target_tokens = int(tokens) - n * target
+        scale = (target_tokens / np.maximum(int(all_tokens) - n, 1))[text_of]
+        tokens_of, apart = target_tokens[text_of].astype(np.float64), target[text_of]
+        by_target = losses(table[0][own] - words * apart, table[0][pair] - pairs * apart, first, np.ones(len(own)), tokens_of, size)
+        by_all = losses(table[1][own] - words, table[1][pair] - pairs, first, scale, tokens_of, size)
         with np.errstate(invalid="ignore"):
-            a, b = (np.bincount(text_of, losses(t, own, pair, first, float(tokens), size), len(n)) / n for t in (table[0], table[1] * matched))
+            a, b = (np.bincount(text_of, loss, len(n)) / n for loss in (by_target, by_all))
         none = (n == 0) | (tokens == 0)
         return pa.table([rows.column("_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (a, b, a - b))], names=["_id", "n_tokens", "target_loss", "background_loss", "score"])
 

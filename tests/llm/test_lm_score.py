@@ -14,18 +14,19 @@ DOCS = [(1, "good words make good text"), (2, "good text reads well"), (3, "junk
 def test_scores_are_those_of_the_plain_model(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r for r in M.score(docs, spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id long")).collect()}
-    tables = {}
-    for name, ids in (("t", {1, 2}), ("b", {i for i, _ in DOCS})):
+
+    def counted(ids):
         single, pair = Counter(), Counter()
         for i, t in DOCS:
             if i in ids and t:
                 w = t.split()
                 single.update(w)
                 pair.update(zip([None, *w], w))
-        tables[name] = single, pair
-    n_t, n_b = sum(tables["t"][0].values()), sum(tables["b"][0].values())
+        return single, pair
 
-    def loss(name, text):
+    def loss(name, me, text):
+        tables = {"t": counted({1, 2} - {me}), "b": counted({i for i, _ in DOCS} - {me})}
+        n_t, n_b = sum(tables["t"][0].values()), sum(tables["b"][0].values())
         scale = 1.0 if name == "t" else n_t / n_b
         single, pair = tables[name]
         w, total = text.split(), 0.0
@@ -36,17 +37,20 @@ def test_scores_are_those_of_the_plain_model(spark):
 
     for i, t in DOCS:
         if t:
-            assert got[i]["target_loss"] == pytest.approx(loss("t", t), rel=1e-4)
-            assert got[i]["score"] == pytest.approx(loss("t", t) - loss("b", t), rel=1e-3, abs=1e-4)
+            assert got[i]["target_loss"] == pytest.approx(loss("t", i, t), rel=1e-9)
+            assert got[i]["score"] == pytest.approx(loss("t", i, t) - loss("b", i, t), rel=1e-6, abs=1e-9)
         else:
             assert got[i]["n_tokens"] == 0 and got[i]["score"] is None
     assert got[7]["score"] < got[4]["score"]
 
 
 def test_query_tells_target_from_rest(spark):
-    got = M.op10_lm_score(spark, SMALL).join(table(spark, SMALL, "labels"), "doc_id").filter("score is not null").collect()
+    """Of the language that most documents are in, as a language of few has too little text for a model that leaves the document out."""
+    base = SMALL.replace("sf0.001", "sf0.01")
+    english = table(spark, base, "documents").filter("lang = 'en'").select("doc_id")
+    got = M.op10_lm_score(spark, base).join(table(spark, base, "labels"), "doc_id").join(english, "doc_id").filter("score is not null").collect()
     mean = lambda q: sum(r["score"] for r in got if r["quality"] == q) / max(1, sum(r["quality"] == q for r in got))
-    assert mean(1) < mean(0)
+    assert mean(1) < mean(0) - 0.3
 
 
 def test_odd_rows(odd, none):
@@ -78,11 +82,14 @@ def test_more_words_and_pairs_than_cells_are_told_apart(spark, monkeypatch):
     n, size = [sum(s.values()) for s in single], len(single[1])
     assert len(pair[1]) > 2000 > 2**M.WORD_BITS < size
     for i, t in rows:
-        want = []
-        for k, scale in ((0, 1.0), (1, n[0] / n[1])):
-            loss = 0.0
-            for before, word in zip([None, *t.split()], t.split()):
-                p1 = (single[k][word] * scale + M.ALPHA) / (n[0] + M.ALPHA * size)
-                loss -= math.log((pair[k][before, word] * scale + M.MU * p1) / (single[k][before] * scale + M.MU))
-            want.append(loss / len(t.split()))
+        w, want = t.split(), []
+        mine = Counter(w), Counter(zip([None, *w], w))
+        n_t, n_b = n[0] - len(w) * (i < 40), n[1] - len(w)
+        for k, scale in ((0, 1.0), (1, n_t / n_b)):
+            loss, out = 0.0, k or i < 40
+            for before, word in zip([None, *w], w):
+                one, two, last = single[k][word] - out * mine[0][word], pair[k][before, word] - out * mine[1][before, word], single[k][before] - out * mine[0][before]
+                p1 = (one * scale + M.ALPHA) / (n_t + M.ALPHA * size)
+                loss -= math.log((two * scale + M.MU * p1) / (last * scale + M.MU))
+            want.append(loss / len(w))
         assert [got[i]["target_loss"], got[i]["background_loss"]] == pytest.approx(want, rel=1e-9)
