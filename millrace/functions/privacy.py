@@ -14,9 +14,13 @@ PATTERNS = {
 }
 
 
+#: The address pattern with the same matches in linear time: a run of name characters is tried once, at its start or where the last match ended.
+_LINEAR = {"EMAIL": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
+
+
 def redact(c: Column) -> Column:
     for name, pattern in PATTERNS.items():
-        c = F.regexp_replace(c, pattern, f"<{name}>")
+        c = F.regexp_replace(c, _LINEAR.get(name, pattern), f"<{name}>")
     return c
 
 

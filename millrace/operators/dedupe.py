@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 
 from millrace.functions import hashing
+from millrace.runtime import cut, spread
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,19 +25,49 @@ def new_rows(df: DataFrame, state: DataFrame, key: Column, order: str) -> tuple[
     return fresh, fresh.select("row_hash", F.col(order).alias("first_seen_row"))
 
 
+def bucket_keys(df: DataFrame, text: Column, row_id: str) -> DataFrame:
+    """(row_id, bucket_key): the distinct buckets of each row's text, and of a text too short for a shingle one by its own.
+
+    Texts without a shingle all have the same empty signature; they meet their
+    equals instead of each other. Signatures take long, so that a small table is
+    dealt out to all cores before.
+    """
+    rows = spread(df.select(F.col(row_id).alias("row_id"), text.alias("_text")))
+    sets = rows.select("row_id", "_text", hashing.shingles(F.col("_text")).alias("_set"))
+    apart = F.array(F.concat(F.lit("short:"), F.md5("_text")))
+    buckets = F.when(F.size("_set") > 0, F.array_distinct(hashing.lsh_buckets(hashing.minhash(F.col("_set"))))).otherwise(apart)
+    return sets.filter("_text is not null").select("row_id", F.explode(buckets).alias("bucket_key"))
+
+
 def lsh_samples(df: DataFrame, text: Column, row_id: str, every: int = 50) -> DataFrame:
     """(bucket_key, sampled_row_id, snippet) of every so many rows: what later rows are compared to."""
-    sample = df.filter(F.col(row_id) % every == 0).select(F.col(row_id).alias("sampled_row_id"), text.alias("snippet"))
-    buckets = hashing.lsh_buckets(hashing.minhash(hashing.shingles(F.col("snippet"))))
-    return sample.select(F.explode_outer(buckets).alias("bucket_key"), "sampled_row_id", "snippet").filter("bucket_key is not null").dropDuplicates(["bucket_key", "sampled_row_id"])
+    sample = df.filter(F.col(row_id) % every == 0)
+    keyed = bucket_keys(sample, text, row_id).withColumnRenamed("row_id", "sampled_row_id")
+    return keyed.join(sample.select(F.col(row_id).alias("sampled_row_id"), text.alias("snippet")), "sampled_row_id").select("bucket_key", "sampled_row_id", "snippet")
+
 
+def near_pairs(keys: DataFrame, sample_keys: DataFrame) -> DataFrame:
+    """(row_id, candidate_id): the distinct pairs of rows with samples of a bucket. Only numbers and keys are shuffled."""
+    samples = sample_keys.select("bucket_key", F.col("row_id").alias("candidate_id"))
+    return keys.join(samples, "bucket_key").filter("row_id <> candidate_id").select("row_id", "candidate_id").distinct()
 
-def near_candidates(df: DataFrame, text: Column, row_id: str, samples: DataFrame) -> DataFrame:
-    """(row_id, candidate_id, text, candidate): each row with the sampled rows of its buckets, itself left out."""
+
+def near_candidates(df: DataFrame, text: Column, row_id: str, samples: DataFrame | None = None, every: int = 50) -> DataFrame:
+    """(row_id, candidate_id, text, candidate): each row with the sampled rows of its buckets, itself left out.
+
+    samples: what lsh_samples gave before; without, every so many rows of df are
+    the samples, and each signature is computed once.
+    """
     rows = df.select(F.col(row_id).alias("row_id"), text.alias("text"))
-    keyed = rows.select("row_id", "text", F.explode_outer(hashing.lsh_buckets(hashing.minhash(hashing.shingles(F.col("text"))))).alias("bucket_key"))
-    pairs = keyed.join(samples, "bucket_key").filter("row_id <> sampled_row_id")
-    return pairs.groupBy("row_id", F.col("sampled_row_id").alias("candidate_id")).agg(F.first("text").alias("text"), F.first("snippet").alias("candidate"))
+    keys = bucket_keys(df, text, row_id)
+    if samples is None:
+        keys = cut(keys)
+        pairs = near_pairs(keys, keys.filter(F.col("row_id") % every == 0))
+        snippets = rows.filter(F.col("row_id") % every == 0).select(F.col("row_id").alias("candidate_id"), F.col("text").alias("candidate"))
+    else:
+        pairs = near_pairs(keys, samples.select("bucket_key", F.col("sampled_row_id").alias("row_id")))
+        snippets = samples.select(F.col("sampled_row_id").alias("candidate_id"), F.col("snippet").alias("candidate")).dropDuplicates(["candidate_id"])
+    return pairs.join(rows, "row_id").join(snippets, "candidate_id").select("row_id", "candidate_id", "text", "candidate")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -45,12 +76,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def near_duplicates(df: DataFrame, text: Column, row_id: str, samples: DataFrame, threshold: float = 0.85, how: str = "ratio") -> DataFrame:
+def near_duplicates(df: DataFrame, text: Column, row_id: str, samples: DataFrame | None = None, threshold: float = 0.85, how: str = "ratio", every: int = 50) -> DataFrame:
     """(row_id, candidate_id, similarity) of candidates at or above the threshold; rows are flagged, none dropped.
 
-    how: ratio for the matching-blocks ratio, jaccard for the shingle sets', levenshtein for edits.
+    samples and every: see near_candidates. how: ratio for the matching-blocks ratio, jaccard for the shingle sets', levenshtein for edits.
     """
-    pairs = near_candidates(df, text, row_id, samples)
+    pairs = near_candidates(df, text, row_id, samples, every)
     if how == "ratio":
         score = ratio(F.col("text"), F.col("candidate"))
     elif how == "jaccard":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.functions import hashing, numeric, privacy, quality, text
 from millrace.operators import clean, constraints, dedupe, enrich, lineage, profile, report, shape, vectors
-from millrace.runtime import share_code, table
+from millrace.runtime import share_code, spread, table
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -86,12 +86,12 @@ def shingles(t):
 
 @query(f"WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES} SELECT c_custkey, array_to_string(sig, ',') AS signature FROM sig")
 def minhash_signatures(t):
-    return _customers(t).select("c_custkey", F.array_join(hashing.minhash(hashing.shingles(F.col("snippet"))), ",").alias("signature"))
+    return spread(_customers(t)).select("c_custkey", F.array_join(hashing.minhash(hashing.shingles(F.col("snippet"))), ",").alias("signature"))
 
 
 @query(f"WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS} SELECT c_custkey, bucket_key FROM b")
 def lsh_buckets(t):
-    return _customers(t).select("c_custkey", F.explode_outer(hashing.lsh_buckets(hashing.minhash(hashing.shingles(F.col("snippet"))))).alias("bucket_key"))
+    return spread(_customers(t)).select("c_custkey", F.explode_outer(hashing.lsh_buckets(hashing.minhash(hashing.shingles(F.col("snippet"))))).alias("bucket_key"))
 
 
 @query(f"WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES} SELECT c_custkey, 'bucket_' || (sig[1]::UBIGINT % 100)::VARCHAR AS bucket FROM sig")
@@ -102,37 +102,30 @@ def lsh_bucket_key(t):
 _PAIRS = "p AS (SELECT DISTINCT b.c_custkey AS row_id, s.c_custkey AS candidate_id FROM b JOIN b AS s ON b.bucket_key = s.bucket_key WHERE s.c_custkey % 50 = 0 AND b.c_custkey <> s.c_custkey)"
 
 
-def _near(t):
-    rows = _customers(t)
-    return rows, dedupe.lsh_samples(rows, F.col("snippet"), "c_custkey")
-
-
 @query(f"WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS}, {_PAIRS} SELECT * FROM p")
 def near_dup_candidates(t):
-    rows, samples = _near(t)
-    return dedupe.near_candidates(rows, F.col("snippet"), "c_custkey", samples).select("row_id", "candidate_id")
+    return dedupe.near_candidates(_customers(t), F.col("snippet"), "c_custkey").select("row_id", "candidate_id")
 
 
 @query(f"""WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS}, {_PAIRS}
 SELECT row_id, candidate_id, round(len(list_intersect(a.x, d.x)) / len(list_distinct(list_concat(a.x, d.x))), 9) AS similarity FROM p
 JOIN sh a ON a.c_custkey = row_id JOIN sh d ON d.c_custkey = candidate_id WHERE len(list_intersect(a.x, d.x)) / len(list_distinct(list_concat(a.x, d.x))) >= 0.6""")
 def near_dup_jaccard(t):
-    rows, samples = _near(t)
-    return dedupe.near_duplicates(rows, F.col("snippet"), "c_custkey", samples, 0.6, "jaccard").withColumn("similarity", F.round("similarity", 9))
+    return dedupe.near_duplicates(_customers(t), F.col("snippet"), "c_custkey", None, 0.6, "jaccard").withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"""WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS}, {_PAIRS}
 SELECT row_id, candidate_id, round(1 - levenshtein(a.s, d.s) / greatest(len(a.s), len(d.s), 1), 9) AS similarity FROM p
 JOIN c a ON a.c_custkey = row_id JOIN c d ON d.c_custkey = candidate_id WHERE 1 - levenshtein(a.s, d.s) / greatest(len(a.s), len(d.s), 1) >= 0.85""")
 def near_dup_levenshtein(t):
-    rows, samples = _near(t)
+    rows = _customers(t)
+    samples = dedupe.lsh_samples(rows, F.col("snippet"), "c_custkey")
     return dedupe.near_duplicates(rows, F.col("snippet"), "c_custkey", samples, 0.85, "levenshtein").withColumn("similarity", F.round("similarity", 9))
 
 
 @query()
 def near_dup_ratio(t):
-    rows, samples = _near(t)
-    return dedupe.near_duplicates(rows, F.col("snippet"), "c_custkey", samples, 0.85, "ratio")
+    return dedupe.near_duplicates(_customers(t), F.col("snippet"), "c_custkey", None, 0.85, "ratio")
 
 
 # --------------------------------------------------------------- text cells

@@ -56,7 +56,7 @@ def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense
     near = None
     if near_threshold is not None and columns:
         line = text.snippet([F.lower(F.col(f"`{c}`").cast("string")) for c in columns])
-        near = dedupe.near_duplicates(out, line, row_id, dedupe.lsh_samples(out, line, row_id, every["lsh_every"]), near_threshold)
+        near = dedupe.near_duplicates(out, line, row_id, threshold=near_threshold, every=every["lsh_every"])
     if drop_outliers:
         out = clean.drop_outliers(out)
     return Result(out, stats, near, df)
@@ -84,7 +84,7 @@ def clean_worker(df: DataFrame, row_id: str = "row_id", capacity: int = profile.
     near = None
     if near_threshold is not None:
         line = text.snippet([F.col(f"`{c}`") for c in columns])
-        near = dedupe.near_duplicates(cleaned, line, row_id, dedupe.lsh_samples(cleaned, line, row_id), near_threshold)
+        near = dedupe.near_duplicates(cleaned, line, row_id, threshold=near_threshold)
     flags = clean.impute(kept, stats, ("mode", "median"), empty_is_missing=True)
     scores = lineage.confidence_scores(flags, row_id, [c for c in flags.columns if c.endswith("_was_imputed")], near)
     return Result(cleaned, stats, near, df, changed, lineage.provenance(kept, cleaned, row_id, job_id, columns=columns), scores)

@@ -23,14 +23,30 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that takes far longer than a read.
+
+    Only a table of fewer splits than cores is dealt out, by Catalyst's estimate
+    of its size and without a job; a larger one stays as it is read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a checkpoint in the cluster's shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one
-    (a test on one machine) gets a temporary folder.
+    The folder is the session's spark.checkpoint.dir. A session of one machine
+    without one (a test) gets a temporary folder; on a cluster that is an error,
+    as executors would not see each other's files.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint(eager=True)
