@@ -19,6 +19,12 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.withColumn("_key", key).withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_key", "_r")
 
 
+def repeats(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """The rows that keep_first drops."""
+    first = Window.partitionBy("_key").orderBy(order)
+    return df.withColumn("_key", key).withColumn("_r", F.row_number().over(first)).filter("_r > 1").drop("_key", "_r")
+
+
 def new_rows(df: DataFrame, state: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:
     """The first row of each hash that the state lacks, and what to append to the state (row_hash, first_seen_row)."""
     fresh = keep_first(df.withColumn("row_hash", key).join(state.select("row_hash"), "row_hash", "left_anti"), F.col("row_hash"), order)

@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 
+from millrace.runtime import cut
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -20,7 +21,11 @@ SCHEMAS = {
     "tenant_quotas": "tenant_id string, rows_per_month long, api_calls_per_sec int, max_concurrent_jobs int, updated_at double",
     "tenant_usage": "tenant_id string, period_month string, rows_processed long, api_calls long",
     "lsh_samples": "job_id string, bucket_key string, sampled_row_id long, snippet string",
+    "job_progress": "job_id string, progress double, updated_at double",
+    "cache": "key string, value string, expires_at double, updated_at double",
 }
+#: The column by whose value the records of a table lie in folders of their own, so that a job's can be deleted whole.
+FOLDERS = {n: "id" if n == "jobs" else "job_id" for n in SCHEMAS if n == "jobs" or "job_id" in SCHEMAS[n]}
 
 
 def latest(events: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -42,7 +47,8 @@ class JobStore:
 
     def read(self, name: str) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+            found = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+            return found.select(*[f.split()[0] for f in SCHEMAS[name].split(", ")])
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -50,7 +56,8 @@ class JobStore:
 
     def append(self, name: str, rows: DataFrame | list[tuple]) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name])
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+        out = df.write.mode("append")
+        (out.partitionBy(FOLDERS[name]) if name in FOLDERS else out).parquet(f"{self.path}/{name}")
 
     def create_job(self, tenant: str, dataset: str, metadata: dict | None = None) -> str:
         job = str(uuid.uuid4())
@@ -72,7 +79,7 @@ class JobStore:
     def add_hashes(self, job: str, hashes: DataFrame) -> DataFrame:
         """Append hashes that the job lacks; gives those appended."""
         have = self.read("row_hashes").filter(F.col("job_id") == job).select("row_hash")
-        fresh = hashes.join(have, "row_hash", "left_anti").select(F.lit(job).alias("job_id"), "row_hash", "first_seen_row")
+        fresh = cut(hashes.join(have, "row_hash", "left_anti").select(F.lit(job).alias("job_id"), "row_hash", "first_seen_row"))
         self.append("row_hashes", fresh)
         return fresh
 
@@ -99,6 +106,35 @@ class JobStore:
     def usage(self) -> DataFrame:
         return self.read("tenant_usage").groupBy("tenant_id", "period_month").agg(F.sum("rows_processed").alias("rows_processed"), F.sum("api_calls").alias("api_calls"))
 
-    def forget(self, job: str) -> dict[str, DataFrame]:
-        """The tables without a job's rows, for a rewrite by the caller."""
-        return {n: self.read(n).filter(F.col("id" if n == "jobs" else "job_id") != job) for n in ("jobs", "row_hashes", "imputation_stats", "cell_provenance", "audit_logs", "lsh_samples")}
+    def add_samples(self, job: str, samples: DataFrame) -> DataFrame:
+        """Append LSH samples (bucket_key, sampled_row_id, snippet) that the job lacks; gives those appended."""
+        have = self.read("lsh_samples").filter(F.col("job_id") == job).select("bucket_key", "sampled_row_id")
+        fresh = samples.dropDuplicates(["bucket_key", "sampled_row_id"]).join(have, ["bucket_key", "sampled_row_id"], "left_anti").select(F.lit(job).alias("job_id"), "bucket_key", "sampled_row_id", "snippet")
+        fresh = cut(fresh)
+        self.append("lsh_samples", fresh)
+        return fresh
+
+    def set_progress(self, job: str, progress: float) -> None:
+        self.append("job_progress", [(job, float(progress), time.time())])
+
+    def progress(self, job: str) -> float | None:
+        row = latest(self.read("job_progress").filter(F.col("job_id") == job), ["job_id"], "updated_at").first()
+        return row and row["progress"]
+
+    def remember(self, key: str, value: str, seconds: float = 86_400) -> None:
+        """Cache a value under a key for so long."""
+        self.append("cache", [(key, value, time.time() + seconds, time.time())])
+
+    def recall(self, key: str) -> str | None:
+        """The last value of a key, unless its time is over."""
+        row = latest(self.read("cache").filter(F.col("key") == key), ["key"], "updated_at").first()
+        return row["value"] if row and row["expires_at"] > time.time() else None
+
+    def forget(self, job: str) -> list[str]:
+        """Delete all records of a job, a folder a table; gives the tables that had some."""
+        context, out = self.spark.sparkContext, []
+        for name, column in FOLDERS.items():
+            folder = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{column}={job}")
+            if folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True):
+                out.append(name)
+        return out

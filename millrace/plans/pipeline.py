@@ -38,15 +38,16 @@ class Result:
     extra: dict = field(default_factory=dict)
 
 
-def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense", near_threshold: float | None = 0.85, merge: bool = True, lower: bool = True, keep_punctuation: bool = True, drop_outliers: bool = False, exact: bool = True) -> Result:
+def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense", near_threshold: float | None = 0.85, merge: bool = True, lower: bool = True, keep_punctuation: bool = True, drop_outliers: bool = False) -> Result:
     """The full pipeline. Hashes cover all columns but the row number."""
     every = PRESETS[intensity]
     columns = [c for c in df.columns if c != row_id]
     stats = profile.as_dict(profile.profile(df, row_id, every["numeric_every"], every["mode_every"]))
     kept = dedupe.keep_first(df, hashing.row_hash([F.col(f"`{c}`") for c in columns]), row_id)
+    stats = profile.fallbacks(kept, stats, row_id)
     filled = clean.impute(kept, stats)
     numbers = [c for c in shape.columns_of(df, "int", "bigint", "smallint", "tinyint", "double", "float", "decimal") if c != row_id]
-    flagged = clean.outlier_flags(filled, numbers, exact=exact) if numbers else filled
+    flagged = clean.outlier_flags(filled, numbers) if numbers else filled
     words = shape.columns_of(df, "string")
     out = clean.strip_columns(flagged, words)
     if lower:
@@ -70,21 +71,36 @@ def report_of(result: Result, row_id: str = "row_id", every: int = 10) -> dict:
     return report.document(figures, result.stats, before, after, (dict(result.before.dtypes), dict(result.cleaned.dtypes)))
 
 
-def clean_worker(df: DataFrame, row_id: str = "row_id", capacity: int = profile.CAPACITY, job_id: str = "job", near_threshold: float | None = None, exclude: tuple[str, ...] = ("id",)) -> Result:
-    """The row-wise pipeline. Hashes leave out the row number and the excluded columns; modes fill before medians."""
+def clean_worker(df: DataFrame, row_id: str = "row_id", capacity: int = profile.CAPACITY, job_id: str = "job", near_threshold: float | None = None, exclude: tuple[str, ...] = ("id",), every: int = 1, lsh_every: int = 50, seen: DataFrame | None = None) -> Result:
+    """The row-wise pipeline. Hashes leave out the row number and the excluded columns; modes fill before medians.
+
+    Provenance has a record for each changed cell and one for each row that went
+    as an exact duplicate. Changes are told from the same projection that cleans.
+    every: rows that vote on types and are sampled; seen: row hashes of earlier
+    jobs (row_hash), whose rows go as duplicates.
+    """
     columns = [c for c in df.columns if c != row_id]
-    sample = profile.reservoir(df, columns, row_id, capacity)
-    votes = profile.type_votes(df, columns, row_id, 1)
+    sample = profile.reservoir(shape.sampled(df, row_id, every), columns, row_id, capacity)
+    votes = profile.type_votes(df, columns, row_id, every)
     stats = {r["column"]: r.asDict() for r in votes.join(profile.medians(sample), "column", "left").join(profile.modes_lowest(sample), "column", "left").collect()}
     for s in stats.values():
         s["median"] = s["median"] if s["is_numeric"] else None
-    kept = dedupe.keep_first(df, hashing.content_hash(df.drop(row_id), exclude), row_id)
-    cleaned = clean.clean_rows(kept, stats, skip=(row_id,))
-    changed = lineage.changes(kept, cleaned, row_id, columns)
-    near = None
+    hashed = hashing.content_hash(df.drop(row_id), exclude)
+    kept, repeats = dedupe.keep_first(df, hashed, row_id), dedupe.repeats(df, hashed, row_id)
+    if seen is not None:
+        known = seen.select(F.col("row_hash").alias("_seen")).distinct()
+        repeats = repeats.union(kept.join(known, hashed == F.col("_seen"), "left_semi"))
+        kept = kept.join(known, hashed == F.col("_seen"), "left_anti")
+    cells = clean.row_cells(kept, stats, skip=(row_id,))
+    cleaned = kept.select(*[cell.alias(c) for c, cell in cells.items()])
+    changed = lineage.changed(lineage.cell_pairs(lineage.side_by_side(kept, cells, row_id, columns)))
+    near, extra = None, {}
     if near_threshold is not None:
         line = text.snippet([F.col(f"`{c}`") for c in columns])
-        near = dedupe.near_duplicates(cleaned, line, row_id, threshold=near_threshold)
+        extra["samples"] = dedupe.lsh_samples(cleaned, line, row_id, lsh_every)
+        near = dedupe.near_duplicates(cleaned, line, row_id, threshold=near_threshold, every=lsh_every)
     flags = clean.impute(kept, stats, ("mode", "median"), empty_is_missing=True)
     scores = lineage.confidence_scores(flags, row_id, [c for c in flags.columns if c.endswith("_was_imputed")], near)
-    return Result(cleaned, stats, near, df, changed, lineage.provenance(kept, cleaned, row_id, job_id, columns=columns), scores)
+    records = lineage.records(changed, job_id).unionByName(lineage.duplicate_records(repeats, row_id, job_id))
+    extra["hashes"] = kept.select(hashed.alias("row_hash"), F.col(row_id).alias("first_seen_row"))
+    return Result(cleaned, stats, near, df, changed, records, scores, extra)

@@ -16,9 +16,11 @@ class QuotaExceeded(Exception):
     """A tenant has no rows left this month."""
 
 
-def submit_job(store: JobStore, path: str, tenant: str, dataset: str, output_dir: str, user: str = "system", pii: dict[str, str] | None = None, salt: str = "", near_threshold: float | None = None) -> str:
+def submit_job(store: JobStore, path: str, tenant: str, dataset: str, output_dir: str, user: str = "system", pii: dict[str, str] | None = None, salt: str = "", near_threshold: float | None = None, after: str | None = None) -> str:
     """Clean a file as a tenant's job; gives the job's id.
 
+    after: an earlier job whose rows count as seen, so that only new ones stay.
+
     Results lie under output_dir/<job>; the store has status, statistics,
     hashes, provenance, audit records and usage. A failure is recorded and raised.
     """
@@ -26,17 +28,24 @@ def submit_job(store: JobStore, path: str, tenant: str, dataset: str, output_dir
     store.audit(job, user, "submit", {"path": path})
     try:
         store.update_status(job, "pass1_running")
+        store.set_progress(job, 0.0)
         rows = shape.with_row_id(privacy.protect(readers.read_any(store.spark, path), pii or {}, salt))
         month, n = time.strftime("%Y-%m"), rows.count()
         _charge(store, tenant, month, n)
-        result = pipeline.clean_worker(rows, job_id=job, near_threshold=near_threshold)
+        seen = None if after is None else store.read("row_hashes").filter(F.col("job_id") == after).select("row_hash")
+        result = pipeline.clean_worker(rows, job_id=job, near_threshold=near_threshold, seen=seen)
         store.save_stats(job, store.spark.createDataFrame([(c, s["median"], s["mode"]) for c, s in result.stats.items()], "column string, median double, mode string"))
         store.update_status(job, "pass2_running")
+        store.set_progress(job, 0.5)
         sinks.write(result.cleaned, f"{output_dir}/{job}/cleaned.parquet")
         store.append("cell_provenance", result.provenance)
+        store.add_hashes(job, result.extra["hashes"])
+        if near_threshold is not None:
+            store.add_samples(job, result.extra["samples"])
         figures = lineage.worker_stats(rows, result.cleaned, result.changes, result.scores).first().asDict()
         sinks.write_report(store.spark, {"job": job, "worker": figures, "stats": result.stats}, f"{output_dir}/{job}/report.json")
         store.audit(job, user, "finish", figures)
+        store.set_progress(job, 1.0)
         store.update_status(job, "success")
     except Exception as e:
         store.update_status(job, "failed", str(e)[:1000])

@@ -48,16 +48,26 @@ def sorted_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in sorted(df.columns)])
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header; the usual spellings of a missing value are null.
 
-    multi_line: whether quoted values may hold line ends; without, Spark splits large files among tasks.
+    multi_line: whether quoted values may hold line ends, which takes a task a
+    file; without, Spark splits large files among tasks. By default the files
+    are searched for such values, up to the first one.
     """
+    multi_line = broken_lines(spark, path) if multi_line is None else multi_line
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     known = raw.select(*[F.when(~F.col(f"`{c}`").isin(NA), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return typed(known) if infer else known
 
 
+def broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line of a CSV has an odd number of quotes, so that a quoted value goes on in the next."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
+
+
 def typed(df: DataFrame) -> DataFrame:
     """Text columns as long or double where all values read so; one pass over the data."""
     if not df.columns:
@@ -93,7 +103,9 @@ def read_xls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def head(spark: SparkSession, path: str, rows: int = 2000) -> DataFrame:
-    """The first rows of a file as CSV, or as JSON lines if it is none."""
-    if suffix(path) in ("jsonl", "ndjson", "json"):
-        return read_jsonl(spark, located(path), strict=False).limit(rows)
-    return read_csv(spark, located(path)).limit(rows)
+    """The first rows of a file as CSV, or as JSON lines if its first line is an object; only these rows are parsed."""
+    lines = [r["value"] for r in spark.read.text(located(path)).limit(rows + 1).collect()]
+    if lines and lines[0].lstrip().startswith("{"):
+        return sorted_columns(spark.read.option("mode", "DROPMALFORMED").json(spark.sparkContext.parallelize(lines[:rows], 1)))
+    raw = spark.read.option("header", True).option("escape", '"').csv(spark.sparkContext.parallelize(lines, 1))
+    return typed(raw.select(*[F.when(~F.col(f"`{c}`").isin(NA), F.col(f"`{c}`")).alias(c) for c in raw.columns]))

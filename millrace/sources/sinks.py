@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = False) -> None:
-    """By suffix: .csv with a header, .jsonl as JSON lines, .parquet (or none) as snappy Parquet; anything else is an error.
+    """By suffix: .csv with a header, .jsonl as JSON lines, .xlsx for a small table, .parquet (or none) as snappy Parquet; anything else is an error.
 
     one_file writes through a single task and is for small results.
     """
@@ -20,6 +20,10 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = Fa
         out.option("header", True).option("escape", '"').csv(path)
     elif kind in ("jsonl", "ndjson"):
         out.json(path)
+    elif kind == "xlsx":
+        from millrace.sources.xlsx import write_workbook
+
+        write_workbook(df, path)
     elif kind in ("parquet", ""):
         out.option("compression", "snappy").parquet(path)
     else:
@@ -28,8 +32,9 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool = Fa
 
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """A report as one JSON document, through Spark's file systems."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
-    target = hadoop.fs.Path(path)
+    from millrace.sources.readers import located
+
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(located(path))
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     try:
         stream.write(bytearray(json.dumps(report, default=str, ensure_ascii=False, indent=2).encode()))

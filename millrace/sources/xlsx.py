@@ -7,7 +7,9 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -16,9 +18,10 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 
 
 def _open(path: str) -> zipfile.ZipFile:
-    """The workbook through Arrow's file systems, which know remote schemes and local paths."""
+    """The workbook through Arrow's file systems, which know remote schemes and local paths (S3 by s3, not by Hadoop's s3a)."""
     from pyarrow import fs
 
+    path = "s3" + path[3:] if path.startswith("s3a:") else path
     system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     with system.open_input_file(inner) as f:
         return zipfile.ZipFile(io.BytesIO(f.read()))
@@ -69,7 +72,16 @@ def rows(book: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[list
 
 
 def header(first: list[str | None]) -> list[str]:
-    return [name if name is not None else f"col_{i}" for i, name in enumerate(first)]
+    """The names of a sheet's first row; a lacking one by its place, one that repeats with a number."""
+    out: list[str] = []
+    for i, name in enumerate(first):
+        name = name if name is not None else f"col_{i}"
+        again, k = name, 0
+        while again in out:
+            k += 1
+            again = f"{name}.{k}"
+        out.append(again)
+    return out
 
 
 class SheetPartition(InputPartition):
@@ -112,3 +124,43 @@ class WorkbookReader(DataSourceReader):
                 cells = dict(zip(own, line, strict=False))
                 if any(v is not None for v in cells.values()):
                     yield tuple(cells.get(n) for n in self.names)
+
+
+#: Rows of a sheet, a fixed value of the format; a workbook is written by the driver.
+LIMIT = 1_048_576
+
+
+def write_workbook(df: DataFrame, path: str) -> None:
+    """A table of at most LIMIT rows as a workbook of one sheet, through Spark's file systems; a larger one is an error."""
+    found = df.limit(LIMIT).collect()
+    if len(found) == LIMIT:
+        raise ValueError(f"a sheet holds {LIMIT - 1} rows and a header: write .parquet or .csv")
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+        main, office = _MAIN.strip("{}"), _LINK[1 : _LINK.index("}")]
+        package = "http://schemas.openxmlformats.org/package/2006"
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        book.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+        book.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        with book.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+            for row in [df.columns, *found]:
+                f.write(("<row>" + "".join(map(cell, row)) + "</row>").encode())
+            f.write(b"</sheetData></worksheet>")
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(buffer.getvalue()))
+    finally:
+        stream.close()

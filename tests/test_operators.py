@@ -72,6 +72,81 @@ def test_outliers(spark):
     assert clean.drop_outliers(flagged).count() == 8
 
 
+@pytest.mark.parametrize("make", [lambda i: i, lambda i: i % 7, lambda i: 5.0 if i < 1500 else 6.0, lambda i: -(i * i % 997) / 3, lambda i: 1e300 if i % 3 == 0 else float(i), lambda i: None if i % 2 else float("nan") if i % 10 == 0 else i])
+@pytest.mark.parametrize("room", [10, 100, 10_000])
+def test_quantiles_are_exact_in_any_room(spark, make, room):
+    import numpy as np
+
+    values = [make(i) for i in range(3000)]
+    df = spark.createDataFrame([(i, None if v is None else float(v), v is not None) for i, v in enumerate(values)], "i long, v double, w boolean").repartition(5)
+    real = np.array([v for v in values if v is not None and v == v], float)
+    want = np.quantile(real, [0, 0.25, 0.4999, 0.5, 0.75, 1])
+    assert profile.quantiles(df, ["v"], [0, 0.25, 0.4999, 0.5, 0.75, 1], room)["v"] == pytest.approx(list(want), rel=1e-12)
+    assert profile.quantiles(df.limit(0), ["v"], [0.5], room) == {"v": [None]}
+
+
+def test_reservoir_is_bounded_before_it_is_ranked(spark):
+    df = spark.range(20_000).withColumn("x", F.col("id") * 2).withColumn("few", F.when(F.col("id") < 30, F.col("id")))
+    sample = profile.reservoir(df, ["x", "few"], "id", 50)
+    import hashlib
+
+    want = sorted(range(20_000), key=lambda i: hashlib.sha256(f"x_v1|{i}".encode()).hexdigest()[:16])[:50]
+    got = sample.collect()
+    assert sorted(r["row_id"] for r in got if r["column"] == "x") == sorted(want) and sum(r["column"] == "few" for r in got) == 30
+
+
+def test_impute_widens_whole_numbers(spark):
+    df = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, n int")
+    out = clean.impute(df, {"n": {"median": 1.5, "mode": None}})
+    assert dict(out.dtypes)["n"] == "double" and [r["n"] for r in out.orderBy("id").collect()] == [1.5, 1.0, 2.0]
+    assert dict(clean.impute(df, {"n": {"median": 2.0, "mode": "1"}}).dtypes)["n"] == "int"
+
+
+def test_fallback_statistics(spark):
+    df = spark.createDataFrame([(0, None, None, None), (1, 3.0, "b", None), (2, 5.0, "a", None), (3, None, None, None)], "row_id long, x double, s string, z string")
+    stats = profile.fallbacks(df, {"x": {"median": None, "mode": None}}, "row_id")
+    assert stats["x"]["median"] == 4.0 and stats["s"]["mode"] == "a" and stats["z"]["mode"] is None
+    assert profile.fallbacks(df, {c: {"median": None, "mode": "m"} for c in "xsz"}, "row_id") == {c: {"median": None, "mode": "m"} for c in "xsz"}
+
+
+def test_merge_categories_in_one_job(spark):
+    df = spark.createDataFrame([(0, "active", "x1"), (1, "activee", "x2"), (2, "pending", "x3")], "i long, c string, d string").withColumn("many", F.concat(F.lit("value"), F.col("i")))
+    wide = spark.range(600).selectExpr("id as i", "concat('v', id) as c")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("merge"))
+    spark.sparkContext.setJobGroup("merge", "")
+    aliases = clean.category_aliases(df, ["c", "d", "many"], "i")
+    assert aliases["c"]["activee"] == "active" and jobs() <= 3  # the parts of one adaptive plan
+    spark.sparkContext.setJobGroup("other", "")
+    assert clean.category_aliases(wide, ["c"], "i") == {} and clean.category_aliases(df, [], "i") == {}
+
+
+def test_lineage_needs_no_join(spark, rows):
+    plan = pipeline.clean_worker(rows).changes._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_short_texts_meet_their_equals(spark):
+    df = spark.createDataFrame([(0, "ab"), (1, "cd"), (2, "ab"), (50, "ab"), (3, None), (4, "a longer text of words"), (100, "a longer text of words!")], "id long, s string")
+    pairs = {(r["row_id"], r["candidate_id"]) for r in dedupe.near_candidates(df, F.col("s"), "id").collect()}
+    assert {(2, 0), (50, 0), (0, 50), (2, 50), (4, 100)} <= pairs and not any(1 in p or 3 in p for p in pairs)
+    samples = dedupe.lsh_samples(df, F.col("s"), "id")
+    assert {(r["row_id"], r["candidate_id"]) for r in dedupe.near_candidates(df, F.col("s"), "id", samples).collect()} == pairs
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "x" * 1_000_000, "." * 1_000_000 + "a", "a." * 500_000 + "@", "a" + "!" * 1_000_000 + "b"])
+def test_long_cells_take_linear_time(spark, text):
+    import time
+
+    from millrace.functions import privacy
+    from millrace.functions import text as T
+
+    df = spark.createDataFrame([(text,)], "s string").cache()
+    df.count()
+    began = time.time()
+    df.select(T.strip(F.col("s")), T.clean_text(F.col("s")), privacy.redact(F.col("s"))).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 5
+
+
 def test_merge_categories(spark):
     df = spark.createDataFrame([(0, "active"), (1, "activee"), (2, "pending"), (3, None)], "i long, c string")
     assert [r["c"] for r in clean.merge_categories(df, ["c"], "i").orderBy("i").collect()] == ["active", "active", "pending", None]

@@ -17,6 +17,19 @@ def test_submit(spark, tmp_path):
     assert store.read("audit_logs").count() == 2 and store.usage().first()["rows_processed"] == 4
 
 
+def test_a_second_job_sees_the_first(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(CSV)
+    (tmp_path / "b.csv").write_text(CSV + "9,New Person,n@x.org,7\n")
+    store, out = JobStore(spark, str(tmp_path / "meta")), str(tmp_path / "out")
+    first = service.submit_job(store, str(tmp_path / "a.csv"), "t", "people", out, near_threshold=0.85)
+    assert store.read("row_hashes").count() == 3 and store.progress(first) == 1.0 and store.read("lsh_samples").count() > 0
+    second = service.submit_job(store, str(tmp_path / "b.csv"), "t", "people", out, after=first)
+    assert [r["name"] for r in service.result(store, second, out).collect()] == ["new person"]
+    gone = store.read("cell_provenance").filter(f"job_id = '{second}' and transformation_id = 'exact_duplicate'")
+    assert gone.count() == 4
+    assert "cell_provenance" in store.forget(second) and store.read("row_hashes").count() == 3
+
+
 def test_quota_and_failure(spark, tmp_path):
     (tmp_path / "a.csv").write_text(CSV)
     store = JobStore(spark, str(tmp_path / "meta"))

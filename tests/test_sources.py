@@ -100,6 +100,48 @@ def test_cli(spark, tmp_path):
     assert cli.main(["generate", "--rows", "10", "--output", str(tmp_path / "g.csv")], spark) == {"rows": 10}
 
 
+def shout(frames):
+    for f in frames:
+        yield f.assign(name=f["name"].str.upper())
+
+
+def test_cli_run_and_flags(spark, tmp_path, monkeypatch):
+    put(tmp_path / "a.csv", "id,name,score\n1, Ann ,1.5\n2,Bob,\n3,Cid,2.5\n4,Cid,2.5\n")
+    out = cli.main(["run", "-i", str(tmp_path / "a.csv"), "-o", str(tmp_path / "out"), "--debug", "--intensity", "intense", "--enable-llm", "--provider", "test_sources:shout"], spark)
+    stats = json.loads((tmp_path / "out/stats_a.json").read_text())
+    assert stats["pass1"]["row_count"] == 4 and stats["pass2"]["rows_kept"] == 3 == readers.read_any(spark, str(tmp_path / "out/cleaned_a.csv")).count() and out["worker"]["rows_dropped"] == 1
+    assert {r["name"] for r in spark.read.parquet(str(tmp_path / "out/analysed.parquet")).collect()} == {"ANN", "BOB", "CID"}
+    assert spark.read.parquet(str(tmp_path / "out/provenance.parquet")).filter("transformation_id = 'exact_duplicate' and confidence_score = 0").count() == 1
+    with pytest.raises(SystemExit):
+        cli.main(["run", "-i", str(tmp_path / "a.csv"), "-o", str(tmp_path / "x"), "--enable-llm"], spark)
+
+
+def test_csv_is_split_unless_values_span_lines(spark, tmp_path):
+    plain, broken = put(tmp_path / "p.csv", 'a,b\n1,"x ""y"" z"\n'), put(tmp_path / "b.csv", 'a,b\n1,"x\ny"\n')
+    assert not readers.broken_lines(spark, plain) and readers.broken_lines(spark, broken)
+    assert readers.read_any(spark, plain).first()["b"] == 'x "y" z' and readers.read_any(spark, broken).first()["b"] == "x\ny"
+
+
+def test_head(spark, tmp_path):
+    csv = put(tmp_path / "a.csv", "a,b\n" + "".join(f"{i},x{i}\n" for i in range(50)))
+    assert [r["a"] for r in readers.head(spark, csv, 5).collect()] == [0, 1, 2, 3, 4]
+    odd = put(tmp_path / "a.txt", "".join(json.dumps({"b": i, "a": "x"}) + "\n" for i in range(9)))
+    assert readers.head(spark, odd, 4).columns == ["a", "b"] and readers.head(spark, odd, 4).count() == 4
+
+
+def test_workbook_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a<b ", 1.5), (2, None, None)], "id long, name string, x double")
+    sinks.write(df, str(tmp_path / "w.xlsx"))
+    back = readers.read_any(spark, str(tmp_path / "w.xlsx"))
+    assert dict(back.dtypes) == dict(df.dtypes) and sorted(map(tuple, back.collect())) == [(1, " a<b ", 1.5), (2, None, None)]
+
+
+def test_repeated_names_in_a_sheet():
+    from millrace.sources.xlsx import header
+
+    assert header(["a", "a", None, "a", "b"]) == ["a", "a.1", "col_2", "a.2", "b"]
+
+
 def test_job_store(spark, tmp_path):
     store = JobStore(spark, str(tmp_path / "meta"))
     assert store.get_job("none") is None
@@ -119,6 +161,16 @@ def test_job_store(spark, tmp_path):
     store.add_usage("t", "2024-01", 10)
     store.add_usage("t", "2024-01", 5, 2)
     assert store.quota("t")["rows_per_month"] == 6 and store.usage().first()["rows_processed"] == 15
-    assert store.forget(job)["jobs"].count() == 0
+    store.add_samples(job, spark.createDataFrame([("b1", 0, "x"), ("b1", 0, "x"), ("b2", 0, "x")], "bucket_key string, sampled_row_id long, snippet string"))
+    assert store.add_samples(job, spark.createDataFrame([("b1", 0, "x"), ("b3", 0, "x")], "bucket_key string, sampled_row_id long, snippet string")).count() == 1
+    store.set_progress(job, 0.25)
+    store.set_progress(job, 0.5)
+    store.remember("k", "v")
+    store.remember("old", "v", -1)
+    assert store.progress(job) == 0.5 and store.recall("k") == "v" and store.recall("old") is None and store.recall("none") is None
+    other = store.create_job("t", "d2")
+    assert {"jobs", "row_hashes", "imputation_stats", "audit_logs", "lsh_samples", "job_progress"} == set(store.forget(job))
+    assert store.get_job(job) is None and store.read("row_hashes").count() == 0 and store.get_job(other)["status"] == "queued" and store.forget(job) == []
+    job = other
     with pytest.raises(ValueError):
         store.update_status(job, "lost")
