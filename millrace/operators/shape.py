@@ -40,6 +40,11 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     return df.select(*leaves(df.schema, ()))
 
 
+def at_path(raw: Column, path: str, kind: str = "string") -> Column:
+    """A field of JSON text by its path, null where a row lacks it or has another kind; for rows whose fields drift."""
+    return F.try_variant_get(F.try_parse_json(raw), path, kind)
+
+
 def align(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exactly these columns in this order; lacking ones are null."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])

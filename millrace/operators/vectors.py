@@ -7,8 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries held in a task at a time.
-QUERIES = 1024
+#: Queries held in a task at a time, and vectors that an approximate index is fitted on.
+QUERIES, SAMPLE = 1024, 20_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -16,55 +16,131 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     Exact. A stated set of queries goes to all tasks in blocks of QUERIES; each
     task keeps k rows a query and batch, so the shuffle holds no more than that.
+    Ids are of any type that sorts.
     """
-    out = None
-    found = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).toLocalIterator()
-    block: list = []
+    import numpy as np
 
-    def add(rows: list):
-        nonlocal out
-        part = _block(vectors, [r["q"] for r in rows], [r["v"] for r in rows], k, id_col, vector_col)
-        out = part if out is None else out.union(part)
+    def every(ids: list, points):
+        def best(own, grid):
+            for q, point in zip(ids, points, strict=True):
+                yield q, own, np.sqrt(((grid - point) ** 2).sum(1))
+
+        return best
+
+    asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).filter("v is not null")
+    return _search(vectors, asked, k, id_col, vector_col, every)
 
-    for row in found:
+
+def _search(vectors: DataFrame, asked: DataFrame, k: int, id_col: str, vector_col: str, plan) -> DataFrame:
+    """The k best of what plan(ids, points) gives for each batch, over blocks of the queries."""
+    out, block = None, []
+    for row in asked.toLocalIterator():  # a block at a time
         block.append(row)
         if len(block) == QUERIES:
-            add(block)
-            block = []
+            part, block = _block(vectors, block, k, id_col, vector_col, plan), []
+            out = part if out is None else out.union(part)
     if block or out is None:
-        add(block)
+        part = _block(vectors, block, k, id_col, vector_col, plan)
+        out = part if out is None else out.union(part)
     order = Window.partitionBy("query_id").orderBy("distance", id_col)
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _block(vectors: DataFrame, ids: list, queries: list, k: int, id_col: str, vector_col: str) -> DataFrame:
+def _block(vectors: DataFrame, asked: list, k: int, id_col: str, vector_col: str, plan) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    points = np.array(queries, np.float64) if queries else np.zeros((0, 1))
+    ids = [r["q"] for r in asked]
+    points = np.array([r["v"] for r in asked], np.float64) if asked else np.zeros((0, 1))
+    best = plan(ids, points) if asked else None
+    kind = vectors.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(points):
+            if not batch.num_rows or best is None:
                 continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+            own = np.array(batch.column(0).to_pylist())
             grid = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            for q, point in zip(ids, points, strict=True):
-                far = np.sqrt(((grid - point) ** 2).sum(1))
-                far[own == q] = np.inf
-                best = np.lexsort((own, far))[:k]
-                best = best[np.isfinite(far[best])]
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.int64()), pa.array(own[best].astype(np.int64)), pa.array(far[best])], names=["query_id", id_col, "distance"])
+            for q, names, far in best(own, grid):
+                at = np.flatnonzero(names != q)
+                order = np.lexsort((names[at], far[at]))[:k] if len(at) <= k else _least(names[at], far[at], k)
+                at = at[order]
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), batch.column(0).type), pa.array(names[at].tolist(), batch.column(0).type), pa.array(far[at])], names=["query_id", id_col, "distance"])
+
+    return vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()).mapInArrow(run, f"query_id {kind}, {id_col} {kind}, distance double")
 
-    return vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()).mapInArrow(run, f"query_id long, {id_col} long, distance double")
 
+def _least(names, far, k: int):
+    """The places of the k smallest distances, of equals the smaller names."""
+    import numpy as np
+
+    bound = np.partition(far, k - 1)[k - 1]
+    few = np.flatnonzero(far <= bound)
+    return few[np.lexsort((names[few], far[few]))][:k]
+
+
+def nearest_approximate(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = 128, recall: float = 0.95) -> DataFrame:
+    """(query_id, id, distance, rank) by an inverted file: vectors lie in the list of their nearest centre, a query looks into the lists of the centres nearest to it.
+
+    The centres are fitted on SAMPLE vectors at most, those with the smallest
+    hashes; every vector is indexed. How many lists a query looks into is set on
+    the sample, so that it finds the share ``recall`` of what all lists would give.
+    """
+    import numpy as np
+
+    sample = vectors.filter(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE).select(vector_col).collect()
+    if not sample:
+        return nearest(vectors, queries, k, id_col, vector_col)
+    points = np.array([r[0] for r in sample], np.float64)
+    centres = _centres(points, min(lists, max(1, len(points) // 4)))
+    looks = _looks(points, centres, k, recall)
+    asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).filter("v is not null")
+    return _search(vectors, asked, k, id_col, vector_col, lambda ids, own: _listed(ids, own, k, centres, looks))
+
+
+def _far(a, b):
+    """Squared distances of all rows of a to all of b."""
+    import numpy as np
+
+    return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1), 0)
+
+
+def _centres(points, n: int, rounds: int = 10):
+    """Centres by Lloyd's rounds from evenly spread points of the sample."""
+    import numpy as np
+
+    centres = points[np.linspace(0, len(points) - 1, n).astype(int)].copy()
+    for _ in range(rounds):
+        own = _far(points, centres).argmin(1)
+        for c in range(n):
+            if (own == c).any():
+                centres[c] = points[own == c].mean(0)
+    return centres
+
+
+def _looks(points, centres, k: int, recall: float) -> int:
+    """The fewest lists in which up to 200 of the points find the share of their nearest."""
+    import numpy as np
+
+    own, some = _far(points, centres).argmin(1), points[:: max(1, len(points) // 200)]
+    near = np.argsort(_far(some, points), 1, kind="stable")[:, 1 : k + 1]
+    place = np.argsort(np.argsort(_far(some, centres), 1, kind="stable"), 1, kind="stable")  # of each list for each point
+    needed = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else len(centres)
+
+
+def _listed(ids: list, points, k: int, centres, looks: int):
+    import numpy as np
+
+    asks = np.zeros((len(points), len(centres)), bool)
+    if len(points):
+        np.put_along_axis(asks, np.argsort(_far(points, centres), 1, kind="stable")[:, :looks], True, 1)
 
-def nearest_approximate(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", width: float = 2.0, tables: int = 8) -> DataFrame:
-    """The k nearest of one query among the vectors that share a random-projection bucket with it."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
+    def best(own, grid):
+        lists = _far(grid, centres).argmin(1)
+        for c in np.unique(lists):
+            here, who = np.flatnonzero(lists == c), np.flatnonzero(asks[:, c])
+            for q in who:
+                yield ids[q], own[here], np.sqrt(((grid[here] - points[q]) ** 2).sum(1))
 
-    rows = vectors.select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("_v"))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=width, numHashTables=tables, seed=1).fit(rows)
-    return model.approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="distance").select(id_col, "distance")
+    return best

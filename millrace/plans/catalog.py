@@ -4,28 +4,12 @@ from __future__ import annotations
 
 from millrace.functions import hashing, numeric, privacy, quality, text
 from millrace.operators import clean, constraints, dedupe, enrich, lineage, profile, report, shape, vectors
-from millrace.runtime import share_code, spread, table
+from millrace.plans import roundtrips  # noqa: F401  registers the queries over sources, sinks, jobs and streams
+from millrace.plans.registry import ORACLES, QUERIES, query
+from millrace.runtime import scratch, spread
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def register(f):
-        def run(spark, base):
-            share_code(spark)
-            return f(lambda name: table(spark, base, name))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLES[f.__name__] = sql
-        return run
-
-    return register
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # -------------------------------------------------------------- duplicates
 
@@ -194,24 +178,31 @@ def numeric_vote(t):
     return profile.type_votes(t("events").withColumn("raw", _mixed()), ["event_type", "user_id", "raw"], "event_id")
 
 
-_RESERVOIR = """r AS (SELECT "column", row_id, value, substring(sha256("column" || '_v1|' || row_id::VARCHAR), 1, 16) AS priority FROM (
+_FEW = """r AS (SELECT "column", row_id, value, substring(sha256("column" || '_v1|' || row_id::VARCHAR), 1, 16) AS priority FROM (
   SELECT 'event_type' AS "column", event_id AS row_id, event_type AS value FROM events UNION ALL SELECT 'user_id', event_id, user_id::VARCHAR FROM events)
   QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY priority, row_id) <= 500)"""
+_RESERVOIR = _FEW.replace("<= 500", f"<= {profile.CAPACITY}")
 
 
 @query(f"WITH {_RESERVOIR} SELECT * FROM r")
 def reservoir_bottom_k(t):
+    return profile.reservoir(t("events"), ["event_type", "user_id"], "event_id").select("column", "row_id", "value", "priority")
+
+
+@query(f"WITH {_FEW} SELECT * FROM r")
+def reservoir_of_500(t):
+    """With fewer places than rows at every scale of the tables at hand."""
     return profile.reservoir(t("events"), ["event_type", "user_id"], "event_id", 500).select("column", "row_id", "value", "priority")
 
 
 @query(f"""WITH {_RESERVOIR} SELECT "column", quantile_cont(value::DOUBLE, 0.5) AS median FROM r WHERE "column" = 'user_id' GROUP BY 1""")
 def sampled_median(t):
-    return profile.medians(profile.reservoir(t("events"), ["user_id"], "event_id", 500))
+    return profile.medians(profile.reservoir(t("events"), ["user_id"], "event_id"))
 
 
 @query(f"""WITH {_RESERVOIR} SELECT "column", value AS mode FROM (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS n FROM r GROUP BY 1, 2) WHERE n = 1""")
 def mode_lowest(t):
-    return profile.modes_lowest(profile.reservoir(t("events"), ["event_type", "user_id"], "event_id", 500))
+    return profile.modes_lowest(profile.reservoir(t("events"), ["event_type", "user_id"], "event_id"))
 
 
 @query("""WITH c AS (SELECT 'o_orderpriority' AS "column", o_orderkey AS i, lower(trim(o_orderpriority)) AS v FROM orders WHERE o_orderkey % 20 = 0
@@ -278,6 +269,20 @@ def impute_median_mode(t):
     return clean.impute(_holes(t), _hole_stats(t))
 
 
+@query("""WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END END AS n FROM orders), m AS (SELECT avg(n) FILTER (n IS NOT NULL) AS x FROM (SELECT 1 AS n UNION ALL SELECT 2))
+SELECT o_orderkey, coalesce(n::DOUBLE, (SELECT x FROM m)) AS n, n IS NULL AS n_was_imputed FROM h""")
+def impute_whole_numbers(t):
+    whole = F.when(F.col("o_orderkey") % 3 != 0, F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(2))
+    return clean.impute(t("orders").select("o_orderkey", whole.alias("n")), {"n": {"median": 1.5, "mode": None}})
+
+
+@query(f"""WITH {_HOLES}, m AS (SELECT quantile_cont(value, 0.5) AS x FROM h), w AS (SELECT event_type AS x FROM h WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT event_id, coalesce(value, (SELECT x FROM m)) AS value, coalesce(event_type, (SELECT x FROM w)) AS event_type FROM h""")
+def impute_fallback(t):
+    rows = _holes(t)
+    return clean.impute(rows, profile.fallbacks(rows, {"event_id": {"mode": "0"}}, "event_id"), flags=False)
+
+
 @query(f"""WITH {_HOLES} SELECT event_id, coalesce(value, {_MODE.format(c="value")}::DOUBLE) AS value, CASE WHEN event_type IS NULL OR event_type = '' THEN {_MODE.format(c="event_type")} ELSE event_type END AS event_type FROM h""")
 def impute_mode_first(t):
     return clean.impute(_holes(t), _hole_stats(t), ("mode", "median"), flags=False, empty_is_missing=True)
@@ -301,7 +306,8 @@ def drop_outliers(t):
     return clean.drop_outliers(clean.outlier_flags(t("events").select("event_id", "value"), ["value"])).select("event_id", "value")
 
 
-@query()
+@query("""WITH v AS (SELECT event_id, event_type AS base, lower(CASE WHEN event_id % 9 = 0 THEN event_type || 's' WHEN event_id % 10 = 0 THEN upper(event_type) ELSE event_type END) AS v FROM events),
+f AS (SELECT base, v, row_number() OVER (PARTITION BY base ORDER BY min(event_id)) AS r FROM v GROUP BY base, v) SELECT event_id, f.v AS event_type FROM v JOIN f ON f.base = v.base AND f.r = 1""")
 def category_merge(t):
     typo = F.when(F.col("event_id") % 9 == 0, F.concat("event_type", F.lit("s"))).when(F.col("event_id") % 10 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
     return clean.merge_categories(t("events").select("event_id", F.lower(typo).alias("event_type")), ["event_type"], "event_id")
@@ -354,6 +360,14 @@ def cell_provenance(t):
     return lineage.provenance(*_cleaned(t), "p_partkey")
 
 
+@query("""WITH d AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS r FROM part)
+SELECT 'job' AS job_id, p_partkey AS row_id, '*' AS column_name, 'exact_duplicate' AS transformation_id, 0.0::DOUBLE AS confidence_score, 'clean' AS source FROM d WHERE r > 1""")
+def duplicate_provenance(t):
+    part = t("part").select("p_partkey", "p_brand", "p_type")
+    dropped = dedupe.repeats(part, hashing.content_hash(part.drop("p_partkey")), "p_partkey")
+    return lineage.duplicate_records(dropped, "p_partkey").drop("original_value", "cleaned_value")
+
+
 @query(_CELLS + " SELECT row_id, column_name, 0.9::DOUBLE AS confidence_score FROM x WHERE original_value IS NULL AND cleaned_value IS NOT NULL")
 def review_filter(t):
     return lineage.needs_review(lineage.provenance(*_cleaned(t), "p_partkey"), 0.5, 0.95).select("row_id", "column_name", "confidence_score")
@@ -445,6 +459,15 @@ def business_rules(t):
     return constraints.violations(t("customer"), [("non_negative", "c_acctbal"), ("one_of", "c_mktsegment", ["BUILDING", "MACHINERY"]), ("unique", "c_nationkey")])
 
 
+@query("""WITH b AS (SELECT avg(c_acctbal) AS x, avg(c_nationkey) AS y FROM customer), a AS (SELECT avg(c_acctbal * 2) AS x, avg(c_nationkey) AS y FROM customer WHERE c_custkey % 2 = 0)
+SELECT 'c_acctbal' AS "column", round(b.x, 6) AS mean_before, round(a.x, 6) AS mean_after, abs(a.x - b.x) > 0.1 * abs(b.x) AS drifted FROM a, b
+UNION ALL SELECT 'c_nationkey', round(b.y, 6), round(a.y, 6), abs(a.y - b.y) > 0.1 * abs(b.y) FROM a, b""")
+def drift(t):
+    c = t("customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    out = constraints.drift(c, c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2), ["c_acctbal", "c_nationkey"])
+    return out.select("column", F.round("mean_before", 6).alias("mean_before"), F.round("mean_after", 6).alias("mean_after"), "drifted")
+
+
 @query("""SELECT o_orderstatus AS status, count(*) AS jobs FROM orders GROUP BY 1""")
 def job_metrics(t):
     from millrace.plans.jobs import metrics
@@ -462,3 +485,53 @@ def ann_exact_topk_l2(t):
 @query("""SELECT n_regionkey, max(n_nationkey) AS last FROM nation GROUP BY 1 UNION SELECT r_regionkey, r_regionkey FROM region""")
 def union_distinct(t):
     return t("nation").groupBy("n_regionkey").agg(F.max("n_nationkey").alias("last")).union(t("region").select("r_regionkey", "r_regionkey")).distinct()
+
+
+@query("""SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""")
+def set_intersect(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))
+
+
+@query("""SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0""")
+def set_difference(t):
+    return t("orders").select(F.col("o_custkey").alias("k")).subtract(t("customer").filter("c_custkey % 3 = 0").select("c_custkey"))
+
+
+@query("""SELECT (count(*) FILTER (vec_id % 100 = 0))::BIGINT AS queries, true AS recall_reached FROM embeddings""")
+def ann_approximate_recall(t):
+    """How the approximate search compares with the exact one over the stated queries."""
+    v = t("embeddings")
+    asked = v.filter("vec_id % 100 = 0")
+    exact = vectors.nearest(v, asked).select("query_id", "vec_id")
+    found = vectors.nearest_approximate(v, asked).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+_RATIOS = [("abcd", "bcde", 0.75), ("John Doe", "Jon Doe", 0.933333333), ("", "", 1.0), ("", "abc", 0.0), ("kitten", "sitting", 0.615384615), ("aabb", "bbaa", 0.5), ("same text", "same text", 1.0), ("private Thread currentThread;", "private volatile Thread currentThread;", 0.865671642)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {r}::DOUBLE)" for a, b, r in _RATIOS) + ") AS v(a, b, ratio)")
+def matching_blocks_ratio(t):
+    pairs = t.spark.createDataFrame([(a, b) for a, b, _ in _RATIOS], "a string, b string")
+    return pairs.select("a", "b", F.round(dedupe.ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+
+
+@query("SELECT event_id, upper(event_type) AS event_type FROM events")
+def model_hook(t):
+    def shout(frames):
+        for f in frames:
+            yield f.assign(event_type=f["event_type"].str.upper())
+
+    return enrich.analyse(t("events").select("event_id", "event_type"), shout)
+
+
+@query(f"""WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS} SELECT DISTINCT bucket_key, b.c_custkey AS sampled_row_id, s AS snippet FROM b JOIN c USING (c_custkey) WHERE b.c_custkey % 50 = 0""")
+def lsh_sample_insert(t):
+    """Samples appended twice lie in the store once."""
+    from millrace.plans.jobs import JobStore
+
+    store, rows = JobStore(t.spark, scratch(t.spark)), _customers(t)
+    for every in (100, 50):
+        store.add_samples("j", dedupe.lsh_samples(rows, F.col("snippet"), "c_custkey", every))
+    return store.read("lsh_samples").drop("job_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,17 +37,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * split else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a checkpoint in the cluster's shared folder.
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. A session of one machine
-    without one (a test) gets a temporary folder; on a cluster that is an error,
-    as executors would not see each other's files.
+    A session of one machine without one (a test) gets a temporary folder; on a
+    cluster that is an error, as executors would not see each other's files.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc._jsc.sc().isLocal():
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context._jsc.sc().isLocal():
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder within the shared one."""
+    return f"{shared(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage with a checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

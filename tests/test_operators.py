@@ -181,7 +181,10 @@ def test_vectors(spark):
     near = vectors.nearest(df, df.filter("vec_id = 5"), 3).orderBy("rank").collect()
     assert [(r["vec_id"], r["distance"]) for r in near] == [(4, 1.0), (6, 1.0), (3, 2.0)]
     assert vectors.nearest(df, df.filter("vec_id < 0"), 3).count() == 0
-    assert vectors.nearest_approximate(df, [5.0, 0.0], 1).first()["vec_id"] == 5
+    named = df.withColumn("vec_id", F.format_string("v%02d", "vec_id"))
+    assert [r["vec_id"] for r in vectors.nearest(named, named.filter("vec_id = 'v05'"), 3).orderBy("rank").collect()] == ["v04", "v06", "v03"]
+    assert {r["vec_id"] for r in vectors.nearest_approximate(df, df.filter("vec_id = 5"), 2).collect()} <= {3, 4, 6, 7}
+    assert vectors.nearest_approximate(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_enrich(spark):

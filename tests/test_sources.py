@@ -174,3 +174,14 @@ def test_job_store(spark, tmp_path):
     job = other
     with pytest.raises(ValueError):
         store.update_status(job, "lost")
+
+
+def test_quickstart(spark, tmp_path):
+    import importlib.util
+    import os
+
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples", "quickstart.py")
+    spec = importlib.util.spec_from_file_location("quickstart", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    assert module.main(str(tmp_path / "q"), 600, spark)["summary"]["original_row_count"] == 600
