@@ -4,23 +4,23 @@ Two deterministic transducers stand for the tokenizer. The first splits text as
 the tokenizer's pattern does; it has seven states, so a chunk of text is a map
 from its state before to its state after, and the maps of all chunks compose
 in a parallel prefix scan, after which every chunk runs from its own first
-state. The second reads each split word; its word end carries the number of
-tokens that the word emits. It is a cache over the library, not compiled from
-the merges: a trie of the words met, a bounded number of states in each worker;
-the count of a word that it lacks is asked of the library once and put in or
-remembered.
+state. The second reads each split word; it is compiled from the vocabulary's
+merges, and its transitions emit by how many tokens a word has more (see
+``word_transducer``). The library is not asked; tests hold the counts against it.
 
 The pattern and normal form are those of the lower-casing word-end BPE
 vocabularies. Special strings in a text count one token each, as the library
 has it by default.
 
-Defined cases: a null text counts as empty, 0 bytes and 0 tokens; repeated rows
-give repeated results; an empty table gives an empty result; other columns are
+Defined cases: a null text counts as empty, 0 bytes and 0 tokens; a very long
+text is counted whole, in parts that end where words end; repeated rows give
+repeated results; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -29,12 +29,11 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm.arrow import CHARS, kept, map_batches, slices, texts_of
+from millrace.llm.word_transducer import Merges, Transducer
 from pyspark.sql import DataFrame
 
-#: Bounds of a worker's tables: states and symbols of the word transducer, words remembered besides.
-STATES, SYMBOLS, WORDS = 1 << 18, 96, 400_000
-#: Code points of a chunk, longest word in the transducer, and the limit of the over_limit column.
-CHUNK, LONGEST, LIMIT = 256, 40, 2048
+#: Code points of a chunk, and the limit of the over_limit column.
+CHUNK, LIMIT = 256, 2048
 
 # States of the splitter: between words, in letters, in other signs, after a
 # quote that began a word, and after that quote and r, v or l.
@@ -125,93 +124,30 @@ def split(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Counter:
-    """The word transducer of one vocabulary, and the texts' counts by it."""
+    """Both transducers of one vocabulary, and the texts' counts by them."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        with open(path, encoding="utf-8") as f:
+            specials = [t["content"] for t in json.load(f)["added_tokens"] if t["special"]]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.kinds = classes()
-        self.symbol = np.zeros(0x110000, np.int32)  # 0: none yet
-        self.symbols = 1
-        self.move = np.zeros((STATES, SYMBOLS), np.int32)  # 0: none
-        self.emit = np.full(STATES, -1, np.int32)  # tokens at a word end here, -1: not known
-        self.states = 2  # 0 is the dead state, 1 the first
-        self.words: dict[str, int] = {}
+        self.words = Transducer(Merges(path))
 
     def normal(self, text: str) -> tuple[str, int]:
         """The normalised text and the number of special strings, which white space replaces."""
         parts = self.special.split(text) if self.special and "<" in text else [text]
         return "\n".join(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for p in parts), len(parts) - 1
 
-    def compile(self, word: str, tokens: int) -> bool:
-        """Add a word to the transducer; False if it doesn't fit."""
-        if len(word) > LONGEST or self.states + len(word) > STATES:
-            return False
-        codes = []
-        for c in word:
-            if not self.symbol[ord(c)]:
-                if self.symbols == SYMBOLS:
-                    return False
-                self.symbol[ord(c)] = self.symbols
-                self.symbols += 1
-            codes.append(int(self.symbol[ord(c)]))
-        s = 1
-        for c in codes:
-            if not self.move[s, c]:
-                self.move[s, c] = self.states
-                self.states += 1
-            s = self.move[s, c]
-        self.emit[s] = tokens
-        return True
-
-    def ask(self, words: list[str]) -> None:
-        """Learn the counts of words from the library."""
-        fresh = sorted(set(words) - self.words.keys())
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                if not self.compile(word, len(e.ids)):
-                    self.words[word] = len(e.ids)
-
-    def run(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens that each word emits, -1 where the transducer can't say."""
-        size = ends - starts
-        order = np.argsort(-size, kind="stable")
-        at, size = starts[order], size[order]
-        fit = int(np.searchsorted(-size, -LONGEST, side="left"))
-        state = np.ones(len(at), np.int32)
-        state[:fit] = 0
-        alive = np.searchsorted(-size, -np.arange(1, LONGEST + 1), side="right")
-        moves = self.move.ravel()
-        for step, k in enumerate(alive.tolist()):
-            if k <= fit:
-                break
-            symbol = self.symbol[points[at[fit:k] + step]]
-            state[fit:k] = np.where(symbol > 0, moves[state[fit:k].astype(np.int64) * SYMBOLS + symbol], 0)
-        tokens = np.empty(len(at), np.int64)
-        tokens[order] = self.emit[state]
-        return tokens
-
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         normal = [self.normal(t) for t in texts]
         total = np.array([n for _, n in normal], np.int64)
         whole = "\n".join(t for t, _ in normal) + "\n"
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t, _ in normal])])
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts, ends = split(self.kinds[points])
-        tokens = self.run(points, starts, ends)
-        lacking = np.flatnonzero(tokens < 0)
-        if len(lacking):
-            words = [whole[a:b] for a, b in zip(starts[lacking].tolist(), ends[lacking].tolist(), strict=True)]
-            self.ask(words)
-            again = self.run(points, starts[lacking], ends[lacking])
-            tokens[lacking] = [t if t >= 0 else self.words[w] for t, w in zip(again.tolist(), words, strict=True)]
-            if len(self.words) > WORDS:
-                self.words.clear()
+        starts, ends = split(self.kinds[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+        place = np.flatnonzero((raw & 0xC0) != 0x80)  # of each code point
+        tokens = self.words.count(raw, place[starts], place[ends])
         owner = np.searchsorted(begins, starts, side="right") - 1
         return total + np.bincount(owner, tokens, len(texts)).astype(np.int64)
 

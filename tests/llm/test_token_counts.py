@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 from helpers import SMALL
 from hypothesis import HealthCheck, given, settings
@@ -5,6 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from millrace.llm import token_counts as T
+from millrace.llm import word_transducer as W
 from millrace.runtime import table
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -25,13 +27,44 @@ def test_special_strings():
     assert T.counter().count(texts).tolist() == plain(texts)
 
 
-def test_words_beyond_the_tables(monkeypatch):
-    own = T.Counter(public_tokenizers.path("word_bpe_49k.json"))
-    own.states = T.STATES - 20  # nearly full
-    texts = ["supercalifragilistic expialidocious antidisestablishmentarianism " + "z" * 100, "words that do not fit any more 😀"]
-    assert own.count(texts).tolist() == plain(texts) and own.words
-    monkeypatch.setattr(T, "WORDS", 1)
-    assert own.count(texts).tolist() == own.count(texts).tolist() == plain(texts)
+@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(st.sampled_from("abeinorst"), min_size=1, max_size=30) | st.text(st.sampled_from("aab"), min_size=1, max_size=40) | st.text(st.sampled_from("!?.-=*#$"), min_size=1, max_size=30) | st.text(st.sampled_from("éñüßбаг漢字"), min_size=1, max_size=8) | st.text(st.sampled_from("😀❤😂✨"), min_size=1, max_size=8))
+def test_words_are_counted_by_the_merges_alone(word):
+    want = plain([word])[0]
+    merges = T.counter().words.merges
+    assert merges.count(word.encode()) == want == T.counter().count([word])[0]
+
+
+def test_tokens_of_the_vocabulary_are_one():
+    merges = T.counter().words.merges
+    names = [n[:-4] for n in LIBRARY.get_vocab() if n.endswith("</w>") and n[:-4].isascii() and n[:-4].isalpha()][:4000]
+    assert [merges.count(n.encode()) for n in names] == plain(names)
+
+
+def test_unseen_words_share_states_and_full_tables_begin_anew():
+    words = W.Transducer(T.counter().words.merges, states=400, symbols=20)
+    texts = ["supercalifragilistic", "expialidocious", "antidisestablishmentarianism", "z" * 100, "ab" * 3000, "漢字", "jumping", "jumps", "a"] + [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}ing" for k in range(200)]
+    raw = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    want = plain(texts)
+    assert words.count(raw, starts, ends).tolist() == want and len(words.state) == 400  # full
+    assert words.count(raw, starts, ends).tolist() == want
+    wide = W.Transducer(words.merges)
+    wide.count(raw, starts, ends)
+    before = len(wide.state)
+    assert wide.count(raw, starts, ends).tolist() == want and len(wide.state) == before
+    assert wide.run(raw, starts, ends).tolist() == [n if len(t) <= W.LONGEST else -1 for t, n in zip(texts, want, strict=True)]
+
+
+def test_very_long_words_take_linear_time():
+    import time
+
+    began = time.process_time()
+    texts = ["a" * 1_000_000, "ab" * 500_000, "!" * 1_000_000, "é" * 500_000]
+    got = T.counter().count(texts).tolist()
+    assert time.process_time() - began < 30
+    assert got == plain(texts)
 
 
 def test_query(spark):
