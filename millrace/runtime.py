@@ -58,6 +58,12 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a checkpoint in the shared folder."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once and cut its lineage with a checkpoint in the shared folder.
+
+    The estimates of df's size are left behind with its lineage: those of an
+    iteration would multiply from round to round until planning fails.
+    """
+    spark = df.sparkSession
+    shared(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
