@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from millrace.runtime import cut
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,26 +10,24 @@ from pyspark.sql import functions as F
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); label is the smallest node reachable.
 
-    Every round connects each node's neighbours to the smallest of them, first
-    the larger neighbours, then the smaller ones, and cuts the lineage. Rounds
-    grow with the logarithm of a component's width; no node's neighbours are
-    collected. Links are checkpointed in as many files as there are cores, and
-    what a round leaves behind is let go before the next.
+    Every round hangs each node's larger neighbours on to the smallest of its
+    neighbours, then each node's smaller neighbours on to the smallest of them,
+    and cuts the lineage. Rounds grow with the logarithm of a component's width.
+    The neighbours of a node with very many are never gathered: their smallest is
+    a partial aggregate, and the join that tells it to them reads both sides from
+    plain shuffles, of which Spark splits a hot one.
     """
-    sc = edges.sparkSession.sparkContext
-    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(sc.defaultParallelism))
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
-        links = cut(small.filter("a <> b").distinct().coalesce(sc.defaultParallelism))
+        low = cut(both.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.first("a")).alias("low")))
+        large = links.join(low, "b").select("a", F.col("low").alias("b"))
+        # a node has as many smaller neighbours as it has links to them, which are few
+        small = large.withColumn("low", F.expr("min(b) over (partition by a)"))
+        hung = F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+        links = cut(small.select(F.inline(hung)).filter("a <> b").distinct())
         after = _state(links)
-        del both, low, large, least, small
-        gc.collect()
-        sc._jvm.System.gc()  # Spark deletes shuffle files and checkpoints once nothing refers to them
         if after == before:
             break
         before = after

@@ -1,32 +1,40 @@
 """Exact self-join on n-gram Jaccard similarity.
 
-1. Candidates. Sets of similar size meet in size classes. Two sets that reach
-   the threshold differ in at most d of their shingles, d following from the
-   largest size of the class; dealt into more than d parts by a hash, at least
-   one part is the same in both, and so is its signature. Shingles that very
-   many texts share, a common passage's, are left out of the parts, as they
-   would link all of these texts; a set with too few others deals all of its
-   shingles besides. Signatures are packed into a few blocks for each batch and
-   bucket; equal signatures link their sets, and the components of these links
-   are the tiles' raw material.
-2. Tiles. A component's sets are banded by size and dealt into tiles of bounded
-   size; a tile pairs two blocks of one band or of neighbouring bands, and each
-   pair meets in one tile. Every set is a hashed bitmap of about a bit for each
-   shingle; the bits in which two bitmaps differ bound the overlap from above.
-   Pairs that can still reach the threshold make up finer components.
-3. Tiles of these components hold the sorted arrays. Pairs that pass wider
-   bitmaps are verified by intersecting their arrays. Components of the verified
-   links are the result.
+1. Pruning. All pairs of a corpus can't meet, so tiles are laid only where sets
+   can link at all. Two sets of a size class that reach the threshold differ in
+   at most d of their shingles, d following from the largest size of the class;
+   dealt into more than d parts by a hash, at least one part is the same in both,
+   and so is its signature. Shingles that very many texts share, a common
+   passage's, are left out of the parts, as they would join all of these texts; a
+   set with too few others deals all of its shingles besides. Sets joined by equal
+   signatures, over any number of steps, are a field. This loses no link and
+   decides none.
+2. Tiles. What links is decided in tiles of bounded size within a field, banded
+   by size: sets that can link are of one band or of neighbouring ones. In a tile
+   every set is a hashed bitmap of its shingles; the bits in which two bitmaps
+   differ bound their overlap from above, and the pairs that can still reach the
+   threshold are decided by intersecting their sorted arrays.
+3. Spanning links. Groups need links that span them, not all of their links. A
+   field of several blocks is read a block at a time first; then the heads of the
+   groups found, one of each, are dealt into blocks and joined, again and again
+   while that joins most of them. So a large group of near copies falls into one, each set
+   having met few others. Only then do blocks meet crosswise, and only where
+   their sets are not in one group yet: the sets outside the field's largest group
+   with those in it and with one another. Pairs of one group are never compared.
 
 Nothing is dropped or capped: a part that is empty has a signature too where a
 set has so many that its full parts need not suffice. Copies count once with
 their weight. Sets are identified by 128-bit digests and shingles by 64-bit
-hashes.
+hashes of their words' 64-bit hashes; texts that differ only within such
+collisions count as equal. ``links=True`` also counts each row's links, for which
+all pairs within a group have to meet: its cost grows with the square of the
+largest group of near copies.
 
 Words are runs of anything but space and tab to carriage return, A-Z in lower
 case. Defined cases: a text that is null, empty or without words has an empty
-set and links with nothing; repeated rows are copies; a null id takes part and
-never names its component unless all ids of it are null; an empty table gives
+set and links with nothing; repeated rows are copies; a very long text is one
+set, read whole; ties of the smallest id are one group's; a null id takes part
+and never names its component unless all ids of it are null; an empty table gives
 an empty result; other columns are ignored by ``join`` and carried by ``keep``.
 """
 
@@ -44,15 +52,11 @@ from millrace.llm.arrow import map_batches, slices
 from millrace.llm.components import components
 from millrace.llm.sizes import small
 from millrace.runtime import cut
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Growth of size classes; sets and shingles of a tile's block.
-GROWTH, BLOCK_SETS, BLOCK_SHINGLES = Fraction(3, 2), 1024, 1 << 19
-
-
-#: Sets and shingles of a block in tiles of bitmaps.
-MAP_SETS, MAP_SHINGLES = 2048, 1 << 24
+GROWTH, BLOCK_SETS, BLOCK_SHINGLES = Fraction(3, 2), 256, 1 << 19
 #: Bits of the table of common shingles, and how far above the mean a cell is common.
 CELL_BITS, COMMON = 22, 8
 
@@ -235,102 +239,70 @@ def candidates(docs: DataFrame, text_col: str, n: int, classes: Classes) -> Data
     return map_batches(blocks.repartition(buckets, "bucket"), meet, "a long, b long")
 
 
-def verify(rows: list[tuple], least: Fraction) -> tuple[list[int], list[int]]:
-    """Links of each row by weight, and the first row of its group, for the pairs of one tile.
-
-    rows: (side, weight, sorted array) in order of array length. Sides of a pair
-    differ unless both are 0, which marks a tile of one block.
-    """
-    num, den = least.numerator, least.denominator
-    sizes = np.array([len(r[2]) for r in rows], np.int64)
-    sides = np.array([r[0] for r in rows])
-    weights = np.array([r[1] for r in rows], np.int64)
-    arrays = [r[2] for r in rows]
-    bits = 256
-    while bits < min(4 * int(sizes.max()), 16_384) and bits * len(rows) < 1 << 25:
-        bits *= 2
-    grid = np.zeros((len(rows), bits), bool)
-    for k, a in enumerate(arrays):
-        grid[k, (W.mix(a ^ W.salt(16)) % np.uint64(bits)).astype(np.int64)] = True
-    maps = np.packbits(grid, axis=1).view(np.uint64)
-    del grid
-    links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    # shingles by their rank in the tile: arrays stay sorted, and a mark tells whether a rank is in the array at hand
-    ranks, ends = np.unique(np.concatenate(arrays), return_inverse=True)[1], np.cumsum(sizes)
-    held = np.zeros(int(ranks.max()) + 1, bool)
-    for i, a in enumerate(arrays):
-        last = int(np.searchsorted(sizes, len(a) * den // num, side="right"))
+class Tile:
+    """The sets of one tile in order of size, their bitmaps, and which pairs of them reach the threshold."""
+
+    def __init__(self, arrays: list[np.ndarray], sides: list[int], least: Fraction):
+        """Sides of a pair differ unless both are 0, which marks a tile of one block."""
+        self.num, self.den = least.numerator, least.denominator
+        self.sizes, self.sides = np.array([len(a) for a in arrays], np.int64), np.array(sides)
+        bits = 256
+        while bits < min(4 * int(self.sizes.max()), 16_384) and bits * len(arrays) < 1 << 25:
+            bits *= 2
+        grid = np.zeros((len(arrays), bits), bool)
+        for k, a in enumerate(arrays):
+            grid[k, (W.mix(a ^ W.salt(16)) % np.uint64(bits)).astype(np.int64)] = True
+        self.maps = np.packbits(grid, axis=1).view(np.uint64)
+        del grid
+        # shingles by their rank in the tile: arrays stay sorted, and a mark tells whether a rank is in the array at hand
+        self.ranks, self.ends = np.unique(np.concatenate(arrays), return_inverse=True)[1], np.cumsum(self.sizes)
+        self.held = np.zeros(int(self.ranks.max()) + 1, bool)
+
+    def near(self, i: int) -> np.ndarray:
+        """The sets behind i whose size and side allow a link."""
+        last = int(np.searchsorted(self.sizes, self.sizes[i] * self.den // self.num, side="right"))
         near = np.arange(i + 1, last)
-        if sides[i]:
-            near = near[sides[near] != sides[i]]
-        if not len(near):
-            continue
-        apart = np.bitwise_count(maps[near] ^ maps[i]).sum(1, dtype=np.int64)
-        both = sizes[near] + len(a)
+        return near[self.sides[near] != self.sides[i]] if self.sides[i] else near
+
+    def linked(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Those of the sets that link with i: bitmaps bound the overlap, arrays decide."""
+        num, den, n = self.num, self.den, self.sizes[i]
+        apart = np.bitwise_count(self.maps[near] ^ self.maps[i]).sum(1, dtype=np.int64)
+        both = self.sizes[near] + n
         near = near[((both - apart) // 2) * (den + num) >= num * both]
         if not len(near):
-            continue
-        n = sizes[near]
-        others = ranks[np.repeat(ends[near] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        own = ranks[ends[i] - len(a) : ends[i]]
-        held[own] = True
-        shared = np.add.reduceat(held[others], np.cumsum(n) - n, dtype=np.int64)
-        held[own] = False
-        for j in near[den * shared >= num * (n + len(a) - shared)].tolist():
-            links[i] += weights[j]
-            links[j] += weights[i]
-            x, y = top(i), top(j)
-            root[max(x, y)] = min(x, y)
-    return links.tolist(), [top(k) for k in range(len(rows))]
-
-
-def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each cell that a shingle falls in; the number of cells is a power of two, 256 or more, not below the set's size."""
-    cells = 1 << max(8, (len(shingles) - 1).bit_length() if len(shingles) else 0)
-    bits = np.zeros(cells, bool)
-    bits[(W.mix(shingles ^ W.salt(19)) & np.uint64(cells - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def sift(rows: list[tuple], least: Fraction) -> list[int]:
-    """The first row of each row's group, for the pairs of a tile whose bitmaps allow a link.
-
-    rows: (side, size, bitmap) in order of size, sides as in verify.
-    """
-    num, den = least.numerator, least.denominator
-    sizes = np.array([r[1] for r in rows], np.int64)
-    sides = np.array([r[0] for r in rows])
-    label = np.arange(len(rows))
-    # bitmaps by their own number of cells and, folded, by every smaller number in the tile
-    widths = np.array([len(r[2]) for r in rows])
-    maps: dict[int, np.ndarray] = {}
-    for width in sorted(set(widths.tolist()), reverse=True):
-        maps[width] = np.zeros((len(rows), width // 8), np.uint64)
-        for wider in sorted(w for w in set(widths.tolist()) if w >= width):
-            at = np.flatnonzero(widths == wider)
-            raw = np.frombuffer(b"".join(rows[k][2] for k in at), np.uint8).reshape(len(at), wider // width, width)
-            maps[width][at] = np.ascontiguousarray(np.bitwise_or.reduce(raw, 1)).view(np.uint64)
-    for i in range(len(rows)):
-        near = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * den // num, side="right")))
-        if sides[i]:
-            near = near[sides[near] != sides[i]]
-        if not len(near):
-            continue
-        own = maps[int(widths[i])]
-        apart = np.bitwise_count(own[near] ^ own[i]).sum(1, dtype=np.int64)
-        both = sizes[near] + sizes[i]
-        joined = np.unique(label[near[((both - apart) // 2) * (den + num) >= num * both]])
-        if len(joined):
-            joined = np.append(joined, label[i])
-            label[np.isin(label, joined)] = joined.min()
-    return label.tolist()
+            return near
+        m = self.sizes[near]
+        others = self.ranks[np.repeat(self.ends[near] - m - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        own = self.ranks[self.ends[i] - n : self.ends[i]]
+        self.held[own] = True
+        shared = np.add.reduceat(self.held[others], np.cumsum(m) - m, dtype=np.int64)
+        self.held[own] = False
+        return near[den * shared >= num * (m + n - shared)]
+
+
+def grouped(arrays: list[np.ndarray], sides: list[int], labels: list, least: Fraction) -> list:
+    """The labels once links have joined them, each the smallest of its group. Pairs with one label are not compared."""
+    tile, names = Tile(arrays, sides, least), sorted(set(labels))
+    now = np.searchsorted(np.array(names, object), np.array(labels, object)) if len(names) > 1 else np.zeros(len(labels), np.int64)
+    for i in range(len(arrays)):
+        near = tile.near(i)
+        near = near[now[near] != now[i]]
+        if len(near) and len(found := tile.linked(i, near)):
+            joined = np.unique(np.append(now[found], now[i]))
+            now[np.isin(now, joined)] = joined[0]
+    return [names[k] for k in now.tolist()]
+
+
+def counted(arrays: list[np.ndarray], sides: list[int], weights: list[int], least: Fraction) -> list[int]:
+    """Links of each set by weight."""
+    tile, links, weight = Tile(arrays, sides, least), np.zeros(len(arrays), np.int64), np.array(weights, np.int64)
+    for i in range(len(arrays)):
+        near = tile.near(i)
+        if len(near) and len(found := tile.linked(i, near)):
+            links[i] += weight[found].sum()
+            links[found] += weight[i]
+    return links.tolist()
 
 
 def _tiles(sets: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
@@ -361,17 +333,17 @@ def _tiles(sets: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
 
 
 def _names(docs: DataFrame, id_col: str, text_col: str, n: int, classes: Classes) -> DataFrame:
-    """(id, text hash, set, n, band, bitmap) of every row."""
+    """(id, text hash, set, n, band) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             sets = _sets(batch.column(2), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.binary()), pa.array(sizes), pa.array(classes.band(sizes).astype(np.int32)), pa.array([bitmap(s) for s in sets], pa.binary())], names=["_id", "_hash", "set", "n", "band", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.binary()), pa.array(sizes), pa.array(classes.band(sizes).astype(np.int32))], names=["_id", "_hash", "set", "n", "band"])
 
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"), docs[text_col].alias("_text"))
-    return map_batches(rows, run, f"_id {kind}, _hash long, set binary, n long, band int, bitmap binary")
+    return map_batches(rows, run, f"_id {kind}, _hash long, set binary, n long, band int")
 
 
 def _tile_by_tile(dealt: DataFrame, columns: list[str], judge, schema: str) -> DataFrame:
@@ -394,57 +366,155 @@ def _tile_by_tile(dealt: DataFrame, columns: list[str], judge, schema: str) -> D
     return map_batches(dealt.repartition("tile").sortWithinPartitions("tile"), run, schema)
 
 
-def _judge(docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Names of all rows, and (set, weight, links, component, first) of all sets that are not empty."""
-    classes = Classes(least)
-    groups = components(candidates(docs, text_col, n, classes)).select(F.col("node"), F.col("label").alias("part"))
+class Fields:
+    """The sets that may link, and what happens to them in tiles."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction):
+        self.docs, self.id_col, self.text_col, self.n, self.least = docs, id_col, text_col, n, least
+
+    def tiles(self, chosen: DataFrame, columns: str, judge, schema: str) -> DataFrame:
+        """judge(rows) of each tile; rows are (side, set, *columns, sorted array).
+
+        chosen: _id and _hash of a row that has the set, set, the columns, and
+        tiles, an array of (tile, side).
+        """
+        names = [c.split()[0] for c in columns.split(", ")]
+        own = self.docs.select(self.docs[self.id_col].alias("_id2"), F.xxhash64(self.docs[self.text_col]).alias("_hash2"), self.docs[self.text_col].alias("_text"))
+        found = own.join(small(chosen), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("set", *names, "tiles", "_text")
+        n, width = self.n, len(names)
+
+        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, width + 2):
+                arrays = _sets(batch.column(width + 2), n)
+                same = pa.array([digest(a) == d for a, d in zip(arrays, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+                columns = [*batch.columns[: width + 2], pa.array([a.tobytes() for a in arrays], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["set", *names, "tiles", "shingles"]).filter(same)
+
+        loaded = map_batches(found, load, f"set binary, {columns}, tiles array<struct<tile:string,side:int>>, shingles binary")
+        dealt = loaded.select("set", *names, "shingles", F.inline("tiles"))
+
+        def run(tile: list[tuple]) -> pa.RecordBatch:
+            tile = sorted(tile, key=lambda r: (len(r[-1]), r[1]))
+            return judge([(*r[:-1], np.frombuffer(r[-1], np.uint64)) for r in tile])
+
+        return _tile_by_tile(dealt, [*names, "shingles"], run, schema)
+
+    def groups(self, near: DataFrame) -> DataFrame:
+        """set, label: the group of each set of the fields. near: set, part (its field), band, n, _id, _hash."""
+        least = self.least
+
+        def judge(tile: list[tuple]) -> pa.RecordBatch:
+            new = grouped([r[-1] for r in tile], [r[0] for r in tile], [r[2] for r in tile], least)
+            return pa.RecordBatch.from_arrays([pa.array([r[2] for r in tile], pa.binary()), pa.array(new, pa.binary())], names=["old", "new"])
+
+        def joined(chosen: DataFrame) -> DataFrame:
+            return cut(self.tiles(chosen, "label binary", judge, "old binary, new binary"))
+
+        state = cut(near.withColumn("label", F.col("set")))
+        split, tries = None, 0  # split: the fields of several blocks, in which not all sets have met
+        while True:  # blocks of all sets, then of the heads of their groups, while that joins most of them
+            heads = state.filter(F.col("set") == F.col("label"))
+            if split is not None:
+                heads = heads.join(split, "part")
+            sizes = heads.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter("c > 1")
+            sizes = cut(sizes.select("part", _blocks("c", "s").alias("k")))
+            if sizes.isEmpty():
+                return state.select("set", "label")
+            tile = F.struct(F.concat_ws(":", "part", F.pmod(F.xxhash64("set", F.lit(tries)), "k")).alias("tile"), F.lit(0).alias("side"))
+            met = joined(heads.join(sizes, "part").withColumn("tiles", F.array(tile)))
+            joins = met.filter("old <> new")
+            state = cut(_relabelled(state, joins))
+            several = sizes.filter("k > 1")
+            if split is None:
+                split = small(cut(several.select("part")))
+            if several.isEmpty() or tries and 2 * joins.count() < met.count():
+                break
+            tries += 1
+        open_ = state.join(split, "part").groupBy("part").agg(F.count_distinct("label").alias("labels")).filter("labels > 1")
+        open_ = cut(open_.select("part"))
+        if open_.isEmpty():
+            return state.select("set", "label")
+        crossed = joined(self._crosswise(state.join(small(open_), "part")))
+        ends = components(crossed.select(F.col("old").alias("a"), F.col("new").alias("b")).distinct())
+        return _relabelled(state, ends.select(F.col("node").alias("old"), F.col("label").alias("new"))).select("set", "label")
+
+    def _crosswise(self, state: DataFrame) -> DataFrame:
+        """The sets that have still to meet, with their tiles: those outside a field's largest group with all others of their bands."""
+        counts = state.groupBy("part", "label").agg(F.count(F.lit(1)).alias("c"))
+        largest = counts.groupBy("part").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
+        state = cut(state.join(largest, "part").withColumn("inner", F.col("label") == F.col("largest")).drop("largest"))
+        inner, outer = (F.when(cond, x) for cond, x in ((F.col("inner"), F.lit(1)), (~F.col("inner"), F.lit(1))))
+        bands = state.groupBy("part", "band").agg(F.count(inner).alias("ci"), F.sum(inner * F.col("n")).alias("si"), F.count(outer).alias("co"), F.sum(outer * F.col("n")).alias("so"))
+        bands = bands.select("part", "band", F.when(F.col("ci") > 0, _blocks("ci", "si")).otherwise(0).alias("ki"), F.when(F.col("co") > 0, _blocks("co", "so")).otherwise(0).alias("ko"))
+        w = "over (partition by part order by band)"
+        step = lambda f, k, b: f"case when {f}(band) {w} = band {b} 1 then {f}({k}) {w} else 0 end"
+        bands = bands.selectExpr("part", "band", "ki", "ko", f"{step('lead', 'ki', '+')} as ki_up", f"{step('lag', 'ki', '-')} as ki_down", f"{step('lead', 'ko', '+')} as ko_up", f"{step('lag', 'ko', '-')} as ko_down")
+        placed = state.join(bands, ["part", "band"]).withColumn("i", F.expr("pmod(xxhash64(set), if(inner, ki, ko))"))
+        block = lambda kind, band, i: f"concat('{kind}', {band}, '.', {i})"
+        pair = lambda one, two, side: f"struct(concat_ws(':', part, {one}, {two}) as tile, {side} as side)"
+        each = lambda k, f: f"transform(if({k} > 0, sequence(0, int({k} - 1)), cast(array() as array<int>)), j -> {f})"
+        mine = block("o", "band", "i")
+        with_outer = [each("ko", f"if(j < i, {pair(block('o', 'band', 'j'), mine, 2)}, {pair(mine, block('o', 'band', 'j'), 'if(j = i, 0, 1)')})"), each("ko_up", pair(mine, block("o", "band + 1", "j"), 1)), each("ko_down", pair(block("o", "band - 1", "j"), mine, 2))]
+        with_inner = [each(k, pair(mine, block("i", band, "j"), 1)) for k, band in (("ki", "band"), ("ki_up", "band + 1"), ("ki_down", "band - 1"))]
+        of_inner = [each(k, pair(block("o", band, "j"), block("i", "band", "i"), 2)) for k, band in (("ko", "band"), ("ko_up", "band + 1"), ("ko_down", "band - 1"))]
+        return placed.withColumn("tiles", F.expr(f"if(inner, concat({', '.join(of_inner)}), concat({', '.join(with_outer + with_inner)}))")).filter("size(tiles) > 0")
+
+    def links(self, near: DataFrame, labels: DataFrame) -> DataFrame:
+        """set, links: rows that the set links with, itself left out; all pairs of a group meet. near: with weight."""
+        groups = near.drop("part").join(labels.select("set", F.hex("label").alias("part")), "set")
+        least = self.least
+
+        def judge(tile: list[tuple]) -> pa.RecordBatch:
+            n = counted([r[-1] for r in tile], [r[0] for r in tile], [r[2] for r in tile], least)
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in tile], pa.binary()), pa.array(n, pa.int64())], names=["set", "links"])
+
+        tiled = _tiles(groups, BLOCK_SETS, BLOCK_SHINGLES).groupBy("set").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
+        return self.tiles(groups.join(tiled, "set"), "weight long", judge, "set binary, links long").groupBy("set").agg(F.sum("links").alias("links"))
+
+
+def _blocks(count: str, shingles: str) -> Column:
+    """How many blocks so many sets and shingles take."""
+    return F.greatest(F.ceil(F.col(count) / F.lit(BLOCK_SETS)), F.ceil(F.col(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _relabelled(state: DataFrame, joins: DataFrame) -> DataFrame:
+    """The sets with the new label of each old one."""
+    return state.join(small(joins.select(F.col("old").alias("label"), "new").distinct()), "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new").select(*state.columns)
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction, links: bool) -> tuple[DataFrame, DataFrame]:
+    """Names of all rows, and (set, weight, component, head, links) of the sets that have copies or links."""
+    classes, fields = Classes(least), Fields(docs, id_col, text_col, n, least)
+    parts = components(candidates(docs, text_col, n, classes)).select("node", F.col("label").alias("part"))
     rows = cut(_names(docs, id_col, text_col, n, classes))
     first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")
-    sets = cut(rows.filter("n > 0").groupBy("set", "n", "band").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("first"), F.min("bitmap").alias("bitmap")))
+    sets = cut(rows.filter("n > 0").groupBy("set", "n", "band").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("first")))
     name = F.conv(F.substring(F.hex("set"), 1, 16), 16, -10).cast("long")
-    near = cut(sets.withColumn("node", name).join(groups, "node").select("set", "n", "band", "part", "bitmap"))
-
-    def sieve(tile: list[tuple]) -> pa.RecordBatch:
-        tile = sorted(tile, key=lambda r: (r[2], r[1]))
-        roots = sift([(side, size, cells) for side, _, size, cells in tile], least)
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in tile], pa.binary()), pa.array([tile[k][1] for k in roots], pa.binary())], names=["a", "b"])
-
-    maps = near.select("set", "n", "bitmap").join(_tiles(near, MAP_SETS, MAP_SHINGLES), "set")
-    sieved = components(_tile_by_tile(maps, ["n", "bitmap"], sieve, "a binary, b binary")).select(F.col("node").alias("set"), F.hex("label").alias("part"))
-    chosen = cut(sets.join(sieved, "set").select("set", "n", "band", "weight", "part", "first._id", "first._hash"))
-    own = docs.select(docs[id_col].alias("_id2"), F.xxhash64(docs[text_col]).alias("_hash2"), docs[text_col].alias("_text"))
-    texts = own.join(small(chosen.select("_id", "_hash", "set", "weight")), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))).select("set", "weight", "_text")
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            found = _sets(batch.column(2), n)
-            same = pa.array([digest(s) == d for s, d in zip(found, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "weight", "shingles"]).filter(same)
-
-    def judge(tile: list[tuple]) -> pa.RecordBatch:
-        tile = sorted(tile, key=lambda r: (len(r[3]), r[1]))
-        links, roots = verify([(side, weight, np.frombuffer(blob, np.uint64)) for side, _, weight, blob in tile], least)
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in tile], pa.binary()), pa.array(links, pa.int64()), pa.array([tile[k][1] for k in roots], pa.binary())], names=["set", "links", "root"])
-
-    loaded = map_batches(texts, load, "set binary, weight long, shingles binary")
-    judged = cut(_tile_by_tile(loaded.join(_tiles(chosen, BLOCK_SETS, BLOCK_SHINGLES), "set"), ["weight", "shingles"], judge, "set binary, links long, root binary"))
-    labels = components(judged.select(F.col("set").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("set"), "label")
-    links = judged.groupBy("set").agg(F.sum("links").alias("links"))
-    known = sets.select("set", "weight", "first").join(links, "set", "left").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    near = sets.withColumn("node", name).join(parts, "node").select("set", "part", "band", "n", "first._id", "first._hash", "weight")
+    near = cut(near)
+    labels = cut(fields.groups(near.drop("weight")))
+    told = sets.filter("weight > 1").select("set").union(labels.select("set")).distinct()
+    known = sets.join(told, "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    if links:
+        known = known.join(fields.links(near, labels), "set", "left")
+    known = cut(known)
     heads = known.groupBy("label").agg(F.min("first._id").alias("component"), F.min("first").alias("head"))
-    return rows, known.join(heads, "label").select("set", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component", "head")
+    more = (F.coalesce("links", F.lit(0)) if links else F.lit(0)) + F.col("weight") - 1
+    return rows, cut(known.join(cut(heads), "label").select("set", "weight", "component", "head", more.alias("links")))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, least: Fraction = Fraction(9, 10)) -> DataFrame:
-    """id, n_shingles, component_id, n_links (rows that the row links with) of every row."""
-    rows, sets = _judge(docs, id_col, text_col, n, least)
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, least: Fraction = Fraction(9, 10), links: bool = False) -> DataFrame:
+    """id, n_shingles, component_id, n_copies (rows with the same set, itself included) of every row; links: also n_links, the rows that it links with."""
+    rows, sets = _judge(docs, id_col, text_col, n, least, links)
     out = rows.select("_id", "set", "n").join(sets, "set", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    known = F.col("weight").isNotNull()
+    columns = [F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.col("component")).otherwise(F.col("_id")).alias("component_id"), F.when(known, F.col("weight")).otherwise(F.when(F.col("n") > 0, 1).otherwise(0)).cast("long").alias("n_copies")]
+    return out.select(*columns, *([F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] if links else []))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows that stay, with all their columns: of each group the one with the smallest id."""
-    rows, sets = _judge(docs, id_col, text_col, n, least)
+    rows, sets = _judge(docs, id_col, text_col, n, least, False)
     gone = rows.filter("n > 0").join(sets, "set").filter(~(F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_hash") == F.col("head._hash")))).select("_id", "_hash").distinct()
     gone = small(cut(gone))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")

@@ -10,7 +10,7 @@ from millrace.llm import jaccard_join as J
 
 def check(spark, rows, n, least):
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in J.join(df, n=n, least=least).collect())
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in J.join(df, n=n, least=least, links=True).collect())
     want = sorted((str(rows[k][0]), s, str(c), x) for k, (s, c, x) in jaccard_join(rows, n, least).items())
     assert got == want
 
@@ -41,18 +41,51 @@ def test_all_links_are_found(spark, n, least, seed):
     check(spark, texts(seed, 160), n, least)
 
 
-def test_tiles(spark, monkeypatch):
-    """The same result when components spread over many tiles."""
-    monkeypatch.setattr(J, "BLOCK_SETS", 4)
-    monkeypatch.setattr(J, "MAP_SETS", 5)
-    check(spark, texts(5, 120), 3, Fraction(4, 5))
+@pytest.mark.parametrize("sets,seed", [(4, 5), (2, 6), (3, 7), (1, 8)])
+def test_tiles(spark, monkeypatch, sets, seed):
+    """The same result when fields spread over many tiles."""
+    monkeypatch.setattr(J, "BLOCK_SETS", sets)
+    check(spark, texts(seed, 120), 3, Fraction(4, 5))
+
+
+def chains(n, step, length=40):
+    """Texts of which each links with the next only, in no order."""
+    words = [f"w{k}" for k in range(n * step + length)]
+    out = [(k, " ".join(words[k * step : k * step + length])) for k in range(n)]
+    random.Random(3).shuffle(out)
+    return out
+
+
+def test_chains_cross_blocks(spark, monkeypatch):
+    """Links that no head of a group has are found crosswise."""
+    monkeypatch.setattr(J, "BLOCK_SETS", 5)
+    rows = chains(60, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in J.join(df, n=1, least=Fraction(9, 10)).collect()} == {0}
+    check(spark, rows + [(1000 + i, t + " other") for i, t in chains(30, 4)], 2, Fraction(4, 5))
+
+
+def test_a_large_near_group_takes_few_tiles(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SETS", 16)
+    met = []
+    real = J.Fields.tiles
+
+    def tiles(self, chosen, *rest):
+        met.append(chosen.selectExpr("sum(size(tiles))").first()[0])
+        return real(self, chosen, *rest)
+
+    monkeypatch.setattr(J.Fields, "tiles", tiles)
+    base = [f"v{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: i % 50], f"x{i}", *base[i % 50 :]])) for i in range(600)]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, least=Fraction(4, 5)).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(met) < 2 * len(rows)
 
 
 def test_odd_rows(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     check(spark, rows, 3, Fraction(9, 10))
     kept = J.keep(odd)
-    assert kept.columns == odd.columns and J.join(none).count() == 0 and J.keep(none).count() == 0
+    assert kept.columns == odd.columns and J.join(none).count() == 0 == J.join(none, links=True).count() and J.keep(none).count() == 0
     got = sorted(str(r["doc_id"]) for r in kept.collect())
     assert got.count("5") == 2  # rows that repeat an id and text are one row to this operator
     assert "7" in got and "6" not in got and got.count("None") == 1
@@ -75,22 +108,30 @@ def test_signatures_lose_no_pair(marks):
                 assert set(keys[owners == 0]) & set(keys[owners == 1])
 
 
-def test_sift_keeps_every_link():
-    rng = np.random.default_rng(2)
-    base = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
-    arrays = sorted((np.unique(np.concatenate([base[: rng.integers(200, 900)], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(50)), key=len)
-    roots = J.sift([(0, len(a), J.bitmap(a)) for a in arrays], Fraction(9, 10))
-    for i, a in enumerate(arrays):
-        for j, b in enumerate(arrays):
-            if 10 * len(np.intersect1d(a, b)) >= 9 * len(np.union1d(a, b)):
-                assert roots[i] == roots[j]
-    strangers = sorted((np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)), key=len)
-    assert J.sift([(0, len(a), J.bitmap(a)) for a in strangers], Fraction(4, 5)) == list(range(30))
-
-
-def test_verify_is_exact():
+def test_tiles_are_exact():
     rng = np.random.default_rng(1)
     arrays = sorted((np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(60)), key=len)
-    links, _ = J.verify([(0, 1, a) for a in arrays], Fraction(1, 2))
-    for i, a in enumerate(arrays):
-        assert links[i] == sum(2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b)) for j, b in enumerate(arrays) if j != i)
+    near = lambda a, b: 2 * len(np.intersect1d(a, b)) >= len(np.union1d(a, b))
+    links = J.counted(arrays, [0] * 60, [1] * 60, Fraction(1, 2))
+    assert links == [sum(near(a, b) for j, b in enumerate(arrays) if j != i) for i, a in enumerate(arrays)]
+    sides = [1 + k % 2 for k in range(60)]
+    links = J.counted(arrays, sides, [1] * 60, Fraction(1, 2))
+    assert links == [sum(near(a, b) for j, b in enumerate(arrays) if sides[j] != sides[i]) for i, a in enumerate(arrays)]
+    names = [bytes([k]) for k in range(60)]
+    new = J.grouped(arrays, [0] * 60, names, Fraction(1, 2))
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if near(arrays[i], arrays[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert new == [names[r] for r in root]
+
+
+def test_components_of_hot_and_long_shapes(spark):
+    from millrace.llm.components import components
+
+    star = [(1, k) for k in range(2, 400)] + [(500 + k, 501 + k) for k in range(60)] + [(900, 800 + k) for k in range(50)] + [(7000, 7000)]
+    random.Random(1).shuffle(star)
+    got = dict(map(tuple, components(spark.createDataFrame(star, "a long, b long")).collect()))
+    assert got == {k: 1 for k in range(1, 400)} | {500 + k: 500 for k in range(61)} | {k: 800 for k in [*range(800, 850), 900]}
