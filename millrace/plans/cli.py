@@ -89,6 +89,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if args.enrich and args.command != "profile":
         words = shape.columns_of(result.cleaned, "string")
         sinks.write(enrich.enrich(result.cleaned, words), f"{args.output_dir}/enriched.csv")
+    if args.command != "profile":
+        result.release()
     out["seconds"] = round(time.time() - began, 3)
     sinks.write_report(spark, out, f"{args.output_dir}/{args.command}_report.json")
     print(json.dumps({k: v for k, v in out.items() if k in ("summary", "worker", "seconds")}, default=str))

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from millrace.functions import hashing, text
 from millrace.operators import clean, dedupe, lineage, profile, report, shape
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,17 @@ class Result:
     scores: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Let go the rows without duplicates, which are kept on the executors' disks for the several actions of a run; lost ones are computed again."""
+        self.extra["kept"].unpersist()
+
 
 def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense", near_threshold: float | None = 0.85, merge: bool = True, lower: bool = True, keep_punctuation: bool = True, drop_outliers: bool = False) -> Result:
     """The full pipeline. Hashes cover all columns but the row number."""
     every = PRESETS[intensity]
     columns = [c for c in df.columns if c != row_id]
     stats = profile.as_dict(profile.profile(df, row_id, every["numeric_every"], every["mode_every"]))
-    kept = dedupe.keep_first(df, hashing.row_hash([F.col(f"`{c}`") for c in columns]), row_id)
+    kept = dedupe.keep_first(df, hashing.row_hash([F.col(f"`{c}`") for c in columns]), row_id).persist(StorageLevel.DISK_ONLY)
     stats = profile.fallbacks(kept, stats, row_id)
     filled = clean.impute(kept, stats)
     numbers = [c for c in shape.columns_of(df, "int", "bigint", "smallint", "tinyint", "double", "float", "decimal") if c != row_id]
@@ -60,7 +65,7 @@ def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense
         near = dedupe.near_duplicates(out, line, row_id, threshold=near_threshold, every=every["lsh_every"])
     if drop_outliers:
         out = clean.drop_outliers(out)
-    return Result(out, stats, near, df)
+    return Result(out, stats, near, df, extra={"kept": kept})
 
 
 def report_of(result: Result, row_id: str = "row_id", every: int = 10) -> dict:
@@ -91,10 +96,11 @@ def clean_worker(df: DataFrame, row_id: str = "row_id", capacity: int = profile.
         known = seen.select(F.col("row_hash").alias("_seen")).distinct()
         repeats = repeats.union(kept.join(known, hashed == F.col("_seen"), "left_semi"))
         kept = kept.join(known, hashed == F.col("_seen"), "left_anti")
+    kept = kept.persist(StorageLevel.DISK_ONLY)
     cells = clean.row_cells(kept, stats, skip=(row_id,))
     cleaned = kept.select(*[cell.alias(c) for c, cell in cells.items()])
     changed = lineage.changed(lineage.cell_pairs(lineage.side_by_side(kept, cells, row_id, columns)))
-    near, extra = None, {}
+    near, extra = None, {"kept": kept}
     if near_threshold is not None:
         line = text.snippet([F.col(f"`{c}`") for c in columns])
         extra["samples"] = dedupe.lsh_samples(cleaned, line, row_id, lsh_every)

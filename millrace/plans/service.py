@@ -45,6 +45,7 @@ def submit_job(store: JobStore, path: str, tenant: str, dataset: str, output_dir
         figures = lineage.worker_stats(rows, result.cleaned, result.changes, result.scores).first().asDict()
         sinks.write_report(store.spark, {"job": job, "worker": figures, "stats": result.stats}, f"{output_dir}/{job}/report.json")
         store.audit(job, user, "finish", figures)
+        result.release()
         store.set_progress(job, 1.0)
         store.update_status(job, "success")
     except Exception as e:

@@ -121,8 +121,10 @@ def test_merge_categories_in_one_job(spark):
 
 
 def test_lineage_needs_no_join(spark, rows):
-    plan = pipeline.clean_worker(rows).changes._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan
+    result = pipeline.clean_worker(rows)
+    plan = result.changes._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "InMemoryTableScan" in plan
+    result.release()
 
 
 def test_short_texts_meet_their_equals(spark):
