@@ -214,17 +214,19 @@ class Tagger:
                 weights |= {f"w{d}": rng.normal(0, 0.2, (VECTOR + HIDDEN, 4 * HIDDEN)), f"b{d}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
         self.w = {k: v.astype(np.float32) for k, v in weights.items()}
 
-    def _lstm(self, x: np.ndarray, d: str, tape: list | None) -> np.ndarray:
-        w, b = self.w[f"w{d}"], self.w[f"b{d}"]
+    def _read(self, x: np.ndarray, tape: list | None) -> np.ndarray:
+        """States of both directions, the backward one on the reversed text, in one go: (time, lane, 2 * HIDDEN)."""
+        w, b = (np.stack([self.w[f"{k}f"], self.w[f"{k}b"]]) for k in "wb")
         steps, lanes = x.shape[:2]
-        fed = x @ w[:VECTOR] + b
-        h = c = np.zeros((lanes, HIDDEN), x.dtype)
-        out = np.empty((steps, lanes, HIDDEN), x.dtype)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = fed[t] + h @ w[VECTOR:]
-            gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
+        fed = np.stack([x, x[::-1]], 1) @ w[:, :VECTOR] + b[:, None]
+        own = w[:, VECTOR:]
+        h = c = np.zeros((2, lanes, HIDDEN), x.dtype)
+        out = np.empty((steps, 2, lanes, HIDDEN), x.dtype)
+        for t in range(steps):
+            z = fed[t] + h @ own
+            gates = 1 / (1 + np.exp(-z[:, :, : 3 * HIDDEN]))
+            i, f, o = gates[:, :, :HIDDEN], gates[:, :, HIDDEN : 2 * HIDDEN], gates[:, :, 2 * HIDDEN :]
+            g = np.tanh(z[:, :, 3 * HIDDEN :])
             before, old = h, c
             c = f * c + i * g
             y = np.tanh(c)
@@ -232,32 +234,37 @@ class Tagger:
             out[t] = h
             if tape is not None:
                 tape.append((t, before, old, i, f, o, g, y))
-        return out
-
-    def _lstm_back(self, x: np.ndarray, d: str, tape: list, up: np.ndarray, grad: dict) -> np.ndarray:
-        w = self.w[f"w{d}"]
-        dx = np.empty_like(x)
-        dh = dc = np.zeros((x.shape[1], HIDDEN), x.dtype)
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2)
+
+    def _read_back(self, x: np.ndarray, tape: list, up: np.ndarray, grad: dict) -> np.ndarray:
+        w = np.stack([self.w["wf"], self.w["wb"]])
+        feed, own = w[:, :VECTOR].transpose(0, 2, 1), w[:, VECTOR:].transpose(0, 2, 1)
+        both = np.stack([x, x[::-1]], 1)
+        up = np.stack([up[:, :, :HIDDEN], up[::-1, :, HIDDEN:]], 1)
+        dx = np.empty_like(both)
+        dh = dc = np.zeros((2, x.shape[1], HIDDEN), x.dtype)
+        gw, gb = np.zeros_like(w), np.zeros((2, 4 * HIDDEN), x.dtype)
         for t, before, old, i, f, o, g, y in reversed(tape):
             dh = dh + up[t]
             dc = dc + dh * o * (1 - y * y)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * old * f * (1 - f), dh * y * o * (1 - o), dc * i * (1 - g * g)], 1)
-            grad[f"w{d}"][:VECTOR] += x[t].T @ dz
-            grad[f"w{d}"][VECTOR:] += before.T @ dz
-            grad[f"b{d}"] += dz.sum(0)
-            dx[t], dh, dc = dz @ w[:VECTOR].T, dz @ w[VECTOR:].T, dc * f
-        return dx
+            dz = np.concatenate([dc * g * i * (1 - i), dc * old * f * (1 - f), dh * y * o * (1 - o), dc * i * (1 - g * g)], 2)
+            gw += np.concatenate([both[t], before], 2).transpose(0, 2, 1) @ dz
+            gb += dz.sum(1)
+            dx[t], dh, dc = dz @ feed, dz @ own, dc * f
+        for k, d in enumerate("fb"):
+            grad[f"w{d}"], grad[f"b{d}"] = gw[k], gb[k]
+        return dx[:, 0] + dx[::-1, 1]
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         x = self.w["e"][codes]
-        return np.concatenate([self._lstm(x, "f", None), self._lstm(x, "b", None)], 2) @ self.w["o"] + self.w["ob"]
+        return self._read(x, None) @ self.w["o"] + self.w["ob"]
 
     def learn(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Mean loss of a lot of windows and its gradient."""
         grad = {k: np.zeros_like(v) for k, v in self.w.items()}
         x = self.w["e"][codes]
-        tapes: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._lstm(x, d, tapes[d]) for d in "fb"], 2)
+        tape: list = []
+        both = self._read(x, tape)
         em = both @ self.w["o"] + self.w["ob"]
         steps, lanes = codes.shape
         move = self.w["t"] + _allowed()
@@ -278,7 +285,7 @@ class Tagger:
         grad["t"], grad["ob"] = pairs / lanes, d_em.sum((0, 1))
         grad["o"] = np.tensordot(both, d_em, ((0, 1), (0, 1)))
         up = d_em @ self.w["o"].T
-        dx = self._lstm_back(x, "f", tapes["f"], up[:, :, :HIDDEN], grad) + self._lstm_back(x, "b", tapes["b"], up[:, :, HIDDEN:], grad)
+        dx = self._read_back(x, tape, up, grad)
         np.add.at(grad["e"], codes, dx)
         return float((whole - gold).mean()), grad
 
