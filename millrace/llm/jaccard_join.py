@@ -56,7 +56,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Growth of size classes; sets and shingles of a tile's block.
-GROWTH, BLOCK_SETS, BLOCK_SHINGLES = Fraction(3, 2), 256, 1 << 19
+GROWTH, BLOCK_SETS, BLOCK_SHINGLES = Fraction(3, 2), 128, 1 << 18
 #: Bits of the table of common shingles, and how far above the mean a cell is common.
 CELL_BITS, COMMON = 22, 8
 
