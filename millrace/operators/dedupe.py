@@ -31,7 +31,7 @@ def new_rows(df: DataFrame, state: DataFrame, key: Column, order: str) -> tuple[
     return fresh, fresh.select("row_hash", F.col(order).alias("first_seen_row"))
 
 
-def bucket_keys(df: DataFrame, text: Column, row_id: str) -> DataFrame:
+def bucket_keys(df: DataFrame, text: Column, row_id: str, family: str = "sha256") -> DataFrame:
     """(row_id, bucket_key): the distinct buckets of each row's text, and of a text too short for a shingle one by its own.
 
     Texts without a shingle all have the same empty signature; they meet their
@@ -41,14 +41,14 @@ def bucket_keys(df: DataFrame, text: Column, row_id: str) -> DataFrame:
     rows = spread(df.select(F.col(row_id).alias("row_id"), text.alias("_text")))
     sets = rows.select("row_id", "_text", hashing.shingles(F.col("_text")).alias("_set"))
     apart = F.array(F.concat(F.lit("short:"), F.md5("_text")))
-    buckets = F.when(F.size("_set") > 0, F.array_distinct(hashing.lsh_buckets(hashing.minhash(F.col("_set"))))).otherwise(apart)
+    buckets = F.when(F.size("_set") > 0, F.array_distinct(hashing.lsh_buckets(hashing.minhash(F.col("_set"), family=family)))).otherwise(apart)
     return sets.filter("_text is not null").select("row_id", F.explode(buckets).alias("bucket_key"))
 
 
-def lsh_samples(df: DataFrame, text: Column, row_id: str, every: int = 50) -> DataFrame:
+def lsh_samples(df: DataFrame, text: Column, row_id: str, every: int = 50, family: str = "sha256") -> DataFrame:
     """(bucket_key, sampled_row_id, snippet) of every so many rows: what later rows are compared to."""
     sample = df.filter(F.col(row_id) % every == 0)
-    keyed = bucket_keys(sample, text, row_id).withColumnRenamed("row_id", "sampled_row_id")
+    keyed = bucket_keys(sample, text, row_id, family).withColumnRenamed("row_id", "sampled_row_id")
     return keyed.join(sample.select(F.col(row_id).alias("sampled_row_id"), text.alias("snippet")), "sampled_row_id").select("bucket_key", "sampled_row_id", "snippet")
 
 
@@ -58,14 +58,14 @@ def near_pairs(keys: DataFrame, sample_keys: DataFrame) -> DataFrame:
     return keys.join(samples, "bucket_key").filter("row_id <> candidate_id").select("row_id", "candidate_id").distinct()
 
 
-def near_candidates(df: DataFrame, text: Column, row_id: str, samples: DataFrame | None = None, every: int = 50) -> DataFrame:
+def near_candidates(df: DataFrame, text: Column, row_id: str, samples: DataFrame | None = None, every: int = 50, family: str = "sha256") -> DataFrame:
     """(row_id, candidate_id, text, candidate): each row with the sampled rows of its buckets, itself left out.
 
     samples: what lsh_samples gave before; without, every so many rows of df are
-    the samples, and each signature is computed once.
+    the samples, and each signature is computed once. family: see minhash.
     """
     rows = df.select(F.col(row_id).alias("row_id"), text.alias("text"))
-    keys = bucket_keys(df, text, row_id)
+    keys = bucket_keys(df, text, row_id, family)
     if samples is None:
         keys = cut(keys)
         pairs = near_pairs(keys, keys.filter(F.col("row_id") % every == 0))
@@ -82,12 +82,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def near_duplicates(df: DataFrame, text: Column, row_id: str, samples: DataFrame | None = None, threshold: float = 0.85, how: str = "ratio", every: int = 50) -> DataFrame:
+def near_duplicates(df: DataFrame, text: Column, row_id: str, samples: DataFrame | None = None, threshold: float = 0.85, how: str = "ratio", every: int = 50, family: str = "sha256") -> DataFrame:
     """(row_id, candidate_id, similarity) of candidates at or above the threshold; rows are flagged, none dropped.
 
-    samples and every: see near_candidates. how: ratio for the matching-blocks ratio, jaccard for the shingle sets', levenshtein for edits.
+    samples, every and family: see near_candidates. how: ratio for the matching-blocks ratio, jaccard for the shingle sets', levenshtein for edits.
     """
-    pairs = near_candidates(df, text, row_id, samples, every)
+    pairs = near_candidates(df, text, row_id, samples, every, family)
     if how == "ratio":
         score = ratio(F.col("text"), F.col("candidate"))
     elif how == "jaccard":

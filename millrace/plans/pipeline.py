@@ -43,8 +43,8 @@ class Result:
         self.extra["kept"].unpersist()
 
 
-def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense", near_threshold: float | None = 0.85, merge: bool = True, lower: bool = True, keep_punctuation: bool = True, drop_outliers: bool = False) -> Result:
-    """The full pipeline. Hashes cover all columns but the row number."""
+def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense", near_threshold: float | None = 0.85, merge: bool = True, lower: bool = True, keep_punctuation: bool = True, drop_outliers: bool = False, family: str = "sha256") -> Result:
+    """The full pipeline. Hashes cover all columns but the row number. family: the near duplicates' hashes, see minhash."""
     every = PRESETS[intensity]
     columns = [c for c in df.columns if c != row_id]
     stats = profile.as_dict(profile.profile(df, row_id, every["numeric_every"], every["mode_every"]))
@@ -62,7 +62,7 @@ def clean_table(df: DataFrame, row_id: str = "row_id", intensity: str = "intense
     near = None
     if near_threshold is not None and columns:
         line = text.snippet([F.lower(F.col(f"`{c}`").cast("string")) for c in columns])
-        near = dedupe.near_duplicates(out, line, row_id, threshold=near_threshold, every=every["lsh_every"])
+        near = dedupe.near_duplicates(out, line, row_id, threshold=near_threshold, every=every["lsh_every"], family=family)
     if drop_outliers:
         out = clean.drop_outliers(out)
     return Result(out, stats, near, df, extra={"kept": kept})

@@ -127,6 +127,16 @@ def test_lineage_needs_no_join(spark, rows):
     result.release()
 
 
+def test_fast_signatures(spark):
+    words = lambda i: f"a row of words about the subject number {i}"
+    df = spark.createDataFrame([(i, words(i // 2) + "!" * (i % 2)) for i in range(200)], "id long, s string")
+    near = lambda family: {(r["row_id"], r["candidate_id"]) for r in dedupe.near_duplicates(df, F.col("s"), "id", threshold=0.9, how="jaccard", every=2, family=family).collect()}
+    twins = {(i + 1, i) for i in range(0, 200, 2)}
+    assert len(twins & near("xxhash64")) > 95 and len(twins & near("sha256")) > 95
+    with pytest.raises(ValueError):
+        hashing.minhash(F.col("s"), family="md5")
+
+
 def test_short_texts_meet_their_equals(spark):
     df = spark.createDataFrame([(0, "ab"), (1, "cd"), (2, "ab"), (50, "ab"), (3, None), (4, "a longer text of words"), (100, "a longer text of words!")], "id long, s string")
     pairs = {(r["row_id"], r["candidate_id"]) for r in dedupe.near_candidates(df, F.col("s"), "id").collect()}
