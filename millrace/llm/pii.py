@@ -198,11 +198,6 @@ def _allowed() -> np.ndarray:
     return out
 
 
-def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
-
-
 class Tagger:
     """BiLSTM-CRF; arrays are (time, lane, ...)."""
 
@@ -268,18 +263,22 @@ class Tagger:
         em = both @ self.w["o"] + self.w["ob"]
         steps, lanes = codes.shape
         move = self.w["t"] + _allowed()
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        alpha[0] = em[0] + _allowed()[0]  # a window begins as after an outside tag
-        for t in range(1, steps):
-            alpha[t] = em[t] + _sum_exp(alpha[t - 1][:, :, None] + move, 1)
+        # forward and backward sums of each step, scaled so that they sum to 1
+        top = em.max(2, keepdims=True)
+        here, moves = np.exp(em - top), np.exp(move)
+        alpha, beta, scale = np.empty_like(em), np.ones_like(em), np.empty((steps, lanes, 1), em.dtype)
+        for t in range(steps):
+            now = here[t] * (np.exp(_allowed()[0]) if t == 0 else alpha[t - 1] @ moves)  # a window begins as after an outside tag
+            scale[t] = now.sum(1, keepdims=True)
+            alpha[t] = now / scale[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = _sum_exp(move + (em[t + 1] + beta[t + 1])[:, None, :], 2)
-        whole = _sum_exp(alpha[-1], 1)
+            beta[t] = (here[t + 1] * beta[t + 1] / scale[t + 1]) @ moves.T
+        whole = (np.log(scale) + top).sum((0, 2))
         lane, time = np.arange(lanes), np.arange(steps)
         gold = em[time[:, None], lane, tags].sum(0) + move[tags[:-1], tags[1:]].sum(0)
-        d_em = np.exp(alpha + beta - whole[:, None])
+        d_em = alpha * beta
         d_em[time[:, None], lane, tags] -= 1
-        pairs = np.exp(alpha[:-1][:, :, :, None] + move + (em[1:] + beta[1:])[:, :, None, :] - whole[:, None, None]).sum((0, 1))
+        pairs = moves * np.tensordot(alpha[:-1], here[1:] * beta[1:] / scale[1:], ((0, 1), (0, 1)))
         np.subtract.at(pairs, (tags[:-1].ravel(), tags[1:].ravel()), 1)
         d_em /= lanes
         grad["t"], grad["ob"] = pairs / lanes, d_em.sum((0, 1))

@@ -36,8 +36,24 @@ def signs() -> np.ndarray:
     return np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 
 
+#: Bytes of text that are hashed at once, unless one text is longer: some fifty bytes of memory go to each.
+STEP = 1 << 19
+
+
 def hashes(column: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word with A-Z in lower case, and where each text's words begin; null has none."""
+    at = offsets(column)
+    found, begins, start, total = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0, 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(at, at[start] + STEP, side="right")) - 1)
+        own, marks = _hashes(column.slice(start, end - start), word)
+        found.append(own)
+        begins.append(marks[1:] + total)
+        start, total = end, total + len(own)
+    return np.concatenate(found), np.concatenate(begins)
+
+
+def _hashes(column: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = offsets(column)
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at = at - at[0]

@@ -30,3 +30,13 @@ def test_words_and_where_texts_begin():
     found, begins = W.hashes(pa.array(["One  two\nONE", None, "", "two", " \t"]), W.spaces())
     assert begins.tolist() == [0, 3, 3, 3, 4, 4] and found[0] == found[2] and found[1] == found[3] and found[0] != found[1]
     assert W.hashes(pa.array([None, " "], pa.string()), W.spaces())[0].dtype == np.uint64
+
+
+def test_steps_change_nothing(monkeypatch):
+    texts = pa.array(["one two", None, "", "three " * 50, "four", " ", "five six seven"] * 20)
+    whole = W.hashes(texts, W.spaces())
+    for step in (1, 7, 100):
+        monkeypatch.setattr(W, "STEP", step)
+        again = W.hashes(texts, W.spaces())
+        assert (whole[0] == again[0]).all() and (whole[1] == again[1]).all()
+    assert W.hashes(texts[:0], W.spaces())[1].tolist() == [0]
