@@ -11,11 +11,13 @@
    decides none.
 2. Tiles. What links is decided in tiles of bounded size within a field, banded
    by size: sets that can link are of one band or of neighbouring ones. In a tile
-   every set is a hashed bitmap of its shingles; the bits in which two bitmaps
-   differ bound their overlap from above, and the pairs that can still reach the
-   threshold are decided by intersecting their sorted arrays.
-3. Spanning links. Groups need links that span them, not all of their links. A
-   field of several blocks is read a block at a time first; then the heads of the
+   every set is a hashed bitmap of its shingles, and the bits in which two bitmaps
+   differ bound their overlap from above. Tiles of bitmaps alone come first: pairs
+   that can still reach the threshold make up finer fields, and only their sets'
+   texts are read again. In the tiles of these, wider bitmaps and then the sorted
+   arrays' intersections decide.
+3. Spanning links. Fields and groups need links that span them, not all of their
+   links. A field of several blocks is read a block at a time first; then the heads of the
    groups found, one of each, are dealt into blocks and joined, again and again
    while that joins most of them. So a large group of near copies falls into one, each set
    having met few others. Only then do blocks meet crosswise, and only where
@@ -55,8 +57,8 @@ from millrace.runtime import cut
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Growth of size classes; sets and shingles of a tile's block.
-GROWTH, BLOCK_SETS, BLOCK_SHINGLES = Fraction(3, 2), 128, 1 << 18
+#: Growth of size classes; sets and shingles of a block in tiles of arrays, and in tiles of bitmaps.
+GROWTH, BLOCK_SETS, BLOCK_SHINGLES, MAP_SETS, MAP_SHINGLES = Fraction(3, 2), 128, 1 << 18, 1024, 1 << 23
 #: Bits of the table of common shingles, and how far above the mean a cell is common.
 CELL_BITS, COMMON = 22, 8
 
@@ -281,11 +283,43 @@ class Tile:
         return near[den * shared >= num * (m + n - shared)]
 
 
-def grouped(arrays: list[np.ndarray], sides: list[int], labels: list, least: Fraction) -> list:
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each cell that a shingle falls in; the number of cells is a power of two, 256 or more, not below the set's size."""
+    cells = 1 << max(8, (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    bits = np.zeros(cells, bool)
+    bits[(W.mix(shingles ^ W.salt(19)) & np.uint64(cells - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+class MapTile(Tile):
+    """A tile of which only sizes and bitmaps are at hand: pairs that they allow to reach the threshold."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[bytes], sides: list[int], least: Fraction):
+        self.num, self.den = least.numerator, least.denominator
+        self.sizes, self.sides = np.array(sizes, np.int64), np.array(sides)
+        self.widths = np.array([len(b) for b in bitmaps])
+        # bitmaps by their own number of cells and, folded, by every smaller number in the tile
+        self.folded: dict[int, np.ndarray] = {}
+        for width in sorted(set(self.widths.tolist())):
+            self.folded[width] = np.zeros((len(bitmaps), width // 8), np.uint64)
+            for wider in sorted(w for w in set(self.widths.tolist()) if w >= width):
+                at = np.flatnonzero(self.widths == wider)
+                raw = np.frombuffer(b"".join(bitmaps[k] for k in at), np.uint8).reshape(len(at), wider // width, width)
+                self.folded[width][at] = np.ascontiguousarray(np.bitwise_or.reduce(raw, 1)).view(np.uint64)
+
+    def linked(self, i: int, near: np.ndarray) -> np.ndarray:
+        own = self.folded[int(self.widths[i])]
+        apart = np.bitwise_count(own[near] ^ own[i]).sum(1, dtype=np.int64)
+        both = self.sizes[near] + self.sizes[i]
+        return near[((both - apart) // 2) * (self.den + self.num) >= self.num * both]
+
+
+def grouped(tile: Tile, labels: list) -> list:
     """The labels once links have joined them, each the smallest of its group. Pairs with one label are not compared."""
-    tile, names = Tile(arrays, sides, least), sorted(set(labels))
-    now = np.searchsorted(np.array(names, object), np.array(labels, object)) if len(names) > 1 else np.zeros(len(labels), np.int64)
-    for i in range(len(arrays)):
+    names = sorted(set(labels))
+    place = {name: k for k, name in enumerate(names)}
+    now = np.array([place[x] for x in labels], np.int64)
+    for i in range(len(labels)):
         near = tile.near(i)
         near = near[now[near] != now[i]]
         if len(near) and len(found := tile.linked(i, near)):
@@ -333,17 +367,17 @@ def _tiles(sets: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
 
 
 def _names(docs: DataFrame, id_col: str, text_col: str, n: int, classes: Classes) -> DataFrame:
-    """(id, text hash, set, n, band) of every row."""
+    """(id, text hash, set, n, band, bitmap) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             sets = _sets(batch.column(2), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.binary()), pa.array(sizes), pa.array(classes.band(sizes).astype(np.int32))], names=["_id", "_hash", "set", "n", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.binary()), pa.array(sizes), pa.array(classes.band(sizes).astype(np.int32)), pa.array([bitmap(s) for s in sets], pa.binary())], names=["_id", "_hash", "set", "n", "band", "bitmap"])
 
     rows = docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"), docs[text_col].alias("_text"))
-    return map_batches(rows, run, f"_id {kind}, _hash long, set binary, n long, band int")
+    return map_batches(rows, run, f"_id {kind}, _hash long, set binary, n long, band int, bitmap binary")
 
 
 def _tile_by_tile(dealt: DataFrame, columns: list[str], judge, schema: str) -> DataFrame:
@@ -399,17 +433,34 @@ class Fields:
 
         return _tile_by_tile(dealt, [*names, "shingles"], run, schema)
 
+    def maps(self, chosen: DataFrame, judge, schema: str) -> DataFrame:
+        """judge(rows) of each tile; rows are (side, set, label, n, bitmap). chosen: set, label, n, bitmap and tiles."""
+
+        def run(tile: list[tuple]) -> pa.RecordBatch:
+            return judge(sorted(tile, key=lambda r: (r[3], r[1])))
+
+        return _tile_by_tile(chosen.select("set", "label", "n", "bitmap", F.inline("tiles")), ["label", "n", "bitmap"], run, schema)
+
+    def finer(self, near: DataFrame) -> DataFrame:
+        """set, label: the sets that bitmaps allow to link, over any number of steps. near: set, part, band, n, bitmap."""
+        least = self.least
+
+        def judge(tile: list[tuple]) -> pa.RecordBatch:
+            return _told([r[2] for r in tile], grouped(MapTile([r[3] for r in tile], [r[4] for r in tile], [r[0] for r in tile], least), [r[2] for r in tile]))
+
+        return self._spanned(near, lambda chosen: cut(self.maps(chosen, judge, "old binary, new binary")), MAP_SETS, MAP_SHINGLES)
+
     def groups(self, near: DataFrame) -> DataFrame:
-        """set, label: the group of each set of the fields. near: set, part (its field), band, n, _id, _hash."""
+        """set, label: the group of each set, by links that arrays decide. near: set, part, band, n, _id, _hash."""
         least = self.least
 
         def judge(tile: list[tuple]) -> pa.RecordBatch:
-            new = grouped([r[-1] for r in tile], [r[0] for r in tile], [r[2] for r in tile], least)
-            return pa.RecordBatch.from_arrays([pa.array([r[2] for r in tile], pa.binary()), pa.array(new, pa.binary())], names=["old", "new"])
+            return _told([r[2] for r in tile], grouped(Tile([r[-1] for r in tile], [r[0] for r in tile], least), [r[2] for r in tile]))
 
-        def joined(chosen: DataFrame) -> DataFrame:
-            return cut(self.tiles(chosen, "label binary", judge, "old binary, new binary"))
+        return self._spanned(near, lambda chosen: cut(self.tiles(chosen, "label binary", judge, "old binary, new binary")), BLOCK_SETS, BLOCK_SHINGLES)
 
+    def _spanned(self, near: DataFrame, joined, block_sets: int, block_shingles: int) -> DataFrame:
+        """set, label by what joined(sets with their tiles) tells of each tile: old and new labels."""
         state = cut(near.withColumn("label", F.col("set")))
         split, tries = None, 0  # split: the fields of several blocks, in which not all sets have met
         while True:  # blocks of all sets, then of the heads of their groups, while that joins most of them
@@ -417,7 +468,7 @@ class Fields:
             if split is not None:
                 heads = heads.join(split, "part")
             sizes = heads.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter("c > 1")
-            sizes = cut(sizes.select("part", _blocks("c", "s").alias("k")))
+            sizes = cut(sizes.select("part", _blocks("c", "s", block_sets, block_shingles).alias("k")))
             if sizes.isEmpty():
                 return state.select("set", "label")
             tile = F.struct(F.concat_ws(":", "part", F.pmod(F.xxhash64("set", F.lit(tries)), "k")).alias("tile"), F.lit(0).alias("side"))
@@ -434,18 +485,18 @@ class Fields:
         open_ = cut(open_.select("part"))
         if open_.isEmpty():
             return state.select("set", "label")
-        crossed = joined(self._crosswise(state.join(small(open_), "part")))
+        crossed = joined(self._crosswise(state.join(small(open_), "part"), block_sets, block_shingles))
         ends = components(crossed.select(F.col("old").alias("a"), F.col("new").alias("b")).distinct())
         return _relabelled(state, ends.select(F.col("node").alias("old"), F.col("label").alias("new"))).select("set", "label")
 
-    def _crosswise(self, state: DataFrame) -> DataFrame:
+    def _crosswise(self, state: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
         """The sets that have still to meet, with their tiles: those outside a field's largest group with all others of their bands."""
         counts = state.groupBy("part", "label").agg(F.count(F.lit(1)).alias("c"))
         largest = counts.groupBy("part").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
         state = cut(state.join(largest, "part").withColumn("inner", F.col("label") == F.col("largest")).drop("largest"))
         inner, outer = (F.when(cond, x) for cond, x in ((F.col("inner"), F.lit(1)), (~F.col("inner"), F.lit(1))))
         bands = state.groupBy("part", "band").agg(F.count(inner).alias("ci"), F.sum(inner * F.col("n")).alias("si"), F.count(outer).alias("co"), F.sum(outer * F.col("n")).alias("so"))
-        bands = bands.select("part", "band", F.when(F.col("ci") > 0, _blocks("ci", "si")).otherwise(0).alias("ki"), F.when(F.col("co") > 0, _blocks("co", "so")).otherwise(0).alias("ko"))
+        bands = bands.select("part", "band", F.when(F.col("ci") > 0, _blocks("ci", "si", block_sets, block_shingles)).otherwise(0).alias("ki"), F.when(F.col("co") > 0, _blocks("co", "so", block_sets, block_shingles)).otherwise(0).alias("ko"))
         w = "over (partition by part order by band)"
         step = lambda f, k, b: f"case when {f}(band) {w} = band {b} 1 then {f}({k}) {w} else 0 end"
         bands = bands.selectExpr("part", "band", "ki", "ko", f"{step('lead', 'ki', '+')} as ki_up", f"{step('lag', 'ki', '-')} as ki_down", f"{step('lead', 'ko', '+')} as ko_up", f"{step('lag', 'ko', '-')} as ko_down")
@@ -472,9 +523,13 @@ class Fields:
         return self.tiles(groups.join(tiled, "set"), "weight long", judge, "set binary, links long").groupBy("set").agg(F.sum("links").alias("links"))
 
 
-def _blocks(count: str, shingles: str) -> Column:
+def _told(old: list, new: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(old, pa.binary()), pa.array(new, pa.binary())], names=["old", "new"])
+
+
+def _blocks(count: str, shingles: str, block_sets: int, block_shingles: int) -> Column:
     """How many blocks so many sets and shingles take."""
-    return F.greatest(F.ceil(F.col(count) / F.lit(BLOCK_SETS)), F.ceil(F.col(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
+    return F.greatest(F.ceil(F.col(count) / F.lit(block_sets)), F.ceil(F.col(shingles) / F.lit(block_shingles))).cast("int")
 
 
 def _relabelled(state: DataFrame, joins: DataFrame) -> DataFrame:
@@ -488,10 +543,11 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, n: int, least: Fraction,
     parts = components(candidates(docs, text_col, n, classes)).select("node", F.col("label").alias("part"))
     rows = cut(_names(docs, id_col, text_col, n, classes))
     first = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")
-    sets = cut(rows.filter("n > 0").groupBy("set", "n", "band").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("first")))
+    sets = cut(rows.filter("n > 0").groupBy("set", "n", "band").agg(F.count(F.lit(1)).alias("weight"), F.min(first).alias("first"), F.min("bitmap").alias("bitmap")))
     name = F.conv(F.substring(F.hex("set"), 1, 16), 16, -10).cast("long")
-    near = sets.withColumn("node", name).join(parts, "node").select("set", "part", "band", "n", "first._id", "first._hash", "weight")
-    near = cut(near)
+    near = cut(sets.withColumn("node", name).join(parts, "node").select("set", "part", "band", "n", "bitmap", "first._id", "first._hash", "weight"))
+    field = fields.finer(near.select("set", "part", "band", "n", "bitmap"))
+    near = cut(near.drop("part", "bitmap").join(field.select("set", F.hex("label").alias("part")), "set"))
     labels = cut(fields.groups(near.drop("weight")))
     told = sets.filter("weight > 1").select("set").union(labels.select("set")).distinct()
     known = sets.join(told, "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))

@@ -45,6 +45,7 @@ def test_all_links_are_found(spark, n, least, seed):
 def test_tiles(spark, monkeypatch, sets, seed):
     """The same result when fields spread over many tiles."""
     monkeypatch.setattr(J, "BLOCK_SETS", sets)
+    monkeypatch.setattr(J, "MAP_SETS", sets + 1)
     check(spark, texts(seed, 120), 3, Fraction(4, 5))
 
 
@@ -59,6 +60,7 @@ def chains(n, step, length=40):
 def test_chains_cross_blocks(spark, monkeypatch):
     """Links that no head of a group has are found crosswise."""
     monkeypatch.setattr(J, "BLOCK_SETS", 5)
+    monkeypatch.setattr(J, "MAP_SETS", 9)
     rows = chains(60, 1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["component_id"] for r in J.join(df, n=1, least=Fraction(9, 10)).collect()} == {0}
@@ -67,18 +69,19 @@ def test_chains_cross_blocks(spark, monkeypatch):
 
 def test_a_large_near_group_takes_few_tiles(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_SETS", 16)
+    monkeypatch.setattr(J, "MAP_SETS", 16)
     met = []
-    real = J.Fields.tiles
+    for name in ("tiles", "maps"):
 
-    def tiles(self, chosen, *rest):
-        met.append(chosen.selectExpr("sum(size(tiles))").first()[0])
-        return real(self, chosen, *rest)
+        def counted(self, chosen, *rest, real=getattr(J.Fields, name)):
+            met.append(chosen.selectExpr("sum(size(tiles))").first()[0])
+            return real(self, chosen, *rest)
 
-    monkeypatch.setattr(J.Fields, "tiles", tiles)
+        monkeypatch.setattr(J.Fields, name, counted)
     base = [f"v{k}" for k in range(60)]
     rows = [(i, " ".join([*base[: i % 50], f"x{i}", *base[i % 50 :]])) for i in range(600)]
     got = J.join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, least=Fraction(4, 5)).collect()
-    assert {r["component_id"] for r in got} == {0} and sum(met) < 2 * len(rows)
+    assert {r["component_id"] for r in got} == {0} and sum(met) < 3 * len(rows)
 
 
 def test_odd_rows(spark, odd, none):
@@ -118,7 +121,7 @@ def test_tiles_are_exact():
     links = J.counted(arrays, sides, [1] * 60, Fraction(1, 2))
     assert links == [sum(near(a, b) for j, b in enumerate(arrays) if sides[j] != sides[i]) for i, a in enumerate(arrays)]
     names = [bytes([k]) for k in range(60)]
-    new = J.grouped(arrays, [0] * 60, names, Fraction(1, 2))
+    new = J.grouped(J.Tile(arrays, [0] * 60, Fraction(1, 2)), names)
     root = list(range(60))
     for i in range(60):
         for j in range(i):
@@ -128,6 +131,20 @@ def test_tiles_are_exact():
     assert new == [names[r] for r in root]
 
 
+def test_bitmaps_keep_every_link():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+    arrays = sorted((np.unique(np.concatenate([base[: rng.integers(200, 900)], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for _ in range(50)), key=len)
+    group = lambda sets, least: J.grouped(J.MapTile([len(a) for a in sets], [J.bitmap(a) for a in sets], [0] * len(sets), least), list(range(len(sets))))
+    roots = group(arrays, Fraction(9, 10))
+    for i, a in enumerate(arrays):
+        for j, b in enumerate(arrays):
+            if 10 * len(np.intersect1d(a, b)) >= 9 * len(np.union1d(a, b)):
+                assert roots[i] == roots[j]
+    strangers = sorted((np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(30)), key=len)
+    assert group(strangers, Fraction(4, 5)) == list(range(30))
+
+
 def test_components_of_hot_and_long_shapes(spark):
     from millrace.llm.components import components
 
