@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -20,18 +21,43 @@ _KEPT = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kep
 
 
 def kept(key, make: Callable):
-    """make() once per worker process and key; at most eight values stay."""
+    """make() once per worker process and key; of a kind (a key's first part) the last value stays."""
     store = _KEPT.__dict__.setdefault("store", {})
-    if key not in store:
-        while len(store) >= 8:
-            store.pop(next(iter(store)))
-        store[key] = make()
-    return store[key]
+    kind = key[0] if isinstance(key, tuple) else key
+    if store.get(kind, (None,))[0] != key:
+        store.pop(kind, None)  # the old value goes before the new one is made
+        store[kind] = key, make()
+    return store[kind][1]
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     share_code(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_little()
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def hold_little() -> None:
+    """Let the C library give arrays of a megabyte or more back to the system once they are free (its bound grows to 32 MB by itself)."""
+    kept("malloc", lambda: _c("mallopt", -3, 1 << 20))
+
+
+def release() -> None:
+    """Give free memory back to the system at the end of a task, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _c("malloc_trim", 0)
+
+
+def _c(name: str, *values: int) -> None:
+    call = getattr(ctypes.CDLL(None), name, None)  # other systems lack these
+    if call is not None:
+        call(*values)
 
 
 def slices(batches: Iterable[pa.RecordBatch], text_at: int, chars: int = CHARS) -> Iterator[pa.RecordBatch]:

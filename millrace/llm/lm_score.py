@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 
 from millrace.llm import words as W
+from millrace.llm.arrow import hold_little
 from millrace.llm.sizes import small
 from millrace.runtime import share_code
 from pyspark.sql import DataFrame
@@ -82,6 +83,7 @@ def asked(rows: DataFrame, slabs: int) -> DataFrame:
     bounds = np.array([-(-(k << 64) // slabs) for k in range(1, slabs)], np.uint64)
 
     def ask(rows: pa.Table) -> pa.Table:
+        hold_little()
         found, own, pair, begins = keys(rows.column("_text"))
         hit = np.tile(np.repeat(np.array(rows.column("_target").to_pylist(), bool), np.diff(begins)), 2)
         which = np.concatenate([own, pair])
@@ -108,6 +110,7 @@ def summed(rows: DataFrame, slabs: int) -> DataFrame:
     """
 
     def answer(rows: pa.Table) -> pa.Table:
+        hold_little()
         parts = [unpacked(blob.as_py(), 3) for blob in rows.column("cells")]
         found, which, chosen, n = merged(parts)
         word = found % np.uint64(2) == 1
@@ -161,6 +164,7 @@ def score(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
+        hold_little()
         _, own, pair, begins = keys(rows.column("_text"))
         (tokens, all_tokens, distinct), table = gathered(totals)
         size = max(1 << WORD_BITS, int(distinct))
