@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, lm_score, pii, reshard, token_counts
+from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, lm_score, mixing, pii, reshard, token_counts
 
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op5_reshard": reshard.op5_reshard,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op13_mix_sources": mixing.op13_mix_sources,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
