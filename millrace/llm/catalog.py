@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, lm_score, mixing, pii, reshard, token_counts
+from millrace.llm import byte_bpe, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, language_id, lm_score, mixing, pii, reshard, token_counts, whitening
 
 
 
@@ -24,9 +24,12 @@ QUERIES = {
     "op5_reshard": reshard.op5_reshard,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_whitening": whitening.op12_whitening,
     "op13_mix_sources": mixing.op13_mix_sources,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
