@@ -9,7 +9,13 @@ SHINGLE, HASHES, BANDS = 5, 64, 16
 
 
 def row_hash(columns: list[Column]) -> Column:
-    """md5 of the columns as text, joined by a bar."""
+    """md5 of the columns as text, each with its length, and of null as of no text: rows that differ in any cell have different texts."""
+    cells = [F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat(*cells) if cells else F.lit(""))
+
+
+def joined_hash(columns: list[Column]) -> Column:
+    """md5 of the columns as text, joined by a bar, null as "nan": a form that other tools share, in which ("a|b", "c") and ("a", "b|c") are one row."""
     return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("nan")) for c in columns]))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from millrace.runtime import cut
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+#: Keys that a hot token is dealt over when its value is told.
+SALTS = 16
 
 #: What is redacted, in this order.
 PATTERNS = {
@@ -29,19 +34,13 @@ def pseudonym(c: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), c.cast("string")), 256)
 
 
-def token_table(df: DataFrame, column: str, prefix: str = "tok_") -> DataFrame:
-    """(value, token) for every distinct value; the token follows from the value, so runs agree."""
-    return df.select(F.col(column).alias("value")).filter("value is not null").distinct().withColumn("token", F.concat(F.lit(prefix), F.substring(F.sha2(F.col("value").cast("string"), 256), 1, 16)))
-
+def token(c: Column, salt: str = "", prefix: str = "tok_") -> Column:
+    """A value's token: 128 bits of a salted hash, the same in every run with the salt; null stays null."""
+    return F.concat(F.lit(prefix), F.substring(pseudonym(c, salt), 1, 32))
 
-def tokenize(df: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
-    """The column's values replaced by their tokens."""
-    renamed = tokens.select(F.col("value").alias("_value"), F.col("token").alias("_token"))
-    return df.join(renamed, F.col(column) == F.col("_value"), "left").withColumn(column, F.col("_token")).drop("_value", "_token")
 
-
-def protect(df: DataFrame, strategies: dict[str, str], salt: str = "") -> DataFrame:
-    """Apply redact, hash, exclude or tokenize to columns by name."""
+def protect(df: DataFrame, strategies: dict[str, str], salt: str = "", vault: TokenVault | None = None) -> DataFrame:
+    """Apply redact, hash, exclude or tokenize to columns by name. vault: where the values of tokens are kept, so that they can be told again."""
     for column, how in strategies.items():
         if how == "redact":
             df = df.withColumn(column, redact(F.col(column)))
@@ -50,7 +49,56 @@ def protect(df: DataFrame, strategies: dict[str, str], salt: str = "") -> DataFr
         elif how == "exclude":
             df = df.drop(column)
         elif how == "tokenize":
-            df = tokenize(df, column, token_table(df, column))
+            if vault is not None:
+                vault.add(df, column)
+            df = df.withColumn(column, token(F.col(column), vault.salt if vault else salt))
         else:
             raise ValueError(f"unknown privacy strategy: {how}")
     return df
+
+
+class TokenCollision(Exception):
+    """Two values have one token."""
+
+
+class TokenVault:
+    """Values by token in an append-only table, one salt for all.
+
+    A token follows from its value, so jobs agree without reading the table, and
+    two jobs that add a value at once add the same row; it is read as one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, salt: str, prefix: str = "tok_"):
+        self.spark, self.path, self.salt, self.prefix = spark, path.rstrip("/"), salt, prefix
+
+    def read(self) -> DataFrame:
+        """(token, value)."""
+        try:
+            return self.spark.read.schema("token string, value string").parquet(self.path).distinct()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], "token string, value string")
+
+    def add(self, df: DataFrame, column: str) -> DataFrame:
+        """Appends the column's values that the vault lacks, and gives them; an error if a token would stand for two values."""
+        values = df.select(F.col(f"`{column}`").cast("string").alias("value")).filter("value is not null").distinct()
+        rows = values.select(token(F.col("value"), self.salt, self.prefix).alias("token"), "value")
+        fresh = cut(rows.join(self.read(), ["token", "value"], "left_anti"))
+        both = fresh.unionByName(self.read().join(fresh.select("token"), "token", "left_semi"))
+        if not both.groupBy("token").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a <> b").isEmpty():
+            raise TokenCollision("values share a token: use another salt")
+        fresh.write.mode("append").parquet(self.path)
+        return fresh
+
+    def reveal(self, df: DataFrame, column: str) -> DataFrame:
+        """The column's tokens replaced by their values; what is no token of the vault is null.
+
+        A token that very many rows share is split: rows meet the vault by token
+        and one of SALTS salts.
+        """
+        salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        known = self.read().select(F.col("token").alias("_token"), F.col("value").alias("_value"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+        cell = F.col(f"`{column}`")
+        met = salted.join(known, (cell == F.col("_token")) & (salted["_salt"] == known["_salt"]), "left")
+        return met.select(*[(F.col("_value").alias(c) if c == column else salted[f"`{c}`"]) for c in df.columns])

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Keys that a hot row's copies are dealt over.
+SALTS = 64
+
+
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row by order of each key. Each task keeps its first rows before the shuffle."""
     first = Window.partitionBy("_key").orderBy(order)
@@ -20,9 +24,16 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def repeats(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The rows that keep_first drops."""
-    first = Window.partitionBy("_key").orderBy(order)
-    return df.withColumn("_key", key).withColumn("_r", F.row_number().over(first)).filter("_r > 1").drop("_key", "_r")
+    """The rows that keep_first drops, by a number (order) that no two rows share.
+
+    The first of each key is a minimum of minima over salts, and rows learn of it
+    by key and salt, so that copies of a hot row never meet in a task.
+    """
+    rows = df.withColumns({"_key": key, "_salt": F.pmod(F.xxhash64(order), F.lit(SALTS))})
+    salted = rows.groupBy("_key", "_salt").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    several = salted.groupBy("_key").agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"), F.collect_list("_salt").alias("_salts")).filter("_n > 1")
+    known = several.select("_key", F.explode("_salts").alias("_salt"), "_first")
+    return rows.join(known, ["_key", "_salt"]).filter(F.col(order) > F.col("_first")).select(*[rows[f"`{c}`"] for c in df.columns])
 
 
 def new_rows(df: DataFrame, state: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:
@@ -76,6 +87,21 @@ def near_candidates(df: DataFrame, text: Column, row_id: str, samples: DataFrame
     return pairs.join(rows, "row_id").join(snippets, "candidate_id").select("row_id", "candidate_id", "text", "candidate")
 
 
+def near_groups(df: DataFrame, text: Column, row_id: str, threshold: float = 0.85, how: str = "ratio", every: int = 50, family: str = "sha256") -> DataFrame:
+    """(row_id, representative_id, similarity): each row with the representatives of its buckets that it is similar to, itself left out.
+
+    A bucket is represented by its smallest sampled row, so a bucket of n rows
+    gives at most n rows, and one that a third of the table shares no more than
+    its share. A row has at most one representative for each of its buckets.
+    """
+    keys = cut(bucket_keys(df, text, row_id, family))
+    first = keys.filter(F.col("row_id") % every == 0).groupBy("bucket_key").agg(F.min("row_id").alias("candidate_id"))
+    pairs = keys.join(first, "bucket_key").filter("row_id <> candidate_id").select("row_id", "candidate_id").distinct()
+    rows = df.select(F.col(row_id).alias("row_id"), text.alias("text"))
+    heads = rows.filter(F.col("row_id") % every == 0).select(F.col("row_id").alias("candidate_id"), F.col("text").alias("candidate"))
+    return scored(pairs.join(rows, "row_id").join(heads, "candidate_id"), threshold, how).withColumnRenamed("candidate_id", "representative_id")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two shingle sets; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))
@@ -87,17 +113,40 @@ def near_duplicates(df: DataFrame, text: Column, row_id: str, samples: DataFrame
 
     samples, every and family: see near_candidates. how: ratio for the matching-blocks ratio, jaccard for the shingle sets', levenshtein for edits.
     """
-    pairs = near_candidates(df, text, row_id, samples, every, family)
+    return scored(near_candidates(df, text, row_id, samples, every, family), threshold, how)
+
+
+def scored(pairs: DataFrame, threshold: float, how: str) -> DataFrame:
+    """(row_id, candidate_id, similarity) of pairs (row_id, candidate_id, text, candidate) at or above the threshold; see near_duplicates.
+
+    Before the matching-blocks ratio, which runs in Python, bounds of it that
+    are plain expressions let go the pairs that cannot reach the threshold.
+    """
+    a, b = F.col("text"), F.col("candidate")
     if how == "ratio":
-        score = ratio(F.col("text"), F.col("candidate"))
+        pairs, score = pairs.filter(length_bound(a, b) >= threshold).filter(ratio_bound(a, b) >= threshold), ratio(a, b)
     elif how == "jaccard":
-        score = jaccard(hashing.shingles(F.col("text")), hashing.shingles(F.col("candidate")))
+        score = jaccard(hashing.shingles(a), hashing.shingles(b))
     else:
-        longest = F.greatest(F.length("text"), F.length("candidate"), F.lit(1))
-        score = 1 - F.levenshtein("text", "candidate") / longest
+        score = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
     return pairs.select("row_id", "candidate_id", score.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def length_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two texts is at most by their lengths."""
+    total = F.length(a) + F.length(b)
+    return F.when(total > 0, 2.0 * F.least(F.length(a), F.length(b)) / total).otherwise(1.0)
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the ratio of two texts is at most by the signs that they share: the blocks that match are made of them."""
+    total = F.length(a) + F.length(b)
+    signs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.substring(a, i, F.lit(1))))
+    times = lambda text, sign: F.length(text) - F.length(F.replace(text, sign, F.lit("")))
+    shared = F.aggregate(signs, F.lit(0), lambda n, sign: n + F.least(times(a, sign), times(b, sign)))
+    return F.when(total > 0, 2.0 * shared / total).otherwise(1.0)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """difflib's matching-blocks ratio, which no SQL function has; Arrow batches."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.functions import hashing, numeric, privacy, quality, text
 from millrace.operators import clean, constraints, dedupe, enrich, lineage, profile, report, shape, vectors
-from millrace.plans import roundtrips  # noqa: F401  registers the queries over sources, sinks, jobs and streams
+from millrace.plans import pipeline, roundtrips  # noqa: F401  registers the queries over sources, sinks, jobs and streams
 from millrace.plans.registry import ORACLES, QUERIES, query
 from millrace.runtime import scratch, spread
 from pyspark.sql import functions as F
@@ -23,14 +23,14 @@ def _normal(c):
 @query(f"""SELECT doc_id, lang, source, n_chars, row_hash FROM (
   SELECT *, md5({_NORMAL}) AS row_hash, row_number() OVER (PARTITION BY md5({_NORMAL}) ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 def exact_dedupe_keep_first(t):
-    docs = t("documents").withColumn("row_hash", hashing.row_hash([_normal(F.col("text"))]))
+    docs = t("documents").withColumn("row_hash", hashing.joined_hash([_normal(F.col("text"))]))
     return dedupe.keep_first(docs.drop("text"), F.col("row_hash"), "doc_id").select("doc_id", "lang", "source", "n_chars", "row_hash")
 
 
 @query(f"""WITH h AS (SELECT doc_id, md5({_NORMAL}) AS row_hash FROM documents)
 SELECT row_hash, min(doc_id) AS first_seen_row FROM h WHERE doc_id % 2 = 1 AND row_hash NOT IN (SELECT row_hash FROM h WHERE doc_id % 2 = 0) GROUP BY row_hash""")
 def incremental_dedupe_anti_join(t):
-    rows = t("documents").select("doc_id", hashing.row_hash([_normal(F.col("text"))]).alias("h"))
+    rows = t("documents").select("doc_id", hashing.joined_hash([_normal(F.col("text"))]).alias("h"))
     state = dedupe.keep_first(rows.filter("doc_id % 2 = 0"), F.col("h"), "doc_id").select(F.col("h").alias("row_hash"), F.col("doc_id").alias("first_seen_row"))
     return dedupe.new_rows(rows.filter("doc_id % 2 = 1"), state, F.col("h"), "doc_id")[1]
 
@@ -44,7 +44,7 @@ def row_hash_exclude_id(t):
 @query("""SELECT n_nationkey, md5(concat_ws('|', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR)) AS row_hash FROM nation""")
 def row_hash_columns(t):
     nation = t("nation")
-    return nation.select("n_nationkey", hashing.row_hash([F.col(c) for c in nation.columns]).alias("row_hash"))
+    return nation.select("n_nationkey", hashing.joined_hash([F.col(c) for c in nation.columns]).alias("row_hash"))
 
 
 # -------------------------------------------------- shingles and signatures
@@ -107,9 +107,28 @@ def near_dup_levenshtein(t):
     return dedupe.near_duplicates(rows, F.col("snippet"), "c_custkey", samples, 0.85, "levenshtein").withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(f"""WITH {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS}, g AS (SELECT bucket_key, min(c_custkey) AS representative_id FROM b WHERE c_custkey % 50 = 0 GROUP BY 1),
+p AS (SELECT DISTINCT c_custkey AS row_id, representative_id FROM b JOIN g USING (bucket_key) WHERE c_custkey <> representative_id)
+SELECT row_id, representative_id, round(len(list_intersect(a.x, d.x)) / len(list_distinct(list_concat(a.x, d.x))), 9) AS similarity FROM p
+JOIN sh a ON a.c_custkey = row_id JOIN sh d ON d.c_custkey = representative_id WHERE len(list_intersect(a.x, d.x)) / len(list_distinct(list_concat(a.x, d.x))) >= 0.4""")
+def near_dup_groups(t):
+    return dedupe.near_groups(_customers(t), F.col("snippet"), "c_custkey", 0.4, "jaccard").withColumn("similarity", F.round("similarity", 9))
+
+
+#: The matching-blocks ratio of pairs p (row_id, candidate_id, a, b): the longest block that both texts share (the first in a, then in b), and the same left and right of it.
+_RATIO = """t(row_id, candidate_id, s, a, b, n) AS (SELECT row_id, candidate_id, 0::HUGEINT, a, b, 0 FROM p UNION ALL
+ SELECT row_id, candidate_id, unnest([2 * s + 1, 2 * s + 2]), unnest([a[1:m.i - 1], a[m.i + m.k:]]), unnest([b[1:m.j - 1], b[m.j + m.k:]]), unnest([m.k, 0])
+ FROM (SELECT row_id, candidate_id, s, a, b, min({'o': -k, 'i': i, 'j': j, 'k': k}) AS m FROM (
+   SELECT *, unnest(range(1, least(len(a) - i, len(b) - j) + 2)) AS k FROM (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM (SELECT row_id, candidate_id, s, a, b, unnest(range(1, len(a) + 1)) AS i FROM t WHERE a <> '' AND b <> '')) WHERE a[i] = b[j])
+   WHERE a[i:i + k - 1] = b[j:j + k - 1] GROUP BY row_id, candidate_id, s, a, b)),
+q AS (SELECT p.row_id, p.candidate_id, CASE WHEN p.a = '' AND p.b = '' THEN 1 ELSE 2 * coalesce(sum(n), 0) / (len(p.a) + len(p.b)) END AS ratio FROM p LEFT JOIN t ON p.row_id = t.row_id AND p.candidate_id = t.candidate_id GROUP BY p.row_id, p.candidate_id, p.a, p.b)"""
+
+
+@query(f"""WITH RECURSIVE {_CUSTOMER}, {_SHINGLES}, {_SIGNATURES}, {_BUCKETS}, {_PAIRS.replace("p AS", "w AS")},
+p AS (SELECT row_id, candidate_id, x.s AS a, y.s AS b FROM w JOIN c x ON x.c_custkey = row_id JOIN c y ON y.c_custkey = candidate_id), {_RATIO}
+SELECT row_id, candidate_id, round(ratio, 9) AS similarity FROM q WHERE ratio >= 0.85""")
 def near_dup_ratio(t):
-    return dedupe.near_duplicates(_customers(t), F.col("snippet"), "c_custkey", None, 0.85, "ratio")
+    return dedupe.near_duplicates(_customers(t), F.col("snippet"), "c_custkey", None, 0.85, "ratio").withColumn("similarity", F.round("similarity", 9))
 
 
 # --------------------------------------------------------------- text cells
@@ -255,7 +274,7 @@ def _holes(t):
 
 def _hole_stats(t):
     rows = _holes(t)
-    value = rows.agg(F.percentile("value", F.lit(0.5))).first()[0]
+    value = profile.quantiles(rows, ["value"], [0.5])["value"][0]
     modes = profile.as_dict(profile.modes_first_seen(rows, ["event_type", "value"], "event_id"))
     return {"value": {"median": value, "mode": modes["value"]["mode"]}, "event_type": {"mode": modes["event_type"]["mode"]}}
 
@@ -387,12 +406,63 @@ def audit_filter(t):
 @query(f"""WITH h AS (SELECT doc_id, row_number() OVER (PARTITION BY md5({_NORMAL}) ORDER BY doc_id) AS r FROM documents)
 SELECT count(*) AS rows_total, count(*) FILTER (r = 1) AS rows_kept, count(*) FILTER (r > 1) AS rows_dropped, count(*) FILTER (doc_id % 3 = 0) AS imputations, count(*) FILTER (doc_id % 3 = 1) AS normalizations, round(count(*) FILTER (r = 1) / count(*), 9) AS deduplication_rate, 1.0::DOUBLE AS mean_confidence FROM h""")
 def worker_stats(t):
-    docs = t("documents").withColumn("h", hashing.row_hash([_normal(F.col("text"))])).drop("text")
+    docs = t("documents").withColumn("h", hashing.joined_hash([_normal(F.col("text"))])).drop("text")
     kinds = docs.select(F.when(F.col("doc_id") % 3 == 0, "imputation").when(F.col("doc_id") % 3 == 1, "normalization").alias("kind"))
     out = lineage.worker_stats(docs, dedupe.keep_first(docs, F.col("h"), "doc_id"), kinds, docs.select(F.lit(1.0).alias("confidence")))
     return out.withColumn("deduplication_rate", F.round("deduplication_rate", 9))
 
 
+# ---------------------------------------------------------- whole pipelines
+
+#: Events with holes, plural and padded upper-case types, and rows that repeat.
+_DIRTY = """h AS (SELECT event_id AS row_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 9 = 0 THEN event_type || 's' WHEN event_id % 10 = 0 THEN ' ' || upper(event_type) || ' ' ELSE event_type END AS event_type,
+ CASE WHEN event_id % 7 <> 0 THEN round(value) END AS value, (user_id % 4)::DOUBLE AS bucket FROM events),
+k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY event_type, value, bucket ORDER BY row_id) = 1)"""
+
+
+def _dirty(t):
+    i, kind = F.col("event_id"), F.col("event_type")
+    spelt = F.when(i % 9 == 0, F.concat(kind, F.lit("s"))).when(i % 10 == 0, F.concat(F.lit(" "), F.upper(kind), F.lit(" "))).otherwise(kind)
+    return t("events").select(i.alias("row_id"), F.when(i % 11 != 0, spelt).alias("event_type"), F.when(i % 7 != 0, F.round("value")).alias("value"), (F.col("user_id") % 4).cast("double").alias("bucket"))
+
+
+_IQR = "coalesce({c} NOT BETWEEN q.{c}1 - 1.5 * (q.{c}3 - q.{c}1) AND q.{c}3 + 1.5 * (q.{c}3 - q.{c}1) AND q.{c}3 > q.{c}1, false)"
+
+
+@query(f"""WITH {_DIRTY}, m AS (SELECT quantile_cont(value, 0.5) AS value FROM h WHERE row_id % 10 = 0),
+w AS (SELECT lower(trim(event_type)) AS mode FROM h WHERE row_id % 20 = 0 AND event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, min(row_id) LIMIT 1),
+f AS (SELECT row_id, lower(trim(coalesce(event_type, w.mode))) AS v, coalesce(k.value, m.value) AS value, bucket, event_type IS NULL AS event_type_was_imputed, k.value IS NULL AS value_was_imputed FROM k, m, w),
+q AS (SELECT quantile_cont(value, 0.25) AS value1, quantile_cont(value, 0.75) AS value3, quantile_cont(bucket, 0.25) AS bucket1, quantile_cont(bucket, 0.75) AS bucket3 FROM f),
+b AS (SELECT *, CASE WHEN v IN (SELECT event_type FROM events) THEN v ELSE v[1:len(v) - 1] END AS base FROM f), l AS (SELECT base, arg_min(v, row_id) AS leader FROM b GROUP BY 1)
+SELECT row_id, leader AS event_type, value, bucket, event_type_was_imputed, value_was_imputed, false AS bucket_was_imputed, {_IQR.format(c="value")} AS value_is_outlier, {_IQR.format(c="bucket")} AS bucket_is_outlier FROM b JOIN l USING (base), q""")
+def clean_table_events(t):
+    """The full pipeline: statistics, exact duplicates, imputation, outliers, texts, categories."""
+    return pipeline.clean_table(_dirty(t), near_threshold=None).cleaned
+
+
+_WORKED = f"""{_DIRTY}, n AS (SELECT (SELECT value::VARCHAR AS v FROM h WHERE value IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1)::DOUBLE AS value, (SELECT event_type AS v FROM h WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1) AS mode),
+g AS (SELECT row_id, k.event_type AS a, lower(trim(coalesce(k.event_type, n.mode))) AS event_type, k.value AS b, coalesce(k.value, n.value) AS value, bucket FROM k, n)"""
+
+
+@query(f"WITH {_WORKED} SELECT row_id, event_type, value, bucket FROM g")
+def clean_worker_events(t):
+    """The row-wise pipeline: each row cleaned by itself with the statistics of the first pass."""
+    return pipeline.clean_worker(_dirty(t)).cleaned
+
+
+@query(f"""WITH {_WORKED} SELECT row_id, 'event_type' AS column_name, a AS original_value, event_type AS cleaned_value, 'cleaned' AS transformation_id, CASE WHEN a IS NULL THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS confidence_score FROM g WHERE a IS DISTINCT FROM event_type
+UNION ALL SELECT row_id, 'value', NULL, value::VARCHAR, 'cleaned', 0.9::DOUBLE FROM g WHERE b IS NULL
+UNION ALL SELECT row_id, '*', NULL, NULL, 'exact_duplicate', 0.0::DOUBLE FROM h WHERE row_id NOT IN (SELECT row_id FROM k)""")
+def clean_worker_provenance(t):
+    """A record for each cell that the row-wise pipeline changes and for each row that goes as a duplicate."""
+    return pipeline.clean_worker(_dirty(t)).provenance.drop("job_id", "source")
+
+
+@query(f"WITH {_WORKED} SELECT row_id, CASE WHEN a IS NULL OR b IS NULL THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM g")
+def clean_worker_confidence(t):
+    return pipeline.clean_worker(_dirty(t)).scores
+
+
 # ------------------------------------------------------- reports, enrichment
 
 
@@ -412,6 +482,16 @@ def normalization_accuracy(t):
     return out.withColumns({"mean_text_similarity": F.round("mean_text_similarity", 6), "percent_changed": F.round("percent_changed", 6)})
 
 
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS row_id, 0 AS candidate_id, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE upper(p_name[1:6]) || p_name[7:] END AS b FROM part), {_RATIO}
+SELECT count(*) AS total_cells, count(*) FILTER (a <> b) AS changed_cells, round(avg(ratio), 6) AS mean_text_similarity, round(100 * count(*) FILTER (a <> b) / count(*), 6) AS percent_changed FROM q JOIN p USING (row_id)""")
+def normalization_accuracy_ratio(t):
+    """The accuracy by the matching-blocks ratio, which is the default."""
+    old = t("part").select("p_partkey", "p_name", "p_brand")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat(F.upper(F.substring("p_name", 1, 6)), F.expr("substring(p_name, 7)")))
+    out = report.normalization_accuracy(old, old.withColumn("p_name", name), "p_partkey", ["p_name"])
+    return out.withColumns({"mean_text_similarity": F.round("mean_text_similarity", 6), "percent_changed": F.round("percent_changed", 6)})
+
+
 @query(r"""SELECT event_id, len(regexp_extract_all(event_type, '\S+')) AS event_type__token_count, (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1) AS event_type__suggested_canonical FROM events""")
 def token_count_canonical(t):
     return enrich.enrich(t("events").select("event_id", "event_type"), ["event_type"]).drop("event_type")
@@ -432,9 +512,30 @@ def pii_hash(t):
     return privacy.protect(t("customer").select("c_custkey", "c_name"), {"c_name": "hash"}, "s3")
 
 
-@query("""SELECT c_custkey, 'tok_' || sha256(c_name)[1:16] AS c_name FROM customer""")
+_TOKEN = "'tok_' || sha256('s3' || {c})[1:32]"
+
+
+@query(f"""SELECT c_custkey, {_TOKEN.format(c="c_name")} AS c_name FROM customer""")
 def pii_tokenize(t):
-    return privacy.protect(t("customer").select("c_custkey", "c_name"), {"c_name": "tokenize"})
+    return privacy.protect(t("customer").select("c_custkey", "c_name"), {"c_name": "tokenize"}, "s3")
+
+
+@query(f"""SELECT DISTINCT {_TOKEN.format(c="c_mktsegment || c_nationkey")} AS token, c_mktsegment || c_nationkey AS value FROM customer""")
+def pii_token_vault(t):
+    """Two jobs that share values; each value lies in the vault once."""
+    vault = privacy.TokenVault(t.spark, f"{scratch(t.spark)}/vault", "s3")
+    rows = t("customer").select("c_custkey", F.concat("c_mktsegment", "c_nationkey").alias("who"))
+    for job in (rows.filter("c_custkey % 3 < 2"), rows.filter("c_custkey % 3 > 0")):
+        privacy.protect(job, {"who": "tokenize"}, vault=vault)
+    return vault.read()
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS who FROM orders""")
+def pii_reveal(t):
+    """Tokens told again by the vault; five values stand for all rows, and what is no token stays unknown."""
+    vault = privacy.TokenVault(t.spark, f"{scratch(t.spark)}/vault", "s3")
+    rows = privacy.protect(t("orders").select("o_orderkey", F.col("o_orderpriority").alias("who")), {"who": "tokenize"}, vault=vault)
+    return vault.reveal(rows.withColumn("who", F.when(F.col("o_orderkey") % 7 != 0, F.col("who")).otherwise("tok_none")), "who")
 
 
 @query("""SELECT c_custkey, c_mktsegment FROM customer""")
@@ -482,6 +583,44 @@ def ann_exact_topk_l2(t):
     return vectors.nearest(v, v.filter("vec_id % 100 = 0")).withColumn("distance", F.round("distance", 6))
 
 
+#: Every 25th vector is a centre; vectors lie in the list of the nearest, and queries look into the lists of the 14 nearest.
+_LISTS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT vec_id AS list, v AS centre FROM e WHERE vec_id % 25 = 0),
+l AS (SELECT vec_id, v, list, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, centre), list) AS place FROM e, c),
+a AS (SELECT q.vec_id AS query_id, s.vec_id, list_distance(q.v, s.v) AS distance FROM l q JOIN l s ON q.list = s.list AND s.place = 1 AND q.vec_id <> s.vec_id WHERE q.vec_id % 100 = 0 AND q.place <= 14)"""
+
+
+def _index(t):
+    """Vectors stored as two jobs, the even ids first."""
+    v = t("embeddings")
+    centres = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("centre"))
+    index = vectors.VectorIndex.create(v, scratch(t.spark), looks=14, centres=centres)
+    for job, half in (("even", 0), ("odd", 1)):
+        index.append(v.filter(F.col("vec_id") % 2 == half), job)
+    return vectors.VectorIndex(t.spark, index.path), v.filter("vec_id % 100 = 0")
+
+
+@query(f"""WITH {_LISTS} SELECT query_id, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM a QUALIFY rank <= 10""")
+def ann_stored_index(t):
+    index, asked = _index(t)
+    return index.search(asked).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {_LISTS} SELECT query_id, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM a WHERE vec_id % 2 = 1 QUALIFY rank <= 5""")
+def ann_stored_index_of_a_job(t):
+    index, asked = _index(t)
+    return index.search(asked, 5, "odd").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {_LISTS}, f AS (SELECT query_id, vec_id FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10),
+x AS (SELECT q.vec_id AS query_id, s.vec_id FROM e q JOIN e s ON q.vec_id <> s.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, s.v), s.vec_id) <= 10)
+SELECT query_id, x.vec_id, f.vec_id IS NOT NULL AS found FROM x LEFT JOIN f USING (query_id, vec_id)""")
+def ann_stored_index_recall(t):
+    """The exact neighbours, and whether the stored index finds each."""
+    index, asked = _index(t)
+    found = index.search(asked).select("query_id", "vec_id", F.lit(True).alias("found"))
+    return vectors.nearest(t("embeddings"), asked).select("query_id", "vec_id").join(found, ["query_id", "vec_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 @query("""SELECT n_regionkey, max(n_nationkey) AS last FROM nation GROUP BY 1 UNION SELECT r_regionkey, r_regionkey FROM region""")
 def union_distinct(t):
     return t("nation").groupBy("n_regionkey").agg(F.max("n_nationkey").alias("last")).union(t("region").select("r_regionkey", "r_regionkey")).distinct()
@@ -508,13 +647,13 @@ def ann_approximate_recall(t):
     return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
 
 
-_RATIOS = [("abcd", "bcde", 0.75), ("John Doe", "Jon Doe", 0.933333333), ("", "", 1.0), ("", "abc", 0.0), ("kitten", "sitting", 0.615384615), ("aabb", "bbaa", 0.5), ("same text", "same text", 1.0), ("private Thread currentThread;", "private volatile Thread currentThread;", 0.865671642)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {r}::DOUBLE)" for a, b, r in _RATIOS) + ") AS v(a, b, ratio)")
+@query(f"""WITH RECURSIVE p AS (SELECT x.p_partkey AS row_id, y.p_partkey AS candidate_id, x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1), {_RATIO}
+SELECT row_id, candidate_id, round(ratio, 9) AS ratio FROM q""")
 def matching_blocks_ratio(t):
-    pairs = t.spark.createDataFrame([(a, b) for a, b, _ in _RATIOS], "a string, b string")
-    return pairs.select("a", "b", F.round(dedupe.ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+    """The ratio of each name to the next one's."""
+    part = t("part").select("p_partkey", "p_name")
+    pairs = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
+    return pairs.select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") + 1).alias("candidate_id"), F.round(dedupe.ratio(F.col("p_name"), F.col("next")), 9).alias("ratio"))
 
 
 @query("SELECT event_id, upper(event_type) AS event_type FROM events")

@@ -8,8 +8,8 @@ from millrace.plans.jobs import JobStore, latest
 from millrace.plans.registry import Tables, query
 from millrace.runtime import scratch
 from millrace.sources import readers, sinks, synthetic
-from millrace.streaming.dedupe import clean_with, first_of_each
-from millrace.streaming.rates import calls_per_window
+from millrace.streaming.dedupe import clean_with, first_in_order, first_of_each
+from millrace.streaming.rates import calls_per_window, refused
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +29,11 @@ def csv_round_trip(t):
     return _back(t, t("customer"), "customer.csv")
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'a \"' || n_name || '\",' || chr(10) || 'b' AS note FROM nation")
+@query("""SELECT doc_id, 'a "' || source || '",' || chr(10) || ' ' || text AS note, lang FROM documents""")
 def csv_quoted_lines(t):
-    """Quotes, commas and line ends within values."""
-    note = F.concat(F.lit('a "'), F.col("n_name"), F.lit('",\nb'))
-    return _back(t, t("nation").select("n_nationkey", note.alias("note")), "nation.csv")
+    """Quotes, commas, outer spaces and line ends within values, read in as many tasks as the files have splits."""
+    note = F.concat(F.lit('a "'), F.col("source"), F.lit('",\n '), F.col("text"))
+    return _back(t, t("documents").select("doc_id", note.alias("note"), "lang"), "documents.csv")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 8 >= 6 THEN event_type END AS event_type FROM events")
@@ -60,13 +60,14 @@ def jsonl_lenient(t):
     return readers.read_any(t.spark, path, strict=False).select("event_id", "event_type")
 
 
-@query("""SELECT n_nationkey::BIGINT AS key, n_name AS "place.name", n_regionkey::BIGINT AS "place.region" FROM nation""")
+@query("""SELECT event_id AS key, 'a "{[\\' || event_type AS "place.name", user_id AS "place.at.user", '["}",' || event_id || ']' AS tags FROM events""")
 def json_array(t):
-    """A JSON document with an array of nested objects."""
-    rows = [{"key": r["n_nationkey"], "place": {"name": r["n_name"], "region": r["n_regionkey"]}} for r in t("nation").collect()]
-    path = f"{scratch(t.spark)}/nation.json"
-    sinks.write_report(t.spark, rows, path)
-    return readers.read_any(t.spark, path)
+    """JSON documents, each an array of nested objects with brackets and quotes in their texts, read in as many tasks as they have splits."""
+    at = F.struct(F.col("user_id").alias("user"))
+    place = F.struct(F.concat(F.lit('a "{[\\'), F.col("event_type")).alias("name"), at.alias("at"))
+    tags = F.array(F.lit("}"), F.col("event_id").cast("string"))
+    out = _back(t, t("events").select(F.col("event_id").alias("key"), place.alias("place"), tags.alias("tags")), "events.json")
+    return out.withColumn("tags", F.regexp_replace("tags", r'"(\d+)"', "$1"))
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
@@ -163,27 +164,51 @@ SELECT * FROM a UNION ALL SELECT row_hash, min(p_partkey) FROM h WHERE p_partkey
 def state_store(t):
     """Hashes appended by two runs lie in the store once, with the row that brought them."""
     store = JobStore(t.spark, scratch(t.spark))
-    rows = t("part").select("p_partkey", hashing.row_hash([F.lower("p_brand"), F.col("p_type")]).alias("h"))
+    rows = t("part").select("p_partkey", hashing.joined_hash([F.lower("p_brand"), F.col("p_type")]).alias("h"))
     for half in (0, 1):
         first = dedupe.keep_first(rows.filter(F.col("p_partkey") % 2 == half), F.col("h"), "p_partkey")
         store.add_hashes("j", first.select(F.col("h").alias("row_hash"), F.col("p_partkey").alias("first_seen_row")))
     return store.read("row_hashes").select("row_hash", "first_seen_row")
 
 
-@query("SELECT * FROM (VALUES ('a', 'success', NULL, 1.0::DOUBLE), ('b', 'failed', 'boom', 0.5::DOUBLE)) AS v(dataset, status, error_message, progress)")
+@query("""SELECT c_nationkey::VARCHAR AS id, c_mktsegment AS dataset_name, CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS error_message, c_acctbal AS progress
+FROM customer WHERE c_nationkey % 5 <> 1 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1""")
 def job_lifecycle(t):
-    """Jobs after their last event; a third one is forgotten."""
+    """Jobs after their last event and with their last progress, of which the store holds a snapshot and what came later; a fifth of them is forgotten."""
     store = JobStore(t.spark, scratch(t.spark))
-    jobs = {name: store.create_job("tenant", name) for name in "abc"}
-    for name, share, states in (("a", 1.0, [("pass1_running", None), ("pass2_running", None), ("success", None)]), ("b", 0.5, [("pass1_running", None), ("failed", "boom")])):
-        for status, error in states:
-            store.update_status(jobs[name], status, error)
-        store.set_progress(jobs[name], 0.25)
-        store.set_progress(jobs[name], share)
-    store.forget(jobs["c"])
-    now = latest(store.read("jobs"), ["id"], "updated_at")
+    failed = F.col("c_custkey") % 3 == 0
+    at, job = F.col("c_custkey").cast("double"), F.col("c_nationkey").cast("string")
+    events = t("customer").select(job.alias("id"), F.lit("t").alias("tenant_id"), F.col("c_mktsegment").alias("dataset_name"), F.when(failed, "failed").otherwise("success").alias("status"), at.alias("updated_at"), F.when(failed, F.col("c_name")).alias("error_message"), F.lit("{}").alias("metadata"))
+    shares = t("customer").select(job.alias("job_id"), F.col("c_acctbal").alias("progress"), at.alias("updated_at"))
+    for half in (1, 0):
+        for name, rows in (("jobs", events), ("job_progress", shares)):
+            store.append(name, rows.filter(F.col("updated_at") % 2 == half).repartition(1))
+            if half:
+                store.compact(name)
+    for gone in range(1, 25, 5):
+        store.forget(str(gone))
     progress = latest(store.read("job_progress"), ["job_id"], "updated_at").select(F.col("job_id").alias("id"), "progress")
-    return now.join(progress, "id", "left").select(F.col("dataset_name").alias("dataset"), "status", "error_message", "progress")
+    return latest(store.read("jobs"), ["id"], "updated_at").join(progress, "id").select("id", "dataset_name", "status", "error_message", "progress")
+
+
+@query("""SELECT c_nationkey::VARCHAR AS tenant_id, max(c_custkey)::BIGINT AS rows_per_month FROM customer GROUP BY 1""")
+def compacted_quotas(t):
+    """Each tenant's last quota, over three logs of which two are compacted."""
+    store = JobStore(t.spark, scratch(t.spark))
+    rows = t("customer").select(F.col("c_nationkey").cast("string").alias("tenant_id"), F.col("c_custkey").alias("rows_per_month"), F.lit(1).alias("api_calls_per_sec"), F.lit(1).alias("max_concurrent_jobs"), F.col("c_custkey").cast("double").alias("updated_at"))
+    for part in range(3):
+        store.append("tenant_quotas", rows.filter(F.col("rows_per_month") % 3 == part))
+        if part < 2:
+            store.compact("tenant_quotas")
+    return latest(store.read("tenant_quotas"), ["tenant_id"], "updated_at").select("tenant_id", "rows_per_month")
+
+
+@query("""SELECT event_id, event_type AS tenant, count(*) OVER w AS within FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) QUALIFY within > 5""")
+def refused_calls(t):
+    """Events as calls of five tenants: those beyond five within an hour, wherever the hour begins."""
+    calls = t("events").select("event_id", F.col("event_type").alias("tenant"), "ts")
+    limits = t("events").select(F.col("event_type").alias("tenant"), F.lit(5).alias("limit")).distinct()
+    return refused(calls, limits, 3600).select("event_id", "tenant", "within")
 
 
 @query("""SELECT event_type AS job_id, count(*) AS records FROM events WHERE event_type <> 'click' GROUP BY 1""")
@@ -206,13 +231,13 @@ def quota_usage(t):
     return store.usage().withColumn("over_quota", F.col("rows_processed") > store.quota("all")["rows_per_month"])
 
 
-@query("SELECT 'new' AS kept, NULL AS expired, NULL AS unknown")
+@query("""SELECT c_mktsegment || c_nationkey AS key, c_name AS value FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey DESC) = 1 AND c_custkey % 4 > 0""")
 def cached_values(t):
+    """What is remembered under each key, the last value, unless its time is over."""
     store = JobStore(t.spark, scratch(t.spark))
-    store.remember("k", "old")
-    store.remember("k", "new")
-    store.remember("gone", "x", -1)
-    return t.spark.createDataFrame([(store.recall("k"), store.recall("gone"), store.recall("none"))], "kept string, expired string, unknown string")
+    over = F.when(F.col("c_custkey") % 4 > 0, 2e9).otherwise(1e9)
+    store.append("cache", t("customer").select(F.concat("c_mktsegment", "c_nationkey").alias("key"), F.col("c_name").alias("value"), over.alias("expires_at"), F.col("c_custkey").cast("double").alias("updated_at")))
+    return store.cached(1.5e9)
 
 
 _CLEAN = r"regexp_replace(trim(lower({c})), '^[^\w]+|[^\w]+$', '', 'g')"
@@ -276,9 +301,24 @@ def _ended(t: Tables, out: DataFrame, mode: str = "append") -> DataFrame:
 
 
 @query("SELECT DISTINCT md5(event_type || '|' || (user_id % 10)) AS row_hash FROM events")
-def stream_first_of_each(t):
+def stream_one_of_each(t):
     rows = _streamed(t, "events", ["event_type", "user_id"])
-    return _ended(t, first_of_each(rows, hashing.row_hash([F.col("event_type"), F.col("user_id") % 10])).select("row_hash"))
+    return _ended(t, first_of_each(rows, hashing.joined_hash([F.col("event_type"), F.col("user_id") % 10])).select("row_hash"))
+
+
+@query("""WITH k AS (SELECT md5(event_type || '|' || (user_id % 40)) AS row_hash, event_id, event_id % 3 AS batch FROM events),
+b AS (SELECT row_hash, min(event_id) AS row_number, min(event_id) FILTER (batch = 2) AS x, min(event_id) FILTER (batch = 1) AS y, min(event_id) FILTER (batch = 0) AS z FROM k GROUP BY 1)
+SELECT row_hash, row_number, ((x IS NOT NULL)::INT + (y < coalesce(x, y + 1))::INT + (z < least(coalesce(x, z + 1), coalesce(y, z + 1)))::INT)::BIGINT AS told
+FROM (SELECT row_hash, row_number, x, coalesce(y, 1::BIGINT << 60) AS y, coalesce(z, 1::BIGINT << 60) AS z FROM b)""")
+def stream_first_of_each(t):
+    """The first row of each key over three micro-batches that bring rows out of order, and how often the key was told."""
+    folder = f"{scratch(t.spark)}/events"
+    rows = t("events").select("event_id", "event_type", "user_id")
+    for batch in (2, 1, 0):
+        rows.filter(F.col("event_id") % 3 == batch).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    told = _ended(t, first_in_order(stream, hashing.joined_hash([F.col("event_type"), F.col("user_id") % 40]), "event_id"))
+    return told.groupBy("row_hash").agg(F.min("row_number").alias("row_number"), F.count(F.lit(1)).alias("told"))
 
 
 @query("""SELECT event_type AS tenant, time_bucket(INTERVAL '3600 seconds', ts) AS window_start, count(*) AS calls, count(*) > 5 AS over_limit FROM events GROUP BY 1, 2""")
@@ -304,7 +344,7 @@ def full_pipeline(t):
     """Exact duplicates out and texts in lower case, composed by transform as a user's own steps would be."""
     rows = t("orders").select(F.col("o_orderkey").alias("row_id"), "o_orderpriority", "o_custkey")
     return (
-        rows.transform(lambda df: dedupe.keep_first(df, hashing.row_hash([F.col("o_orderpriority"), F.col("o_custkey")]), "row_id"))
+        rows.transform(lambda df: dedupe.keep_first(df, hashing.joined_hash([F.col("o_orderpriority"), F.col("o_custkey")]), "row_id"))
         .transform(lambda df: clean.lower_columns(clean.strip_columns(df, ["o_orderpriority"]), ["o_orderpriority"]))
         .transform(lambda df: df.withColumn("o_orderpriority", text.canonical(F.col("o_orderpriority"), {})))
     )

@@ -21,17 +21,22 @@ def submit_job(store: JobStore, path: str, tenant: str, dataset: str, output_dir
 
     after: an earlier job whose rows count as seen, so that only new ones stay.
 
+    The store is asked first whether the tenant may call and run one more job.
     Results lie under output_dir/<job>; the store has status, statistics,
     hashes, provenance, audit records and usage. A failure is recorded and raised.
     """
+    store.call(tenant)
     job = store.create_job(tenant, dataset, {"path": path, "pii": pii or {}})
     store.audit(job, user, "submit", {"path": path})
+    charged = 0
     try:
+        store.take_lease(tenant, job)
         store.update_status(job, "pass1_running")
         store.set_progress(job, 0.0)
         rows = shape.with_row_id(privacy.protect(readers.read_any(store.spark, path), pii or {}, salt))
         month, n = time.strftime("%Y-%m"), rows.count()
         _charge(store, tenant, month, n)
+        charged = n
         seen = None if after is None else store.read("row_hashes").filter(F.col("job_id") == after).select("row_hash")
         result = pipeline.clean_worker(rows, job_id=job, near_threshold=near_threshold, seen=seen)
         store.save_stats(job, store.spark.createDataFrame([(c, s["median"], s["mode"]) for c, s in result.stats.items()], "column string, median double, mode string"))
@@ -49,8 +54,12 @@ def submit_job(store: JobStore, path: str, tenant: str, dataset: str, output_dir
         store.set_progress(job, 1.0)
         store.update_status(job, "success")
     except Exception as e:
+        if charged:
+            store.add_usage(tenant, month, -charged, 0)  # what failed costs no rows
         store.update_status(job, "failed", str(e)[:1000])
         raise
+    finally:
+        store.end_lease(tenant, job)
     return job
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from millrace.operators.shape import flatten
+from millrace.sources.records import records
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ def read_any(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     if kind in ("jsonl", "ndjson"):
         return read_jsonl(spark, path, strict)
     if kind == "json":
-        return sorted_columns(flatten(spark.read.option("multiLine", True).json(path)))
+        return sorted_columns(flatten(read_json(spark, path)))
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "xlsx":
@@ -51,16 +55,42 @@ def sorted_columns(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header; the usual spellings of a missing value are null.
 
-    multi_line: whether quoted values may hold line ends, which takes a task a
-    file; without, Spark splits large files among tasks. By default the files
-    are searched for such values, up to the first one.
+    Large files are split among tasks. multi_line: whether quoted values may hold
+    line ends, so that records are told by the state of quotes (see records); by
+    default the files are searched for such values, up to the first one.
     """
     multi_line = broken_lines(spark, path) if multi_line is None else multi_line
-    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    raw = _quoted(spark, path) if multi_line else spark.read.option("header", True).option("escape", '"').csv(path)
     known = raw.select(*[F.when(~F.col(f"`{c}`").isin(NA), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return typed(known) if infer else known
 
 
+def _quoted(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files whose quoted values hold line ends, as text columns; each file's first record is its header, the first file's names the columns."""
+    found = records(spark, path, "csv").withColumn("text", F.regexp_replace("text", r"(\r\n|\r|\n)\z", ""))
+    head = found.filter("first").select("text").first()
+    if head is None:
+        return spark.read.option("header", True).csv(path)
+    names, seen = next(csv.reader(io.StringIO(head["text"].removeprefix("\ufeff"), newline=""))), set()
+    for i, name in enumerate(names):
+        names[i] = f"_c{i}" if not name else f"{name}{i}" if name.lower() in seen else name
+        seen.add(name.lower())
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"escape": '"', "multiLine": "true"})
+    return found.filter(~F.col("first")).select(cells.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON documents: the objects of an array, or an object alone, each a row; read in as many tasks as a file has splits.
+
+    Text that is in no object, such as a number in the array or the rest of a
+    document that breaks off, is a row of its own under _corrupt_record.
+    """
+    bare = F.regexp_replace("text", r"\A[\s,\x{FEFF}]*(\[[\s,]*)?", "")
+    texts = records(spark, path, "json").filter(~F.col("text").rlike(r"\A[\s,\[\]\x{FEFF}]*}?\z")).select(bare.alias("value"))
+    encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    return DataFrame(spark.read._jreader.json(getattr(texts._jdf, "as")(encoder)), spark)
+
+
 def broken_lines(spark: SparkSession, path: str) -> bool:
     """Whether a line of a CSV has an odd number of quotes, so that a quoted value goes on in the next."""
     lines = spark.read.text(path)

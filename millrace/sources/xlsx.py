@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+from millrace.sources.files import write_bytes
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
@@ -157,10 +158,4 @@ def write_workbook(df: DataFrame, path: str) -> None:
             for row in [df.columns, *found]:
                 f.write(("<row>" + "".join(map(cell, row)) + "</row>").encode())
             f.write(b"</sheetData></worksheet>")
-    spark = df.sparkSession
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        stream.write(bytearray(buffer.getvalue()))
-    finally:
-        stream.close()
+    write_bytes(df.sparkSession, path, buffer.getvalue())
