@@ -31,7 +31,7 @@ def test_scores_are_those_of_the_plain_model(spark):
         single, pair = tables[name]
         w, total = text.split(), 0.0
         for before, word in zip([None, *w], w):
-            p1 = (single[word] * scale + M.ALPHA) / (n_t + M.ALPHA * 2**M.WORD_BITS)
+            p1 = (single[word] * scale + M.ALPHA) / (n_t + M.ALPHA * len({w for _, t in DOCS for w in (t or "").split()}))
             total -= math.log((pair[before, word] * scale + M.MU * p1) / (single[before] * scale + M.MU))
         return total / len(w)
 
@@ -63,13 +63,11 @@ def test_more_tasks_same_counts(spark, monkeypatch):
     monkeypatch.setattr(M, "FAN", 2)
     docs = spark.createDataFrame([(i % 2 == 0, f"a b c{i % 5}") for i in range(200)], "t boolean, text string")
     a, b = M.counts(docs.repartition(9), "t", "text"), M.counts(docs.coalesce(1), "t", "text")
-    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[1][: 1 << M.WORD_BITS].sum() == 600
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and a[1][:7].sum() == 600
 
 
-def test_more_words_and_pairs_than_cells_are_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(M, "WORD_BITS", 3)
-    monkeypatch.setattr(M, "PAIR_BITS", 4, raising=False)
-    monkeypatch.setattr(M, "BLOCK", 500, raising=False)
+def test_many_small_blocks_give_the_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 500)
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(400)], k=rng.randint(1, 60)))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -80,7 +78,7 @@ def test_more_words_and_pairs_than_cells_are_told_apart(spark, monkeypatch):
             single[k].update(t.split())
             pair[k].update(zip([None, *t.split()], t.split()))
     n, size = [sum(s.values()) for s in single], len(single[1])
-    assert len(pair[1]) > 2000 > 2**M.WORD_BITS < size
+    assert len(pair[1]) > 2000 and size > 300
     for i, t in rows:
         w, want = t.split(), []
         mine = Counter(w), Counter(zip([None, *w], w))
@@ -93,3 +91,21 @@ def test_more_words_and_pairs_than_cells_are_told_apart(spark, monkeypatch):
                 loss -= math.log((two * scale + M.MU * p1) / (last * scale + M.MU))
             want.append(loss / len(w))
         assert [got[i]["target_loss"], got[i]["background_loss"]] == pytest.approx(want, rel=1e-9)
+
+
+def test_questions_grow_no_faster_than_the_input(spark, monkeypatch):
+    """Rows between blocks and slabs: not blocks times slabs, which would be sixteen times as many for four times the text."""
+    for name, value in (("BLOCK", 40), ("LEAST", 1), ("FAN", 1)):
+        monkeypatch.setattr(M, name, value)
+    rows = {}
+    for n in (1000, 4000):
+        docs = spark.range(n).selectExpr("id % 2 = 0 as t", "concat('a b c', id, ' d', id % 7, ' e', id % 900) as text")
+        dealt, slabs = M.dealt(docs, "t", "text", "text")
+        rows[n] = M.asked(dealt, slabs).count(), slabs
+        assert rows[n][0] <= n * 9  # n-grams of all texts
+    assert rows[4000][1] >= 3.9 * rows[1000][1] and rows[4000][0] <= 4.4 * rows[1000][0]
+
+
+def test_totals(spark):
+    docs = spark.createDataFrame([(True, "a b a"), (False, "b c"), (False, None), (True, " ")], "_target boolean, _text string")
+    assert M.totals(docs) == (3, 5, 3) and M.totals(docs.limit(0)) == (0, 0, 0)
