@@ -19,8 +19,11 @@ as around a page with a form or an advert that is never closed.
 
 Defined cases: a null or empty page, and one without content, give an empty
 text of 0 code points; unclosed and stray tags are read as browsers do in the
-simple cases; a page without markup is one line; pages of any length and depth
-are read whole, in linear time; repeated rows give repeated results; an empty
+simple cases; a tag, comment or script that the page breaks off ends the page,
+as in browsers; cells of a table row are one line unless one of them holds
+blocks or nothing but links; a page without markup is one line; pages of any
+length and depth are read whole, in linear time, as the parser is given whole
+tags only and never waits for the rest of one; repeated rows give repeated results; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -55,9 +58,9 @@ UNSEEN = frozenset("script style noscript template iframe object svg math canvas
 APART = frozenset("nav footer aside form menu button select textarea dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 LAYOUT = frozenset("banner footer header menu nav navbar navigation related sidebar toolbar widget widgets".split())
-COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 PARTS = LAYOUT | COMMENTS | frozenset(
-    "ad ads adv advert adverts advertisement alert breadcrumb breadcrumbs consent cookie cookies disclaimer gdpr login modal newsletter notice notices notification "
+    "ad ads adsbygoogle adv advert adverts advertisement alert breadcrumb breadcrumbs consent cookie cookies disclaimer gdpr login modal newsletter notice notices notification "
     "pager pagination popup promo promoted promotion sharing share signup social sponsor sponsored subscribe subscription".split()
 )
 #: What the name of a part may be joined with, as in "site-footer", and that of reader comments besides.
@@ -66,10 +69,71 @@ JOINED_COMMENTS = frozenset("article author body content entry form item post re
 #: A start tag of the key closes an open element of its values, up to the nearest table or list.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS = frozenset("ul ol dl table select menu".split())
+#: Elements whose content is no markup.
+RAW = frozenset(["script", "style"])
+_TAG = re.compile(r"""<[A-Za-z](?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")
+_PLAIN = re.compile(r"""<[A-Za-z][A-Za-z0-9:-]*+(?:\s++[A-Za-z_:@][\w:.@-]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`/]++))?+)*+\s*+/?+>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>="'<]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']*+))?+""")
+_TITLE = re.compile(r"<([A-Za-z][^\s/>]*+)")
 _NAME = re.compile(r"[A-Za-z]+")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def whole_tags(html: str) -> Iterator[str]:
+    """The page in parts that end behind a tag, without comments, declarations and the content of scripts and styles.
+
+    What is no tag is text, its "<" as a reference; a tag whose attributes are
+    not plain is written anew. The first construct that never ends is where the
+    page ends, so every search that fails is the last one.
+    """
+    at, size, held = 0, 0, []
+    while at < len(html):
+        start = html.find("<", at)
+        if start < 0:
+            held.append(html[at:])
+            break
+        held.append(html[at:start])
+        after = html[start + 1 : start + 2]
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 2) + 3
+            if end < 3:
+                break
+        elif after.isalpha() and after.isascii():
+            found = _TAG.match(html, start)
+            if not found:
+                break
+            tag, end = found[0], found.end()
+            if not _PLAIN.fullmatch(tag):
+                name = _TITLE.match(tag)[1]
+                pairs = [(k, v.strip("\"'") if v else "") for k, v in _ATTRIBUTE.findall(tag[len(name) + 1 : -1])]
+                safe = re.sub(r"[^A-Za-z0-9:-]", "-", name)
+                tag = f"<{safe}" + "".join(f' {k}="{v.replace(chr(34), "&quot;")}"' for k, v in pairs if k[0].isalpha() and k.isascii()) + ">"
+            held.append(tag)
+            name = _TITLE.match(tag)[1].lower()
+            if name in RAW:
+                ended = re.compile(f"</{name}(?![A-Za-z0-9-])[^>]*+>?", re.IGNORECASE).search(html, end)
+                if not ended:
+                    break
+                held.append(f"</{name}>")
+                end = ended.end()
+        elif after in ("!", "?") or after == "/":
+            end = html.find(">", start) + 1
+            if not end:
+                break
+            closing = _TITLE.match("<" + html[start + 2 : start + 66]) if after == "/" else None
+            if closing:
+                held.append(f"</{closing[1]}>")
+        else:
+            held.append("&lt;")
+            end = start + 1
+        size += end - at
+        at = end
+        if size > FEED:
+            yield "".join(held)
+            size, held = 0, []
+    yield "".join(held)
+
+
 class Line:
     __slots__ = ("text", "tags", "linked", "links", "region", "apart", "head")
 
@@ -102,17 +166,19 @@ class Lines(HTMLParser):
         self._blocks: list[int] = []  # where in the stack blocks are
         self._unseen = 0
         self._text: list[str] = []
+        self._home: Element | None = None  # where the line's text begins
         self._tags = self._links = self._linked = self._begun = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
         if text:
-            top = self._stack[-1] if self._stack else Element()
+            top = self._home or Element()
             head = any(self._places[f"h{k}"] for k in range(1, 7))
             self.lines.append(Line(text, self._tags, min(self._linked, len(text)), self._begun, top.region, top.apart, head))
             self._tags = 0
         self._linked = self._begun = 0
+        self._home = None
 
     def _pop(self, to: int) -> None:
         while len(self._stack) > to:
@@ -124,7 +190,7 @@ class Lines(HTMLParser):
                 self._places[top.name].pop()
             self._links -= top.link
             if top.aside:
-                self._text, self._linked = top.aside
+                self._text, self._linked, self._home = top.aside
             if self._blocks and self._blocks[-1] == len(self._stack):
                 self._blocks.pop()
             self._unseen -= top.unseen
@@ -163,6 +229,8 @@ class Lines(HTMLParser):
                 self._pop(at)
         if tag == "a" and self._places["a"]:
             self.handle_endtag("a")  # links don't nest
+        if tag in ("td", "th") and self._linked and self._linked >= sum(len(t.strip()) for t in self._text):
+            self._flush()  # a cell of links only is a line
         if tag in VOID or tag in ("td", "th"):
             self._text.append(" ")
         if tag in VOID:
@@ -172,7 +240,7 @@ class Lines(HTMLParser):
         number, region = top.apart, top.region
         aside = None
         if apart and tag not in BLOCKS:
-            aside, self._text, self._linked = (self._text, self._linked), [], 0
+            aside, self._text, self._linked, self._home = (self._text, self._linked, self._home), [], 0, None
         if apart:
             number = len(self.apart_of)
             self.apart_of.append(top.apart)
@@ -211,6 +279,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._unseen:
             self._text.append(data)
+            if self._home is None and not data.isspace():
+                self._home = self._stack[-1] if self._stack else None
             if self._links:
                 self._linked += len(data.strip())
 
@@ -350,8 +420,8 @@ def content(page: Lines) -> list[Line]:
 def extract(html: str) -> str:
     """Main text of one page, a line a block."""
     parser = Lines()
-    for k in range(0, len(html), FEED):
-        parser.feed(html[k : k + FEED])
+    for part in whole_tags(html):
+        parser.feed(part)
     parser.close()
     return "\n".join(x.text for x in content(parser))
 

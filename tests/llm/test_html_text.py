@@ -76,6 +76,33 @@ def test_linear_time(page):
     assert time.process_time() - began < 4 and ("class=ad" in page or "<a " in page or "x" in text or LONG in text)
 
 
+@pytest.mark.parametrize("tail", ["x <b ", "<", "<!--", "x <!-- ", "</", "</b", "<b a='", '<b a="x', "<script>", "<style>x", "&", "&lt", "<b <b", "<![CDATA[", "<?x", "<b a=\"'", "x < y ", "<a b=c'd"])
+@pytest.mark.parametrize("before", ["", "<!--", "<b '", "<script>"])
+def test_hostile_tails_take_linear_time(tail, before):
+    """A megabyte of what never ends, under a second of work; the text before it stays."""
+    began = time.process_time()
+    text = H.extract(f"<article><p>{LONG}</p>" + before + tail * (1_000_000 // len(tail)))
+    assert time.process_time() - began < 2.5 and text.startswith(LONG)
+
+
+def test_tags_that_end_the_page():
+    for rest in ("<b unfinished", "<!-- open <p>x</p>", "<script>x()<p>y</p>", "</div unfinished"):
+        assert H.extract(f"<article><p>{LONG}</p>{rest}") == LONG
+    assert H.extract(f"<article><p>{LONG} a < b &lt;c> 1<2 <3</p><!-- <p>no</p> --><p>yes<!----> on<!--> still</p></article>") == f"{LONG} a < b <c> 1<2 <3\nyes on still"
+    assert H.extract(f"""<article><p title="a > b" data-x='<p>'>{LONG}</p><script>if (a < b) "</p>"</script><p class=x"y>two</p></article>""") == f"{LONG}\ntwo"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<table><tr><td><a href=a>Home</a> <a href=b>News</a></td><td><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></td></tr></table>", f"Title\n{LONG}\n{LONG}"),
+    (f"<table><tr><td>menu links</td><td><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></td></tr></table>", f"Title\n{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table></article>", f"{LONG}\na 1\nb 2"),
+    (f"<article><p>{LONG}</p><ins class='adsbygoogle'>Buy it now</ins><p>on</p></article><div class='replies'><p>{LONG}</p></div>", f"{LONG}\non"),
+    (f"<article><p>{LONG}</p><div class='reply-form'>Say something</div><ol class='replies'><li>{LONG}</li></ol></article>", LONG),
+])
+def test_cells_adverts_and_replies(page, want):
+    assert H.extract(page) == want
+
+
 def test_fed_in_pieces(monkeypatch):
     page = f"<article><p>{LONG} &amp; more &eacute;</p><p>{LONG}</p></article>"
     whole = H.extract(page)
