@@ -82,18 +82,29 @@ def build(rows: DataFrame, anchors: Column) -> Index | None:
     rows_a_block = max(16, BLOCK // (8 * d))
     lists = sorted(own)
     of = lambda f: np.array([f(own[k]) if k in own else 0 for k in range(len(centres))])
-    pieces, asked = of(lambda r: -(-r["n"] // rows_a_block)), of(lambda r: -(-r["a"] // ANCHORS))
-    sizes = spark.createDataFrame([(k, int(pieces[k]), int(max(1, asked[k]))) for k in lists], "list int, pieces int, asked int")
+    pieces, groups = of(lambda r: -(-r["n"] // rows_a_block)), _groups({k: own[k]["a"] for k in lists})
+    sizes = spark.createDataFrame([(k, int(pieces[k]), *groups[k]) for k in lists], "list int, pieces int, group int, asked int")
     dealt = placed.join(F.broadcast(sizes), "list")  # LISTS rows at most
     piece = lambda over: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(over)).cast("int").alias("piece")  # noqa: E731  placed is cut: numbers stay
-    gathered = lambda df, over: df.select("list", piece(over), F.struct("id", "label", "x").alias("row")).groupBy("list", "piece").agg(F.collect_list("row").alias("rows"))
+    gathered = lambda df, by, over: df.select(by, piece(over), F.struct("id", "label", "x").alias("row")).groupBy(by, "piece").agg(F.collect_list("row").alias("rows"))
     name, buckets = f"millrace_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered(dealt, "pieces").write.bucketBy(buckets, "list", "piece").option("path", scratch(spark)).saveAsTable(name)
+    gathered(dealt, "list", "pieces").write.bucketBy(buckets, "list", "piece").option("path", scratch(spark)).saveAsTable(name)
     who = dealt.filter("anchor").dropDuplicates(["list", "id", "label", "x"])
-    blocks = gathered(cut(who), "asked").select((F.col("list").cast("long") * (1 << 32) + F.col("piece")).alias("block"), "rows")
+    blocks = gathered(cut(who), "group", "asked").select((F.col("group").cast("long") * (1 << 32) + F.col("piece")).alias("block"), "rows")
     return Index(name, centres, of(lambda r: r["far"]).astype(float), pieces, cut(blocks))
 
 
+def _groups(anchors: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """The group of each list and the blocks of its group: lists with few anchors share a block, those with many have several."""
+    out, group, held = {}, 0, 0
+    for k, n in anchors.items():
+        if held and held + n > ANCHORS:
+            group, held = group + 1, 0
+        out[k] = group, max(1, -(-n // ANCHORS))
+        held += n
+    return out
+
+
 def _centres(rows: DataFrame, n: int, d: int) -> np.ndarray:
     """Centres of sqrt(n) clusters, LISTS at most, by MLlib's k-means on rows whose hash is low."""
     wanted = min(LISTS, max(1, round(n**0.5)))
