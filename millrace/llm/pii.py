@@ -2,9 +2,10 @@
 
 Patterns give the base spans. A bidirectional LSTM over characters with CRF
 transitions adds spans that the patterns don't allow for, such as addresses
-with a spelt "at" or numbers with unusual separators. It is trained here, in
-numpy, on generated text with labelled spans, from a fixed seed; its weights are
-a few thousand numbers.
+with a spelt "at" or numbers with unusual separators. It is trained in numpy by
+``train``, on generated text with labelled spans, from a fixed seed; its weights,
+some fifteen thousand numbers, lie beside this module, as ``python -m
+millrace.llm.pii`` writes them.
 
 A finding counts only if it has the shape of its kind, and whatever has one
 holds a digit, an at sign, a bracketed "at" or a bare "at" with a host behind it,
@@ -12,7 +13,8 @@ dotted or with a spelt "dot". The text around these is covered by overlapping
 windows, which are decoded in batches; text without any needs no window. The windows' findings
 are reconciled for the whole text: what touches an inner window edge counts
 only if no other window sees it whole, overlapping findings of a kind are
-joined, findings must have the shape of their kind, and base spans win over
+joined, an address is widened to the whole of its name and host however long
+these are, findings must have the shape of their kind, and base spans win over
 findings that they overlap.
 
 Defined cases: a null text counts as empty and has no spans; a very long text is
@@ -23,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -36,7 +39,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Window and its step in code points, reach of a trigger, windows decoded at once.
 WINDOW, STEP, REACH, LANES = 96, 48, 40, 512
 #: Size of character vectors and of each direction's state, rounds and windows of training, seed.
-VECTOR, HIDDEN, ROUNDS, LOT, SEED = 12, 20, 400, 48, 7
+VECTOR, HIDDEN, ROUNDS, LOT, SEED = 12, 32, 1500, 64, 7
+#: The trained weights and the digest of their numbers.
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
+DIGEST = "68842fa197efbc56b5b81cbf050c0bbed3fd9c6bbee8279ffb0efbfa45dec4b1"
 
 # ---------------------------------------------------------------- base spans
 
@@ -88,23 +94,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ------------------------------------------------------------ labelled text
 
+#: Forms of each kind: {u} a name, {d} a host's part, {t} its end, {i} a number to 255, {4} so many digits, {A} to {S} one of SIGNS throughout the form.
 _TEMPLATES = {
-    "email": (
-        "{u} at {d} dot {t}", "{u} (at) {d} (dot) {t}", "{u}[at]{d}[dot]{t}", "{u} [at] {d} [dot] {t}", "{u}(at){d}.{t}", "{u} @ {d}.{t}", "{u}@{d}.{t}", "{u} [at] {d}.{t}",
-        "{u} ( at ) {d} ( dot ) {t}", "{u} [ at ] {d} [ dot ] {t}", "{u}(at){d}(dot){t}", "{u} (at) {d}.{t}", "{u} AT {d} DOT {t}", "{u} at {d} dot {d} dot {t}", "{u} (at) {d} dot {t}",
+    "email": ("{u}{A}{d}{D}{t}", "{u}{A}{d}{D}{t}", "{u}{A}{d}{D}{t}", "{u}{A}{d}.{t}", "{u} at {d}{D}{t}", "{u} at {d} dot {t}", "{u} at {d} dot {t}", "{u}{A}{d}-{d}.{t}", "{u}@ {d}.{t}", "{u} AT {d} DOT {t}", "{u}{A}{d}{D}{d}{D}{t}", "{u}@{d}.{t}", "{u} @ {d}.{t}"),
+    "ip": ("{i}{I}{i}{I}{i}{I}{i}", "{i}{I}{i}{I}{i}{I}{i}", "{i}.{i}.{i}.{i}"),
+    "card": ("{4}{C}{4}{C}{4}{C}{4}", "{4}{C}{4}{C}{4}{C}{4}", "{4}{C}{6}{C}{5}", "{4}{C}{4}{C}{4}{C}{4}{C}{3}"),
+    "phone": (
+        "({3}) {3}-{4}", "({3}) {3} {4}", "({3}){3}-{4}", "({4}) {6}", "({3}){S}{3}{S}{4}", "{3}{S}{3}{S}{4}", "{4}{S}{3}{S}{3}", "{4}{S}{7}", "{5}{S}{6}", "{3}{S}{4}{S}{4}", "{2}{S}{4}{S}{4}", "{2}{S}{2}{S}{2}{S}{2}{S}{2}",
+        "0{3}{S}{7}", "00{2} {3} {3} {4}", "00{2}{S}{3}{S}{3}{S}{4}", "00{2}{S}{2}{S}{7}", "00{2}{S}{3}{S}{6}", "(00{2}) {2} {7}", "(00{2}){S}{3}{S}{6}", "{4}{S}{3} {4}", "{3} {3} {2} {2}", "0{2} {3} {2} {2} {2}", "+1 ({3}) {3}-{4}", "+{2} {3} {3} {4}", "+{2}{S}{2}{S}{4}{S}{4}", "+{2} (0) {3} {6}",
     ),
-    "ip": ("{i} . {i} . {i} . {i}", "{i}[.]{i}[.]{i}[.]{i}", "{i}.{i}.{i}.{i}", "{i}(.){i}(.){i}(.){i}"),
-    "card": ("{4}.{4}.{4}.{4}", "{4}/{4}/{4}/{4}", "{4}_{4}_{4}_{4}", "{4}  {4}  {4}  {4}"),
-    "phone": ("({3}) {3}-{4}", "({3}) {3} {4}", "{3}-{3}-{4}", "{3}.{3}.{4}", "00{2} {3} {3} {4}", "+1 ({3}) {3}-{4}", "+{2} {3} {3} {4}"),
+}
+#: What stands between the parts of a form.
+SIGNS = {
+    "A": ("(at)", " (at) ", "[at]", " [at] ", "( at )", " ( at ) ", "[ at ]", " [ at ] ", " at ", " AT ", " At ", " @ ", "@", " (AT) ", " [AT] ", "[AT]", "@ ", "{at}", " {at} ", "<at>", " <at> "),
+    "D": (".", ".", "(dot)", " (dot) ", "[dot]", " [dot] ", "( dot )", " ( dot ) ", "[ dot ]", " [ dot ] ", " dot ", " DOT ", " Dot ", " [DOT] ", " (DOT) ", "{dot}", " {dot} ", "<dot>", " <dot> "),
+    "I": (".", " . ", "[.]", "(.)", " [.] ", " dot ", " DOT ", "[dot]", "(dot)", " [dot] ", ". ", " .", "(.) ", "<.>", "{dot}", " / "),
+    "C": (".", "/", "_", "  ", "   ", " . ", ":", " / ", "--", "|", ",", " - "),
+    "S": (" ", "-", ".", "/", " - ", " / "),
 }
 #: Text that looks near to personal data and is none.
-_OTHERS = ('token = "{x}"', "{x}", "{4}", "{2}", "{3}", "{i}.{i}", "{i}.{i}.{2}", "{4}-{2}-{2}", "{2}/{2}/{4}", "{2}:{2}", "{4}{4}{4}{4}", "{4}{4}{4}{4} {4}{4}{4}{4}", "{3},{3}", "${4}", "{2}%", "{w} at {w}", "{w} dot {w}", "{w} at {2}", "{w} at {w} {w}", "{w} at {w}. {w}", "{w} (at {w})", "({w}) {w}", "[{w}] {w}", "{w}.{w}", "@{w}", "{w} @ {w}", "v{i}.{i}", "({4})", "({2}) {w}", "{w}{2}", "[{2}]", "{3}-{2}")
+_OTHERS = ('token = "{x}"', "{x}", "{4}", "{2}", "{3}", "{i}.{i}", "{i}.{i}.{2}", "{4}-{2}-{2}", "{2}/{2}/{4}", "{2}:{2}", "{4}{4}{4}{4}", "{4}{4}{4}{4} {4}{4}{4}{4}", "{3},{3}", "${4}", "{2}%", "{w} at {w}", "{w} dot {w}", "{w} at {2}", "{w} at {w} {w}", "{w} at {w}. {w}", "{w} (at {w})", "({w}) {w}", "[{w}] {w}", "{w}.{w}", "@{w}", "{w} @ {w}", "v{i}.{i}", "({4})", "({2}) {w}", "{w}{2}", "[{2}]", "{3}-{2}", "{3}{S}{2}{S}{2}", "{4}{S}{4}", "{2}{S}{2}{S}{2}", "{i}{I}{i}{I}{i}", "{4}{C}{4}", "{4}{C}{4}{C}{4}{C}{4}{C}{4}{C}{4}", "{w}{D}{w}", "{w}{A}{w}", "{w} at {w} dot", "{w} dot com", "{2}{S}{w}", "No. {6}", "{6}")
 _VOWELS, _OTHER_LETTERS = "aeiouéäö", "bcdfghklmnprstvwz"
 
 
 def _fill(rng: np.random.Generator, form: str) -> str:
+    chosen = {k: signs[rng.integers(len(signs))] for k, signs in SIGNS.items()}
+
     def one(m: re.Match) -> str:
         c = m[1]
+        if c in chosen:
+            return chosen[c]
         if c.isdigit():
             return "".join(map(str, rng.integers(0, 10, int(c))))
         if c == "i":
@@ -117,6 +136,8 @@ def _fill(rng: np.random.Generator, form: str) -> str:
         word = _name(rng) if c in "ud" and rng.random() < 0.6 else _word(rng)
         if c == "u" and (draw := rng.random()) < 0.7:
             word += (".", "_", "", "-")[rng.integers(4)] + (str(rng.integers(0, 100)) if draw < 0.35 else _name(rng))
+        if c == "u" and rng.random() < 0.06:
+            word += "".join((".", "-", "_", "")[rng.integers(4)] + _name(rng) for _ in range(rng.integers(3, 9)))
         if c == "d" and rng.random() < 0.2:
             word += "-" + _name(rng)
         return word.capitalize() if rng.random() < 0.1 else word
@@ -305,6 +326,20 @@ class Tagger:
         return tags
 
 
+def digest(weights: dict[str, np.ndarray]) -> str:
+    """A digest of the numbers, by name."""
+    return hashlib.sha256(b"".join(k.encode() + np.ascontiguousarray(weights[k], "<f4").tobytes() for k in sorted(weights))).hexdigest()
+
+
+def weights() -> dict[str, np.ndarray]:
+    """The trained weights; an error if they are not those that belong to this module."""
+    with np.load(WEIGHTS) as found:
+        out = {k: found[k] for k in found.files}
+    if digest(out) != DIGEST:
+        raise ValueError("pii_weights.npz is not what was trained: run python -m millrace.llm.pii")
+    return out
+
+
 def train(rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after Adam on generated windows, always the same."""
     rng = np.random.default_rng(SEED)
@@ -331,8 +366,9 @@ def train(rounds: int = ROUNDS) -> dict[str, np.ndarray]:
 # ------------------------------------------------------------ whole texts
 
 #: A host and its dots, plain or spelt, and a spelt at sign, as in the shape of an address.
-_HOST = r"[a-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)[a-z0-9-]+)+"
-_AT = r"[(\[]\s?at\s?[)\]]"
+_HOST = r"[a-z0-9-]+(?:(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)[a-z0-9-]+)+"
+_AT = r"[(\[{<]\s?at\s?[)\]}>]"
+_REST = re.compile(r"[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*+")
 #: What every finding of the shape of a kind holds, see shaped().
 _TRIGGER = re.compile(rf"[0-9@]|{_AT}|\sat\s{_HOST}", re.IGNORECASE)
 
@@ -398,6 +434,28 @@ def found_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, i
     return [reconcile(own, t) for own, t in zip(raw, texts, strict=True)]
 
 
+def widened(spans: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+    """The spans, of which an address goes on to the start of its name and the end of its host; those that then meet are one."""
+    out: list[tuple[str, int, int]] = []
+    run = (0, -1)  # the run of name signs looked at last
+    for kind, a, b in spans:
+        if kind == "email":
+            if not run[0] <= a <= run[1]:
+                start = a
+                while start and _LOCAL.match(text[start - 1]):
+                    start -= 1
+                run = start, a
+            a, b = run[0], _REST.match(text, b).end() if b and text[b - 1].isalnum() else b
+            run = run[0], max(run[1], b)
+            while a < b and not text[a].isalnum():
+                a += 1
+            if out and out[-1][0] == kind and a < out[-1][2]:
+                a, b = out[-1][1], max(b, out[-1][2])
+                out.pop()
+        out.append((kind, a, b))
+    return out
+
+
 def reconcile(raw: list[tuple[str, int, int, bool]], text: str) -> list[tuple[str, int, int]]:
     """Findings of overlapping windows as spans of the whole text."""
     seen = sorted({(kind, a, b) for kind, a, b, whole in raw if whole})
@@ -410,8 +468,8 @@ def reconcile(raw: list[tuple[str, int, int, bool]], text: str) -> list[tuple[st
             out[-1] = (kind, out[-1][1], max(b, out[-1][2]))
         else:
             out.append((kind, a, b))
-    trimmed = ((kind, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for kind, a, b in out)
-    return [(kind, a, b) for kind, a, b in trimmed if b > a and shaped(kind, text[a:b])]
+    out = [(kind, a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for kind, a, b in out]
+    return [(kind, a, b) for kind, a, b in widened([x for x in out if x[2] > x[1]], text) if shaped(kind, text[a:b])]
 
 
 def merge(base: list[tuple[str, int, int]], found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -427,10 +485,10 @@ def digest_of(spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the number of base spans of each kind, base_sha256, spans, n_added of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    weights = kept(("pii weights", ROUNDS), train)
+    trained = kept("pii weights", weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(weights)
+        tagger = Tagger(trained)
         for batch in slices(batches, 1):
             texts = texts_of(batch.column(1))
             base = [base_spans(t) for t in texts]
@@ -449,3 +507,9 @@ def op9_pii(spark, sf_dir):
     from millrace.runtime import table
 
     return find(table(spark, sf_dir, "documents"))
+
+
+if __name__ == "__main__":
+    trained = train()
+    np.savez(WEIGHTS, **trained)
+    print("DIGEST =", repr(digest(trained)))

@@ -58,7 +58,21 @@ def test_gradient():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return P.Tagger(P.kept(("pii weights", P.ROUNDS), P.train))
+    return P.Tagger(P.weights())
+
+
+def test_training_gives_weights_that_learn():
+    """What the weights file holds is what train makes of the generator; a short run of it is on the way there."""
+    rng = np.random.default_rng(5)
+    lot = [P.labelled(rng) for _ in range(64)]
+    codes, tags = np.stack([P.symbols(t) for t, _ in lot], 1), np.zeros((P.WINDOW, 64), np.int64)
+    for lane, (_, spans) in enumerate(lot):
+        for kind, a, b in spans:
+            tags[a, lane], tags[a + 1 : b, lane] = 2 * P.KINDS.index(kind) + 1, 2 * P.KINDS.index(kind) + 2
+    loss = lambda w: P.Tagger(w).learn(codes, tags)[0]
+    short = P.train(25)
+    assert loss(short) < 0.6 * loss(None) and loss(P.weights()) < 0.15 * loss(short)
+    assert {k: v.shape for k, v in short.items()} == {k: v.shape for k, v in P.weights().items()}
 
 
 def test_held_out_spans(tagger):
@@ -82,7 +96,7 @@ def test_found_in_long_prose_without_digits(tagger, kind, form):
             texts.append(head + span + " " + prose())
             want.append((kind, len(head), len(head) + len(span)))
     got = [P.merge(P.base_spans(t), found) for t, found in zip(texts, P.found_spans(texts, tagger), strict=True)]
-    assert sum(w in g for w, g in zip(want, got, strict=True)) > 0.8 * len(texts)
+    assert sum(w in g for w, g in zip(want, got, strict=True)) >= 0.9 * len(texts)
 
 
 #: Forms and names that the generator of training text lacks.
@@ -101,6 +115,71 @@ def test_forms_that_training_lacks(tagger):
     assert len(missed) <= 1, missed
 
 
+#: Signs, groups and joints that the generator lacks; # is a digit, i a number to 255.
+FORMS = {
+    "ip": ["i[ . ]i[ . ]i[ . ]i", "i Dot i Dot i Dot i", "i [.]i [.]i [.]i", "i{.}i{.}i{.}i", "i ( dot ) i ( dot ) i ( dot ) i"],
+    "card": ["#### -#### -#### -####", "####;####;####;####", "####::####::####::####", "####~####~####~####", "#### . ####.#### . ####", "####  -  ####  -  ####  -  ####"],
+    "phone": ["1099-860-2541-7", "0530/473-4697", "00## ## ### ## ##", "00##-(0)##-#######", "(+49) 30 1234567", "(###)###.####", "(0##)/#######", "0### -- ### ####", "(0##) #### ####", "0##.### ####"],
+}
+
+
+#: Usual forms beside those that the patterns allow for, in digits that training never saw.
+USUAL = {
+    "ip": ["i dot i dot i dot i", "i[.]i[.]i[.]i", "i . i . i . i", "i[dot]i[dot]i[dot]i"],
+    "card": ["####:####:####:####", "#### - #### - #### - ####", "####.####.####.####", "####/####/####/####"],
+    "phone": ["1099-860-254", "0530/4734697", "00## ## #######", "(###) ###-####", "0049 30 1234567", "(###)###-####"],
+}
+
+
+def filled(rng, kind, form):
+    out = "".join(str(rng.integers(0, 10)) if c == "#" else str(rng.integers(0, 256)) if c == "i" else c for c in form.rstrip("."))
+    if kind == "card":
+        out = next(o for k in range(10) if P.luhn(re.sub("[^0-9]", "", o := out[:-1] + str(k))))
+    return out
+
+
+@pytest.mark.parametrize("forms,least", [(USUAL, 0.9), (FORMS, 0.6)])
+@pytest.mark.parametrize("kind", list(FORMS))
+def test_recall_in_sentences(tagger, kind, forms, least):
+    """60 of a form in English sentences; of forms that the generator lacks, those with the strangest joints are missed (README)."""
+    rng, texts, want = np.random.default_rng(17), [], []
+    frames = ["Please call or write to {} before the end of the week.", "It was noted as {} in the book, and nobody asked.", "My own is {}."]
+    for form in forms[kind]:
+        for k in range(60):
+            span, frame = filled(rng, kind, form), frames[k % 3]
+            text, at = frame.format(span), frame.index("{")
+            if P.shaped(kind, span) and not P.base_spans(text):
+                texts.append(text)
+                want.append((kind, at, at + len(span)))
+    found = P.found_spans(texts, tagger)
+    recall = sum(w in g for w, g in zip(want, found, strict=True)) / len(want)
+    assert len(want) > 150 and recall >= least, recall
+
+
+@pytest.mark.parametrize("size", [10, 38, 39, 40, 41, 60, 95, 96, 97, 200])
+def test_names_of_any_length_are_whole(tagger, size):
+    name = ("maximilian-alexander.von-hohenzollern-sigmaringen.the.third_" * 5)[:size].strip(".-_")
+    texts = [f"{head}{name} {at} example {dot} com{tail}" for head in ("", "so ask ", "word " * 30) for at, dot in (("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]")) for tail in ("", " or do not.")]
+    want = [(len(t.split(name)[0]), t.index(" com") + 4) for t in texts]
+    got = P.found_spans(texts, tagger)
+    assert sum(("email", *w) in g for w, g in zip(want, got, strict=True)) >= 0.9 * len(texts)
+
+
+def test_long_hosts_and_runs_take_linear_time(tagger):
+    import time
+
+    began = time.process_time()
+    P.found_spans(["x" * 200_000 + " at example dot com", "a.b" * 50_000, ("x" * 50 + "@ ") * 2000, "n at h." + "sub." * 20_000 + "com"], tagger)
+    assert time.process_time() - began < 60
+
+
+def test_neighbours_are_found_as_well_as_alone(tagger):
+    parts = ["jo AT firma DOT com", "(555)123-4567", "0049 30 1234567"]
+    text = f"Reach us: {parts[0]}, {parts[1]} or {parts[2]}."
+    want = {(k, text.index(p), text.index(p) + len(p)) for k, p in zip(("email", "phone", "phone"), parts, strict=True)}
+    assert want <= set(P.found_spans([text], tagger)[0])
+
+
 def test_prose_is_left_alone(tagger):
     texts = ["We met at noon and looked at the old house. Then we left.", "He is good at chess (at times) and at dinner dot painting [at home].", "See chapter 12, section 3.4.5 of the report of 2019-10-11, page 1,234.", "It was sold at auction. The price was $12,000, 30% more than at first."]
     assert not any(P.found_spans(texts, tagger))
