@@ -35,7 +35,8 @@ def reservoir(df: DataFrame, columns: list[str], row_id: str, capacity: int = CA
     on average, so it is short of the sample once in 10**32 columns.
     """
     cells = stacked(df, columns, row_id).filter("value is not null")
-    counts = {r["column"]: r["n"] for r in cells.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    row = df.agg(*[F.count(f"`{c}`").alias(f"n{k}") for k, c in enumerate(columns)]).first() if columns else {}
+    counts = {c: row[f"n{k}"] for k, c in enumerate(columns)}
     room = capacity + 12 * math.sqrt(capacity) + 100
     large = {c: f"{int(room / n * 2**64):016x}" for c, n in counts.items() if n > 2 * room}
     ranked = cells.withColumn("priority", hashing.priority(F.concat(F.col("column"), F.lit(f"_{salt}")), F.col("row_id")))

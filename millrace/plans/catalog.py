@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions import hashing, numeric, privacy, quality, text
-from millrace.operators import clean, constraints, dedupe, enrich, lineage, profile, report, shape, vectors
+from millrace.operators import clean, constraints, dedupe, enrich, lineage, profile, report, shape, sketches, vectors
 from millrace.plans import pipeline, roundtrips  # noqa: F401  registers the queries over sources, sinks, jobs and streams
 from millrace.plans.registry import ORACLES, QUERIES, query
 from millrace.runtime import scratch, spread
@@ -262,6 +262,22 @@ def head_sample(t):
     return shape.head(t("orders"), "o_orderkey", 1000, 10).select("o_orderkey", "o_orderstatus")
 
 
+_STATE = """SELECT '{c}' AS "column", count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct, {q}, (SELECT {c}::VARCHAR FROM v WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode,
+ (SELECT count(*) FROM v WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 1 DESC LIMIT 1) AS mode_count FROM v"""
+_QUANTILES = ", ".join(f"quantile_disc({{c}}, {s / 100})::DOUBLE AS q{s}" for s in (25, 50, 75))
+
+
+@query("WITH v AS (SELECT event_type, CASE WHEN event_id % 9 > 0 THEN floor(value / 5)::INT END AS step FROM events) " + _STATE.format(c="event_type", q="NULL::DOUBLE AS q25, NULL::DOUBLE AS q50, NULL::DOUBLE AS q75") + " UNION ALL " + _STATE.format(c="step", q=_QUANTILES.format(c="step")))
+def merged_profile(t):
+    """Profiles of three parts of a table, kept as states and merged without their rows; exact as a state holds all of the few distinct values and 32,768 ranks."""
+    step = F.when(F.col("event_id") % 9 > 0, F.floor(F.col("value") / 5).cast("int"))
+    rows = t("events").select("event_id", "event_type", step.alias("step"))
+    store = sketches.ProfileStore(t.spark, f"{scratch(t.spark)}/profile", 32_768)
+    for part in range(3):
+        store.add(rows.filter(F.col("event_id") % 3 == part), ["event_type", "step"])
+    return store.profile()
+
+
 # ----------------------------------------------------------------- cleaning
 
 _HOLES = "h AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '' ELSE event_type END AS event_type FROM events)"

@@ -16,6 +16,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    target, system = _at(spark, path)
+    system.mkdirs(target)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """The folders within a folder; none if it is not there."""
     target, system = _at(spark, path)
@@ -27,6 +32,13 @@ def delete(spark: SparkSession, path: str) -> bool:
     return system.delete(target, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A folder under another name, in one step; an error if it cannot be."""
+    origin, system = _at(spark, source)
+    if not system.rename(origin, _at(spark, target)[0]):
+        raise OSError(f"{source} cannot be moved to {target}")
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file as text; None if it is not there."""
     target, system = _at(spark, path)

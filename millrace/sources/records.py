@@ -223,7 +223,7 @@ def gather(cuts: DataFrame, kind: str, parts: bool) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(text, first): every record of the files below a path; first: whether it is the first of its file.
+    """(text, first): every record of the files below a path; first: whether it is the first of its file. Those that reach over a split's border come last.
 
     Splits are known by broadcast: a row a split of spark.sql.files.maxPartitionBytes, so a hundred bytes for each such split of the input.
     """

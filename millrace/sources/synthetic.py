@@ -15,13 +15,20 @@ STATUSES = "open closed paused new".split()
 
 
 def customers(spark: SparkSession, rows: int, seed: int = 42, dirty: float = 0.2, repeated: float = 0.05, nested: bool = False) -> DataFrame:
-    """customer_id to account_status, with nulls, typos, outliers and padding in a share of rows and repeated keys in another.
+    """So many dirty records; see records."""
+    return records(spark.range(rows), seed, dirty, repeated, nested)
 
-    nested: also extra_field in a tenth of the rows and a nested struct in a twentieth.
+
+def records(ids: DataFrame, seed: int = 42, dirty: float = 0.2, repeated: float = 0.05, nested: bool = False) -> DataFrame:
+    """A record for each id (id): customer_id to account_status, with nulls, typos, outliers and padding in a share of rows and repeated keys in another.
+
+    nested: also extra_field in a tenth of the rows and a nested struct in a
+    twentieth. A draw is 32 bits of the md5 of its name, the seed and the id, so
+    that any engine can tell the same records.
     """
 
     def draw(name: str) -> Column:
-        return F.pmod(F.xxhash64(F.col("id"), F.lit(name), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(name), F.lit(str(seed)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
     def pick(name: str, values: list[str]) -> Column:
         return F.array(*map(F.lit, values))[F.floor(draw(name) * len(values)).cast("int")]
@@ -53,4 +60,4 @@ def customers(spark: SparkSession, rows: int, seed: int = 42, dirty: float = 0.2
     if nested:
         columns["extra_field"] = F.when(draw("extra") < 0.1, F.concat(F.lit("extra_"), F.col("id")))
         columns["nested"] = F.when(draw("nest") < 0.05, F.struct(F.struct(F.concat(F.lit("v"), F.col("id")).alias("level2")).alias("level1")))
-    return spark.range(rows).select(*[c.alias(n) for n, c in columns.items()])
+    return ids.select(*[c.alias(n) for n, c in columns.items()])
