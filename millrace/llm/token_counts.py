@@ -47,6 +47,18 @@ HERE, BEFORE = 1, 2
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+#: Letters and numbers (first, last) that the library's Unicode has and Python's has not, and what to add to its capitals for their small letters.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEWER_CAPITALS = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27)]
+#: Sigma, whose small letter Python takes from its place in a word, and the newer capitals, by their small letters.
+SMALL = {0x3A3: 0x3C3} | {i: i + d for a, b, d in NEWER_CAPITALS for i in range(a, b + 1)}
+_CAPITALS = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
 def splitter() -> tuple[np.ndarray, np.ndarray]:
     """Next state and output for each state and class."""
     to, out = np.zeros((7, 10), np.uint8), np.zeros((7, 10), np.uint8)
@@ -80,6 +92,9 @@ def classes() -> np.ndarray:
     """Class of every code point."""
     of = {"L": LETTER, "N": NUMBER}
     out = np.array([of.get(unicodedata.category(chr(i))[0], SIGN) for i in range(0x110000)], np.uint8)
+    for ranges, c in ((NEWER_LETTERS, LETTER), (NEWER_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            out[first : last + 1] = c
     out[WHITE_SPACE] = SPACE
     for chars, c in (("'", APOSTROPHE), ("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E)):
         out[[ord(x) for x in chars]] = c
@@ -136,7 +151,8 @@ class Counter:
     def normal(self, text: str) -> tuple[str, int]:
         """The normalised text and the number of special strings, which white space replaces."""
         parts = self.special.split(text) if self.special and "<" in text else [text]
-        return "\n".join(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for p in parts), len(parts) - 1
+        whole = "\n".join(unicodedata.normalize("NFC", p) for p in parts)
+        return (whole.translate(SMALL) if _CAPITALS.search(whole) else whole).lower(), len(parts) - 1
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

@@ -22,6 +22,15 @@ def test_counts_are_the_library_s(texts):
     assert T.counter().count(texts).tolist() == plain(texts)
 
 
+def test_every_code_point_counts_as_in_the_library():
+    """Beside letters, signs and numbers, of all planes that hold any; whatever Unicode versions both have."""
+    counter = T.counter()
+    for start in (*range(0, 0x40000, 1 << 14), 0xE0000, 0xFC000, 0x10C000):
+        texts = [f"a{chr(i)}b !{chr(i)}1" for i in range(start, start + (1 << 14)) if not 0xD800 <= i < 0xE000]
+        got, want = counter.count(texts).tolist(), plain(texts)
+        assert got == want, [hex(ord(t[1])) for t, g, w in zip(texts, got, want, strict=True) if g != w][:20]
+
+
 def test_special_strings():
     texts = ["a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext"]
     assert T.counter().count(texts).tolist() == plain(texts)
