@@ -22,9 +22,12 @@ other columns are ignored by ``assign`` and written by ``rewrite``.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from millrace.sources import files
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Blocks of all old shards together, heavy blocks looked for, cells of a heavy block.
@@ -215,31 +218,62 @@ def _placed(docs, n_new, n_old, id_col, text_col, old, weights):
     return out, plan
 
 
+class Unfinished(Exception):
+    """A rewrite of a folder broke off while files were put in place: finish it with ``recover`` and read the folder again."""
+
+
 def rewrite(docs: DataFrame, path: str, n_new: int = 24, n_old: int = 16, id_col: str = "doc_id", text_col: str = "text", old: Column | None = None, weights: list[float] | None = None, place: str = "shard") -> Plan:
     """Write the files of the affected shards under path/shard=N, whole rows; gives the plan.
 
-    Only the folders of affected shards are replaced, when all of their rows are
-    written; all others keep the files they have, and folders of shards that keep
-    no row go last. docs may be what path holds. A rerun after a failure writes
-    the same rows to the same shards. A column of docs named as place is the
-    layout's own and written anew; name another place if it isn't.
+    All rows of affected shards are written to a hidden folder within path first.
+    Then a journal names the folders to be replaced, and only now they are, one
+    after another; all others keep the files they have, and folders of shards
+    that keep no row go. docs may be what path holds. A failure before the
+    journal leaves path as it was; after one during the replacements ``recover``
+    goes on where they broke off, and until then a rewrite of path is an error.
+    A column of docs named as place is the layout's own and written anew; name
+    another place if it isn't.
     """
+    spark, path = docs.sparkSession, path.rstrip("/")
+    if files.exists(spark, f"{path}/{JOURNAL}"):
+        raise Unfinished(path)
     block, mixed, sub, cells = _cells(docs, n_old, text_col, id_col, old)
     plan = Plan(cells, n_old, weights or [1.0] * n_new)
-    spark = docs.sparkSession
     to = [r[:3] for r in plan.rows if r[2] in plan.affected]
     where = F.broadcast(spark.createDataFrame(to, "block int, sub int, _shard int"))  # bounded as cells are
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != place]).alias("_row")
     rows = docs.select(whole, block.alias("block"), mixed.alias("_mixed"), F.col(id_col).alias("_id")).withColumn("sub", sub)
     kept = rows.join(where, ["block", "sub"]).repartition(F.col("_shard"), F.pmod(F.xxhash64("_id"), F.lit(8)))
-    kept.select(F.col("_shard").alias(place), "_row.*").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(place).parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for shard in sorted(plan.emptied):
-        gone = hadoop.Path(f"{path.rstrip('/')}/{place}={shard}")
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    staging = f"_reshard-{uuid.uuid4().hex}"
+    kept.select(F.col("_shard").alias(place), "_row.*").write.partitionBy(place).parquet(f"{path}/{staging}")
+    written = [f.rstrip("/").rsplit("/", 1)[-1] for f in files.children(spark, f"{path}/{staging}")]
+    files.replace_text(spark, f"{path}/{JOURNAL}", json.dumps({"staging": staging, "written": sorted(written), "emptied": [f"{place}={s}" for s in sorted(plan.emptied)]}))
+    recover(spark, path)
     return plan
 
 
+#: The file that tells which folders a rewrite puts in place.
+JOURNAL = "_reshard.json"
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put in place what a rewrite has written, whether it just has or broke off; False if there is nothing to do. May be run any number of times."""
+    path = path.rstrip("/")
+    found = files.read_text(spark, f"{path}/{JOURNAL}")
+    if found is None:
+        return False
+    journal = json.loads(found)
+    for name in journal["written"]:
+        if files.exists(spark, staged := f"{path}/{journal['staging']}/{name}"):  # else it is in place
+            files.delete(spark, f"{path}/{name}")
+            files.move(spark, staged, f"{path}/{name}")
+    for name in journal["emptied"]:
+        files.delete(spark, f"{path}/{name}")
+    files.delete(spark, f"{path}/{JOURNAL}")
+    files.delete(spark, f"{path}/{journal['staging']}")
+    return True
+
+
 def op5_reshard(spark, sf_dir):
     from millrace.runtime import table
 

@@ -1,3 +1,4 @@
+import pytest
 import itertools
 import random
 import zlib
@@ -121,6 +122,45 @@ def test_rewrite_keeps_the_other_shards(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4000 and sorted(p.name for p in (tmp_path / "lake").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
 
 
+@pytest.mark.parametrize("step", ["delete", "move"])
+@pytest.mark.parametrize("after", [0, 1, 3])
+def test_rewrite_that_breaks_off_half_way(spark, tmp_path, monkeypatch, step, after):
+    """Between any two replacements nothing is lost for good: recover puts the rest in place, and no row is there twice."""
+    path = str(tmp_path / "lake")
+    rows = spark.createDataFrame([(i, f"text {i}" + "x" * (i % 7), 6 if i % 8 == 7 else i % 8) for i in range(2000)], "doc_id long, text string, shard int")
+    rows.write.partitionBy("shard").parquet(path)
+    real, done = getattr(R.files, step), []
+
+    def broken(*args):
+        if len(done) == after:
+            raise OSError("lost")
+        done.append(args)
+        return real(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(R.files, step, broken)
+        with pytest.raises(OSError):
+            R.rewrite(spark.read.parquet(path), path, 5, 8, old=F.col("shard"))
+    with pytest.raises(R.Unfinished):
+        R.rewrite(spark.read.parquet(path), path, 5, 8, old=F.col("shard"))
+    assert R.recover(spark, path) and not R.recover(spark, path)
+    assert placed(spark, path) == {r["doc_id"]: r["shard"] for r in R.assign(rows, 5, 8, old=F.col("shard")).collect()}
+    assert spark.read.parquet(path).count() == 2000 and not [p for p in (tmp_path / "lake").iterdir() if p.name.startswith("_reshard")]
+
+
+def test_rewrite_that_breaks_off_before_the_journal(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lake")
+    rows = spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(300)], "doc_id long, text string, shard int")
+    rows.write.partitionBy("shard").parquet(path)
+    with monkeypatch.context() as m:
+        m.setattr(R.files, "replace_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            R.rewrite(spark.read.parquet(path), path, 4, 2, old=F.col("shard"))
+    assert placed(spark, path) == {i: i % 2 for i in range(300)} and not R.recover(spark, path)
+    R.rewrite(spark.read.parquet(path), path, 4, 2, old=F.col("shard"))
+    assert spark.read.parquet(path).count() == 300 and len(set(placed(spark, path).values())) == 4
+
+
 def test_odd_rows(odd, none):
     got = R.assign(odd).collect()
     assert len(got) == odd.count() and R.assign(none).count() == 0
