@@ -182,6 +182,27 @@ def profile(df: DataFrame, row_id: str, numeric_every: int = 10, mode_every: int
     return out.withColumn("median", F.when(F.col("is_numeric"), F.col("median")))
 
 
+def worker_profile(df: DataFrame, columns: list[str], row_id: str, every: int = 1, capacity: int | None = None) -> dict[str, dict]:
+    """Votes, median and mode of each column by name: of equally frequent values the smallest, a median for numeric columns only.
+
+    Both are those of every cell of the sampled rows, or of a reservoir's if
+    capacity is given.
+    """
+    rows = sampled(df, row_id, every)
+    cells = stacked(rows, columns, row_id).filter("value is not null") if capacity is None else reservoir(rows, columns, row_id, capacity)
+    votes = type_votes(df, columns, row_id, every).join(modes_lowest(cells), "column", "left")
+    if capacity is not None:
+        votes = votes.join(medians(cells), "column", "left")
+    out = as_dict(votes)
+    numbers = [c for c in columns if c in out and out[c]["is_numeric"]]
+    found: dict = {}
+    if capacity is None and numbers:
+        found = quantiles(rows.select(*[numeric.parse(F.trim(F.col(f"`{c}`").cast("string"))).alias(c) for c in numbers]), numbers, [0.5])
+    for c, s in out.items():
+        s["median"] = (found[c][0] if c in found else s.get("median")) if s["is_numeric"] else None
+    return out
+
+
 def fallbacks(df: DataFrame, stats: dict[str, dict], row_id: str) -> dict[str, dict]:
     """Statistics for the columns of which the samples have told none: the median of all numbers, the mode of all texts.
 

@@ -76,20 +76,17 @@ def report_of(result: Result, row_id: str = "row_id", every: int = 10) -> dict:
     return report.document(figures, result.stats, before, after, (dict(result.before.dtypes), dict(result.cleaned.dtypes)))
 
 
-def clean_worker(df: DataFrame, row_id: str = "row_id", capacity: int = profile.CAPACITY, job_id: str = "job", near_threshold: float | None = None, exclude: tuple[str, ...] = ("id",), every: int = 1, lsh_every: int = 50, seen: DataFrame | None = None) -> Result:
+def clean_worker(df: DataFrame, row_id: str = "row_id", capacity: int | None = None, job_id: str = "job", near_threshold: float | None = None, exclude: tuple[str, ...] = ("id",), every: int = 1, lsh_every: int = 50, seen: DataFrame | None = None) -> Result:
     """The row-wise pipeline. Hashes leave out the row number and the excluded columns; modes fill before medians.
 
     Provenance has a record for each changed cell and one for each row that went
     as an exact duplicate. Changes are told from the same projection that cleans.
-    every: rows that vote on types and are sampled; seen: row hashes of earlier
-    jobs (row_hash), whose rows go as duplicates.
+    every: rows that vote on types and give medians and modes, all of them unless
+    capacity bounds the cells of a column; seen: row hashes of earlier jobs
+    (row_hash), whose rows go as duplicates.
     """
     columns = [c for c in df.columns if c != row_id]
-    sample = profile.reservoir(shape.sampled(df, row_id, every), columns, row_id, capacity)
-    votes = profile.type_votes(df, columns, row_id, every)
-    stats = {r["column"]: r.asDict() for r in votes.join(profile.medians(sample), "column", "left").join(profile.modes_lowest(sample), "column", "left").collect()}
-    for s in stats.values():
-        s["median"] = s["median"] if s["is_numeric"] else None
+    stats = profile.worker_profile(df, columns, row_id, every, capacity)
     hashed = hashing.content_hash(df.drop(row_id), exclude)
     kept, repeats = dedupe.keep_first(df, hashed, row_id), dedupe.repeats(df, hashed, row_id)
     if seen is not None:

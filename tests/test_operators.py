@@ -223,6 +223,17 @@ def test_worker_pipeline(spark, rows):
     assert sorted(map(str, again.cleaned.collect())) == sorted(map(str, result.cleaned.collect()))
 
 
+def test_worker_fills_by_all_rows(spark):
+    """One value is more frequent by a single row, and the median lies between two values, in more rows than a reservoir holds."""
+    n = 2 * profile.CAPACITY + 1
+    df = spark.range(n).selectExpr("id as row_id", f"if(id < {n // 2 + 1}, 'zebra', 'ant') as kind", f"if(id < {n // 2 + 1}, 1.0d, id * 1.0d) as value")
+    stats = pipeline.clean_worker(df).stats
+    assert stats["kind"]["mode"] == "zebra" and stats["value"]["median"] == 1.0
+    turned = df.withColumn("kind", F.when(F.col("kind") == "ant", "zebra").when(F.col("row_id") > 0, "ant")).withColumn("value", F.col("row_id") * 1.0)
+    stats = pipeline.clean_worker(turned).stats
+    assert stats["kind"]["mode"] == "ant" and stats["value"]["median"] == profile.CAPACITY
+
+
 def test_empty_input(spark, rows):
     result = pipeline.clean_table(rows.limit(0))
     assert result.cleaned.count() == 0 and pipeline.report_of(result)["summary"]["original_row_count"] == 0
