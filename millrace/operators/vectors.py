@@ -16,6 +16,8 @@ from pyspark.sql.utils import AnalysisException
 
 #: Queries and vectors of a block, and vectors that an approximate index is fitted on.
 QUERIES, VECTORS, SAMPLE = 512, 2048, 20_000
+#: Distances from vectors to centres that a task holds at once.
+CELLS = 1 << 19
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -104,6 +106,22 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1), 0)
 
 
+def _lists(grid: np.ndarray, centres: np.ndarray, looks: int) -> np.ndarray:
+    """The places of the nearest centres of each row of grid, nearest first, of equally near ones the smaller place; CELLS distances at once."""
+    looks, step = min(looks, len(centres)), max(1, CELLS // max(1, len(centres)))
+    out = np.zeros((len(grid), looks), np.int64)
+    for at in range(0, len(grid), step):
+        far = np.round(_far(grid[at : at + step], centres), 12)
+        if looks == 1:
+            out[at : at + step, 0] = far.argmin(1)
+            continue
+        bound = np.partition(far, looks - 1, 1)[:, looks - 1]
+        for i, row in enumerate(far):
+            few = np.flatnonzero(~(row > bound[i]))  # NaN last
+            out[at + i] = few[np.argsort(row[few], kind="stable")[:looks]]
+    return out
+
+
 def _merge(found: dict, names: list, points: np.ndarray, ids: pa.Array, grid: np.ndarray, k: int) -> None:
     """Puts the k best of a block of vectors to those found so far: products choose few, differences measure them."""
     own = np.array(ids.to_pylist())
@@ -180,7 +198,7 @@ class VectorIndex:
             numbers, centres = sent.value
             for batch in batches:
                 grid = _grid(batch.column(1).flatten(), batch.num_rows) if batch.num_rows else np.zeros((0, centres.shape[1]))
-                near = np.argsort(np.round(_far(grid, centres), 12), 1, kind="stable")[:, :looks]
+                near = _lists(grid, centres, looks)
                 at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[near.ravel()], pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "id", "v"])
 

@@ -88,6 +88,22 @@ def test_only_folders_of_probed_lists_are_read(spark, tmp_path):
     assert len(list((tmp_path / "i" / "vectors").glob("job_id=j/list=*"))) == 8
 
 
+def test_lists_are_found_in_bounded_memory():
+    """2000 vectors and 5000 centres: 80 MB of distances, of which a task holds CELLS at once; the same lists in the same order."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    grid, centres = r.integers(0, 4, (2000, 3)).astype(float), r.integers(0, 4, (5000, 3)).astype(float)  # very many ties
+    grid[7] = np.nan
+    want = {looks: np.argsort(np.round(V._far(grid[:50], centres), 12), 1, kind="stable")[:, :looks] for looks in (1, 14, 9000)}
+    for looks in want:
+        assert (V._lists(grid[:50], centres, looks) == want[looks]).all()
+    tracemalloc.start()
+    assert V._lists(grid, centres, 14).shape == (2000, 14)
+    assert tracemalloc.get_traced_memory()[1] < 8 * 8 * V.CELLS
+    tracemalloc.stop()
+
+
 def test_index_of_nothing(spark, tmp_path):
     none = frame(spark, made(3)).filter("vec_id < 0")
     index = V.VectorIndex.create(none, str(tmp_path / "i"))
