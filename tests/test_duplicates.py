@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from millrace.functions import hashing, privacy
-from millrace.operators import dedupe
+from millrace.operators import dedupe, meetings
 from millrace.plans import pipeline
 from pyspark.sql import functions as F
 
@@ -100,3 +100,32 @@ def test_vault_refuses_two_values_of_a_token(spark, tmp_path, monkeypatch):
     with pytest.raises(privacy.TokenCollision):
         vault.add(spark.createDataFrame([("xx",), ("yy",)], "who string"), "who")
     assert vault.read().count() == 1
+
+
+@pytest.mark.parametrize("how,threshold", [("jaccard", 0.6), ("ratio", 0.85), ("levenshtein", 0.85)])
+def test_bounds_of_many_samples_lose_no_pair(spark, monkeypatch, how, threshold):
+    """Pairs of customers, a third of which share a bucket: few are scored, those of several tiles too, and none is lost. Odd rows come along."""
+    monkeypatch.setattr(meetings, "TILE", 40)
+    monkeypatch.setattr(meetings, "FEW", 3)
+    odd = spark.createDataFrame([(900_000 + i, s) for i, s in enumerate(["", "", None, "abc", "😀" * 70, "😀" * 69 + "x", "Customer#0000", "Customer#00000"])], "id long, s string")
+    df = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/customer.parquet").filter("c_custkey < 500").selectExpr("c_custkey as id", "concat_ws(' ', c_custkey, c_name, c_nationkey) as s").union(odd)
+    every = lambda **how: dedupe.near_candidates(df, F.col("s"), "id", every=3, **how)
+    want = {tuple(r) for r in dedupe.scored(every(), threshold, how).collect()}
+    got = {tuple(r) for r in dedupe.near_duplicates(df, F.col("s"), "id", threshold=threshold, how=how, every=3).collect()}
+    assert got == want and len(want) > 5 and every(how=how, threshold=threshold).count() < every().count() / 5
+
+
+def test_pairs_come_up_once_and_are_not_shuffled(spark):
+    df = spark.range(3000).selectExpr("id", "concat('the very same long text of a hot bucket ', id % 7) as s")
+    pairs = dedupe.candidate_pairs(df, F.col("s"), "id", every=10)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Join")[0] and "Exchange" not in plan.split("MapInArrow")[0]
+    rows = [tuple(r) for r in pairs.collect()]
+    assert len(rows) == len(set(rows)) >= 3000 * 300 // 7 and all(a != b and b % 10 == 0 for a, b in rows)
+
+
+def test_buckets_in_batches_are_those_of_expressions(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "KEPT", 30)
+    df = texts(spark).union(spark.createDataFrame([(-1, "é😀abc"), (-2, "abcde"), (-3, "abcdef" * 20)], "id long, s string"))
+    both = df.select(hashing.shingles(F.col("s")).alias("x")).filter("size(x) > 0").select(hashing.sha256_buckets(F.col("x")).alias("a"), hashing.lsh_buckets(hashing.minhash(F.col("x"))).alias("b"))
+    assert both.filter("not a <=> b").count() == 0 and both.count() > 100
