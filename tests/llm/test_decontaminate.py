@@ -71,3 +71,19 @@ def test_each_size_partition_is_probed_by_its_bounds(spark):
     every = {r["_id"]: r["h"] for r in rows.select("_id", D.hashes(rows["_text"]).alias("h")).collect()}
     want = [(1, 3, h) for h in every[1] if h <= 0] + [(2, 3, h) for h in every[2] if h <= 0] + [(2, 5, h) for h in every[2] if h <= 2**61]
     assert sorted((r["_id"], r["part"], r["hash"]) for r in got) == sorted(want)
+
+
+def test_windows_are_compiled_and_texts_split_once(spark):
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate([FILL, ITEM, "a b c d e", "a b", "...", "", None])], "_id long, _hash long, _text string")
+    probes = D.probes(rows, [(3, 2**63 - 1, 1.0)])
+    plan = probes._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("split(") == 1
+    want = [(r["_id"], h) for r in rows.select("_id", D.hashes(rows["_text"]).alias("h")).collect() for h in r["h"]]
+    assert sorted((r["_id"], r["hash"]) for r in probes.collect()) == sorted(want)
+
+
+def test_items_of_one_text_are_searched_once(spark):
+    docs = spark.createDataFrame([(i, f"{FILL} {ITEM}" if i < 3 else FILL) for i in range(6)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, ITEM) for i in range(40)] + [(40, ITEM.upper()), (41, None)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.find(docs, items).collect()) == [(d, i) for d in range(3) for i in range(41)]
+    assert D._held(docs, items, "doc_id", "text", "text", D.WORDS, D.SHARE).count() == 3 * 2 and D.keep(docs, items).count() == 3
