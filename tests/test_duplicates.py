@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from helpers import SMALL
 from hypothesis import HealthCheck, given, settings
@@ -129,3 +130,21 @@ def test_buckets_in_batches_are_those_of_expressions(spark, monkeypatch):
     df = texts(spark).union(spark.createDataFrame([(-1, "é😀abc"), (-2, "abcde"), (-3, "abcdef" * 20)], "id long, s string"))
     both = df.select(hashing.shingles(F.col("s")).alias("x")).filter("size(x) > 0").select(hashing.sha256_buckets(F.col("x")).alias("a"), hashing.lsh_buckets(hashing.minhash(F.col("x"))).alias("b"))
     assert both.filter("not a <=> b").count() == 0 and both.count() > 100
+
+
+def test_ratios_of_many_pairs_are_those_of_difflib():
+    import random
+
+    rng = random.Random(5)
+    word = lambda n, of: "".join(rng.choices(of, k=n))
+    pairs = [(word(rng.randrange(30), of), word(rng.randrange(30), of)) for of in ("ab", "abc é😀", "0123456789") for _ in range(1500)]
+    pairs += [(f"{i} Customer#{i:09d} {i % 25}", f"{k} Customer#{k:09d} {k % 25}") for i, k in ((rng.randrange(10**6), rng.randrange(10**6)) for _ in range(3000))]
+    pairs += [("", ""), ("", "a"), ("a", ""), ("ab" * 99 + "c", "ba" * 99 + "c"), ("ab" * 100, "ba" * 100), ("x", "ab" * 150), ("\ud800a", "a\ud800")]
+    got = dedupe.matching_blocks(*map(list, zip(*pairs, strict=True)))
+    assert got.tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert dedupe.matching_blocks([], []).tolist() == []
+
+
+def test_short_pairs_do_not_meet_difflib(monkeypatch):
+    monkeypatch.setattr(dedupe, "SequenceMatcher", None)
+    assert dedupe.matching_blocks(["abcd", "1 Customer#01 7"], ["bcde", "2 Customer#02 7"]).tolist() == [0.75, 26 / 30]
