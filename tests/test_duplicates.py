@@ -148,3 +148,31 @@ def test_ratios_of_many_pairs_are_those_of_difflib():
 def test_short_pairs_do_not_meet_difflib(monkeypatch):
     monkeypatch.setattr(dedupe, "SequenceMatcher", None)
     assert dedupe.matching_blocks(["abcd", "1 Customer#01 7"], ["bcde", "2 Customer#02 7"]).tolist() == [0.75, 26 / 30]
+
+
+def test_edits_of_many_samples_are_exact():
+    import random
+
+    import pyarrow as pa
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(7)
+    for width in (32, 64):
+        known = ["".join(rng.choices("abc é😀", k=rng.randrange(1, width + 1))) for _ in range(60)] + ["a" * width]
+        tile = meetings.Tile(pa.array(range(61)), pa.array(known), pa.array([["k"]] * 61), "levenshtein", 0.5, 0)
+        assert tile.word(0).itemsize * 8 == width
+        for text in ["", "x", "abc", *known[:5], known[0] * 4]:
+            codes = np.array([[tile.codes.get(sign, 0)] for sign in text], np.intp).reshape(-1, 1)
+            assert tile.edits(codes, np.array([len(text)]), np.zeros(61, np.intp), np.arange(61)).tolist() == [plain(text, t) for t in known]
+        texts = ["", "x", "abc", *known[:5], known[0] * 4]
+        want = [[i for i, t in enumerate(known) if 1 - plain(text, t) / max(len(text), len(t)) >= 0.5] for text in texts]
+        assert [tile.near(text, np.arange(61)).tolist() for text in texts] == want
+        got = dict(tile.close(texts, [(k, np.arange(61)) for k in range(len(texts))]))  # many rows in step
+        assert [got.get(k, np.arange(0)).tolist() for k in range(len(texts))] == want
