@@ -125,6 +125,47 @@ def test_pairs_come_up_once_and_are_not_shuffled(spark):
     assert len(rows) == len(set(rows)) >= 3000 * 300 // 7 and all(a != b and b % 10 == 0 for a, b in rows)
 
 
+def test_each_part_of_the_rows_has_a_task_of_its_own(spark):
+    """Dealt by hash, eight cells would meet in a few of eight tasks."""
+    sets = spark.range(4000).selectExpr("id as row_id", "'' as text", "array(concat('k', id % 9)) as keys")
+    pairs = meetings.pairs(sets, sets.filter("row_id % 10 = 0"))
+    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = {r["p"]: r["n"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(tasks) == min(cells, max(1, spark.sparkContext.defaultParallelism)) and sum(tasks.values()) == sum((i % 9 == j % 9) and i != j for i in range(4000) for j in range(0, 4000, 10))
+
+
+def test_ids_that_repeat_give_a_pair_once(spark):
+    """As DISTINCT does; a row without a number meets nothing."""
+    rows = [(1, ["a"]), (1, ["b"]), (2, ["a", "b"]), (2, ["b"]), (3, []), (4, ["c"]), (None, ["a"]), (5, ["a", "a"]), (5, None)]
+    sets = spark.createDataFrame(rows, "row_id long, keys array<string>").withColumn("text", F.lit(""))
+    for kind in ("long", "string"):
+        typed = sets.withColumn("row_id", F.col("row_id").cast(kind))
+        got = [tuple(r) for r in meetings.pairs(typed, typed).collect()]
+        want = {(a, b) for a in (1, 2, 5) for b in (1, 2, 5) if a != b}
+        assert len(got) == len(want) and {(int(a), int(b)) for a, b in got} == want
+
+
+def test_rows_of_the_same_keys_leave_python_together():
+    """Lists are far fewer than pairs and none is too long for Spark to expand at once."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    keys = lambda n: [[f"k{k}" for k in range(12) if rng.random() < 0.1] + ["hot"] * (rng.random() < 0.5) for _ in range(n)]
+    known, own = keys(3000), keys(2000)
+    array = lambda of: pa.array(of, pa.list_(pa.string()))
+    tile, got, sent = meetings.Holders(pa.array(range(3000)), array(known)), [], 0
+    for batch in tile.meet(pa.array(range(10_000, 12_000)), array(own)):
+        for rows, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            assert len(rows) * len(found) <= meetings.EXPANDED
+            sent += len(rows) + len(found)
+            got += [(a - 10_000) * 3000 + b for a in rows for b in found]
+    held = [set(k) for k in known]
+    want = [a * 3000 + b for a, k in enumerate(map(set, own)) for b, other in enumerate(held) if k & other]
+    assert sorted(got) == want and sent < len(want) / 3
+
+
 def test_buckets_in_batches_are_those_of_expressions(spark, monkeypatch):
     monkeypatch.setattr(hashing, "KEPT", 30)
     df = texts(spark).union(spark.createDataFrame([(-1, "é😀abc"), (-2, "abcde"), (-3, "abcdef" * 20)], "id long, s string"))
